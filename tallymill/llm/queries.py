@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallymill.llm import chat_format, exact_dedup, mixing
+from tallymill.llm import chat_format, exact_dedup, mixing, simhash
 from tallymill.llm.common import table
 
 
@@ -26,7 +26,11 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op3_chat_format": op3_chat_format, "op4_mixing": op4_mixing, "op7_exact_dedup": op7_exact_dedup}
+def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"op3_chat_format": op3_chat_format, "op4_mixing": op4_mixing, "op7_exact_dedup": op7_exact_dedup, "op8_simhash": op8_simhash}
 
 ORACLE_SQL = {
     "op3_chat_format": r"""
