@@ -5,8 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallymill.llm import chat_format, exact_dedup, mixing, simhash
-from tallymill.llm.common import table
+from tallymill.llm import chat_format, exact_dedup, language_id, mixing, simhash
+from tallymill.llm.common import fold, table
+
+
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = fold(F.col("doc_id"), 4) == 2
+    found = language_id.identify(docs, language_id.train(docs.where(~held_out)))
+    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "accepted", "cross_entropy")
 
 
 def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -30,7 +37,7 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op3_chat_format": op3_chat_format, "op4_mixing": op4_mixing, "op7_exact_dedup": op7_exact_dedup, "op8_simhash": op8_simhash}
+QUERIES = {"op1_language_id": op1_language_id, "op3_chat_format": op3_chat_format, "op4_mixing": op4_mixing, "op7_exact_dedup": op7_exact_dedup, "op8_simhash": op8_simhash}
 
 ORACLE_SQL = {
     "op3_chat_format": r"""
