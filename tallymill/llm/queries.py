@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallymill.llm import chat_format, exact_dedup, language_id, mixing, simhash
+from tallymill.llm import chat_format, exact_dedup, language_id, mixing, ngram_lm, simhash
 from tallymill.llm.common import fold, table
 
 
@@ -29,6 +29,14 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "source", "size", "source_size", "target", "copies", "taken")
 
 
+def op5_ngram_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = fold(F.col("doc_id"), 5) == 1
+    model = ngram_lm.train(docs.where(~held_out))
+    n = F.lit(int(model.n)).cast("long").alias("train_tokens")
+    return ngram_lm.score(docs, model).select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", n, "base_score", "score", "perplexity")
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
@@ -37,7 +45,7 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_language_id": op1_language_id, "op3_chat_format": op3_chat_format, "op4_mixing": op4_mixing, "op7_exact_dedup": op7_exact_dedup, "op8_simhash": op8_simhash}
+QUERIES = {"op1_language_id": op1_language_id, "op3_chat_format": op3_chat_format, "op4_mixing": op4_mixing, "op5_ngram_lm": op5_ngram_lm, "op7_exact_dedup": op7_exact_dedup, "op8_simhash": op8_simhash}
 
 ORACLE_SQL = {
     "op3_chat_format": r"""
