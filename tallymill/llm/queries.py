@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallymill.llm import chat_format, exact_dedup, language_id, mixing, ngram_lm, simhash
+from tallymill.llm import chat_format, exact_dedup, language_id, mixing, ngram_lm, simhash, toxicity
 from tallymill.llm.common import fold, table
 
 
@@ -37,6 +37,12 @@ def op5_ngram_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_lm.score(docs, model).select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", n, "base_score", "score", "perplexity")
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, held_out = table(spark, sf_dir, "documents"), fold(F.col("doc_id"), 4) == 2
+    machine = toxicity.train(docs.where(~held_out), table(spark, sf_dir, "labels").where(~held_out))
+    return toxicity.score(docs, machine).select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
@@ -45,7 +51,7 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_language_id": op1_language_id, "op3_chat_format": op3_chat_format, "op4_mixing": op4_mixing, "op5_ngram_lm": op5_ngram_lm, "op7_exact_dedup": op7_exact_dedup, "op8_simhash": op8_simhash}
+QUERIES = {"op1_language_id": op1_language_id, "op3_chat_format": op3_chat_format, "op4_mixing": op4_mixing, "op5_ngram_lm": op5_ngram_lm, "op6_toxicity": op6_toxicity, "op7_exact_dedup": op7_exact_dedup, "op8_simhash": op8_simhash}
 
 ORACLE_SQL = {
     "op3_chat_format": r"""
