@@ -1,6 +1,6 @@
 """Toxicity by a factorization machine over hashed terms.
 
-Terms are the words of a text and their first four, five and six letters, hashed into `2**bits` buckets. A linear model
+Terms are the words of a text and the first three to eight letters of longer words, hashed into `2**bits` buckets. A linear model
 adds one weight a term; the factorization machine adds a product of factors for each pair, so that two terms can weigh
 more together than apart. Training rows are a bounded sample of the labelled ones (`most_rows`, drawn by a hash of the
 id; whole texts). Buckets are screened first: those whose document counts in the two classes differ by more than chance
@@ -28,12 +28,12 @@ from pyspark.sql import functions as F
 from tallymill.llm.common import written
 from tallymill.llm.language_id import words_of
 
-STEMS = (4, 5, 6)
+STEMS = (3, 4, 5, 6, 7, 8)
 
 
 def terms(word: str, bits: int) -> list[int]:
     """The buckets of a word: its own, and those of its first letters."""
-    found = [f"w {word}", *(f"{k} {word[:k]}" for k in STEMS if len(word) >= k)]
+    found = [f"w {word}", *(f"{k} {word[:k]}" for k in STEMS if len(word) > k)]
     return [xxhash.xxh64_intdigest(x.encode("utf-8", "surrogatepass")) >> (64 - bits) for x in found]
 
 
