@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallymill.llm import chat_format, decontamination, exact_dedup, language_id, mixing, ngram_lm, simhash, token_counts, toxicity
+from tallymill.llm import chat_format, decontamination, exact_dedup, language_id, mixing, ngram_lm, pii, simhash, token_counts, toxicity
 from tallymill.llm.common import fold, table
 
 
@@ -59,7 +59,11 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {"op1_language_id": op1_language_id, "op2_token_counts": op2_token_counts, "op3_chat_format": op3_chat_format, "op4_mixing": op4_mixing, "op5_ngram_lm": op5_ngram_lm, "op6_toxicity": op6_toxicity, "op7_exact_dedup": op7_exact_dedup, "op8_simhash": op8_simhash, "op9_decontamination": op9_decontamination}
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digests(pii.personal_data(table(spark, sf_dir, "documents")))
+
+
+QUERIES = {"op1_language_id": op1_language_id, "op2_token_counts": op2_token_counts, "op3_chat_format": op3_chat_format, "op4_mixing": op4_mixing, "op5_ngram_lm": op5_ngram_lm, "op6_toxicity": op6_toxicity, "op7_exact_dedup": op7_exact_dedup, "op8_simhash": op8_simhash, "op9_decontamination": op9_decontamination, "op10_pii": op10_pii}
 
 ORACLE_SQL = {
     "op3_chat_format": r"""
