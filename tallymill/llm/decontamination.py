@@ -207,23 +207,51 @@ def _finder(index, cosine: float, verbatim: float, paraphrase: float):
     return run
 
 
+def _cleaner(index, text_at: int, cosine: float, verbatim: float, paraphrase: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        x = index.value
+        for batch in batches:
+            clean = [not matches(t, x, cosine, verbatim, paraphrase) for t in batch.column(text_at).to_pylist()]
+            yield batch.filter(pa.array(clean, pa.bool_()))
+
+    return run
+
+
+def _indexes(docs: DataFrame, benchmark: DataFrame, text_col: str, item_col: str, item_text_col: str, rank: int, block: int) -> Iterator[Index]:
+    """One index for each block of items."""
+    items = benchmark.select(F.col(item_col).alias("i"), F.col(item_text_col).alias("t")).where("i is not null and t is not null").groupBy("i").agg(F.max("t").alias("t"))
+    blocks = max(1, -(-items.count() // block))
+    for b in range(blocks):
+        taken = items.where(F.pmod(F.xxhash64("i"), F.lit(blocks)) == b).orderBy("i").collect()
+        index = build_index(docs, [(r["i"], r["t"]) for r in taken], text_col, rank)
+        if index is not None:
+            yield index
+
+
+def drop_leaking(
+    docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text",
+    rank: int = 256, cosine: float = 0.35, verbatim: float = 0.7, paraphrase: float = 0.55, block: int = 2000,
+) -> DataFrame:
+    """The documents that no item leaked into, with all their columns."""
+    kept = docs
+    for index in _indexes(docs, benchmark, text_col, item_col, item_text_col, rank, block):
+        shared = docs.sparkSession.sparkContext.broadcast(index)
+        kept = kept.mapInArrow(_cleaner(shared, docs.columns.index(text_col), cosine, verbatim, paraphrase), docs.schema)
+    return kept
+
+
 def leaks(
     docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text",
     rank: int = 256, cosine: float = 0.35, verbatim: float = 0.7, paraphrase: float = 0.55, block: int = 2000,
 ) -> DataFrame:
     """One row per document and leaked item: ids, cosine, common, answer, and the words of the document looked at."""
     spark = docs.sparkSession
-    items = benchmark.select(F.col(item_col).alias("i"), F.col(item_text_col).alias("t")).where("i is not null and t is not null").groupBy("i").agg(F.max("t").alias("t"))
-    blocks = max(1, -(-items.count() // block))
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
     kind = rows.schema["_id"].dataType.simpleString()
     schema = f"_id {kind}, item_id long, cosine double, common double, answer double, first_word long, last_word long"
-    found = spark.createDataFrame([], schema)
-    for b in range(blocks):
-        taken = items.where(F.pmod(F.xxhash64("i"), F.lit(blocks)) == b).orderBy("i").collect()
-        index = build_index(docs, [(r["i"], r["t"]) for r in taken], text_col, rank)
-        if index is not None:
-            shared = spark.sparkContext.broadcast(index)
-            part = rows.mapInArrow(_finder(shared, cosine, verbatim, paraphrase), schema)
-            found = part if blocks == 1 else found.unionByName(part)
-    return found.withColumnRenamed("_id", id_col)
+    found = None
+    for index in _indexes(docs, benchmark, text_col, item_col, item_text_col, rank, block):
+        shared = spark.sparkContext.broadcast(index)
+        part = rows.mapInArrow(_finder(shared, cosine, verbatim, paraphrase), schema)
+        found = part if found is None else found.unionByName(part)
+    return (spark.createDataFrame([], schema) if found is None else found).withColumnRenamed("_id", id_col)

@@ -315,3 +315,23 @@ def identify(docs: DataFrame, models: Models, id_col: str = "doc_id", text_col:
     kind = rows.schema["_id"].dataType.simpleString()
     found = rows.mapInArrow(_identifier(shared), f"_id {kind}, lang_pred string, score double, accepted boolean, cross_entropy double")
     return found.withColumnRenamed("_id", id_col)
+
+
+def _accepting(models, text_at: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = models.value
+        scores = WordScores(own) if own.langs else None
+        for batch in batches:
+            if scores is None:
+                yield batch.slice(0, 0)
+                continue
+            xent, n = entropies(batch.column(text_at).to_pylist(), scores)
+            yield batch.filter(pa.array(decide(xent, n, own)[2]))
+
+    return run
+
+
+def keep_accepted(docs: DataFrame, models: Models, text_col: str = "text") -> DataFrame:
+    """The rows whose language is accepted, with all their columns."""
+    shared = docs.sparkSession.sparkContext.broadcast(models)
+    return docs.mapInArrow(_accepting(shared, docs.columns.index(text_col)), docs.schema)

@@ -63,10 +63,11 @@ def source_targets(sizes: DataFrame, source_col: str = "source", weights: int =
 
 def mix(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: int = 3,
-    at_most: int = 3, seed: str = "mix-1", slices: int = 3,
+    at_most: int = 3, seed: str = "mix-1", slices: int = 3, carry: bool = False,
 ) -> DataFrame:
-    """One row per document: id, source, size, source_size, target, copies, taken. `slices`: hex digits of hash slices a size class."""
-    rows = docs.select(F.col(id_col).alias("_id"), F.col(source_col).alias("_source"), word_count(F.col(text_col)).alias("size"))
+    """One row per document: id, source, size, source_size, target, copies, taken. `slices`: hex digits of hash slices a size class. With `carry` also the whole row, as struct `row`."""
+    row = [F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")] if carry else []
+    rows = docs.select(F.col(id_col).alias("_id"), F.col(source_col).alias("_source"), word_count(F.col(text_col)).alias("size"), *row)
     digits = F.length(F.col("size").cast("string"))
     stratum = digits * 100 + F.substring(F.col("size").cast("string"), 1, 2).cast("int")
     rows = rows.withColumns({"_class": stratum, "_slice": hashed(F.coalesce(F.col("_id").cast("string"), F.lit("")), slices)})
@@ -105,5 +106,13 @@ def mix(
             "target",
             "copies",
             (F.col("copies") * F.col("size")).alias("taken"),
+            *(["row"] if carry else []),
         )
     )
+
+
+def mixed(docs: DataFrame, **options) -> DataFrame:
+    """The mix itself: a document's row once for each of its copies, numbered in `copy`, with its size and its source's size and target."""
+    drawn = mix(docs, carry=True, **options).where("copies > 0")
+    each = F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))).alias("copy")
+    return drawn.select("row.*", "size", "source_size", "target", each)
