@@ -133,7 +133,8 @@ def read_gemini(spark: SparkSession, files: Sequence[str]) -> DataFrame:
     said = chats.select("sessionId", _path().alias("source_file"), F.explode("messages").alias("m")).where(
         F.col("m.tokens").isNotNull() & (F.col("m.tokens.total") > 0)
     )
-    folder = F.regexp_extract("source_file", "tmp/([^/]+)/", 1)
+    own = F.nullif(F.regexp_extract("source_file", r"\.gemini/tmp/([^/]+)/", 1), F.lit(""))  # before any other folder of that name
+    folder = F.coalesce(own, F.regexp_extract("source_file", "tmp/([^/]+)/", 1))
     project = F.when(F.rlike(folder, F.lit("^[0-9a-f]{64}$")), F.substring(folder, 1, 8)).otherwise(F.lower(folder))
     return said.select(
         F.lit("Gemini").alias("tool"),
