@@ -1,0 +1,76 @@
+import hashlib
+import random
+import re
+
+from tallymill.llm import pii
+
+PLAIN = {
+    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
+    "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
+    "card": r"[0-9]([\x20-]?[0-9])+",
+    "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+}
+PIECES = [
+    "a.b@c.de", "@", "x@y", "4111 1111 1111 1111", "4111-1111-1111-1111", "1.2.3.4", "300.1.1.1", "0.0.00.255", "1.2.3.4.5.6.7.8", "+1 (988) 555-2485", "+49 ", "(", " ", "-", ".", "é", "😀",
+    "\n", "5", "call me at ", "a@b.c@d.e", "user_1@x.org_z@q.com", "4111111111111111", "0", "\x01", "+", "99", "Mr. John Smith ", "123-45-6789", "555-123-4567", "joe (at) mail.com", "\t", "--", "4111\x011111111111111",
+]
+
+
+def luhn(digits):
+    each = [int(c) * (1 + i % 2) for i, c in enumerate(reversed(digits))]
+    return sum(x - 9 if x > 9 else x for x in each) % 10 == 0
+
+
+def base(text):
+    found = []
+    for kind, pattern in PLAIN.items():
+        for m in re.finditer(pattern, text):
+            digits = re.sub("[^0-9]", "", m[0])
+            fails = (kind == "ip" and any(int(x) > 255 for x in m[0].split("."))) or (kind == "card" and not (16 <= len(digits) <= 19 and luhn(digits))) or (kind == "phone" and not 8 <= len(digits) <= 15)
+            if not fails:
+                found.append((kind, m.start(), m.end()))
+    return found
+
+
+def test_base_spans(spark):
+    chance = random.Random(1)
+    rows = [(i, "".join(chance.choices(PIECES, k=chance.randint(0, 60))), "x") for i in range(1500)]
+    rows += [(5001, None, "x"), (5002, "", "x"), (5003, "1 2 " * 30_000, "x"), (5004, "a." * 20_000 + "x@" + "b." * 20_000, "x"), (5005, "1.2.3.4 " * 3000, "x"), (5006, "9" * 50_000, "x"), (5007, "+1" + "(" * 50_000, "x"), rows[0]]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, found string").repartition(4)
+    got = pii.digests(pii.personal_data(docs)).collect()
+    assert len(got) == len(rows)
+    texts = {i: t or "" for i, t, _ in rows}
+    for r in got:
+        want = base(texts[r.doc_id])
+        written = [f"{k}:{s}:{e}" for k, s, e in want]
+        assert r.base_sha256 == hashlib.sha256(",".join(written).encode()).hexdigest(), texts[r.doc_id][:200]
+        assert [r.n_email, r.n_ip, r.n_card, r.n_phone] == [sum(k == x for k, _, _ in want) for x in pii.KINDS]
+        assert set(written) <= set(r.spans.split(","))
+
+
+def test_added_spans(spark):
+    clear = "Please call Herr Anna Keller, phone (212) 555-0142, or write to mail anna.keller [at] example [dot] org now. Her number is +1 212 555 0142 and mail a@example.org."
+    docs = spark.createDataFrame([(i, clear) for i in range(30)] + [(99, "serial 555-123-4567x")], "doc_id long, text string")
+    got = {r.doc_id: r for r in pii.personal_data(docs).collect()}
+    spans = {(x.kind, clear[x.s : x.e], x.base) for x in got[0].found}
+    assert ("phone", "(212) 555-0142", False) in spans and ("email", "a@example.org", True) in spans
+    assert [x for x in got[99].found if not x.base] == []
+
+
+def test_empty(spark):
+    docs = spark.createDataFrame([(1, "nothing here")], "doc_id long, text string")
+    assert pii.digests(pii.personal_data(docs)).collect()[0].spans == "" and pii.personal_data(docs.where("false")).count() == 0
+
+
+def test_expectation_maximisation():
+    chance = random.Random(2)
+    counts = {}
+    for _ in range(4000):
+        true = chance.random() < 0.4
+        votes = tuple((1 if chance.random() < q else 0) if true else (1 if chance.random() < 0.05 else -1 if chance.random() < 0.5 else 0) for q in (0.9, 0.8, 0.85, 0.7, 0.9))
+        key = ("phone", votes)
+        hit, n = counts.get(key, (0, 0))
+        counts[key] = (hit + true, n + 1)
+    belief = pii.expectation_maximisation([(k, v, n) for (k, v), (_, n) in counts.items()])
+    wrong = sum(abs(hit - n * (belief[key] > 0.5)) for key, (hit, n) in counts.items())
+    assert wrong < 120
