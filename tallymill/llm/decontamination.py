@@ -22,6 +22,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -53,7 +54,7 @@ def scale_of(n: int) -> int:
 
 @dataclass
 class Index:
-    """What tasks need of a block of items; `terms` places the words, the rest is by item or by scale."""
+    """What tasks need of a block of items; `terms` places the words (the last row: any other word), the rest is by item or by scale."""
 
     vocab: dict[str, int]
     idf: np.ndarray
@@ -69,11 +70,11 @@ class Index:
 def _document_counts(vocab):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index, df, n = vocab.value, np.zeros(len(vocab.value), np.int64), 0
+        known = set(index)
         for batch in batches:
             for text in batch.column(0).to_pylist():
                 n += 1
-                found = [i for i in map(index.get, set(words_of(text))) if i is not None]
-                df[found] += 1
+                df[[index[w] for w in known.intersection(words_of(text))]] += 1
         at = np.flatnonzero(df)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1)), pa.array(np.append(df[at], n))], ["term", "df"])
 
@@ -148,43 +149,57 @@ def build_index(docs: DataFrame, items: list[tuple[int, str]], text_col: str, ra
         masks.append(mask)
         answers.append(set(sorted(set(words), key=lambda w: (-idf[vocab[w]], w))[: max(3, len(words) // 8)]))
     return Index(
-        vocab, idf, float(np.log(n + 1)) + 1e-3, terms, [i for i, _ in kept], [w for _, w in kept], masks, answers,
+        vocab, idf, float(idf.mean()), np.vstack((terms, np.zeros((1, terms.shape[1]), np.float32))), [i for i, _ in kept], [w for _, w in kept], masks, answers,
         {s: (np.array(at), placed[at]) for s, at in scales.items()},
     )
 
 
+def candidates(ids: np.ndarray, x: Index, cosine: float, stretch: int = 1 << 14) -> Iterator[tuple[int, int, int, float]]:
+    """Passages near an item: first word, end, item, cosine. `ids`: term numbers, -1 outside the benchmark.
+
+    Passages begin and end at multiples of half the shortest length, so the places of words are added up for such blocks,
+    and the vectors of all passages come from one running sum over the blocks of a stretch. Norms add up word by word, so
+    repeated words make a cosine a little too large, never too small.
+    """
+    n, longest, unit = len(ids), max(x.scales), SHORTEST // 2
+    square = np.where(ids >= 0, x.idf[ids], x.unknown) ** 2
+    inside, whole = np.concatenate(([0], np.cumsum(square * (ids >= 0)))), np.concatenate(([0], np.cumsum(square)))
+    for base in range(0, n, stretch):
+        part = ids[base : base + stretch + longest]
+        part = np.append(part, np.full(-len(part) % unit, -1))
+        sums = np.zeros((len(part) // unit + 1, x.terms.shape[1]), np.float32)
+        np.cumsum(x.terms[part].reshape(-1, unit, x.terms.shape[1]).sum(axis=1), axis=0, out=sums[1:])
+        for size, (at, placed) in x.scales.items():
+            starts = np.arange(base, min(base + stretch, max(1, n - size // 2)), size // 2)
+            stops = np.minimum(starts + size, n)
+            mass = whole[stops] - whole[starts]
+            likely = np.flatnonzero(inside[stops] - inside[starts] >= cosine**2 * mass)
+            if not likely.size:
+                continue
+            lo, hi = starts[likely], stops[likely]
+            near = (sums[-(-(hi - base) // unit)] - sums[(lo - base) // unit]) @ placed.T
+            for k, j in zip(*np.nonzero(near >= (cosine * np.sqrt(mass[likely]))[:, None]), strict=True):
+                yield int(lo[k]), int(hi[k]), int(at[j]), float(near[k, j] / np.sqrt(mass[likely[k]]))
+
+
 def matches(text: str | None, x: Index, cosine: float, verbatim: float, paraphrase: float) -> list[tuple[int, float, float, float, int, int]]:
     """Items leaked into a text: number, cosine, share of the item in common order, share of answer words, first and last word."""
     words = words_of(text)
     if not words:
         return []
     n = len(words)
-    ids = np.fromiter((x.vocab.get(w, -1) for w in words), np.int64, n)
-    known = ids >= 0
-    square = np.where(known, x.idf[ids], x.unknown) ** 2
-    inside, whole = np.concatenate(([0], np.cumsum(square * known))), np.concatenate(([0], np.cumsum(square)))
+    ids = np.fromiter(map(x.vocab.get, words, repeat(-1)), np.int64, n)
     best: dict[int, tuple[int, float, float, float, int, int]] = {}
-    for size, (at, placed) in x.scales.items():
-        starts = np.arange(0, max(1, n - size // 2), size // 2)
-        stops = np.minimum(starts + size, n)
-        # token-wise masses: repeated words weigh less here than in the vectors, hence half the limit
-        likely = np.flatnonzero(inside[stops] - inside[starts] >= 0.5 * cosine**2 * (whole[stops] - whole[starts]))
-        for k in likely:
-            lo, hi = int(starts[k]), int(stops[k])
-            t, tf = np.unique(ids[lo:hi][known[lo:hi]], return_counts=True)
-            length = np.sqrt(((tf * x.idf[t]) ** 2).sum() + (~known[lo:hi]).sum() * x.unknown**2)
-            near = placed @ (tf @ x.terms[t]) / max(length, 1e-9)
-            for j in np.flatnonzero(near >= cosine):
-                i = int(at[j])
-                m = len(x.items[i])
-                first, last = max(0, lo - m), min(n, hi + m)
-                around = words[first:last]
-                share = lcs(x.masks[i], m, around) / m
-                answer = len(x.answers[i].intersection(around)) / len(x.answers[i])
-                if share >= verbatim or (share >= paraphrase and answer > 0.5):
-                    row = (i, float(near[j]), share, answer, first, last)
-                    if i not in best or row[1:4] > best[i][1:4]:
-                        best[i] = row
+    for lo, hi, i, near in candidates(ids, x, cosine):
+        m = len(x.items[i])
+        first, last = max(0, lo - m), min(n, hi + m)
+        around = words[first:last]
+        share = lcs(x.masks[i], m, around) / m
+        answer = len(x.answers[i].intersection(around)) / len(x.answers[i])
+        if share >= verbatim or (share >= paraphrase and answer > 0.5):
+            row = (i, min(near, 1.0), share, answer, first, last)
+            if i not in best or row[1:4] > best[i][1:4]:
+                best[i] = row
     return [best[i] for i in sorted(best)]
 
 
@@ -230,7 +245,7 @@ def _indexes(docs: DataFrame, benchmark: DataFrame, text_col: str, item_col: str
 
 def drop_leaking(
     docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text",
-    rank: int = 256, cosine: float = 0.35, verbatim: float = 0.7, paraphrase: float = 0.55, block: int = 2000,
+    rank: int = 256, cosine: float = 0.3, verbatim: float = 0.6, paraphrase: float = 0.45, block: int = 2000,
 ) -> DataFrame:
     """The documents that no item leaked into, with all their columns."""
     kept = docs
@@ -242,7 +257,7 @@ def drop_leaking(
 
 def leaks(
     docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text",
-    rank: int = 256, cosine: float = 0.35, verbatim: float = 0.7, paraphrase: float = 0.55, block: int = 2000,
+    rank: int = 256, cosine: float = 0.3, verbatim: float = 0.6, paraphrase: float = 0.45, block: int = 2000,
 ) -> DataFrame:
     """One row per document and leaked item: ids, cosine, common, answer, and the words of the document looked at."""
     spark = docs.sparkSession
