@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import datetime
+
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
@@ -62,6 +64,11 @@ def card_cost(n: float) -> str:
     return f"${n:.{0 if n >= 100 else 1 if n >= 10 else 2}f}"
 
 
+def stamp(seconds: float) -> str:
+    """Local time of a file stamp; n/a where there is none."""
+    return datetime.fromtimestamp(seconds).isoformat(sep=" ", timespec="seconds") if seconds > 0 else "n/a"
+
+
 MONTHS = "Jan Feb Mar Apr May Jun Jul Aug Sep Oct Nov Dec".split()
 
 

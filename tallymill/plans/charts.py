@@ -30,6 +30,10 @@ def date_count(tokens: DataFrame) -> DataFrame:
     return tokens.agg(F.countDistinct("date").cast("int").alias("n"))
 
 
+def chart_kind(dates: int) -> str:
+    return "bars" if dates <= 3 else "area"
+
+
 def top_projects(tokens: DataFrame, top: int = 10) -> DataFrame:
     """Cost by tool of the projects that cost most. The list of projects has `top` rows, so it is sent to every task."""
     leading = tokens.groupBy("project").agg(total_cost().alias("_c")).orderBy(F.col("_c").desc(), "project").limit(top).select("project")

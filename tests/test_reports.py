@@ -96,6 +96,8 @@ def test_card_cost(n, text):
 
 def test_short_forms():
     assert [formatting.short_count(x) for x in (883_400_000, 24_100, 42, 10**9, 1000)] == ["883.4M", "24.1k", "42", "1.0B", "1.0k"]
+    assert formatting.stamp(0) == "n/a" and formatting.stamp(1e9).startswith("2001-09-0")
+    assert [charts.chart_kind(n) for n in (1, 3, 4)] == ["bars", "bars", "area"]
     assert [formatting.short_date(x) for x in ("2026-03-15", "2026-01-01", "2026-12-31")] == ["Mar 15", "Jan 1", "Dec 31"]
 
 
