@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import os
+import shutil
 import tempfile
 import uuid
 from urllib.parse import unquote, urlparse
@@ -58,6 +59,9 @@ def remove(spark: SparkSession, path: str) -> None:
 
 
 def _remove_at_exit(spark: SparkSession, path: str) -> None:
+    if urlparse(path).scheme in ("", "file"):
+        shutil.rmtree(mounted(path), ignore_errors=True)
+        return
     try:
         remove(spark, path)
     except Exception:  # noqa: BLE001 - the session may be gone by now; then the folder stays

@@ -7,8 +7,8 @@ with one column of probabilities a language; tasks look words up by binary searc
 
 A document gets the language of the lowest cross-entropy per symbol. A tenth of the sample is kept out of the counts and
 calibrates two things: the temperature that turns differences of cross-entropy into the probability `score`, and for each
-language the range of cross-entropy its own documents have. A document above the range of the chosen language, and above
-the middle between that language and letters drawn at random, is not `accepted`.
+language the range of cross-entropy its own documents have. A document above the range of the chosen language is not
+`accepted`; the range ends between 65 and 90 % of the way to letters drawn at random.
 
 Defined results: null texts and texts without a letter get `und`, score 0 and are not accepted; ties go to the language
 first by code point; rows with null language or text teach nothing; without any labelled row every document gets `und`;
@@ -27,6 +27,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tallymill.llm.common import written
+
 START, END = "\x02", "\x03"
 LETTERS = re.compile(r"[^\W\d_]+")
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -45,7 +47,7 @@ class Level:
 class Models:
     langs: list[str]
     levels: list[Level]
-    floor: float
+    floor: np.ndarray
     temperature: float = 1.0
     #: Per language: mean and deviation of the cross-entropy of its own documents, and the accepted number of deviations.
     centre: np.ndarray | None = None
@@ -78,7 +80,7 @@ def score_words(words: list[str], models: Models) -> np.ndarray:
     ends = np.cumsum(lengths)
     place = np.arange(len(codes)) - np.repeat(ends - lengths, lengths)  # 0 at a word's start
     width = len(models.langs)
-    p = np.full((len(codes), width), models.floor)
+    p = np.tile(models.floor, (len(codes), 1))
     weight: np.ndarray | None = None  # back-off weight of the gram before each position
     for k, level in enumerate(models.levels, 1):
         h = gram_hashes(codes, k)
@@ -103,7 +105,7 @@ def score_words(words: list[str], models: Models) -> np.ndarray:
 class WordScores(dict):
     """Rows of word scores, kept for words seen before; emptied at `most` words."""
 
-    def __init__(self, models: Models, most: int = 400_000):
+    def __init__(self, models: Models, most: int = 300_000):
         super().__init__()
         self.models, self.most, self.fresh = models, most, []
         self.rows = np.zeros((0, len(models.langs) + 1))
@@ -114,13 +116,11 @@ class WordScores(dict):
         self.fresh.append(word)
         return at
 
-    def totals(self, docs: list[list[str]]) -> np.ndarray:
-        """Per document: the sums of its words' rows."""
-        if len(self) > self.most:
-            self.clear()
-            self.used = 0
-        out = np.zeros((len(docs), len(self.models.langs) + 1))
-        for i, words in enumerate(docs):
+    def totals(self, texts: list[str | None]) -> np.ndarray:
+        """Per text: the sums of its words' rows. Only one text's words are held at a time."""
+        out = np.zeros((len(texts), len(self.models.langs) + 1))
+        for i, text in enumerate(texts):
+            words = words_of(text) if text else []
             for start in range(0, len(words), 1 << 17):
                 part = words[start : start + (1 << 17)]
                 ids = np.fromiter(map(self.__getitem__, part), np.int64, len(part))
@@ -145,7 +145,7 @@ class WordScores(dict):
 
 def entropies(texts: list[str | None], scores: WordScores) -> tuple[np.ndarray, np.ndarray]:
     """Per text: cross-entropy a symbol under each language, and the number of symbols."""
-    totals = scores.totals([words_of(t) if t else [] for t in texts])
+    totals = scores.totals(texts)
     n = totals[:, -1]
     return -totals[:, :-1] / np.maximum(n, 1)[:, None], n
 
@@ -156,8 +156,9 @@ def decide(xent: np.ndarray, n: np.ndarray, models: Models) -> tuple[np.ndarray,
     least = xent[np.arange(len(xent)), best]
     odds = np.exp(-np.minimum((xent - least[:, None]) * n[:, None] * models.temperature, 700))
     wide = models.reach * models.spread[best] * np.sqrt(1 + 100 / np.maximum(n, 1))
-    half = (np.log(len(models.levels[0].keys) + 1) - models.centre[best]) / 2
-    return best, np.where(n > 0, 1 / odds.sum(axis=1), 0), (n > 0) & (least <= models.centre[best] + np.maximum(wide, half))
+    room = np.log(len(models.levels[0].keys) + 1) - models.centre[best]  # up to letters drawn at random
+    limit = models.centre[best] + np.clip(wide, room * 0.65, room * 0.9)
+    return best, np.where(n > 0, 1 / odds.sum(axis=1), 0), (n > 0) & (least <= limit)
 
 
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -187,7 +188,7 @@ def model_tables(words: DataFrame, order: int) -> tuple[DataFrame, DataFrame]:
     )
     follows = raw.where("k > 1").groupBy("lang", (F.col("k") - 1).alias("k"), F.expr("substring(gram, 2)").alias("gram")).agg(F.count(F.lit(1)).alias("c"))
     whole = (F.col("k") == order) | F.startswith("gram", F.lit(START))
-    counts = raw.where(whole).unionByName(follows.where(~whole))
+    counts, _ = written(raw.where(whole).unionByName(follows.where(~whole)), "lang-grams")  # bounded by the sample, read five times
     ones = F.sum((F.col("c") == 1).cast("long"))
     twos = F.sum((F.col("c") == 2).cast("long"))
     discount = counts.groupBy("lang", "k").agg(F.coalesce((ones + 0.5) / (ones + 2 * twos + 1), F.lit(0.5)).alias("d"))
@@ -221,6 +222,7 @@ def train(
     aside = F.pmod(F.xxhash64(F.col(id_col), F.lit("aside")), F.lit(10)) == 0
     named = lambda df: df.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
     words = named(rows.where(~aside)).mapInArrow(_count_words, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
+    words, _ = written(words, "lang-words")
     alpha, gamma = model_tables(words, order)
     table = (
         alpha.withColumn("kind", F.lit(0)).unionByName(gamma.withColumn("kind", F.lit(1))).orderBy("k", "gram").toArrow()
@@ -230,7 +232,7 @@ def train(
     lang = np.array([index[x] for x in table.column("lang").to_pylist()], np.int64)
     k, kind, v = (table.column(c).to_numpy() for c in ("k", "kind", "v"))
     grams = table.column("gram").to_pylist()
-    levels, floor = [], 1.0
+    levels = []
     for size in range(1, order + 1):
         at = np.flatnonzero(k == size)
         h = _hash_strings([grams[i] for i in at], size)
@@ -241,8 +243,10 @@ def train(
         g[row[~own], lang[at][~own]] = v[at][~own]
         levels.append(Level(keys, a, g))
     # the unigram level backs off to a uniform distribution over all symbols seen and one for the rest
-    empty = {lang[i]: v[i] for i in np.flatnonzero((k == 0) & (kind == 1))}
-    floor = float(np.mean(list(empty.values())) if empty else 1.0) / (len(levels[0].keys) + 1)
+    floor = np.ones(len(langs))
+    base = (k == 0) & (kind == 1)
+    floor[lang[base]] = v[base]
+    floor /= int((levels[0].alpha > 0).any(axis=1).sum()) + 1
     models = Models(langs, levels, floor)
     return calibrated(models, named(rows.where(aside))) if langs else models
 
