@@ -6,8 +6,8 @@ emitted once for each integer it crosses. The order goes by size first, so that
 in proportion and the words taken stay near the target.
 
 The running sum is distributed: documents fall into strata (leading two digits of the size, then a hash slice of the
-id), a histogram of strata gives each its first position, and only positions inside one stratum are counted by a
-window. A source with a third of all rows is spread over its strata. Positions and copies use 64-bit integers with
+id), histograms of classes and of slices within a class give each stratum its first position, and only positions inside
+one stratum are counted by a window. A source with a third of all rows is spread over its strata. Positions and copies use 64-bit integers with
 `2**24` steps a copy, so no document gets more than ceil(rate) <= 3 copies through rounding.
 
 Defined results: a null text has size 0; null sources are one source, last in order; a source of size 0 takes
@@ -74,16 +74,20 @@ def mix(
     rows = rows.withColumn("_has", F.col("_source").isNotNull()).withColumn("_source", F.coalesce("_source", F.lit("")))
     key = ["_has", "_source", "_class", "_slice"]
     strata = rows.groupBy(*key).agg(F.count(F.lit(1)).alias("_n"), F.sum("size").alias("size"))
-    first = F.sum("_n").over(
-        Window.partitionBy("_has", "_source").orderBy("_class", "_slice").rowsBetween(Window.unboundedPreceding, -1)
+    before = lambda by, *keys: F.coalesce(
+        F.sum("_n").over(Window.partitionBy(*keys).orderBy(by).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)
     )
+    classes = strata.groupBy("_has", "_source", "_class").agg(F.sum("_n").alias("_n"))
+    classes = classes.select("_has", "_source", "_class", before("_class", "_has", "_source").alias("_lower"))
     offset = hashed(F.concat(F.lit(f"{seed}:"), "_source", F.col("_has").cast("string")), 6)
     targets = source_targets(
         strata.withColumn("_key", F.when(F.col("_has"), F.col("_source"))).select("_key", "size"), "_key", weights, at_most
     ).select(F.col("_key").isNotNull().alias("_has"), F.coalesce("_key", F.lit("")).alias("_source"), "source_size", "target")
     placed = (
-        strata.withColumn("_first", F.coalesce(first, F.lit(0)))
-        .drop("size", "_n")
+        strata.select(*key, before("_slice", "_has", "_source", "_class").alias("_earlier"))
+        .join(classes, ["_has", "_source", "_class"])
+        .withColumn("_first", F.col("_lower") + F.col("_earlier"))
+        .drop("_lower", "_earlier")
         .join(targets, ["_has", "_source"])
         .withColumns(
             {
@@ -112,7 +116,10 @@ def mix(
 
 
 def mixed(docs: DataFrame, **options) -> DataFrame:
-    """The mix itself: a document's row once for each of its copies, numbered in `copy`, with its size and its source's size and target."""
+    """The mix itself: a document's row once for each of its copies, numbered in `copy`, with its size and its source's size
+    and target. Columns of the documents that have one of these four names give way."""
+    added = ("size", "source_size", "target", "copy")
     drawn = mix(docs, carry=True, **options).where("copies > 0")
+    own = [F.col("row").getField(c).alias(c) for c in docs.columns if c.lower() not in added]
     each = F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))).alias("copy")
-    return drawn.select("row.*", "size", "source_size", "target", each)
+    return drawn.select(*own, *added[:3], each)

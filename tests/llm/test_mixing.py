@@ -48,7 +48,7 @@ def test_mix(spark):
 def test_mixed_rows(spark):
     rows = [(i, "a b c", "s" if i % 3 else "t", None) for i in range(90)] + [(1, "a b c", "s", None)]
     docs = _docs(spark, rows)
-    got = mixing.mixed(docs.drop("size"))
+    got = mixing.mixed(docs)
     assert got.columns == ["doc_id", "text", "source", "size", "source_size", "target", "copy"]
     drawn = {r.doc_id: 0 for r in docs.collect()}
     for r in got.collect():
