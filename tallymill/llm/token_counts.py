@@ -128,4 +128,5 @@ def token_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """One row per document: id, n_tokens."""
     manifest = write_flat(docs, id_col, text_col, vocabulary, end)
     counts = scan(manifest.select("file", "tokens").distinct(), end, block=block)
-    return manifest.select("file", "ordinal", id_col).join(counts, ["file", "ordinal"]).select(id_col, "n_tokens")
+    # the names repeat and compress well, so the files say little about the size in memory: never broadcast
+    return manifest.select("file", "ordinal", id_col).hint("merge").join(counts, ["file", "ordinal"]).select(id_col, "n_tokens")
