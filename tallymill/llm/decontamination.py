@@ -2,8 +2,10 @@
 
 Items and passages are TF-IDF vectors over the words of the benchmark; document frequencies come from all documents. A
 randomised SVD of the items' matrix (random range finder, power steps, tasks holding blocks of rows and sending small
-products) gives each word a place in a latent space. Every document is cut into passages at each of a few lengths, half
-overlapping, and each passage is compared by cosine to the items of about that length. Candidates are then checked word
+products) gives each word a place in a latent space. The items of a space are `rank` at most, so it holds all that they
+are made of, and cosines do not depend on how many items there are; more items take more spaces. Every document is cut
+into passages at each of a few lengths, half overlapping, and each passage is compared by cosine to the items of about
+that length. Candidates are then checked word
 by word: the longest common subsequence of the item and the passage with its surroundings, as a share of the item. A pair
 counts as a leak when that share reaches `verbatim`, or reaches `paraphrase` while most of the item's answer words, its
 rarest ones, are there too.
@@ -26,7 +28,7 @@ from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 WORDS = re.compile(r"\w+")
@@ -52,19 +54,27 @@ def scale_of(n: int) -> int:
     return max(SHORTEST, 1 << max(0, n - 1).bit_length())
 
 
+@dataclass
+class Space:
+    """Some items of a block: `local` numbers their words (the last entry: any other word), `terms` places these (the last row: any other)."""
+
+    local: np.ndarray
+    terms: np.ndarray
+    scales: dict[int, tuple[np.ndarray, np.ndarray]]
+
+
 @dataclass
 class Index:
-    """What tasks need of a block of items; `terms` places the words (the last row: any other word), the rest is by item or by scale."""
+    """What tasks need of a block of items: by word, by item, and the spaces that the items are dealt into."""
 
     vocab: dict[str, int]
     idf: np.ndarray
     unknown: float
-    terms: np.ndarray
     ids: list[int]
     items: list[list[str]]
     masks: list[dict[str, int]]
     answers: list[set[str]]
-    scales: dict[int, tuple[np.ndarray, np.ndarray]]
+    spaces: list[Space]
 
 
 def _document_counts(vocab):
@@ -118,6 +128,26 @@ def randomised_svd(rows: DataFrame, width: int, rank: int, extra: int = 16, powe
     return q[:, : min(rank, int((values > values[0] * 1e-9).sum()))] if len(values) and values[0] > 0 else np.zeros((width, 1))
 
 
+def place(spark: SparkSession, rows: list[Counter], lengths: list[int], chosen: range, idf: np.ndarray, rank: int) -> Space:
+    """The space of the chosen items, `rank` at most. `rows`: how often each item has each word; `lengths`: words of each item."""
+    words = np.unique(np.concatenate([[*rows[i]] for i in chosen]))
+    local = np.full(len(idf) + 1, len(words))
+    local[words] = np.arange(len(words))
+    weights = [np.array([n * idf[t] for t, n in rows[i].items()]) for i in chosen]
+    at = [local[[*rows[i]]] for i in chosen]
+    norms = [np.sqrt((w**2).sum()) for w in weights]
+    matrix = spark.createDataFrame([(t.tolist(), (w / x).tolist()) for t, w, x in zip(at, weights, norms, strict=True)], "terms array<int>, weights array<double>")
+    space = randomised_svd(matrix, len(words), rank)
+    placed = np.stack([(w / x) @ space[t] for t, w, x in zip(at, weights, norms, strict=True)]).astype(np.float32)
+    terms = (space * idf[words, None]).astype(np.float32)
+    scales: dict[int, list[int]] = {}
+    for k, i in enumerate(chosen):
+        scales.setdefault(scale_of(lengths[i]), []).append(k)
+    return Space(
+        local, np.vstack((terms, np.zeros((1, terms.shape[1]), np.float32))), {s: (np.array(k) + chosen[0], placed[k]) for s, k in scales.items()}
+    )
+
+
 def build_index(docs: DataFrame, items: list[tuple[int, str]], text_col: str, rank: int) -> Index | None:
     spark = docs.sparkSession
     kept = [(i, w) for i, t in items if (w := words_of(t))]
@@ -130,17 +160,9 @@ def build_index(docs: DataFrame, items: list[tuple[int, str]], text_col: str, ra
     df, n = document_frequencies(docs, vocab, text_col)
     idf = np.log((n + 1) / (df + 1)) + 1e-3
     rows = [Counter(vocab[w] for w in words) for _, words in kept]
-    weighted = [([*c], [float(c[t] * idf[t]) for t in c]) for c in rows]
-    normed = [(t, [x / np.sqrt(sum(y * y for y in w)) for x in w]) for t, w in weighted]
-    matrix = spark.createDataFrame([(t, list(map(float, w))) for t, w in normed], "terms array<int>, weights array<double>")
-    space = randomised_svd(matrix, len(vocab), rank)
-    terms = (space * idf[:, None]).astype(np.float32)
-    placed = np.stack([sum(terms[t] * n for t, n in c.items()) for c in rows])
-    lengths = np.array([np.sqrt(sum(x * x for x in w)) for _, w in weighted])
-    placed = (placed / lengths[:, None]).astype(np.float32)
-    scales: dict[int, list[int]] = {}
-    for i, (_, words) in enumerate(kept):
-        scales.setdefault(scale_of(len(words)), []).append(i)
+    parts = -(-len(rows) // rank)
+    edges = [len(rows) * k // parts for k in range(parts + 1)]
+    spaces = [place(spark, rows, [len(w) for _, w in kept], range(lo, hi), idf, rank) for lo, hi in zip(edges, edges[1:], strict=False)]
     masks, answers = [], []
     for _, words in kept:
         mask: dict[str, int] = {}
@@ -148,10 +170,7 @@ def build_index(docs: DataFrame, items: list[tuple[int, str]], text_col: str, ra
             mask[w] = mask.get(w, 0) | (1 << at)
         masks.append(mask)
         answers.append(set(sorted(set(words), key=lambda w: (-idf[vocab[w]], w))[: max(3, len(words) // 8)]))
-    return Index(
-        vocab, idf, float(idf.mean()), np.vstack((terms, np.zeros((1, terms.shape[1]), np.float32))), [i for i, _ in kept], [w for _, w in kept], masks, answers,
-        {s: (np.array(at), placed[at]) for s, at in scales.items()},
-    )
+    return Index(vocab, idf, float(idf.mean()), [i for i, _ in kept], [w for _, w in kept], masks, answers, spaces)
 
 
 def candidates(ids: np.ndarray, x: Index, cosine: float, stretch: int = 1 << 14) -> Iterator[tuple[int, int, int, float]]:
@@ -161,25 +180,32 @@ def candidates(ids: np.ndarray, x: Index, cosine: float, stretch: int = 1 << 14)
     and the vectors of all passages come from one running sum over the blocks of a stretch. Norms add up word by word, so
     repeated words make a cosine a little too large, never too small.
     """
-    n, longest, unit = len(ids), max(x.scales), SHORTEST // 2
+    n, unit = len(ids), SHORTEST // 2
     square = np.where(ids >= 0, x.idf[ids], x.unknown) ** 2
-    inside, whole = np.concatenate(([0], np.cumsum(square * (ids >= 0)))), np.concatenate(([0], np.cumsum(square)))
-    for base in range(0, n, stretch):
-        part = ids[base : base + stretch + longest]
-        part = np.append(part, np.full(-len(part) % unit, -1))
-        sums = np.zeros((len(part) // unit + 1, x.terms.shape[1]), np.float32)
-        np.cumsum(x.terms[part].reshape(-1, unit, x.terms.shape[1]).sum(axis=1), axis=0, out=sums[1:])
-        for size, (at, placed) in x.scales.items():
-            starts = np.arange(base, min(base + stretch, max(1, n - size // 2)), size // 2)
-            stops = np.minimum(starts + size, n)
-            mass = whole[stops] - whole[starts]
-            likely = np.flatnonzero(inside[stops] - inside[starts] >= cosine**2 * mass)
-            if not likely.size:
+    whole = np.concatenate(([0], np.cumsum(square)))
+    for space in x.spaces:
+        here, outside, longest = space.local[ids], len(space.terms) - 1, max(space.scales)
+        inside = np.concatenate(([0], np.cumsum(square * (here < outside))))
+        for base in range(0, n, stretch):
+            likely = []
+            for size in space.scales:
+                starts = np.arange(base, min(base + stretch, max(1, n - size // 2)), size // 2)
+                stops = np.minimum(starts + size, n)
+                mass = whole[stops] - whole[starts]
+                able = np.flatnonzero(inside[stops] - inside[starts] >= cosine**2 * mass)
+                if able.size:
+                    likely.append((size, starts[able], stops[able], mass[able]))
+            if not likely:
                 continue
-            lo, hi = starts[likely], stops[likely]
-            near = (sums[-(-(hi - base) // unit)] - sums[(lo - base) // unit]) @ placed.T
-            for k, j in zip(*np.nonzero(near >= (cosine * np.sqrt(mass[likely]))[:, None]), strict=True):
-                yield int(lo[k]), int(hi[k]), int(at[j]), float(near[k, j] / np.sqrt(mass[likely[k]]))
+            part = here[base : base + stretch + longest]
+            part = np.append(part, np.full(-len(part) % unit, outside))
+            sums = np.zeros((len(part) // unit + 1, space.terms.shape[1]), np.float32)
+            np.cumsum(space.terms[part].reshape(-1, unit, space.terms.shape[1]).sum(axis=1), axis=0, out=sums[1:])
+            for size, lo, hi, mass in likely:
+                at, placed = space.scales[size]
+                near = (sums[-(-(hi - base) // unit)] - sums[(lo - base) // unit]) @ placed.T
+                for k, j in zip(*np.nonzero(near >= (cosine * np.sqrt(mass))[:, None]), strict=True):
+                    yield int(lo[k]), int(hi[k]), int(at[j]), float(near[k, j] / np.sqrt(mass[k]))
 
 
 def matches(text: str | None, x: Index, cosine: float, verbatim: float, paraphrase: float) -> list[tuple[int, float, float, float, int, int]]:

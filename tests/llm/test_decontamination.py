@@ -60,3 +60,33 @@ def test_lcs():
         for i, x in enumerate(a):
             masks[x] = masks.get(x, 0) | 1 << i
         assert decontamination.lcs(masks, len(a), b) == t[-1][-1]
+
+
+def test_many_items(spark):
+    """A block of 2,000 varied items: what brute force finds is found, however many items there are."""
+    chance = random.Random(11)
+    items = {i: sentence(chance, chance.choice([15, 25, 40, 54])) for i in range(2000)}
+    rows = []
+    for d in range(250):
+        words = sentence(chance, 40)
+        if d % 5:
+            passage = list(items[chance.randrange(2000)])
+            if d % 2:
+                for at in chance.sample(range(len(passage)), len(passage) // 6):
+                    passage[at] = f"other{at}"
+            at = chance.randrange(len(words) + 1)
+            words[at:at] = passage
+        rows.append((d, words))
+    want = set()
+    for i, item in items.items():
+        masks = {}
+        for at, w in enumerate(item):
+            masks[w] = masks.get(w, 0) | 1 << at
+        rare = {w for w in item if w not in COMMON}
+        for d, words in rows:
+            if 2 * len(rare.intersection(words)) > len(rare) and decontamination.lcs(masks, len(item), words) >= 0.6 * len(item):
+                want.add((d, i))
+    docs = spark.createDataFrame([(d, " ".join(w)) for d, w in rows], "doc_id long, text string")
+    bench = spark.createDataFrame([(i, " ".join(w)) for i, w in items.items()], "item_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in decontamination.leaks(docs, bench, verbatim=0.6, paraphrase=0.6).collect()}
+    assert len(want) >= 200 and want <= got
