@@ -1,13 +1,14 @@
 """Language-model scoring: an interpolated modified Kneser-Ney bigram model over all training texts.
 
-Tasks count bigrams of hashed words over blocks of text, Spark adds the counts up, and the sums are reduced to two
-tables: per word its count, its number of different predecessors and its back-off mass; per bigram seen at least twice
-its count. Both are written to the shared folder as arrays sorted by hash, cut into shards by the leading bits of the
-hash. Scoring tasks map these files into memory, so they hold only the pages they touch, whatever the model's size; this
-needs a shared folder that is mounted on every machine. Bigrams seen once are counted in every statistic, but not stored:
-their discounted mass goes to the back-off weight of their first word, so probabilities still add up to one.
-
-    P(w | v) = [c(v,w) >= 2] (c(v,w) - D(c)) / c(v)  +  b(v) P(w)
+Tasks count bigrams of hashed words over blocks of text and deal them out by the leading bits of both hashes, so that one
+task adds up all counts of a bigram and files it at once. Two tables come of it: per word its count, its number of
+different predecessors and its back-off mass; per bigram its count. Both are written to the shared folder as arrays
+sorted by hash, cut into shards by the leading bits of the hash; of bigrams seen once, the hashes alone. Scoring tasks
+map these files into memory, so they hold only the pages they touch, whatever the model's size; this needs a shared
+folder that is mounted on every machine. Without `singles`, bigrams seen once are counted in every statistic, but not
+stored: their mass goes to the back-off weight of their first word, so probabilities add up to one either way.
+
+    P(w | v) = [(v,w) is stored] (c(v,w) - D(c)) / c(v)  +  b(v) P(w)
     P(w)     = (k(w) - D'(k)) / K  +  b' / (types + 1),    k(w): different words before w, K: their sum
 
 Defined results: null and blank texts are the end token alone; repeated rows are counted and scored like any other; an
@@ -33,6 +34,7 @@ FIRST, LAST = np.uint64(xxhash.xxh64_intdigest(b"\n")), np.uint64(xxhash.xxh64_i
 #: Tokens that are counted together before Spark adds up; bounds a task's memory.
 BLOCK = 2_000_000
 _MIX = np.uint64(0x9E3779B97F4A7C15)
+_LEADING = np.uint64(0xFFFF << 48)
 
 
 class Hashes(dict):
@@ -57,9 +59,10 @@ def tokens(text: bytes | None, hashes: Hashes) -> np.ndarray:
 
 
 def pair_hash(v: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """The hash of a bigram; its leading 16 bits are those of v ^ w, which Spark deals bigrams out by."""
     h = (v ^ (v >> np.uint64(31))) * _MIX + w
     h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-    return h ^ (h >> np.uint64(32))
+    return ((v ^ w) & _LEADING) | ((h ^ (h >> np.uint64(32))) >> np.uint64(16))
 
 
 def _before(t: np.ndarray, lengths: np.ndarray) -> np.ndarray:
@@ -97,9 +100,8 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def bigram_counts(training: DataFrame, text_col: str = "text") -> DataFrame:
-    """Columns v, w (word hashes) and n, over all rows."""
-    counted = training.select(F.col(text_col).cast("binary").alias("t")).mapInArrow(_count, "v long, w long, n long")
-    return counted.groupBy("v", "w").agg(F.sum("n").alias("n"))
+    """Columns v, w (word hashes) and n, a row for each block of text that has the bigram."""
+    return training.select(F.col(text_col).cast("binary").alias("t")).mapInArrow(_count, "v long, w long, n long")
 
 
 def _sums(key: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -107,40 +109,41 @@ def _sums(key: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, ...]:
     return (keys, *(np.bincount(at, weights=x, minlength=len(keys)) for x in values))
 
 
-_PARTIAL = "kind int, a long, b long, x double, y double, z double"
+_PARTIAL = "kind int, a long, x double, y double, z double, kinds double, total double"
 
 
-def _partial(kind: int, a, b, x, y, z) -> pa.RecordBatch:
-    n = len(a)
-    fill = lambda u: np.zeros(n) if u is None else u.astype(np.float64)
-    return pa.RecordBatch.from_arrays(
-        [pa.array(np.full(n, kind, np.int32)), pa.array(a), pa.array(np.zeros(n, np.int64) if b is None else b), *(pa.array(fill(u)) for u in (x, y, z))],
-        ["kind", "a", "b", "x", "y", "z"],
-    )
+def _partial(kind: int, a: np.ndarray, *values: np.ndarray) -> pa.RecordBatch:
+    columns = [x.astype(np.float64) for x in values] + [np.zeros(len(a))] * (5 - len(values))
+    return pa.RecordBatch.from_arrays([pa.array(np.full(len(a), kind, np.int32)), pa.array(a), *map(pa.array, columns)], ["kind", "a", "x", "y", "z", "kinds", "total"])
 
 
-def _reduce(batches: Iterator[pa.RecordBatch], block: int = 1_000_000) -> Iterator[pa.RecordBatch]:
-    """From bigram counts: bigrams to store (0), partial sums by first word (1), by second word (2), counts of counts (3)."""
+def _file_bigrams(folder: str, bits: int, singles: bool):
+    """Adds up a task's bigrams and files them; gives partial sums by word (1), as first and as second one, and counts of counts (3)."""
 
-    def reduced(v, w, n):
-        kept = n >= 2
-        yield _partial(0, v[kept], w[kept], n[kept], None, None)
-        keys, big, two, three = _sums(v, n * kept, n == 2, n >= 3)
-        yield _partial(1, keys, None, big, two, three)
-        keys, kinds, total = _sums(w, np.ones(len(w)), n)
-        yield _partial(2, keys, None, kinds, total, None)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [[batch.column(i).to_numpy() for i in range(3)] for batch in batches]
+        if not held:
+            return
+        v, w, n = (np.concatenate(x) for x in zip(*held, strict=True))
+        held.clear()
+        key = pair_hash(v.view(np.uint64), w.view(np.uint64))
+        order = np.argsort(key)
+        key, v, w, n = key[order], v[order], w[order], n[order]
+        at = np.flatnonzero(np.concatenate(([True], (key[1:] != key[:-1]) | (v[1:] != v[:-1]) | (w[1:] != w[:-1]))))
+        key, v, w, n = key[at], v[at], w[at], np.add.reduceat(n, at)
+        for name, stored in (("bigrams", n >= 2), ("singles", (n == 1) & singles)):
+            rows = np.zeros(int(stored.sum()), _KINDS[name])
+            rows["key"] = key[stored]
+            if name == "bigrams":
+                rows["count"] = n[stored]
+            for lo, hi, k in _shards(rows["key"], bits) if len(rows) else ():
+                publish(f"{folder}/{name}-{k}", _columns(rows[lo:hi]))
+        none = np.zeros(len(v))
+        yield _partial(1, *_sums(np.concatenate((v, w)), *(np.concatenate(x) for x in ((n == 1, none), (n == 2, none), (n >= 3, none), (none, none + 1), (none, n)))))
         sizes, how_many = np.unique(np.minimum(n, 5), return_counts=True)
-        yield _partial(3, sizes, None, how_many, None, None)
+        yield _partial(3, sizes, how_many)
 
-    held, size = [], 0
-    for batch in batches:
-        held.append([batch.column(i).to_numpy() for i in range(3)])
-        size += batch.num_rows
-        if size >= block:
-            yield from reduced(*(np.concatenate(x) for x in zip(*held, strict=True)))
-            held, size = [], 0
-    if held:
-        yield from reduced(*(np.concatenate(x) for x in zip(*held, strict=True)))
+    return run
 
 
 def discounts(n: np.ndarray) -> np.ndarray:
@@ -182,7 +185,7 @@ class Model:
         return self.maps[name, k]
 
     def look_up(self, name: str, keys: np.ndarray, columns: tuple[str, ...]) -> list[np.ndarray]:
-        """Values for ascending distinct keys; 0 where a key is absent."""
+        """Values for ascending distinct keys, 1 for a column that is not stored; 0 where a key is absent."""
         found = [np.zeros(len(keys)) for _ in columns]
         marks = (keys >> np.uint64(64 - self.bits)).astype(np.int64)
         starts = np.flatnonzero(np.concatenate(([True], marks[1:] != marks[:-1]))) if len(keys) else np.zeros(0, np.int64)
@@ -194,26 +197,26 @@ class Model:
             at[at == len(table["key"])] = 0
             same = table["key"][at] == keys[lo:hi]
             for out, c in zip(found, columns, strict=True):
-                out[lo:hi] = np.where(same, table[c][at], 0)
+                out[lo:hi] = np.where(same, table[c][at] if c in table else 1, 0)
         return found
 
 
 _KINDS = {
     "words": np.dtype([("key", "<u8"), ("count", "<f8"), ("kinds", "<f8"), ("backoff", "<f4")]),
     "bigrams": np.dtype([("key", "<u8"), ("count", "<f4")]),
+    "singles": np.dtype([("key", "<u8")]),
 }
 
 
-def _file_words(folder: str, bits: int, d: np.ndarray):
+def _file_words(folder: str, bits: int, taken: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = [[batch.column(i).to_numpy() for i in range(6)] for batch in batches]
         if not held:
             return
-        key, big, two, three, kinds, count = (np.concatenate(x) for x in zip(*held, strict=True))
+        key, one, two, three, kinds, count = (np.concatenate(x) for x in zip(*held, strict=True))
         rows = np.zeros(len(key), _KINDS["words"])
         rows["key"], rows["count"], rows["kinds"] = key.view(np.uint64), count, kinds
-        # a word is followed by something each time it occurs; the start mark's occurrences are put in by its row
-        rows["backoff"] = big - d[2] * two - d[3] * three
+        rows["backoff"] = taken[1] * one + taken[2] * two + taken[3] * three
         rows.sort(order="key")
         for lo, hi, k in _shards(rows["key"], bits):
             publish(f"{folder}/words-{k}", _columns(rows[lo:hi]))
@@ -237,57 +240,37 @@ def _shards(keys: np.ndarray, bits: int):
     return [(int(lo), int(hi), int(marks[lo])) for lo, hi in zip(starts, np.append(starts[1:], len(keys)), strict=True)]
 
 
-def _file_bigrams(folder: str, bits: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [[batch.column(i).to_numpy() for i in range(2)] for batch in batches]
-        if not held:
-            return
-        key, n = (np.concatenate(x) for x in zip(*held, strict=True))
-        rows = np.zeros(len(key), _KINDS["bigrams"])
-        rows["key"], rows["count"] = key.view(np.uint64), n
-        rows.sort(order="key")
-        for lo, hi, k in _shards(rows["key"], bits):
-            publish(f"{folder}/bigrams-{k}", _columns(rows[lo:hi]))
-        yield pa.RecordBatch.from_arrays([pa.array([len(rows)], pa.int64())], ["rows"])
-
-    return run
-
-
-def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        v, w = (batch.column(i).to_numpy().view(np.uint64) for i in range(2))
-        yield pa.RecordBatch.from_arrays([_signed(pair_hash(v, w)), batch.column(2)], ["key", "n"])
-
-
-def train(training: DataFrame, text_col: str = "text", entries: int = 2_000_000) -> Model:
-    """Counts all rows and files the model. `entries`: about how many a shard gets, which bounds a writing task's memory."""
+def train(training: DataFrame, text_col: str = "text", entries: int = 2_000_000, singles: bool = False) -> Model:
+    """Counts all rows and files the model. `entries`: about how many a writing task gets, which bounds its memory."""
     spark = training.sparkSession
-    parts, parts_path = written(bigram_counts(training, text_col).mapInArrow(_reduce, _PARTIAL), "lm-counts")
-    totals = {(r["kind"], r["a"]): r["x"] for r in parts.where("kind = 3").groupBy("kind", "a").agg(F.sum("x").alias("x")).collect()}
-    of = np.array([totals.get((3, c), 0.0) for c in range(1, 6)])
-    d = discounts(of[:4])
-    bits = max(4, int(np.ceil(np.log2(max(2.0, of.sum() / entries)))))
+    size = training.agg(F.count(F.lit(1)).alias("texts"), F.sum(F.octet_length(F.col(text_col).cast("binary"))).alias("bytes")).first()
+    about = size["texts"] + (size["bytes"] or 0) / 6  # six bytes a word
+    tasks = max(2, int(np.ceil(np.log2(max(2.0, about / entries)))))
+    bits = min(16, tasks + 2)  # more shards than tasks deal out more evenly
     root = scratch(spark, "lm-model")
     folder = mounted(root)
     mark = lambda c: F.shiftrightunsigned(c, 64 - bits)
+    dealt = bigram_counts(training, text_col).repartition(1 << tasks, mark(F.col("v").bitwiseXOR(F.col("w"))))
+    parts, parts_path = written(dealt.mapInArrow(_file_bigrams(folder, bits, singles), _PARTIAL), "lm-counts")
+    totals = {r["a"]: r["x"] for r in parts.where("kind = 3").groupBy("a").agg(F.sum("x").alias("x")).collect()}
+    d = discounts(np.array([totals.get(c, 0.0) for c in range(1, 5)]))
+    columns = ("x", "y", "z", "kinds", "total")
     words = (
-        parts.where("kind in (1, 2)")
+        parts.where("kind = 1")
         .withColumn("mark", mark("a"))
         .groupBy("mark", "a")
-        .agg(*[F.sum(F.when(F.col("kind") == kind, F.col(c)).otherwise(0.0)).alias(f"{c}{kind}") for kind, c in ((1, "x"), (1, "y"), (1, "z"), (2, "x"), (2, "y"))])
-        .repartition(1 << bits, "mark")
-        .select("a", "x1", "y1", "z1", "x2", "y2")
+        .agg(*[F.sum(c).alias(c) for c in columns])
+        .repartition(1 << tasks, "mark")
+        .select("a", *columns)
     )
+    taken = d if singles else np.array([0, 1, d[2], d[3]])  # what each bigram leaves to the back-off, all of it where it is not stored
     fields = "n1 double, n2 double, n3 double, n4 double, n3p double, types double, n double, kinds double"
-    s = words.mapInArrow(_file_words(folder, bits, d), fields).agg(*[F.sum(c.split()[0]).alias(c.split()[0]) for c in fields.split(", ")]).first()
-    bigrams = parts.where("kind = 0").select("a", "b", "x").mapInArrow(_keyed, "key long, n double")
-    bigrams.repartition(1 << bits, mark("key")).mapInArrow(_file_bigrams(folder, bits), "rows long").agg(F.sum("rows")).first()
-    first = training.count()  # each text starts once
+    s = words.mapInArrow(_file_words(folder, bits, taken), fields).agg(*[F.sum(c.split()[0]).alias(c.split()[0]) for c in fields.split(", ")]).first()
     remove(spark, parts_path)
     g = lambda c: s[c] or 0.0
     e = discounts(np.array([g("n1"), g("n2"), g("n3"), g("n4")]))
     rest = e[1] * g("n1") + e[2] * g("n2") + e[3] * g("n3p")
-    return Model(folder, bits, g("n"), g("types"), g("kinds"), float(first), d, e, rest)
+    return Model(folder, bits, g("n"), g("types"), g("kinds"), float(size["texts"]), d, e, rest)
 
 
 def score_texts(texts: list[np.ndarray], m: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -297,8 +280,8 @@ def score_texts(texts: list[np.ndarray], m: Model) -> tuple[np.ndarray, np.ndarr
     v = _before(w, lengths)
     seen, at = np.unique(np.append(w, FIRST), return_inverse=True)
     count, kinds, backoff = m.look_up("words", seen, ("count", "kinds", "backoff"))
-    followed = np.where(seen == FIRST, m.first, count)
-    weight = np.where(followed > 0, 1 - backoff / np.maximum(followed, 1), 1.0)
+    followed = np.where(seen == FIRST, m.first, count)  # a word is followed by something each time it occurs, the start mark in each text
+    weight = np.where(followed > 0, backoff / np.maximum(followed, 1), 1.0)
     lower = (kinds - m.word_discount[np.minimum(kinds, 3).astype(int)] + m.rest / (m.types + 1)) / m.kinds if m.kinds else np.ones(len(seen))
     base = np.log10((count + 0.5) / (m.n + 0.5 * (m.types + 1)))
     second = at[:-1]
@@ -306,6 +289,7 @@ def score_texts(texts: list[np.ndarray], m: Model) -> tuple[np.ndarray, np.ndarr
     first[np.cumsum(lengths)[:-1]] = at[-1]
     pairs, of = np.unique(pair_hash(v, w), return_inverse=True)
     (c,) = m.look_up("bigrams", pairs, ("count",))
+    c[c == 0] = m.look_up("singles", pairs[c == 0], ("present",))[0]
     c = c[of]
     p = np.maximum(c - m.bigram_discount[np.minimum(c, 3).astype(int)], 0) / np.maximum(followed[first], 1) + weight[first] * lower[second]
     starts = np.cumsum(lengths) - lengths

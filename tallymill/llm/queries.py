@@ -36,7 +36,7 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_ngram_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held_out = fold(F.col("doc_id"), 5) == 1
-    model = ngram_lm.train(docs.where(~held_out))
+    model = ngram_lm.train(docs.where(~held_out), singles=True)
     n = F.lit(int(model.n)).cast("long").alias("train_tokens")
     return ngram_lm.score(docs, model).select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", n, "base_score", "score", "perplexity")
 

@@ -67,3 +67,42 @@ def test_empty(spark):
     model = ngram_lm.train(docs.where("false"))
     assert [(r.n_tokens, r.n_known, r.score) for r in ngram_lm.score(docs, model).orderBy("doc_id").collect()] == [(3, 0, 0.0), (1, 0, 0.0)]
     assert ngram_lm.score(docs.where("false"), model).count() == 0
+
+
+def whole(training, texts):
+    """Scores of the model that stores every bigram, and what the probabilities after each word add up to."""
+    chain = lambda t: ["<", *(t or "").encode().lower().split(), ">"]
+    pairs = Counter(p for t in training for p in zip(chain(t), chain(t)[1:], strict=False))
+    d = ngram_lm.discounts(np.array([sum(c == k for c in pairs.values()) for k in (1, 2, 3, 4)], float))
+    kinds = Counter(b for _, b in pairs)
+    e = ngram_lm.discounts(np.array([sum(c == k for c in kinds.values()) for k in (1, 2, 3, 4)], float))
+    rest = sum(e[min(c, 3)] for c in kinds.values())
+    follows, taken = Counter(), Counter()
+    for (a, _), c in pairs.items():
+        follows[a] += c
+        taken[a] += d[min(c, 3)]
+
+    def p(a, b):
+        low = (kinds[b] - e[min(kinds[b], 3)] + rest / (len(kinds) + 1)) / len(pairs)
+        own = pairs[a, b] - d[min(pairs[a, b], 3)]
+        return (own + taken[a] * low) / follows[a] if follows[a] else low
+
+    sums = [sum(p(a, b) for b in [*kinds, "never seen"]) for a in follows]
+    return [sum(math.log10(p(a, b)) for a, b in zip(chain(t), chain(t)[1:], strict=False)) for t in texts], sums, pairs
+
+
+def test_bigrams_seen_once(spark):
+    """Query op5 stores bigrams seen once: they keep their own discounted count."""
+    from tallymill.llm.queries import op5_ngram_lm
+
+    chance = random.Random(3)
+    texts = [" ".join(chance.choices([f"w{k}" for k in range(90)], k=chance.choice([0, 5, 40]))) for _ in range(120)] + [None, "the the the"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    place = ngram_lm.scratch(spark, "op5-table")
+    docs.write.parquet(f"{place}/documents.parquet")
+    got = {r.doc_id: r for r in op5_ngram_lm(spark, place).collect()}
+    want, sums, pairs = whole([t for i, t in enumerate(texts) if not got[i].held_out], texts)
+    assert sum(c == 1 for c in pairs.values()) > len(pairs) / 3 and sums == pytest.approx([1] * len(sums), abs=1e-9)
+    assert [got[i].score for i in range(len(texts))] == pytest.approx(want, rel=1e-5)
+    model = ngram_lm.train(docs, entries=50, singles=True)
+    assert [r.score for r in ngram_lm.score(docs, model).orderBy("doc_id").collect()] == pytest.approx(whole(texts, texts)[0], rel=1e-5)
