@@ -15,7 +15,7 @@ projection; this loses nothing. The benchmark is a query set: it is taken in blo
 what is sent to the tasks, and all documents are read for each block.
 
 Defined results: null and blank texts and items match nothing; repeated rows give repeated pairs for documents and one for
-items; an empty table on either side gives an empty result; other columns are ignored.
+items; texts that share an id, or have none, are items of their own; an empty table on either side gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -70,7 +70,8 @@ class Index:
     vocab: dict[str, int]
     idf: np.ndarray
     unknown: float
-    ids: list[int]
+    ids: list[int | None]
+    texts: list[str]
     items: list[list[str]]
     masks: list[dict[str, int]]
     answers: list[set[str]]
@@ -148,8 +149,9 @@ def place(spark: SparkSession, rows: list[Counter], lengths: list[int], chosen:
     )
 
 
-def build_index(docs: DataFrame, items: list[tuple[int, str]], text_col: str, rank: int) -> Index | None:
+def build_index(docs: DataFrame, items: list[tuple[int | None, str]], text_col: str, rank: int) -> Index | None:
     spark = docs.sparkSession
+    texts = [t for _, t in items if words_of(t)]
     kept = [(i, w) for i, t in items if (w := words_of(t))]
     vocab: dict[str, int] = {}
     for _, words in kept:
@@ -170,7 +172,7 @@ def build_index(docs: DataFrame, items: list[tuple[int, str]], text_col: str, ra
             mask[w] = mask.get(w, 0) | (1 << at)
         masks.append(mask)
         answers.append(set(sorted(set(words), key=lambda w: (-idf[vocab[w]], w))[: max(3, len(words) // 8)]))
-    return Index(vocab, idf, float(idf.mean()), [i for i, _ in kept], [w for _, w in kept], masks, answers, spaces)
+    return Index(vocab, idf, float(idf.mean()), [i for i, _ in kept], texts, [w for _, w in kept], masks, answers, spaces)
 
 
 def candidates(ids: np.ndarray, x: Index, cosine: float, stretch: int = 1 << 14) -> Iterator[tuple[int, int, int, float]]:
@@ -230,7 +232,7 @@ def matches(text: str | None, x: Index, cosine: float, verbatim: float, paraphra
 
 
 def _finder(index, cosine: float, verbatim: float, paraphrase: float):
-    names = ["_id", "item_id", "cosine", "common", "answer", "first_word", "last_word"]
+    names = ["_id", "item_id", "cosine", "common", "answer", "first_word", "last_word", "item_text"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         x = index.value
@@ -242,8 +244,9 @@ def _finder(index, cosine: float, verbatim: float, paraphrase: float):
                     found.append(row)
             columns = list(zip(*found, strict=True)) or [()] * 6
             kinds = (pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.int64(), pa.int64())
+            texts = pa.array([x.texts[i] for i in columns[0]], pa.string())
             columns[0] = [x.ids[i] for i in columns[0]]
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], names)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True)), texts], names)
 
     return run
 
@@ -259,11 +262,11 @@ def _cleaner(index, text_at: int, cosine: float, verbatim: float, paraphrase: fl
 
 
 def _indexes(docs: DataFrame, benchmark: DataFrame, text_col: str, item_col: str, item_text_col: str, rank: int, block: int) -> Iterator[Index]:
-    """One index for each block of items."""
-    items = benchmark.select(F.col(item_col).alias("i"), F.col(item_text_col).alias("t")).where("i is not null and t is not null").groupBy("i").agg(F.max("t").alias("t"))
+    """One index for each block of items. An item is an id and a text: an id may have several texts, or be null."""
+    items = benchmark.select(F.col(item_col).alias("i"), F.col(item_text_col).alias("t")).where("t is not null").distinct()
     blocks = max(1, -(-items.count() // block))
     for b in range(blocks):
-        taken = items.where(F.pmod(F.xxhash64("i"), F.lit(blocks)) == b).orderBy("i").collect()
+        taken = items.where(F.pmod(F.xxhash64("i", "t"), F.lit(blocks)) == b).orderBy("i", "t").collect()
         index = build_index(docs, [(r["i"], r["t"]) for r in taken], text_col, rank)
         if index is not None:
             yield index
@@ -285,11 +288,11 @@ def leaks(
     docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text",
     rank: int = 256, cosine: float = 0.3, verbatim: float = 0.6, paraphrase: float = 0.45, block: int = 2000,
 ) -> DataFrame:
-    """One row per document and leaked item: ids, cosine, common, answer, and the words of the document looked at."""
+    """One row per document and leaked item: ids, cosine, common, answer, the words of the document looked at, the item's text."""
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
     kind = rows.schema["_id"].dataType.simpleString()
-    schema = f"_id {kind}, item_id long, cosine double, common double, answer double, first_word long, last_word long"
+    schema = f"_id {kind}, item_id long, cosine double, common double, answer double, first_word long, last_word long, item_text string"
     found = None
     for index in _indexes(docs, benchmark, text_col, item_col, item_text_col, rank, block):
         shared = spark.sparkContext.broadcast(index)

@@ -90,3 +90,15 @@ def test_many_items(spark):
     bench = spark.createDataFrame([(i, " ".join(w)) for i, w in items.items()], "item_id long, text string")
     got = {(r.doc_id, r.item_id) for r in decontamination.leaks(docs, bench, verbatim=0.6, paraphrase=0.6).collect()}
     assert len(want) >= 200 and want <= got
+
+
+def test_texts_that_share_an_id(spark):
+    """An id with two texts and items without an id are all looked for."""
+    chance = random.Random(5)
+    items = [(1, sentence(chance, 25)), (1, sentence(chance, 25)), (None, sentence(chance, 25)), (None, sentence(chance, 25)), (2, sentence(chance, 25))]
+    docs = spark.createDataFrame([(d, " ".join(["before", *items[d][1], "after"])) for d in range(4)] + [(9, "w1 w2 of w3")], "doc_id long, text string")
+    bench = spark.createDataFrame([(i, " ".join(w)) for i, w in items], "item_id long, text string")
+    for block in (2000, 2):
+        got = decontamination.leaks(docs, bench, block=block).collect()
+        assert sorted((r.doc_id, r.item_id or 0, r.item_text) for r in got) == [(d, items[d][0] or 0, " ".join(items[d][1])) for d in range(4)]
+    assert [r.doc_id for r in decontamination.drop_leaking(docs, bench).collect()] == [9]
