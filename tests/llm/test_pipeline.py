@@ -84,3 +84,14 @@ def test_empty(spark, tables):
     docs = spark.read.parquet(f"{tables}/documents.parquet").where("false")
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs, tables).count() == 0
+
+
+def test_near_copies_go_by_row(spark):
+    """Repeated and null ids: one row of each group of near copies stays, and rows that are no copies stay."""
+    chance = random.Random(9)
+    a, b, c, d = (prose("aa", 60, chance) for _ in range(4))
+    texts = [(5, b), (5, a), (3, a.replace(" ", "  ")), (7, c), (7, c.replace(" ", "  ")), (None, d), (None, d.replace(" ", "  ")), (None, None)]
+    docs = spark.createDataFrame([(i, t, "aa", "s", 1) for i, t in texts], SCHEMA)
+    got = [(r.doc_id, r.text) for r in corpus_pipeline.drop_near_copies(spark, docs, "").collect()]
+    assert len(got) == 5 and {(5, b), (3, a.replace(" ", "  ")), (None, None)} < set(got)
+    assert sum(t in (c, c.replace(" ", "  ")) for _, t in got) == 1 and sum(t in (d, d.replace(" ", "  ")) for _, t in got) == 1
