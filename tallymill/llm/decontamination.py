@@ -2,20 +2,27 @@
 
 Items and passages are TF-IDF vectors over the words of the benchmark; document frequencies come from all documents. A
 randomised SVD of the items' matrix (random range finder, power steps, tasks holding blocks of rows and sending small
-products) gives each word a place in a latent space. The items of a space are `rank` at most, so it holds all that they
-are made of, and cosines do not depend on how many items there are; more items take more spaces. Every document is cut
-into passages at each of a few lengths, half overlapping, and each passage is compared by cosine to the items of about
-that length. Candidates are then checked word
-by word: the longest common subsequence of the item and the passage with its surroundings, as a share of the item. A pair
-counts as a leak when that share reaches `verbatim`, or reaches `paraphrase` while most of the item's answer words, its
-rarest ones, are there too.
-
-A passage whose words outside the benchmark weigh so much that its cosine cannot reach the limit is passed over without a
-projection; this loses nothing. The benchmark is a query set: it is taken in blocks of `block` items, each block bounding
-what is sent to the tasks, and all documents are read for each block.
+products) gives each word a place in a latent space. The items of a space are `rank` at most, and it has the fewest
+dimensions that keep the share `energy` of every item's square norm, so copies of an item reach the cosine limit however
+many items there are; more items take more spaces. Every document is cut into passages at each of a few lengths (powers of
+two), half overlapping, and each passage is compared by cosine to the items of about that length. Candidates are then
+checked word by word: the longest common subsequence of the item and the passage with its surroundings, as a share of the
+item. A pair counts as a leak when that share reaches `verbatim`, or reaches `paraphrase` while most of the item's answer
+words, its rarest ones, are there too.
+
+Most of a text is passed over without a projection, where a stretch cannot be part of a leak, whatever its cosine: it holds half
+of an item's answer words at most, and too few of its words for `verbatim`. Common words say little there, so for each
+item the commonest ones are left out of the count, as many as serve best and never as many as the share needs; the rest
+must still be met as often as that leaves. This drops no leak.
+
+The benchmark is a query set: it is taken in blocks of about `block` items or `block_words` words, which bounds what is sent
+to the tasks, and all documents are read for each block. Items of one to three words are compared to as short passages;
+a one-word item is found wherever its word stands. Letters of scripts that set no spaces count as words of their own.
 
 Defined results: null and blank texts and items match nothing; repeated rows give repeated pairs for documents and one for
-items; texts that share an id, or have none, are items of their own; an empty table on either side gives an empty result; other columns are ignored.
+items; texts that share an id, or have none, are items of their own; of passages that match an item equally well the
+first is reported; very long texts are read whole, in pieces that overlap by more than the longest stretch; an empty table
+on either side gives an empty result; other columns are ignored by `leaks` and carried along by `drop_leaking`.
 """
 
 from __future__ import annotations
@@ -31,15 +38,40 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Thai, Lao, Burmese and Khmer letters, kana and Chinese characters each stand for a word.
+ALONE = r"฀-໿က-႟ក-៿぀-ヿ㐀-鿿豈-﫿\U00020000-\U0003ffff"
 WORDS = re.compile(r"\w+")
-SHORTEST = 16
+PARTS = re.compile(rf"[{ALONE}]|[^\W{ALONE}]+")
+#: The bytes that no character of `ALONE` begins with.
+NARROW = bytes(range(0xE0))
+#: Lower-cases ASCII and turns what cannot be in a word to spaces; other bytes stay.
+PLAIN = bytes(ord(chr(c).lower()) if c < 128 and (chr(c).isalnum() or c == 95) else c if c >= 128 else 32 for c in range(256))
+#: Words looked at together.
+PIECE = 1 << 17
+
+
+def words_of(text: bytes | None) -> list[str]:
+    """The words of a text in UTF-8."""
+    if not text:
+        return []
+    return (PARTS if text.translate(None, NARROW) else WORDS).findall(text.decode("utf-8", "replace").lower())
+
+
+class Numbers:
+    """Numbers the words of texts: -1 for a word outside the benchmark."""
 
+    def __init__(self, vocab: dict[str, int]):
+        self.vocab, self.plain = vocab, {w.encode(): i for w, i in vocab.items() if w.isascii()}
 
-def words_of(text: str | None) -> list[str]:
-    return WORDS.findall(text.lower()) if text else []
+    def of(self, text: bytes | None) -> np.ndarray:
+        if text and not text.isascii():
+            words = words_of(text)
+            return np.fromiter(map(self.vocab.get, words, repeat(-1)), np.int32, len(words))
+        tokens = text.translate(PLAIN).split() if text else ()
+        return np.fromiter(map(self.plain.get, tokens, repeat(-1)), np.int32, len(tokens))
 
 
-def lcs(masks: dict[str, int], m: int, words: list[str]) -> int:
+def lcs(masks: dict[int, int], m: int, words: list[int]) -> int:
     """Length of the longest common subsequence of an item of m words (positions of each word as bits) and some words."""
     full = (1 << m) - 1
     v = full
@@ -51,41 +83,58 @@ def lcs(masks: dict[str, int], m: int, words: list[str]) -> int:
 
 def scale_of(n: int) -> int:
     """The passage length that an item of n words is compared at: the next power of two."""
-    return max(SHORTEST, 1 << max(0, n - 1).bit_length())
+    return 1 << max(0, n - 1).bit_length()
 
 
 @dataclass
 class Space:
-    """Some items of a block: `local` numbers their words (the last entry: any other word), `terms` places these (the last row: any other)."""
+    """Some items of a block: `local` numbers their words (the last two entries: none, and a word outside the benchmark), `terms` places these (the last row: any other), `placed` their items from `first` on."""
 
+    first: int
     local: np.ndarray
     terms: np.ndarray
-    scales: dict[int, tuple[np.ndarray, np.ndarray]]
+    placed: np.ndarray
+
+
+@dataclass
+class Counting:
+    """Items of one scale by word: entries `start[w]` to `start[w + 1]` of `item`, `times` (how often the word counts) and `answer`.
+
+    An item is possible where `enough[i]` are counted or more than half of its `answers[i]` answer words."""
+
+    start: np.ndarray
+    item: np.ndarray
+    times: np.ndarray
+    answer: np.ndarray
+    enough: np.ndarray
+    answers: np.ndarray
 
 
 @dataclass
 class Index:
-    """What tasks need of a block of items: by word, by item, and the spaces that the items are dealt into."""
+    """What tasks need of a block of items: by word, by item, by scale, and the spaces that the items are dealt into."""
 
     vocab: dict[str, int]
-    idf: np.ndarray
-    unknown: float
+    #: By word its inverse document frequency, then 0 for none, and the mean for a word outside the benchmark.
+    weigh: np.ndarray
     ids: list[int | None]
     texts: list[str]
-    items: list[list[str]]
-    masks: list[dict[str, int]]
-    answers: list[set[str]]
+    lengths: np.ndarray
+    masks: list[dict[int, int]]
+    answers: list[np.ndarray]
     spaces: list[Space]
+    space_of: np.ndarray
+    scales: dict[int, Counting]
 
 
 def _document_counts(vocab):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index, df, n = vocab.value, np.zeros(len(vocab.value), np.int64), 0
-        known = set(index)
+        numbers, df, n = Numbers(vocab.value), np.zeros(len(vocab.value), np.int64), 0
         for batch in batches:
-            for text in batch.column(0).to_pylist():
+            for text in batch.column(0):
+                ids = numbers.of(text.as_py())
                 n += 1
-                df[[index[w] for w in known.intersection(words_of(text))]] += 1
+                df[np.unique(ids[ids >= 0])] += 1
         at = np.flatnonzero(df)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1)), pa.array(np.append(df[at], n))], ["term", "df"])
 
@@ -95,7 +144,8 @@ def _document_counts(vocab):
 def document_frequencies(docs: DataFrame, vocab: dict[str, int], text_col: str = "text") -> tuple[np.ndarray, int]:
     """Documents with each word, and all documents."""
     shared = docs.sparkSession.sparkContext.broadcast(vocab)
-    counts = docs.select(F.col(text_col).alias("t")).mapInArrow(_document_counts(shared), "term long, df long").groupBy("term").agg(F.sum("df").alias("df"))
+    texts = docs.select(F.col(text_col).cast("binary").alias("t"))
+    counts = texts.mapInArrow(_document_counts(shared), "term long, df long").groupBy("term").agg(F.sum("df").alias("df"))
     rows = {r["term"]: r["df"] for r in counts.collect()}  # one a word of the benchmark block
     return np.array([rows.get(i, 0) for i in range(len(vocab))], float), rows.get(-1, 0)
 
@@ -129,106 +179,191 @@ def randomised_svd(rows: DataFrame, width: int, rank: int, extra: int = 16, powe
     return q[:, : min(rank, int((values > values[0] * 1e-9).sum()))] if len(values) and values[0] > 0 else np.zeros((width, 1))
 
 
-def place(spark: SparkSession, rows: list[Counter], lengths: list[int], chosen: range, idf: np.ndarray, rank: int) -> Space:
-    """The space of the chosen items, `rank` at most. `rows`: how often each item has each word; `lengths`: words of each item."""
+def place(spark: SparkSession, rows: list[Counter], chosen: range, idf: np.ndarray, rank: int, energy: float) -> Space:
+    """The space of the chosen items, `rank` at most. `rows`: how often each item has each word."""
     words = np.unique(np.concatenate([[*rows[i]] for i in chosen]))
-    local = np.full(len(idf) + 1, len(words))
+    local = np.full(len(idf) + 2, len(words), np.int32)
     local[words] = np.arange(len(words))
     weights = [np.array([n * idf[t] for t, n in rows[i].items()]) for i in chosen]
     at = [local[[*rows[i]]] for i in chosen]
     norms = [np.sqrt((w**2).sum()) for w in weights]
     matrix = spark.createDataFrame([(t.tolist(), (w / x).tolist()) for t, w, x in zip(at, weights, norms, strict=True)], "terms array<int>, weights array<double>")
-    space = randomised_svd(matrix, len(words), rank)
-    placed = np.stack([(w / x) @ space[t] for t, w, x in zip(at, weights, norms, strict=True)]).astype(np.float32)
-    terms = (space * idf[words, None]).astype(np.float32)
-    scales: dict[int, list[int]] = {}
-    for k, i in enumerate(chosen):
-        scales.setdefault(scale_of(lengths[i]), []).append(k)
-    return Space(
-        local, np.vstack((terms, np.zeros((1, terms.shape[1]), np.float32))), {s: (np.array(k) + chosen[0], placed[k]) for s, k in scales.items()}
-    )
-
-
-def build_index(docs: DataFrame, items: list[tuple[int | None, str]], text_col: str, rank: int) -> Index | None:
-    spark = docs.sparkSession
-    texts = [t for _, t in items if words_of(t)]
-    kept = [(i, w) for i, t in items if (w := words_of(t))]
+    space = randomised_svd(matrix.coalesce(8), len(words), rank)  # at most `rank` rows; few tasks bound what the driver adds up
+    placed = np.stack([(w / x) @ space[t] for t, w, x in zip(at, weights, norms, strict=True)])
+    kept = np.cumsum(placed**2, axis=1)
+    width = min(placed.shape[1], int((kept < energy).sum(axis=1).max()) + 1)
+    terms = (space[:, :width] * idf[words, None]).astype(np.float32)
+    return Space(chosen[0], local, np.vstack((terms, np.zeros((1, width), np.float32))), placed[:, :width].astype(np.float32))
+
+
+def counted(row: Counter, need: int, df: np.ndarray, n: int) -> tuple[dict[int, int], int]:
+    """The words of an item that are counted, and how many of them a stretch must have if it has `need` of all.
+
+    Leaving out a word lowers what must be met by as often as the item has it. The cut is where that stands out most from
+    what any stretch would have by chance.
+    """
+    order = sorted(row.items(), key=lambda x: (-df[x[0]], x[0]))
+    times = np.array([c for _, c in order], float)
+    chance = np.minimum(1, 2 * df[[t for t, _ in order]] / max(1, n))
+    tail = lambda x: np.cumsum(x[::-1])[::-1]
+    left = need - np.concatenate(([0], np.cumsum(times)[:-1]))
+    stands_out = np.where(left > 0, (left - tail(chance * times)) / np.sqrt(tail(chance * (1 - chance) * times**2) + 0.5), -np.inf)
+    cut = int(np.argmax(stands_out))
+    return dict(order[cut:]), int(left[cut])
+
+
+def counting(rows: list[Counter], lengths: np.ndarray, answers: list[np.ndarray], chosen: list[int], df: np.ndarray, n: int, verbatim: float) -> Counting:
+    entries, enough = [], np.zeros(len(rows), np.int64)
+    for i in chosen:
+        words, enough[i] = counted(rows[i], int(np.ceil(verbatim * lengths[i] - 1e-9)), df, n)
+        rare = set(answers[i].tolist())
+        entries += [(t, i, words.get(t, 0), t in rare) for t in words.keys() | rare]
+    t, i, times, rare = np.array(sorted(entries), np.int64).reshape(-1, 4).T
+    return Counting(np.searchsorted(t, np.arange(len(df) + 1)), i, times, rare, enough, np.array([len(a) for a in answers]))
+
+
+def build_index(
+    docs: DataFrame, items: list[tuple[int | None, str]], text_col: str, rank: int, energy: float, verbatim: float
+) -> Index | None:
+    kept = [(i, t, w) for i, t in items if (w := words_of(t.encode("utf-8", "replace")))]
     vocab: dict[str, int] = {}
-    for _, words in kept:
+    for *_, words in kept:
         for w in words:
             vocab.setdefault(w, len(vocab))
     if not vocab:
         return None
     df, n = document_frequencies(docs, vocab, text_col)
     idf = np.log((n + 1) / (df + 1)) + 1e-3
-    rows = [Counter(vocab[w] for w in words) for _, words in kept]
+    rows = [Counter(vocab[w] for w in words) for *_, words in kept]
+    lengths = np.array([len(w) for *_, w in kept])
     parts = -(-len(rows) // rank)
     edges = [len(rows) * k // parts for k in range(parts + 1)]
-    spaces = [place(spark, rows, [len(w) for _, w in kept], range(lo, hi), idf, rank) for lo, hi in zip(edges, edges[1:], strict=False)]
+    spaces = [place(docs.sparkSession, rows, range(lo, hi), idf, rank, energy) for lo, hi in zip(edges, edges[1:], strict=False)]
     masks, answers = [], []
-    for _, words in kept:
-        mask: dict[str, int] = {}
+    for *_, words in kept:
+        mask: dict[int, int] = {}
         for at, w in enumerate(words):
-            mask[w] = mask.get(w, 0) | (1 << at)
+            mask[vocab[w]] = mask.get(vocab[w], 0) | (1 << at)
         masks.append(mask)
-        answers.append(set(sorted(set(words), key=lambda w: (-idf[vocab[w]], w))[: max(3, len(words) // 8)]))
-    return Index(vocab, idf, float(idf.mean()), [i for i, _ in kept], texts, [w for _, w in kept], masks, answers, spaces)
-
-
-def candidates(ids: np.ndarray, x: Index, cosine: float, stretch: int = 1 << 14) -> Iterator[tuple[int, int, int, float]]:
-    """Passages near an item: first word, end, item, cosine. `ids`: term numbers, -1 outside the benchmark.
-
-    Passages begin and end at multiples of half the shortest length, so the places of words are added up for such blocks,
-    and the vectors of all passages come from one running sum over the blocks of a stretch. Norms add up word by word, so
-    repeated words make a cosine a little too large, never too small.
-    """
-    n, unit = len(ids), SHORTEST // 2
-    square = np.where(ids >= 0, x.idf[ids], x.unknown) ** 2
-    whole = np.concatenate(([0], np.cumsum(square)))
-    for space in x.spaces:
-        here, outside, longest = space.local[ids], len(space.terms) - 1, max(space.scales)
-        inside = np.concatenate(([0], np.cumsum(square * (here < outside))))
-        for base in range(0, n, stretch):
-            likely = []
-            for size in space.scales:
-                starts = np.arange(base, min(base + stretch, max(1, n - size // 2)), size // 2)
-                stops = np.minimum(starts + size, n)
-                mass = whole[stops] - whole[starts]
-                able = np.flatnonzero(inside[stops] - inside[starts] >= cosine**2 * mass)
-                if able.size:
-                    likely.append((size, starts[able], stops[able], mass[able]))
-            if not likely:
-                continue
-            part = here[base : base + stretch + longest]
-            part = np.append(part, np.full(-len(part) % unit, outside))
-            sums = np.zeros((len(part) // unit + 1, space.terms.shape[1]), np.float32)
-            np.cumsum(space.terms[part].reshape(-1, unit, space.terms.shape[1]).sum(axis=1), axis=0, out=sums[1:])
-            for size, lo, hi, mass in likely:
-                at, placed = space.scales[size]
-                near = (sums[-(-(hi - base) // unit)] - sums[(lo - base) // unit]) @ placed.T
-                for k, j in zip(*np.nonzero(near >= (cosine * np.sqrt(mass))[:, None]), strict=True):
-                    yield int(lo[k]), int(hi[k]), int(at[j]), float(near[k, j] / np.sqrt(mass[k]))
-
-
-def matches(text: str | None, x: Index, cosine: float, verbatim: float, paraphrase: float) -> list[tuple[int, float, float, float, int, int]]:
-    """Items leaked into a text: number, cosine, share of the item in common order, share of answer words, first and last word."""
-    words = words_of(text)
-    if not words:
-        return []
-    n = len(words)
-    ids = np.fromiter(map(x.vocab.get, words, repeat(-1)), np.int64, n)
-    best: dict[int, tuple[int, float, float, float, int, int]] = {}
-    for lo, hi, i, near in candidates(ids, x, cosine):
-        m = len(x.items[i])
-        first, last = max(0, lo - m), min(n, hi + m)
+        rarest = sorted(set(words), key=lambda w: (-idf[vocab[w]], w))[: max(3, len(words) // 8)]
+        answers.append(np.array([vocab[w] for w in rarest]))
+    by_scale: dict[int, list[int]] = {}
+    for i, m in enumerate(lengths.tolist()):
+        by_scale.setdefault(scale_of(m), []).append(i)
+    scales = {s: counting(rows, lengths, answers, at, df, n, verbatim) for s, at in by_scale.items()}
+    space_of = np.repeat(np.arange(parts), np.diff(edges))
+    return Index(vocab, np.append(idf, (0, idf.mean())), [i for i, *_ in kept], [t for _, t, _ in kept], lengths, masks, answers, spaces, space_of, scales)
+
+
+def possible(ids: np.ndarray, base: np.ndarray, place_in: np.ndarray, scale: int, c: Counting) -> tuple[np.ndarray, np.ndarray]:
+    """Stretches (by number) and items that may belong together. `ids`: word numbers of known words; `place_in`: their places in their
+    piece; `base`: the number of their piece's first stretch. A stretch begins every three scales and is six long, and a
+    passage with its surroundings is three at most, so each stands whole in the stretch that its first word is in."""
+    used = c.start[ids + 1] > c.start[ids]
+    ids, base, at = ids[used], base[used], place_in[used] // (3 * scale)
+    again = at > 0
+    stretch = np.concatenate((base + at, (base + at - 1)[again]))
+    width = len(c.start)
+    both = np.unique(stretch * width + np.concatenate((ids, ids[again])))
+    stretch, word = both // width, both % width
+    sizes = c.start[word + 1] - c.start[word]
+    entry = np.repeat(c.start[word] - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
+    key = np.repeat(stretch, sizes) * len(c.enough) + c.item[entry]
+    keys, of = np.unique(key, return_inverse=True)
+    met, rare = (np.bincount(of, weights=x[entry], minlength=len(keys)) for x in (c.times, c.answer))
+    item = keys % len(c.enough)
+    hit = keys[(met >= c.enough[item]) | (2 * rare > c.answers[item])]
+    return hit // len(c.enough), hit % len(c.enough)
+
+
+def near(ids: np.ndarray, lo: int, hi: int, scale: int, items: np.ndarray, x: Index, cosine: float) -> Iterator[tuple[int, int, int, float]]:
+    """Passages of the words `lo` to `hi` near one of the items: first word, end, item, cosine. Norms add up word by word, so repeated
+    words make a cosine a little too large, never too small."""
+    step = max(1, scale // 2)
+    begin, hi = lo // step * step, min(hi, len(ids))
+    blocks = -(-(hi - begin) // step)
+    words = np.full(blocks * step, len(x.vocab), np.int32)  # the last block may end with none
+    words[: hi - begin] = ids[begin:hi]
+    whole = lambda b: b if scale == 1 or blocks == 1 else b[:-1] + b[1:]  # noqa: E731 - a passage is two blocks
+    norm = np.sqrt(whole((x.weigh[words] ** 2).reshape(blocks, step).sum(axis=1)))
+    for k in np.unique(x.space_of[items]).tolist():
+        space, own = x.spaces[k], items[x.space_of[items] == k]
+        placed = space.terms[space.local[words]].reshape(blocks, step, -1).sum(axis=1)
+        alike = whole(placed) @ space.placed[own - space.first].T / norm[:, None]
+        for p, i in zip(*np.nonzero(alike >= cosine), strict=True):
+            first = begin + int(p) * step
+            yield first, min(first + scale, hi), int(own[i]), float(alike[p, i])
+
+
+Match = tuple[int, float, float, float, int, int]
+
+
+class Finder:
+    """Finds leaks in texts, some at a time."""
+
+    def __init__(self, x: Index, cosine: float, verbatim: float, paraphrase: float):
+        self.x, self.cosine, self.verbatim, self.paraphrase = x, cosine, verbatim, paraphrase
+        self.numbers = Numbers(x.vocab)
+        self.reach = max(PIECE, max(x.scales))
+
+    def matches(self, texts: Iterator[bytes | None]) -> Iterator[list[Match]]:
+        """Per text its items: number, cosine, share of the item in common order, share of answer words, first and last word."""
+        held, size = [], 0
+        for text in texts:
+            held.append(self.numbers.of(text))
+            size += len(held[-1])
+            if size >= self.reach:
+                yield from self._found(held)
+                held, size = [], 0
+        if held:
+            yield from self._found(held)
+
+    def _found(self, docs: list[np.ndarray]) -> list[list[Match]]:
+        best: list[dict[int, Match]] = [{} for _ in docs]
+        longest = 6 * max(self.x.scales)
+        pieces = [(d, at, min(len(ids), at + self.reach + longest)) for d, ids in enumerate(docs) for at in range(0, len(ids), self.reach)]
+        held, size = [], 0
+        for piece in pieces:  # together about `reach` words, however long a text is
+            held.append(piece)
+            size += piece[2] - piece[1]
+            if size >= self.reach:
+                self._look(docs, held, best)
+                held, size = [], 0
+        if held:
+            self._look(docs, held, best)
+        return [[found[i] for i in sorted(found)] for found in best]
+
+    def _look(self, docs: list[np.ndarray], pieces: list[tuple[int, int, int]], best: list[dict[int, Match]]) -> None:
+        sizes = np.array([hi - lo for _, lo, hi in pieces])
+        ids = np.concatenate([docs[d][lo:hi] for d, lo, hi in pieces])
+        known = np.flatnonzero(ids >= 0)
+        ends = np.cumsum(sizes)
+        piece = np.searchsorted(ends, known, side="right")
+        place_in = known - (ends - sizes)[piece]
+        for scale, c in self.x.scales.items():
+            stretches = sizes // (3 * scale) + 1
+            bases = np.cumsum(stretches) - stretches
+            stretch, item = possible(ids[known], bases[piece], place_in, scale, c)
+            cuts = np.flatnonzero(np.diff(stretch)) + 1
+            for s, items in zip(stretch[np.concatenate(([0], cuts))].tolist() if len(stretch) else (), np.split(item, cuts), strict=False):
+                k = int(np.searchsorted(bases, s, side="right")) - 1
+                d, lo, _ = pieces[k]
+                lo += (s - int(bases[k])) * 3 * scale
+                for begin, end, i, alike in near(docs[d], lo, lo + 6 * scale, scale, items, self.x, self.cosine):
+                    self._check(docs[d], begin, end, i, alike, best[d])
+
+    def _check(self, words: np.ndarray, lo: int, hi: int, i: int, alike: float, best: dict[int, Match]) -> None:
+        m, answers = int(self.x.lengths[i]), self.x.answers[i]
+        first, last = max(0, lo - m), min(len(words), hi + m)
         around = words[first:last]
-        share = lcs(x.masks[i], m, around) / m
-        answer = len(x.answers[i].intersection(around)) / len(x.answers[i])
-        if share >= verbatim or (share >= paraphrase and answer > 0.5):
-            row = (i, min(near, 1.0), share, answer, first, last)
-            if i not in best or row[1:4] > best[i][1:4]:
+        share = lcs(self.x.masks[i], m, around.tolist()) / m
+        if share < min(self.verbatim, self.paraphrase):
+            return
+        answer = float(np.isin(answers, around).mean())
+        if share >= self.verbatim or (share >= self.paraphrase and answer > 0.5):
+            row = (i, min(alike, 1.0), share, answer, first, last)
+            if i not in best or (row[1:4], -first) > (best[i][1:4], -best[i][4]):
                 best[i] = row
-    return [best[i] for i in sorted(best)]
 
 
 def _finder(index, cosine: float, verbatim: float, paraphrase: float):
@@ -236,12 +371,12 @@ def _finder(index, cosine: float, verbatim: float, paraphrase: float):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         x = index.value
+        finder = Finder(x, cosine, verbatim, paraphrase)
         for batch in batches:
             at, found = [], []
-            for k, text in enumerate(batch.column(1).to_pylist()):
-                for row in matches(text, x, cosine, verbatim, paraphrase):
-                    at.append(k)
-                    found.append(row)
+            for k, rows in enumerate(finder.matches(t.as_py() for t in batch.column(1))):
+                at += [k] * len(rows)
+                found += rows
             columns = list(zip(*found, strict=True)) or [()] * 6
             kinds = (pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.int64(), pa.int64())
             texts = pa.array([x.texts[i] for i in columns[0]], pa.string())
@@ -253,32 +388,35 @@ def _finder(index, cosine: float, verbatim: float, paraphrase: float):
 
 def _cleaner(index, text_at: int, cosine: float, verbatim: float, paraphrase: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        x = index.value
+        finder = Finder(index.value, cosine, verbatim, paraphrase)
         for batch in batches:
-            clean = [not matches(t, x, cosine, verbatim, paraphrase) for t in batch.column(text_at).to_pylist()]
-            yield batch.filter(pa.array(clean, pa.bool_()))
+            texts = batch.column(text_at).cast(pa.binary())
+            yield batch.filter(pa.array([not rows for rows in finder.matches(t.as_py() for t in texts)], pa.bool_()))
 
     return run
 
 
-def _indexes(docs: DataFrame, benchmark: DataFrame, text_col: str, item_col: str, item_text_col: str, rank: int, block: int) -> Iterator[Index]:
+def _indexes(
+    docs: DataFrame, benchmark: DataFrame, text_col: str, item_col: str, item_text_col: str, rank: int, block: int, block_words: int, energy: float, verbatim: float
+) -> Iterator[Index]:
     """One index for each block of items. An item is an id and a text: an id may have several texts, or be null."""
     items = benchmark.select(F.col(item_col).alias("i"), F.col(item_text_col).alias("t")).where("t is not null").distinct()
-    blocks = max(1, -(-items.count() // block))
+    n, chars = items.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.length("t")), F.lit(0))).first()
+    blocks = max(1, -(-n // block), -(-chars // (4 * block_words)))
     for b in range(blocks):
         taken = items.where(F.pmod(F.xxhash64("i", "t"), F.lit(blocks)) == b).orderBy("i", "t").collect()
-        index = build_index(docs, [(r["i"], r["t"]) for r in taken], text_col, rank)
+        index = build_index(docs, [(r["i"], r["t"]) for r in taken], text_col, rank, energy, verbatim)
         if index is not None:
             yield index
 
 
 def drop_leaking(
     docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text",
-    rank: int = 256, cosine: float = 0.3, verbatim: float = 0.6, paraphrase: float = 0.45, block: int = 2000,
+    rank: int = 256, cosine: float = 0.3, verbatim: float = 0.6, paraphrase: float = 0.45, block: int = 2000, block_words: int = 100_000, energy: float = 0.9,
 ) -> DataFrame:
     """The documents that no item leaked into, with all their columns."""
     kept = docs
-    for index in _indexes(docs, benchmark, text_col, item_col, item_text_col, rank, block):
+    for index in _indexes(docs, benchmark, text_col, item_col, item_text_col, rank, block, block_words, energy, verbatim):
         shared = docs.sparkSession.sparkContext.broadcast(index)
         kept = kept.mapInArrow(_cleaner(shared, docs.columns.index(text_col), cosine, verbatim, paraphrase), docs.schema)
     return kept
@@ -286,15 +424,15 @@ def drop_leaking(
 
 def leaks(
     docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text",
-    rank: int = 256, cosine: float = 0.3, verbatim: float = 0.6, paraphrase: float = 0.45, block: int = 2000,
+    rank: int = 256, cosine: float = 0.3, verbatim: float = 0.6, paraphrase: float = 0.45, block: int = 2000, block_words: int = 100_000, energy: float = 0.9,
 ) -> DataFrame:
     """One row per document and leaked item: ids, cosine, common, answer, the words of the document looked at, the item's text."""
     spark = docs.sparkSession
-    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
+    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("binary").alias("_text"))
     kind = rows.schema["_id"].dataType.simpleString()
     schema = f"_id {kind}, item_id long, cosine double, common double, answer double, first_word long, last_word long, item_text string"
     found = None
-    for index in _indexes(docs, benchmark, text_col, item_col, item_text_col, rank, block):
+    for index in _indexes(docs, benchmark, text_col, item_col, item_text_col, rank, block, block_words, energy, verbatim):
         shared = spark.sparkContext.broadcast(index)
         part = rows.mapInArrow(_finder(shared, cosine, verbatim, paraphrase), schema)
         found = part if found is None else found.unionByName(part)

@@ -102,3 +102,86 @@ def test_texts_that_share_an_id(spark):
         got = decontamination.leaks(docs, bench, block=block).collect()
         assert sorted((r.doc_id, r.item_id or 0, r.item_text) for r in got) == [(d, items[d][0] or 0, " ".join(items[d][1])) for d in range(4)]
     assert [r.doc_id for r in decontamination.drop_leaking(docs, bench).collect()] == [9]
+
+
+def brute(x, docs, verbatim=0.6, paraphrase=0.45):
+    """Every pair of a document and an item that has enough words in common order with some stretch of three times its passage length,
+    and those pairs of them where half of the item's answer words are there too."""
+    found, telling = set(), set()
+    for d, text in docs:
+        ids = decontamination.Numbers(x.vocab).of(text.encode())
+        for i, m in enumerate(x.lengths.tolist()):
+            span = decontamination.scale_of(m) + 2 * m
+            for at in range(max(1, len(ids) - span + 1)):
+                part = ids[at : at + span].tolist()
+                if (d, i) in telling or not x.masks[i].keys() & set(part):
+                    continue
+                share, answer = decontamination.lcs(x.masks[i], m, part) / m, np.isin(x.answers[i], part).mean()
+                if share >= verbatim or (share >= paraphrase and answer > 0.5):
+                    found.add((d, i))
+                    if answer >= 0.5:
+                        telling.add((d, i))
+    return found, telling
+
+
+def found_by(finder, docs):
+    return {(d, row[0]) for (d, _), rows in zip(docs, finder.matches(t.encode() for _, t in docs), strict=True) for row in rows}
+
+
+def test_against_all_pairs(spark, monkeypatch):
+    """Items of all lengths, many alike, with repeated words, in a space of fewer dimensions than items, against brute force."""
+    chance = random.Random(17)
+    roots = [[f"w{chance.randrange(4000)}" for _ in range(n)] for n in (1, 2, 3, 5)] + [sentence(chance, n) for n in (9, 16, 17, 30, 33, 50)] + [["zebra"] * 8, ["of", "rare"] * 6]
+    items = []
+    for root in roots:
+        for _ in range(10):
+            words = list(root)
+            words[chance.randrange(len(words))] = chance.choice(root if len(root) < 6 else [*COMMON, *root])
+            items.append(words)
+    docs = []
+    for d in range(400):
+        words = sentence(chance, chance.choice([0, 5, 20, 40]))
+        if d % 2:
+            passage = list(chance.choice(items))
+            for at in chance.sample(range(len(passage)), len(passage) // chance.choice([3, 6, 100])):
+                passage[at] = f"other{at}"
+            at = chance.randrange(len(words) + 1)
+            words[at:at] = passage
+        docs.append((d, " ".join(words)))
+    rows = spark.createDataFrame(docs, "doc_id long, text string")
+    distinct = list(dict.fromkeys(" ".join(w) for w in items))
+    x = decontamination.build_index(rows, list(enumerate(distinct)), "text", 256, 0.9, 0.6)
+    assert len(x.spaces) == 1 and x.spaces[0].terms.shape[1] < len(distinct)
+    want, telling = brute(x, docs)
+    got = found_by(decontamination.Finder(x, 0.3, 0.6, 0.45), docs)
+    print(f"recall {len(got & telling) / len(telling):.3f} of {len(telling)} pairs, {len(got & want) / len(want):.3f} of {len(want)} with those of common words alone")
+    assert got <= want and telling <= want and len(telling) > 300
+    assert len(got & telling) >= 0.97 * len(telling) and len(got & want) >= 0.9 * len(want)
+    # what is passed over without a projection changes nothing, nor does cutting texts into pieces
+    in_pieces = decontamination.Finder(x, 0.3, 0.6, 0.45)
+    in_pieces.reach = 64
+    assert found_by(in_pieces, docs) == got
+
+    def all_of_them(ids, base, place_in, scale, c):
+        at = np.unique(np.concatenate((base + place_in // (3 * scale), np.maximum(base, base + place_in // (3 * scale) - 1))))
+        own = np.unique(c.item)
+        return np.repeat(at, len(own)), np.tile(own, len(at))
+
+    monkeypatch.setattr(decontamination, "possible", all_of_them)
+    assert found_by(decontamination.Finder(x, 0.3, 0.6, 0.45), docs) == got
+
+
+def test_short_and_unspaced_items(spark):
+    """Items of one to three words, of one word repeated, and of scripts without spaces, each word for word in a document."""
+    items = ["paris", "Deep Blue", "to be or", "buffalo " * 8, "北京是中国的首都城市", "ภาษาไทย"]
+    docs = [(k, f"Something else stands here, then {t} and more words follow it") for k, t in enumerate(items)]
+    docs += [(9, "他说北京是中国的首都城市没错"), (10, "nothing of this, nor be to parish"), (11, "x " * 5000 + "Paris.")]
+    got = decontamination.leaks(
+        spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    ).collect()
+    assert sorted((r.doc_id, r.item_id) for r in got) == [*((k, k) for k in range(6)), (9, 4), (11, 0)]
+
+
+def test_words():
+    assert decontamination.words_of("L'été, ÉCOLE_2 “quoted”—x y 北京a".encode()) == ["l", "été", "école_2", "quoted", "x", "y", "北", "京", "a"]
+    assert decontamination.words_of(None) == decontamination.words_of(" \n…".encode()) == []
