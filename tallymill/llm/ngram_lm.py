@@ -1,18 +1,19 @@
 """Language-model scoring: an interpolated modified Kneser-Ney bigram model over all training texts.
 
 Tasks count bigrams of hashed words over blocks of text and deal them out by the leading bits of both hashes, so that one
-task adds up all counts of a bigram and files it at once. Two tables come of it: per word its count, its number of
-different predecessors and its back-off mass; per bigram its count. Both are written to the shared folder as arrays
-sorted by hash, cut into shards by the leading bits of the hash; of bigrams seen once, the hashes alone. Scoring tasks
-map these files into memory, so they hold only the pages they touch, whatever the model's size; this needs a shared
-folder that is mounted on every machine. Without `singles`, bigrams seen once are counted in every statistic, but not
-stored: their mass goes to the back-off weight of their first word, so probabilities add up to one either way.
+task adds up all counts of a bigram and files it at once. Rows travel packed, many to a message. Two tables come of it: per
+word its count, its number of different predecessors and how many bigrams it begins of each count; per bigram its count.
+Both are written to the shared folder as arrays sorted by hash, cut into shards by the leading bits of the hash; of bigrams
+seen once, the hashes alone. Scoring tasks map these files into memory, `MAPS` of them at most at a time, so they hold only
+the pages they touch, whatever the model's size; this needs a shared folder that is mounted on every machine. Without
+`singles`, bigrams seen once are counted in every statistic, but not stored: their mass goes to the back-off weight of
+their first word, so probabilities add up to one either way.
 
     P(w | v) = [(v,w) is stored] (c(v,w) - D(c)) / c(v)  +  b(v) P(w)
     P(w)     = (k(w) - D'(k)) / K  +  b' / (types + 1),    k(w): different words before w, K: their sum
 
-Defined results: null and blank texts are the end token alone; repeated rows are counted and scored like any other; an
-empty training set gives every token probability 1; other columns are ignored.
+Defined results: null and blank texts are the end token alone; very long texts are counted and scored whole; repeated rows
+are counted and scored like any other; an empty training set gives every token probability 1; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,14 +28,18 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallymill.llm.common import mounted, publish, remove, scratch, written
+from tallymill.llm.common import mounted, publish, scratch
 
 #: Neither is a word: words have no white space and are not empty.
 FIRST, LAST = np.uint64(xxhash.xxh64_intdigest(b"\n")), np.uint64(xxhash.xxh64_intdigest(b""))
 #: Tokens that are counted together before Spark adds up; bounds a task's memory.
 BLOCK = 2_000_000
+#: Shards are numbered by at most so many leading bits of a hash.
+MOST_BITS = 20
+#: Files that a task maps at once.
+MAPS = 4096
 _MIX = np.uint64(0x9E3779B97F4A7C15)
-_LEADING = np.uint64(0xFFFF << 48)
+_LEADING = np.uint64(((1 << MOST_BITS) - 1) << (64 - MOST_BITS))
 
 
 class Hashes(dict):
@@ -59,10 +64,10 @@ def tokens(text: bytes | None, hashes: Hashes) -> np.ndarray:
 
 
 def pair_hash(v: np.ndarray, w: np.ndarray) -> np.ndarray:
-    """The hash of a bigram; its leading 16 bits are those of v ^ w, which Spark deals bigrams out by."""
+    """The hash of a bigram; its leading bits are those of v ^ w, which bigrams are dealt out by."""
     h = (v ^ (v >> np.uint64(31))) * _MIX + w
     h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-    return ((v ^ w) & _LEADING) | ((h ^ (h >> np.uint64(32))) >> np.uint64(16))
+    return ((v ^ w) & _LEADING) | ((h ^ (h >> np.uint64(32))) >> np.uint64(MOST_BITS))
 
 
 def _before(t: np.ndarray, lengths: np.ndarray) -> np.ndarray:
@@ -72,76 +77,108 @@ def _before(t: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return v
 
 
-def _signed(x: np.ndarray) -> pa.Array:
-    return pa.array(np.ascontiguousarray(x).view(np.int64))
+#: Columns of the two kinds of messages: bigrams, and what a task knows of a word: bigrams it begins of count 1, 2, and 3 or
+#: more, bigrams it ends, how often it stands.
+_BIGRAMS = (("v", "<u8"), ("w", "<u8"), ("n", "<u4"))
+_WORDS = (("word", "<u8"), ("one", "<u8"), ("two", "<u8"), ("three", "<u8"), ("kinds", "<u8"), ("count", "<u8"))
+_MESSAGE = "part int, n int, packed binary"
 
 
-def _count_block(docs: list[np.ndarray]) -> pa.RecordBatch:
+def _packed(part: np.ndarray, columns: list[np.ndarray], layout) -> pa.RecordBatch:
+    """Rows in the order of their parts as one message a part."""
+    cuts = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1]))) if len(part) else np.zeros(0, np.int64)
+    ends = np.append(cuts[1:], len(part))
+    columns = [c.astype(kind, copy=False) for c, (_, kind) in zip(columns, layout, strict=True)]
+    data = [pa.compress(b"".join(c[lo:hi].tobytes() for c in columns), "zstd", asbytes=True) for lo, hi in zip(cuts, ends, strict=True)]
+    return pa.RecordBatch.from_arrays([pa.array(part[cuts].astype(np.int32)), pa.array((ends - cuts).astype(np.int32)), pa.array(data, pa.binary())], ["part", "n", "packed"])
+
+
+def _unpacked(batches: Iterator[pa.RecordBatch], layout) -> list[np.ndarray] | None:
+    """The columns of all messages together; None without any."""
+    held: list[list[np.ndarray]] = []
+    width = sum(np.dtype(kind).itemsize for _, kind in layout)
+    for batch in batches:
+        for n, packed in zip(batch.column("n").to_pylist(), batch.column("packed"), strict=True):
+            data, at = pa.decompress(packed.as_buffer(), n * width, "zstd"), 0
+            row = []
+            for _, kind in layout:
+                row.append(np.frombuffer(data, kind, n, at))
+                at += n * np.dtype(kind).itemsize
+            held.append(row)
+    return [np.concatenate(x) for x in zip(*held, strict=True)] if held else None
+
+
+def _part(h: np.ndarray, bits: int) -> np.ndarray:
+    return (h >> np.uint64(64 - bits)).astype(np.int32)
+
+
+def _count_block(docs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The different bigrams of some texts and their counts."""
     w = np.concatenate(docs)
     v = _before(w, np.fromiter(map(len, docs), np.int64, len(docs)))
     order = np.lexsort((w, v))
     v, w = v[order], w[order]
     at = np.flatnonzero(np.concatenate(([True], (v[1:] != v[:-1]) | (w[1:] != w[:-1]))))
-    n = np.diff(np.append(at, len(w)))
-    return pa.RecordBatch.from_arrays([_signed(v[at]), _signed(w[at]), pa.array(n)], ["v", "w", "n"])
-
-
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    hashes, held, size = Hashes(), [], 0
-    for batch in batches:
-        for text in batch.column(0):
-            held.append(tokens(text.as_py(), hashes))
-            size += len(held[-1])
-            if size >= BLOCK:
-                yield _count_block(held)
-                held, size = [], 0
-    if held:
-        yield _count_block(held)
+    return v[at], w[at], np.diff(np.append(at, len(w)))
 
 
-def bigram_counts(training: DataFrame, text_col: str = "text") -> DataFrame:
-    """Columns v, w (word hashes) and n, a row for each block of text that has the bigram."""
-    return training.select(F.col(text_col).cast("binary").alias("t")).mapInArrow(_count, "v long, w long, n long")
+def _counter(bits: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def dealt() -> pa.RecordBatch:
+            v, w, n = _count_block(held)
+            part = _part(v ^ w, bits)
+            order = np.argsort(part, kind="stable")
+            return _packed(part[order], [v[order], w[order], n[order]], _BIGRAMS)
 
+        hashes, held, size = Hashes(), [], 0
+        for batch in batches:
+            for text in batch.column(0):
+                held.append(tokens(text.as_py(), hashes))
+                size += len(held[-1])
+                if size >= BLOCK:
+                    yield dealt()
+                    held, size = [], 0
+        if held:
+            yield dealt()
 
-def _sums(key: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, ...]:
-    keys, at = np.unique(key, return_inverse=True)
-    return (keys, *(np.bincount(at, weights=x, minlength=len(keys)) for x in values))
+    return run
 
 
-_PARTIAL = "kind int, a long, x double, y double, z double, kinds double, total double"
+def bigram_counts(training: DataFrame, bits: int, text_col: str = "text") -> DataFrame:
+    """Messages of bigrams and their counts in each block of texts, by the leading bits of both hashes."""
+    return training.select(F.col(text_col).cast("binary").alias("t")).mapInArrow(_counter(bits), _MESSAGE)
 
 
-def _partial(kind: int, a: np.ndarray, *values: np.ndarray) -> pa.RecordBatch:
-    columns = [x.astype(np.float64) for x in values] + [np.zeros(len(a))] * (5 - len(values))
-    return pa.RecordBatch.from_arrays([pa.array(np.full(len(a), kind, np.int32)), pa.array(a), *map(pa.array, columns)], ["kind", "a", "x", "y", "z", "kinds", "total"])
+def _sums(key: np.ndarray, values: list[np.ndarray]) -> tuple[np.ndarray, list[np.ndarray]]:
+    keys, at = np.unique(key, return_inverse=True)
+    return keys, [np.bincount(at, weights=x, minlength=len(keys)).astype(np.uint64) for x in values]
 
 
 def _file_bigrams(folder: str, bits: int, singles: bool):
-    """Adds up a task's bigrams and files them; gives partial sums by word (1), as first and as second one, and counts of counts (3)."""
+    """Adds up a part's bigrams and files them; gives what it knows of their words, and in part -1 the numbers of counts 1 to 4."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [[batch.column(i).to_numpy() for i in range(3)] for batch in batches]
-        if not held:
+        if (columns := _unpacked(batches, _BIGRAMS)) is None:
             return
-        v, w, n = (np.concatenate(x) for x in zip(*held, strict=True))
-        held.clear()
-        key = pair_hash(v.view(np.uint64), w.view(np.uint64))
+        v, w, n = columns
+        key = pair_hash(v, w)
         order = np.argsort(key)
-        key, v, w, n = key[order], v[order], w[order], n[order]
+        key, v, w, n = key[order], v[order], w[order], n[order].astype(np.int64)
         at = np.flatnonzero(np.concatenate(([True], (key[1:] != key[:-1]) | (v[1:] != v[:-1]) | (w[1:] != w[:-1]))))
         key, v, w, n = key[at], v[at], w[at], np.add.reduceat(n, at)
+        part = int(_part(key[:1], bits)[0])
         for name, stored in (("bigrams", n >= 2), ("singles", (n == 1) & singles)):
             rows = np.zeros(int(stored.sum()), _KINDS[name])
             rows["key"] = key[stored]
             if name == "bigrams":
                 rows["count"] = n[stored]
-            for lo, hi, k in _shards(rows["key"], bits) if len(rows) else ():
-                publish(f"{folder}/{name}-{k}", _columns(rows[lo:hi]))
+            if len(rows):
+                publish(f"{folder}/{name}-{part}", _columns(rows))
         none = np.zeros(len(v))
-        yield _partial(1, *_sums(np.concatenate((v, w)), *(np.concatenate(x) for x in ((n == 1, none), (n == 2, none), (n >= 3, none), (none, none + 1), (none, n)))))
-        sizes, how_many = np.unique(np.minimum(n, 5), return_counts=True)
-        yield _partial(3, sizes, how_many)
+        words, known = _sums(np.concatenate((v, w)), [np.concatenate(x) for x in ((n == 1, none), (n == 2, none), (n >= 3, none), (none, none + 1), (none, n))])
+        yield _packed(_part(words, bits), [words, *known], _WORDS)
+        sizes = np.bincount(np.minimum(n, 5), minlength=6)[1:5]
+        yield _packed(np.full(1, -1), [np.zeros(1), *(sizes[k : k + 1] for k in range(4)), np.zeros(1)], _WORDS)
 
     return run
 
@@ -168,21 +205,29 @@ class Model:
     bigram_discount: np.ndarray
     word_discount: np.ndarray
     rest: float
+    singles: bool
     maps: dict = field(default_factory=dict, repr=False)
 
+    def taken(self) -> np.ndarray:
+        """What a bigram of count 0, 1, 2, and 3 or more leaves to the back-off: all of it where it is not stored."""
+        d = self.bigram_discount
+        return d if self.singles else np.array([0, 1, d[2], d[3]])
+
     def shard(self, name: str, k: int) -> dict[str, np.ndarray]:
-        """Read-only maps of the columns of a shard; no rows if nothing was filed there."""
-        if (name, k) not in self.maps:
+        """Read-only maps of the columns of a shard; no rows if nothing was filed there. The map used longest ago gives way."""
+        if (held := self.maps.pop((name, k), None)) is None:
             path, kind = f"{self.folder}/{name}-{k}", _KINDS[name]
             n = os.path.getsize(path) // kind.itemsize if os.path.exists(path) else 0
             whole = np.memmap(path, np.uint8, "r") if n else np.zeros(0, np.uint8)
-            columns, at = {}, 0
+            held, at = {}, 0
             for column in kind.names:
                 width = kind[column].itemsize * n
-                columns[column] = whole[at : at + width].view(kind[column])
+                held[column] = whole[at : at + width].view(kind[column])
                 at += width
-            self.maps[name, k] = columns
-        return self.maps[name, k]
+            if len(self.maps) >= MAPS:
+                self.maps.pop(next(iter(self.maps)))
+        self.maps[name, k] = held
+        return held
 
     def look_up(self, name: str, keys: np.ndarray, columns: tuple[str, ...]) -> list[np.ndarray]:
         """Values for ascending distinct keys, 1 for a column that is not stored; 0 where a key is absent."""
@@ -202,29 +247,38 @@ class Model:
 
 
 _KINDS = {
-    "words": np.dtype([("key", "<u8"), ("count", "<f8"), ("kinds", "<f8"), ("backoff", "<f4")]),
+    "words": np.dtype([("key", "<u8"), ("count", "<u8"), ("kinds", "<u8"), ("one", "<u4"), ("two", "<u4"), ("three", "<u4")]),
     "bigrams": np.dtype([("key", "<u8"), ("count", "<f4")]),
     "singles": np.dtype([("key", "<u8")]),
 }
+_FIELDS = ("n1", "n2", "n3", "n4", "n3p", "types", "n", "kinds", "b1", "b2", "b3", "b4")
 
 
-def _file_words(folder: str, bits: int, taken: np.ndarray):
+def _file_words(folder: str, bits: int):
+    """Adds up a part's words and files them; gives numbers for the discounts."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [[batch.column(i).to_numpy() for i in range(6)] for batch in batches]
-        if not held:
-            return
-        key, one, two, three, kinds, count = (np.concatenate(x) for x in zip(*held, strict=True))
-        rows = np.zeros(len(key), _KINDS["words"])
-        rows["key"], rows["count"], rows["kinds"] = key.view(np.uint64), count, kinds
-        rows["backoff"] = taken[1] * one + taken[2] * two + taken[3] * three
-        rows.sort(order="key")
-        for lo, hi, k in _shards(rows["key"], bits):
-            publish(f"{folder}/words-{k}", _columns(rows[lo:hi]))
-        of = [int((kinds == c).sum()) for c in (1, 2, 3, 4)]
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([x], pa.float64()) for x in (*of, float((kinds >= 3).sum()), float((count > 0).sum()), count.sum(), kinds.sum())],
-            ["n1", "n2", "n3", "n4", "n3p", "types", "n", "kinds"],
-        )
+        found = dict.fromkeys(_FIELDS, 0.0)
+        parts: dict[int, list[pa.RecordBatch]] = {}
+        for batch in batches:
+            for k in set(batch.column("part").to_pylist()):
+                parts.setdefault(k, []).append(batch.filter(pa.array([x == k for x in batch.column("part").to_pylist()])))
+        for part, own in parts.items():
+            key, *values = _unpacked(iter(own), _WORDS)
+            if part < 0:
+                for name, x in zip(("b1", "b2", "b3", "b4"), values, strict=False):
+                    found[name] += float(x.sum())
+                continue
+            key, (one, two, three, kinds, count) = _sums(key, values)
+            rows = np.zeros(len(key), _KINDS["words"])
+            for name, x in (("key", key), ("count", count), ("kinds", kinds), ("one", one), ("two", two), ("three", three)):
+                rows[name] = x
+            publish(f"{folder}/words-{part}", _columns(rows))
+            for k in (1, 2, 3, 4):
+                found[f"n{k}"] += float((kinds == k).sum())
+            for name, x in (("n3p", kinds >= 3), ("types", count > 0), ("n", count), ("kinds", kinds)):
+                found[name] += float(x.sum())
+        yield pa.RecordBatch.from_arrays([pa.array([found[c]]) for c in _FIELDS], list(_FIELDS))
 
     return run
 
@@ -234,43 +288,20 @@ def _columns(rows: np.ndarray) -> bytes:
     return b"".join(np.ascontiguousarray(rows[c]).tobytes() for c in rows.dtype.names)
 
 
-def _shards(keys: np.ndarray, bits: int):
-    marks = (keys >> np.uint64(64 - bits)).astype(np.int64)
-    starts = np.flatnonzero(np.concatenate(([True], marks[1:] != marks[:-1])))
-    return [(int(lo), int(hi), int(marks[lo])) for lo, hi in zip(starts, np.append(starts[1:], len(keys)), strict=True)]
-
-
 def train(training: DataFrame, text_col: str = "text", entries: int = 2_000_000, singles: bool = False) -> Model:
-    """Counts all rows and files the model. `entries`: about how many a writing task gets, which bounds its memory."""
+    """Counts all rows and files the model. `entries`: about how many tokens a writing task gets, which bounds its memory."""
     spark = training.sparkSession
     size = training.agg(F.count(F.lit(1)).alias("texts"), F.sum(F.octet_length(F.col(text_col).cast("binary"))).alias("bytes")).first()
     about = size["texts"] + (size["bytes"] or 0) / 6  # six bytes a word
-    tasks = max(2, int(np.ceil(np.log2(max(2.0, about / entries)))))
-    bits = min(16, tasks + 2)  # more shards than tasks deal out more evenly
-    root = scratch(spark, "lm-model")
-    folder = mounted(root)
-    mark = lambda c: F.shiftrightunsigned(c, 64 - bits)
-    dealt = bigram_counts(training, text_col).repartition(1 << tasks, mark(F.col("v").bitwiseXOR(F.col("w"))))
-    parts, parts_path = written(dealt.mapInArrow(_file_bigrams(folder, bits, singles), _PARTIAL), "lm-counts")
-    totals = {r["a"]: r["x"] for r in parts.where("kind = 3").groupBy("a").agg(F.sum("x").alias("x")).collect()}
-    d = discounts(np.array([totals.get(c, 0.0) for c in range(1, 5)]))
-    columns = ("x", "y", "z", "kinds", "total")
-    words = (
-        parts.where("kind = 1")
-        .withColumn("mark", mark("a"))
-        .groupBy("mark", "a")
-        .agg(*[F.sum(c).alias(c) for c in columns])
-        .repartition(1 << tasks, "mark")
-        .select("a", *columns)
-    )
-    taken = d if singles else np.array([0, 1, d[2], d[3]])  # what each bigram leaves to the back-off, all of it where it is not stored
-    fields = "n1 double, n2 double, n3 double, n4 double, n3p double, types double, n double, kinds double"
-    s = words.mapInArrow(_file_words(folder, bits, taken), fields).agg(*[F.sum(c.split()[0]).alias(c.split()[0]) for c in fields.split(", ")]).first()
-    remove(spark, parts_path)
-    g = lambda c: s[c] or 0.0
-    e = discounts(np.array([g("n1"), g("n2"), g("n3"), g("n4")]))
-    rest = e[1] * g("n1") + e[2] * g("n2") + e[3] * g("n3p")
-    return Model(folder, bits, g("n"), g("types"), g("kinds"), float(size["texts"]), d, e, rest)
+    bits = min(MOST_BITS, max(2, int(np.ceil(np.log2(max(2.0, about / entries))))))
+    folder = mounted(scratch(spark, "lm-model"))
+    filed = bigram_counts(training, bits, text_col).repartitionById(1 << bits, "part").mapInArrow(_file_bigrams(folder, bits, singles), _MESSAGE)
+    # the numbers of counts (part -1) go along with the first words
+    words = filed.repartitionById(1 << bits, F.greatest("part", F.lit(0))).mapInArrow(_file_words(folder, bits), ", ".join(f"{c} double" for c in _FIELDS))
+    s = words.agg(*[F.coalesce(F.sum(c), F.lit(0.0)).alias(c) for c in _FIELDS]).first()
+    d, e = (discounts(np.array([s[f"{c}{k}"] for k in (1, 2, 3, 4)])) for c in "bn")
+    rest = e[1] * s["n1"] + e[2] * s["n2"] + e[3] * s["n3p"]
+    return Model(folder, bits, s["n"], s["types"], s["kinds"], float(size["texts"]), d, e, rest, singles)
 
 
 def score_texts(texts: list[np.ndarray], m: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -279,7 +310,8 @@ def score_texts(texts: list[np.ndarray], m: Model) -> tuple[np.ndarray, np.ndarr
     w = np.concatenate(texts)
     v = _before(w, lengths)
     seen, at = np.unique(np.append(w, FIRST), return_inverse=True)
-    count, kinds, backoff = m.look_up("words", seen, ("count", "kinds", "backoff"))
+    count, kinds, *begun = m.look_up("words", seen, ("count", "kinds", "one", "two", "three"))
+    backoff = sum(d * n for d, n in zip(m.taken()[1:], begun, strict=True))
     followed = np.where(seen == FIRST, m.first, count)  # a word is followed by something each time it occurs, the start mark in each text
     weight = np.where(followed > 0, backoff / np.maximum(followed, 1), 1.0)
     lower = (kinds - m.word_discount[np.minimum(kinds, 3).astype(int)] + m.rest / (m.types + 1)) / m.kinds if m.kinds else np.ones(len(seen))
