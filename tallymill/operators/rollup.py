@@ -1,4 +1,4 @@
-"""Sums of `tokens` at three levels in one scan: all, per tool, per tool and key."""
+"""Sums of `tokens` at three levels from one scan: all, per tool, per tool and key."""
 
 from __future__ import annotations
 
@@ -20,6 +20,11 @@ SUMS = {
 }
 
 
+def _day(text: Column) -> Column:
+    """A date as a day, so that sums with first and last days stay in hash aggregates; null for text that is no date."""
+    return F.when(F.rlike(text, F.lit("^[0-9]{4}-[0-9]{2}-[0-9]{2}$")), text.try_cast("date"))
+
+
 def _measured(tokens: DataFrame) -> DataFrame:
     return tokens.withColumns(
         {
@@ -28,8 +33,8 @@ def _measured(tokens: DataFrame) -> DataFrame:
             "_read": F.col("cache_read_tokens"),
             "_output": F.col("output_tokens"),
             "_cost": cost_numerator(),
-            "_first": F.col("date"),
-            "_last": F.col("date"),
+            "_first": _day(F.col("date")),
+            "_last": _day(F.col("date")),
         }
     )
 
@@ -37,20 +42,21 @@ def _measured(tokens: DataFrame) -> DataFrame:
 def levels(tokens: DataFrame, keys: list[str]) -> DataFrame:
     """Columns tool, the keys, `_level` (0 detail, 1 tool, 2 all) and the sums. Level 2 is one row even without input.
 
-    The tool level and the details come from one Expand; the grand total adds up the tool rows, whose exchange it reuses.
+    The rows are scanned and added up once, by tool and keys; the two other levels add up those sums, and read the same
+    exchange again.
     """
     columns = ["tool", *[k for k in keys if k != "tool"]]
-    sets = _measured(tokens).groupingSets([["tool"], columns], *columns)
-    grouped = sets.agg(F.grouping(columns[-1]).alias("_level"), *[f(name).alias(name) for name, f in SUMS.items()])
-    tool = grouped.where("_level = 1")
-    again = {name: F.sum if f is F.count else f for name, f in SUMS.items()}
-    whole = tool.agg(*[f(name).alias(name) for name, f in again.items()]).select(
-        *[F.lit(ALL).alias(c) for c in columns], F.lit(2).alias("_level"), F.coalesce("_turns", F.lit(0)).alias("_turns"), *list(SUMS)[1:]
-    )
-    named = grouped.select(
-        "tool", *[F.when(F.col("_level") == 1, ALL).otherwise(F.col(c)).alias(c) for c in columns[1:]], F.col("_level").cast("int").alias("_level"), *SUMS
-    )
-    return named.unionByName(whole)
+    detail = _measured(tokens).groupBy(*columns).agg(*[f(name).alias(name) for name, f in SUMS.items()])
+    again = [(F.sum if f is F.count else f)(name).alias(name) for name, f in SUMS.items()]
+    tool = detail.groupBy("tool").agg(*again)
+    whole = detail.agg(*again).withColumns({"tool": F.lit(ALL), "_turns": F.coalesce("_turns", F.lit(0))})
+
+    def named(rows: DataFrame, level: int) -> DataFrame:
+        own = [F.lit(ALL).alias(c) if level else F.col(c) for c in columns[1:]]
+        return rows.select("tool", *own, F.lit(level).alias("_level"), *SUMS)
+
+    text = {c: F.col(c).cast("string") for c in ("_first", "_last")}
+    return named(detail, 0).unionByName(named(tool, 1)).unionByName(named(whole, 2)).withColumns(text)
 
 
 def summary() -> list[Column]:

@@ -1,29 +1,23 @@
 """The log readers run over logs made from `events`, so that their rows can be held against SQL on the same table.
 
 The logs are written as JSON lines to a folder below spark.checkpoint.dir, which driver and executors share, or to a
-temporary one where that is unset (local runs).
+temporary one where that is unset (local runs). One column of counts is written as text, which the readers take too.
 """
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallymill.sources.cache import TokenCache, Tree
 from tallymill.sources.session_logs import read_claude, read_codex, read_gemini
+from tallymill.sources.storage import Files, shared_dir
 
 
 def _folder(spark: SparkSession) -> str:
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if shared:
-        return f"{shared.rstrip('/')}/logs-{uuid.uuid4().hex}"
-    place = tempfile.mkdtemp(prefix="tallymill-logs-")
-    atexit.register(shutil.rmtree, place, ignore_errors=True)
-    return place + "/logs"
+    return f"{shared_dir(spark)}/logs-{uuid.uuid4().hex}"
 
 
 def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -34,11 +28,12 @@ def _n(factor: int):
     return F.floor(F.col("value") * factor).cast("int")
 
 
-def ingest_claude_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _claude_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Turns with and without usage, side chains, synthetic and unnamed models, and three kinds of working folders."""
     e = F.col("event_id")
-    usage = F.struct(_n(10).alias("input_tokens"), _n(1).alias("output_tokens"), F.when(e % 2 == 0, _n(5)).alias("cache_creation_input_tokens"), _n(80).alias("cache_read_input_tokens"))
-    lines = _events(spark, sf_dir).select(
+    usage = F.struct(_n(10).alias("input_tokens"), _n(1).alias("output_tokens"), F.when(e % 2 == 0, _n(5)).alias("cache_creation_input_tokens"), _n(80).cast("string").alias("cache_read_input_tokens"))
+    return _events(spark, sf_dir).select(
+        "user_id",
         F.when(e % 10 == 9, "user").otherwise("assistant").alias("type"),
         F.when(e % 3 == 0, F.concat(F.lit("/home/u/Proj"), (e % 20).cast("string"))).when(e % 3 == 1, F.concat(F.lit("C:\\w\\Win"), (e % 7).cast("string"))).otherwise("").alias("cwd"),
         F.concat(F.lit("s"), F.col("user_id").cast("string")).alias("sessionId"),
@@ -46,8 +41,11 @@ def ingest_claude_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(e % 5 == 0, e % 15 == 0).alias("isSidechain"),
         F.struct(F.when(e % 17 == 0, "<synthetic>").when(e % 19 != 0, F.concat(F.lit("claude-"), (e % 4).cast("string"))).alias("model"), F.when(e % 13 != 0, usage).alias("usage")).alias("message"),
     )
+
+
+def ingest_claude_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = f"{_folder(spark)}/projects/Main"
-    lines.write.json(folder)
+    _claude_lines(spark, sf_dir).drop("user_id").write.json(folder)
     return read_claude(spark, [folder]).drop("source_file")
 
 
@@ -93,11 +91,31 @@ def ingest_gemini_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_gemini(spark, [folder]).drop("source_file")
 
 
-QUERIES = {"ingest_claude_logs": ingest_claude_logs, "ingest_codex_logs": ingest_codex_logs, "ingest_gemini_logs": ingest_gemini_logs}
+def incremental_refresh(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cache over one folder of logs a user: filed once, then refreshed after some folders are gone and some have a second log."""
+    place = _folder(spark)
+    root, lines = f"{place}/logs", _claude_lines(spark, sf_dir)
+    lines.repartition("user_id").write.partitionBy("user_id").json(root)
+    cache, files = TokenCache(spark, f"{place}/cache", [Tree("Claude Code", root, "*.json")]), Files(spark)
+    cache.load()
+    for name in files.names(root):
+        if name.startswith("user_id=") and int(name.split("=")[1]) % 10 == 1:
+            files.delete(f"{root}/{name}")
+    lines.where("user_id % 10 = 3").repartition("user_id").write.mode("append").partitionBy("user_id").json(root)
+    return cache.load().groupBy("session").agg(F.count(F.lit(1)).alias("turns"), F.sum("total_tokens").alias("total_tokens"))
+
+
+QUERIES = {"incremental_refresh": incremental_refresh, "ingest_claude_logs": ingest_claude_logs, "ingest_codex_logs": ingest_codex_logs, "ingest_gemini_logs": ingest_gemini_logs}
 
 _PARTS = "CAST(floor(value * 10) AS INTEGER) AS i, CAST(floor(value) AS INTEGER) AS o, CAST(floor(value * 5) AS INTEGER) AS w, CAST(floor(value * 80) AS INTEGER) AS r"
 
 ORACLE_SQL = {
+    "incremental_refresh": f"""
+WITH e AS (SELECT *, {_PARTS} FROM events), twice AS (SELECT 0 AS again UNION ALL SELECT 1)
+SELECT 's' || CAST(user_id AS VARCHAR) AS session, CAST(count(*) AS BIGINT) AS turns, CAST(sum(i + o + r + CASE WHEN event_id % 2 = 0 THEN w ELSE 0 END) AS BIGINT) AS total_tokens
+FROM e JOIN twice ON again = 0 OR user_id % 10 = 3
+WHERE user_id % 10 != 1 AND event_id % 10 != 9 AND NOT (event_id % 5 = 0 AND event_id % 15 = 0) AND event_id % 17 != 0 AND event_id % 19 != 0 AND event_id % 13 != 0 AND event_id % 23 != 0
+GROUP BY user_id""",
     "ingest_claude_logs": f"""
 WITH e AS (SELECT *, {_PARTS} FROM events), c AS (
   SELECT *, CASE WHEN event_id % 2 = 0 THEN w ELSE 0 END AS cw,

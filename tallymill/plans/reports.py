@@ -31,7 +31,9 @@ def by_date(tokens: DataFrame, limit: int | None = 50) -> DataFrame:
 
 def by_model(tokens: DataFrame, limit: int | None = None) -> DataFrame:
     """Details leave out rows without a model name; the totals do not. `limit` is accepted and not used."""
-    rows = levels(tokens, ["model"]).where((F.col("_level") > 0) | (F.col("model") != "")).select("model", "tool", *summary(), "_total")
+    # the condition reads a sum too, so it stays above the sums and all levels read one exchange
+    named = F.when(F.col("_turns") > 0, F.col("model") != "")
+    rows = levels(tokens, ["model"]).where((F.col("_level") > 0) | named).select("model", "tool", *summary(), "_total")
     return rows.orderBy(*_summaries_first("model"), F.col("_total").desc(), "model", "tool").drop("_total")
 
 

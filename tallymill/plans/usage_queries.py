@@ -13,7 +13,7 @@ from tallymill.operators import filters
 from tallymill.operators.rollup import levels
 from tallymill.plans import charts, reports
 from tallymill.plans.standin import TOKENS_SQL, tokens
-from tallymill.sources.session_logs import counter_deltas
+from tallymill.sources import session_logs
 
 #: A fixed day, so that relative dates give the same rows every day.
 TODAY = date(2024, 3, 1)
@@ -89,12 +89,12 @@ def billable_tokens(t: DataFrame) -> DataFrame:
 
 def fmt_boundaries(t: DataFrame) -> DataFrame:
     n = F.explode(F.array(*[F.lit(x).cast("long") for x in BOUNDS])).alias("n")
-    return t.limit(1).select(n).select("n", fmt(F.col("n")).alias("text"))
+    return t.sparkSession.range(1).select(n).select("n", fmt(F.col("n")).alias("text"))
 
 
 def fmtcost_boundaries(t: DataFrame) -> DataFrame:
     n = F.explode(F.array(*[F.lit(float(x)) for x in COSTS])).alias("n")
-    return t.limit(1).select(n).select("n", fmtcost(F.col("n")).alias("text"))
+    return t.sparkSession.range(1).select(n).select("n", fmtcost(F.col("n")).alias("text"))
 
 
 BOUNDS = (0, 42, 999, 1000, 9700, 30650, 999950, 1000000, 883400000, 999999999, 1500000000, 10000000000000, -5)
@@ -112,7 +112,7 @@ def codex_delta_lag(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("event_id") % 11 == 0, F.lit(None).cast("long")).otherwise(running).alias("running"),
         F.when(F.col("event_id") % 7 == 0, F.lit(None).cast("long")).otherwise(step).alias("last"),
     )
-    return counter_deltas(entries, "user_id", ("ts", "event_id"), "running", "last").select("user_id", "event_id", F.col("delta").alias("total_tokens"))
+    return session_logs.counter_deltas(entries, "user_id", ("ts", "event_id"), "running", "last").select("user_id", "event_id", F.col("delta").alias("total_tokens"))
 
 
 def codex_left_join_fanout(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -120,22 +120,20 @@ def codex_left_join_fanout(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = tokens(spark, sf_dir).where("tool = 'Codex'")
     headers = spark.range(40).selectExpr("concat('/logs/', id % 30, '.jsonl') AS source_file", "concat('head', id) AS header")
     stem = F.regexp_extract("source_file", r"([^/]+)[.]jsonl", 1)
-    joined = t.join(headers, "source_file", "left").select(F.coalesce("header", stem).alias("project"), "total_tokens")
+    joined = session_logs.with_headers(t, headers).select(F.coalesce("header", stem).alias("project"), "total_tokens")
     return joined.groupBy("project").agg(F.count(F.lit(1)).alias("turns"), F.sum("total_tokens").alias("total_tokens"))
 
 
 def project_from_path(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
-    own = F.nullif(F.split_part("url", F.lit("/"), F.lit(-1)), F.lit(""))
     host = F.regexp_extract("url", "://([^/]+)", 1)
-    return pages.select("page_id", F.lower(F.coalesce(own, host)).alias("project"))
+    return pages.select("page_id", session_logs.project_of(F.col("url"), host).alias("project"))
 
 
 def hashed_project(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
     folder = F.when(F.col("page_id") % 2 == 0, F.sha2(F.col("url").cast("binary"), 256)).otherwise(F.concat(F.lit("Site"), F.col("page_id").cast("string")))
-    hashed = F.rlike(folder, F.lit("^[0-9a-f]{64}$"))
-    return pages.select("page_id", F.when(hashed, F.substring(folder, 1, 8)).otherwise(F.lower(folder)).alias("project"))
+    return pages.select("page_id", session_logs.hashed_project(folder).alias("project"))
 
 
 def json_field(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -151,8 +149,8 @@ def explode_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def model_not_synthetic(t: DataFrame) -> DataFrame:
-    model = F.nullif(F.col("model"), F.lit(""))
-    return t.withColumn("model", model).where(F.col("model") != "claude-haiku-4").groupBy("model").agg(F.count(F.lit(1)).alias("turns"))
+    model = F.when(F.col("model") == "claude-haiku-4", "<synthetic>").when(F.col("model") != "", F.col("model"))
+    return t.withColumn("model", model).where(session_logs.named_model(F.col("model"))).groupBy("model").agg(F.count(F.lit(1)).alias("turns"))
 
 
 def since_null_dates(t: DataFrame) -> DataFrame:

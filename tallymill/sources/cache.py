@@ -1,27 +1,31 @@
 """A Parquet copy of all `tokens` rows that is refreshed file by file.
 
-The unit is a log file, told apart by tool, modification time in nanoseconds and size. Rows of changed and deleted files
-are dropped, changed and new files are read again. Every state is written to a folder of its own; the manifest names that
-folder and is replaced in one step afterwards, so a reader sees the old state or the new one.
+The unit is a log file, told apart by tool, modification time and size. Rows are filed by a hash of their log's path into
+`PARTS` parts. A refresh reads changed and new logs and writes anew only the parts that hold a changed or deleted one; every
+part is written to a folder of its own, which is never overwritten. The state is a manifest that names the logs and the
+folder of each part. Manifests are numbered and each is published whole; the last that can be read counts, so a
+reader sees the old state or the new one, and logs and cache may lie in any store that Spark reads.
 """
 
 from __future__ import annotations
 
 import json
 import os
-import shutil
 import uuid
+import zlib
 from collections.abc import Callable
 from dataclasses import dataclass
-from pathlib import Path
+from fnmatch import fnmatch
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallymill.sources import schemas
 from tallymill.sources.session_logs import read_all
+from tallymill.sources.storage import Files
 
-VERSION = 2
+VERSION = 3
+PARTS = 32
 
 
 @dataclass(frozen=True)
@@ -47,16 +51,24 @@ class Snapshot:
     size: int
 
 
-def scan(trees: list[Tree]) -> dict[str, Snapshot]:
-    """Every log file under the trees. A tree that stops being readable contributes what was seen until then."""
+@dataclass(frozen=True)
+class State:
+    """The logs that are filed, and the folder of each part that has rows."""
+
+    number: int
+    files: dict[str, Snapshot]
+    parts: dict[int, str]
+
+
+def scan(spark: SparkSession, trees: list[Tree]) -> dict[str, Snapshot]:
+    """Every log file under the trees. A tree that cannot be read contributes nothing."""
     found: dict[str, Snapshot] = {}
     for tree in trees:
         try:
-            for path in Path(tree.root).rglob(tree.pattern):
-                stat = path.stat()
-                found[path.as_posix()] = Snapshot(tree.tool, stat.st_mtime_ns, stat.st_size)
-        except OSError:
+            seen = Files(spark).under(tree.root, tree.pattern.rsplit("/", 1)[-1])
+        except Exception:  # noqa: BLE001 - a store that is away must not hide the other tools
             continue
+        found |= {path: Snapshot(tree.tool, changed, size) for path, changed, size in seen if fnmatch(path, f"*/{tree.pattern}")}
     return found
 
 
@@ -72,58 +84,83 @@ def _by_tool(files: dict[str, Snapshot], paths) -> dict[str, list[str]]:
     return grouped
 
 
+def part_of(path: str) -> int:
+    """The part that a log's rows are filed in."""
+    return zlib.crc32(path.encode()) % PARTS
+
+
 class TokenCache:
     def __init__(self, spark: SparkSession, folder: str, trees: list[Tree], reader: Callable[..., DataFrame] = read_all):
-        self.spark, self.folder, self.trees, self.reader = spark, Path(folder), trees, reader
-        self.manifest = self.folder / "tokens.meta.json"
+        self.spark, self.folder, self.trees, self.reader, self.store = spark, folder.rstrip("/"), trees, reader, Files(spark)
         #: What the last load did, for timing output.
         self.steps: list[str] = []
 
-    def _known(self) -> tuple[dict[str, Snapshot], str] | None:
-        """Files and data folder of the stored state; None if there is none that can be used."""
-        try:
-            raw = json.loads(self.manifest.read_text())
-            if raw["version"] != VERSION:
+    def _manifests(self) -> list[int]:
+        """Numbers of the manifests that are there, the last first."""
+        named = [n[len("manifest-") : -len(".json")] for n in self.store.names(self.folder) if fnmatch(n, "manifest-*.json")]
+        return sorted((int(n) for n in named if n.isdigit()), reverse=True)
+
+    def manifest(self, number: int) -> str:
+        return f"{self.folder}/manifest-{number}.json"
+
+    def state(self) -> State | None:
+        """The stored state; None if there is none that can be used."""
+        for number in self._manifests()[:1]:
+            try:
+                raw = json.loads(self.store.read(self.manifest(number)))
+                if raw["version"] != VERSION:
+                    return None
+                files = {p: Snapshot(str(s["tool"]), int(s["mtime_ns"]), int(s["size"])) for p, s in raw["files"].items()}
+                parts = {int(k): f"{self.folder}/{name}" for k, name in raw["parts"].items()}
+                return State(number, files, parts) if all(map(self.store.exists, parts.values())) else None
+            except (ValueError, KeyError, TypeError, AttributeError):
                 return None
-            files = {p: Snapshot(str(s["tool"]), int(s["mtime_ns"]), int(s["size"])) for p, s in raw["files"].items()}
-            data = str(self.folder / raw["data"])
-            return (files, data) if os.path.isdir(data) else None
-        except (OSError, ValueError, KeyError, TypeError, AttributeError):
-            return None
-
-    def _store(self, tokens: DataFrame, files: dict[str, Snapshot]) -> DataFrame:
-        self.folder.mkdir(parents=True, exist_ok=True)
-        name = f"tokens-{uuid.uuid4().hex}"
-        tokens.write.option("compression", "zstd").parquet(str(self.folder / name))
+        return None
+
+    def _stored(self, folders) -> DataFrame:
+        paths = sorted(folders)
+        return self.spark.read.schema(schemas.TOKENS).parquet(*paths) if paths else self.spark.createDataFrame([], schemas.TOKENS)
+
+    def _file(self, tokens: DataFrame, files: dict[str, Snapshot], touched: set[int], kept: dict[int, str]) -> DataFrame:
+        """Writes the touched parts, publishes a manifest with them and the kept ones, and drops what it no longer names."""
+        name = f"rows-{uuid.uuid4().hex}"
+        part = F.pmod(F.crc32(F.col("source_file").cast("binary")), F.lit(PARTS)).cast("int")
+        tokens.withColumn("part", part).repartition("part").write.option("compression", "zstd").partitionBy("part").parquet(f"{self.folder}/{name}")
+        there = {int(n.split("=")[1]) for n in self.store.names(f"{self.folder}/{name}") if n.startswith("part=")}
+        parts = {k: v for k, v in kept.items() if k not in touched} | {k: f"{self.folder}/{name}/part={k}" for k in there}
+        number = max(self._manifests(), default=0) + 1
         listed = {p: {"tool": s.tool, "mtime_ns": s.mtime_ns, "size": s.size} for p, s in sorted(files.items())}
-        part = self.folder / f"{name}.json"
-        part.write_text(json.dumps({"version": VERSION, "data": name, "files": listed}, separators=(",", ":")))
-        os.replace(part, self.manifest)
-        for old in self.folder.glob("tokens-*"):
-            if old.name != name:
-                shutil.rmtree(old, ignore_errors=True)
-        return self._stored(str(self.folder / name))
-
-    def _stored(self, data: str) -> DataFrame:
-        return self.spark.read.schema(schemas.TOKENS).parquet(data)
+        named = {str(k): v[len(self.folder) + 1 :] for k, v in sorted(parts.items())}
+        self.store.publish(self.manifest(number), json.dumps({"version": VERSION, "files": listed, "parts": named}, separators=(",", ":")))
+        for old in self._manifests():
+            if old != number:
+                self.store.delete(self.manifest(old))
+        used = {v.split("/")[0] for v in named.values()}
+        for old in self.store.names(self.folder):
+            if old.startswith("rows-") and old not in used:
+                self.store.delete(f"{self.folder}/{old}")
+        for k in touched:
+            if k in kept and self.store.exists(kept[k]) and kept[k] not in parts.values():
+                self.store.delete(kept[k])
+        return self._stored(parts.values())
 
     def load(self, refresh: bool = False) -> DataFrame:
         self.steps = []
-        files = scan(self.trees)
-        known = None if refresh else self._known()
-        if known is not None and "source_file" not in self.spark.read.parquet(known[1]).columns:
+        files = scan(self.spark, self.trees)
+        known = None if refresh else self.state()
+        if known is not None and known.parts and "source_file" not in self.spark.read.parquet(next(iter(known.parts.values()))).columns:
             known = None
         if known is None:
             self.steps.append("rebuild")
-            return self._store(self.reader(self.spark, _by_tool(files, files)), files)
-        before, data = known
-        changed = [p for p, s in files.items() if before.get(p) != s]
-        gone = [p for p in before if p not in files]
+            return self._file(self.reader(self.spark, _by_tool(files, files)), files, set(range(PARTS)), {})
+        changed = [p for p, s in files.items() if known.files.get(p) != s]
+        gone = [p for p in known.files if p not in files]
         self.steps.append("load cache")
-        tokens = self._stored(data)
         if not changed and not gone:
-            return tokens
-        stale = sorted({*gone, *(p for p in changed if p in before)})
+            return self._stored(known.parts.values())
+        touched = {part_of(p) for p in (*changed, *gone)}
+        tokens = self._stored(v for k, v in known.parts.items() if k in touched)
+        stale = sorted({*gone, *(p for p in changed if p in known.files)})
         if stale:
             self.steps.append("drop changed rows")
             marked = self.spark.createDataFrame([(p,) for p in stale], "source_file string")
@@ -131,9 +168,4 @@ class TokenCache:
         if changed:
             self.steps.append("append changed files")
             tokens = tokens.unionByName(self.reader(self.spark, _by_tool(files, changed)))
-        return self._store(tokens, files)
-
-
-def with_all_tools(tokens: DataFrame) -> DataFrame:
-    """Rows per file and tool, a summary of what the cache holds."""
-    return tokens.groupBy("tool", "source_file").agg(F.count(F.lit(1)).alias("rows"), F.sum("total_tokens").alias("total_tokens"))
+        return self._file(tokens, files, touched, known.parts)

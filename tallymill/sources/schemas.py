@@ -18,12 +18,13 @@ TOKENS = T.StructType(
     ]
 )
 
+#: Counts are read as text, so that a number in quotes counts as well.
 CLAUDE = (
     "type string, cwd string, sessionId string, timestamp string, isSidechain boolean, message struct<model: string, "
-    "usage: struct<input_tokens: int, output_tokens: int, cache_creation_input_tokens: int, cache_read_input_tokens: int>>"
+    "usage: struct<input_tokens: string, output_tokens: string, cache_creation_input_tokens: string, cache_read_input_tokens: string>>"
 )
 CODEX = (
-    "type string, timestamp string, payload struct<cwd: string, type: string, info: struct<total_token_usage: struct<total_tokens: bigint>, "
-    "last_token_usage: struct<total_tokens: bigint, input_tokens: int, output_tokens: int, cached_input_tokens: int>>>"
+    "type string, timestamp string, payload struct<cwd: string, type: string, info: struct<total_token_usage: struct<total_tokens: string>, "
+    "last_token_usage: struct<total_tokens: string, input_tokens: string, output_tokens: string, cached_input_tokens: string>>>"
 )
-GEMINI = "sessionId string, messages array<struct<timestamp: string, model: string, tokens: struct<input: int, output: int, cached: int, total: int>>>"
+GEMINI = "sessionId string, messages array<struct<timestamp: string, model: string, tokens: struct<input: string, output: string, cached: string, total: string>>>"

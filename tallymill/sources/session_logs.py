@@ -12,45 +12,69 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallymill.sources import schemas
+from tallymill.sources.storage import plain_path
 
 
 def _path() -> Column:
-    """The file's plain path with forward slashes, as the manifest has it."""
-    plain = F.regexp_replace(F.col("_metadata.file_path"), "^file:/+", "/")
-    return F.replace(F.url_decode(F.replace(plain, F.lit("+"), F.lit("%2B"))), F.lit("\\"), F.lit("/"))
+    """The file's path as the manifest has it."""
+    return plain_path("_metadata.file_path")
 
 
 def _last_segment(path: Column) -> Column:
     return F.split_part(path, F.lit("/"), F.lit(-1))
 
 
+def _whole(field: str, kind: str = "int") -> Column:
+    """A whole number that a log may give as a number or as text; other values are null."""
+    return F.col(field).try_cast("decimal(20,0)").try_cast(kind)
+
+
 def _count(field: str) -> Column:
-    return F.coalesce(F.col(field), F.lit(0))
+    return F.coalesce(_whole(field), F.lit(0))
 
 
 def _empty(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([], schemas.TOKENS)
 
 
+def project_of(folder: Column, otherwise: Column) -> Column:
+    """The last part of a working folder of either kind of path, in lower case; another name where that is empty."""
+    return F.lower(F.coalesce(F.nullif(_last_segment(F.replace(folder, F.lit("\\"), F.lit("/"))), F.lit("")), otherwise))
+
+
+def hashed_project(folder: Column) -> Column:
+    """A folder named by a hash is shortened to eight digits; others are in lower case."""
+    return F.when(F.rlike(folder, F.lit("^[0-9a-f]{64}$")), F.substring(folder, 1, 8)).otherwise(F.lower(folder))
+
+
+def named_model(model: Column) -> Column:
+    """Whether a turn came from a model: not from a synthetic one, and not from one unknown."""
+    return model != "<synthetic>"
+
+
+def with_headers(steps: DataFrame, headers: DataFrame) -> DataFrame:
+    """Steps of a file once for each of its headers; a file without one stays."""
+    return steps.join(headers, "source_file", "left")
+
+
 def read_claude(spark: SparkSession, files: Sequence[str]) -> DataFrame:
     """One row per assistant turn with usage, outside side chains and synthetic models; unknown models do not count."""
     wanted = [f for f in files if "/subagents/" not in f.replace("\\", "/")]
     if not wanted:
         return _empty(spark)
     log = spark.read.schema(schemas.CLAUDE).json(wanted).withColumn("source_file", _path())
-    own = _last_segment(F.replace("cwd", F.lit("\\"), F.lit("/")))
     folder = F.regexp_extract("source_file", "projects/([^/]+)/", 1)
     kept = log.where(
         (F.col("type") == "assistant")
         & (F.col("isSidechain").isNull() | ~F.col("isSidechain"))
-        & (F.col("message.model") != "<synthetic>")
+        & named_model(F.col("message.model"))
         & F.col("message.usage").isNotNull()
         & F.col("timestamp").isNotNull()
     )
     usage = "message.usage."
     rows = kept.select(
         F.lit("Claude Code").alias("tool"),
-        F.lower(F.coalesce(F.nullif(own, F.lit("")), folder)).alias("project"),
+        project_of(F.col("cwd"), folder).alias("project"),
         F.col("sessionId").alias("session"),
         F.substring("timestamp", 1, 10).alias("date"),
         F.col("message.model").alias("model"),
@@ -102,15 +126,15 @@ def read_codex(spark: SparkSession, files: Sequence[str], dedupe_session_meta: b
         "source_file",
         "timestamp",
         "_line",
-        info["total_token_usage"]["total_tokens"].alias("_running"),
-        info["last_token_usage"]["total_tokens"].alias("_last"),
+        _whole("payload.info.total_token_usage.total_tokens", "long").alias("_running"),
+        _whole("payload.info.last_token_usage.total_tokens", "long").alias("_last"),
         _count("payload.info.last_token_usage.input_tokens").alias("input_tokens"),
         _count("payload.info.last_token_usage.output_tokens").alias("output_tokens"),
         _count("payload.info.last_token_usage.cached_input_tokens").alias("cache_read_tokens"),
     )
     steps = counter_deltas(entries, "source_file", ("timestamp", "_line"), "_running", "_last")
     stem = F.regexp_extract("source_file", r"([^/]+)[.]jsonl", 1)
-    return steps.join(headers, "source_file", "left").select(
+    return with_headers(steps, headers).select(
         F.lit("Codex").alias("tool"),
         F.lower(F.coalesce("_project", stem)).alias("project"),
         stem.alias("session"),
@@ -131,14 +155,13 @@ def read_gemini(spark: SparkSession, files: Sequence[str]) -> DataFrame:
         return _empty(spark)
     chats = spark.read.schema(schemas.GEMINI).json(list(files), multiLine=True)
     said = chats.select("sessionId", _path().alias("source_file"), F.explode("messages").alias("m")).where(
-        F.col("m.tokens").isNotNull() & (F.col("m.tokens.total") > 0)
+        F.col("m.tokens").isNotNull() & (_whole("m.tokens.total") > 0)
     )
     own = F.nullif(F.regexp_extract("source_file", r"\.gemini/tmp/([^/]+)/", 1), F.lit(""))  # before any other folder of that name
     folder = F.coalesce(own, F.regexp_extract("source_file", "tmp/([^/]+)/", 1))
-    project = F.when(F.rlike(folder, F.lit("^[0-9a-f]{64}$")), F.substring(folder, 1, 8)).otherwise(F.lower(folder))
     return said.select(
         F.lit("Gemini").alias("tool"),
-        project.alias("project"),
+        hashed_project(folder).alias("project"),
         F.col("sessionId").alias("session"),
         F.substring("m.timestamp", 1, 10).alias("date"),
         F.col("m.model").alias("model"),
@@ -146,7 +169,7 @@ def read_gemini(spark: SparkSession, files: Sequence[str]) -> DataFrame:
         _count("m.tokens.output").alias("output_tokens"),
         F.lit(0).alias("cache_write_tokens"),
         _count("m.tokens.cached").alias("cache_read_tokens"),
-        F.col("m.tokens.total").cast("long").alias("total_tokens"),
+        _whole("m.tokens.total", "long").alias("total_tokens"),
         "source_file",
     )
 

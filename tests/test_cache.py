@@ -7,7 +7,9 @@ import pytest
 
 from tallymill import cli
 from tallymill.sources import schemas
-from tallymill.sources.cache import TokenCache, Tree, default_trees, newest, scan
+from tallymill.sources.cache import TokenCache, Tree, default_trees, newest, part_of, scan
+from tallymill.sources.session_logs import read_claude, read_codex
+from tallymill.sources.storage import shared_dir
 
 FIELDS = "project string, session string, date string, model string, input_tokens int, output_tokens int, cache_write_tokens int, cache_read_tokens int, total_tokens long"
 
@@ -20,60 +22,84 @@ def toy(spark, by_tool):
 
 
 class Place:
+    """A folder of logs, each one line, and a cache over it."""
+
     def __init__(self, spark, tmp_path):
         self.root, self.clock = tmp_path / "logs", 1
         self.root.mkdir()
         self.cache = TokenCache(spark, str(tmp_path / "cache"), [Tree("Toy", str(self.root), "*.jsonl")], toy)
 
-    def put(self, name, project, total):
+    def put(self, name, total):
         path = self.root / f"{name}.jsonl"
-        path.write_text(json.dumps({"project": project, "date": "2026-03-15", "total_tokens": total}) + "\n")
+        path.write_text(json.dumps({"project": f"of {name}", "date": "2026-03-15", "total_tokens": total}) + "\n")
         self.clock += 1
         os.utime(path, ns=(self.clock * 10**9, self.clock * 10**9))
 
-    def rows(self, refresh=False):
-        return sorted((r.project, r.total_tokens) for r in self.cache.load(refresh).collect())
+    def drop(self, name):
+        (self.root / f"{name}.jsonl").unlink(missing_ok=True)
+
+    def totals(self, refresh=False):
+        return {r.project.removeprefix("of "): r.total_tokens for r in self.cache.load(refresh).collect()}
+
+    def parts(self):
+        """Where each part lies."""
+        return dict(self.cache.state().parts)
+
+    def manifest(self):
+        return self.cache.manifest(self.cache._manifests()[0])
 
 
 @pytest.fixture
 def place(spark, tmp_path):
     p = Place(spark, tmp_path)
-    p.put("a", "alpha", 3)
-    p.put("b", "beta", 9)
+    for k, name in enumerate(["north", "south", "east", "west"]):
+        p.put(name, 10 * k + 1)
     return p
 
 
-def test_refresh_by_file(place):
-    assert place.rows() == [("alpha", 3), ("beta", 9)] and place.cache.steps == ["rebuild"]
-    assert place.rows() == [("alpha", 3), ("beta", 9)] and place.cache.steps == ["load cache"]
-    place.put("b", "beta", 30)
-    assert place.rows() == [("alpha", 3), ("beta", 30)] and place.cache.steps[1:] == ["drop changed rows", "append changed files"]
-    (place.root / "b.jsonl").unlink()
-    assert place.rows() == [("alpha", 3)] and place.cache.steps[1:] == ["drop changed rows"]
-    assert len(list(place.cache.folder.glob("tokens-*"))) == 1
+FIRST = {"north": 1, "south": 11, "east": 21, "west": 31}
+
 
+def test_only_touched_parts_are_written(place):
+    assert place.totals() == FIRST and place.cache.steps == ["rebuild"]
+    before = place.parts()
+    assert place.totals() == FIRST and place.cache.steps == ["load cache"] and place.parts() == before
+    place.put("south", 500)
+    place.put("up", 7)
+    place.drop("west")
+    assert place.totals() == {"north": 1, "south": 500, "east": 21, "up": 7}
+    assert place.cache.steps == ["load cache", "drop changed rows", "append changed files"]
+    touched = {part_of(str(place.root / f"{n}.jsonl")) for n in ("south", "up", "west")}
+    after = place.parts()
+    assert {k for k in before.keys() | after.keys() if before.get(k) != after.get(k)} == touched & (before.keys() | after.keys())
+    # nothing is left that the last state does not name
+    there = {f"{place.cache.folder}/{n}" for n in place.cache.store.names(place.cache.folder) if n.startswith("rows-")}
+    assert there == {p.rsplit("/", 1)[0] for p in after.values()} and len(place.cache._manifests()) == 1
+    place.drop("north")
+    assert place.totals() == {"south": 500, "east": 21, "up": 7} and place.cache.steps == ["load cache", "drop changed rows"]
 
-@pytest.mark.parametrize("broken", ["{", '{"version":1,"files":{}}', '{"version":2}', "[]"])
+
+@pytest.mark.parametrize("broken", ["{", '{"version":1,"files":{}}', '{"version":3}', "[]", '{"version":3,"files":{},"parts":{"1":"rows-gone/part=1"}}'])
 def test_broken_manifest(place, broken):
-    place.rows()
-    place.cache.manifest.write_text(broken)
-    assert place.rows() == [("alpha", 3), ("beta", 9)] and place.cache.steps == ["rebuild"]
+    place.totals()
+    number = place.cache._manifests()[0] + 1
+    place.cache.store.publish(place.cache.manifest(number), broken)
+    assert place.totals() == FIRST and place.cache.steps == ["rebuild"]
 
 
 def test_explicit_refresh_and_no_files(place):
-    place.rows()
-    assert place.rows(refresh=True) == [("alpha", 3), ("beta", 9)] and place.cache.steps == ["rebuild"]
-    for f in place.root.glob("*"):
-        f.unlink()
-    assert place.rows(refresh=True) == []
+    place.totals()
+    assert place.totals(refresh=True) == FIRST and place.cache.steps == ["rebuild"]
+    for name in FIRST:
+        place.drop(name)
+    assert place.totals(refresh=True) == {} and place.totals() == {}
 
 
 def test_old_cache_without_source_file(place, spark):
-    place.rows()
-    manifest = json.loads(place.cache.manifest.read_text())
-    data = str(place.cache.folder / manifest["data"])
-    spark.range(1).write.mode("overwrite").parquet(data)
-    assert place.rows() == [("alpha", 3), ("beta", 9)] and place.cache.steps == ["rebuild"]
+    place.totals()
+    for folder in place.parts().values():
+        spark.range(1).write.mode("overwrite").parquet(folder)
+    assert place.totals() == FIRST and place.cache.steps == ["rebuild"]
 
 
 def test_incremental_equals_rebuild(place):
@@ -82,10 +108,10 @@ def test_incremental_equals_rebuild(place):
         for name in "abcd":
             step = chance.random()
             if step < 0.4:
-                place.put(name, f"p{name}", chance.randint(1, 99))
+                place.put(name, chance.randint(1, 99))
             elif step < 0.6:
-                (place.root / f"{name}.jsonl").unlink(missing_ok=True)
-        assert place.rows() == place.rows(refresh=True)
+                place.drop(name)
+        assert place.totals() == place.totals(refresh=True)
 
 
 def _home(tmp_path):
@@ -99,14 +125,17 @@ def _home(tmp_path):
     return str(tmp_path)
 
 
-def test_scan(tmp_path):
-    files = scan(default_trees(_home(tmp_path)))
+def test_scan(spark, tmp_path):
+    files = scan(spark, default_trees(_home(tmp_path)))
     assert len(files) == 2 and newest(files) > 0 and newest({}) == 0.0
+    assert all(os.stat(p).st_size == s.size and os.stat(p).st_mtime_ns // 10**6 == s.mtime_ns // 10**6 for p, s in files.items())
+    assert scan(spark, [Tree("Toy", str(tmp_path / "nowhere"), "*.json")]) == {}
 
 
 def test_cli(spark, tmp_path, capsys):
     args = ["--home", _home(tmp_path / "home"), "--cache", str(tmp_path / "cache")]
-    run = lambda *more: cli.main([*args, *more], spark, date(2026, 3, 16))
+    reports = {"Claude Code": '{"plan": "default_claude_max_5x"}', "Codex": None, "Gemini": '{"account_quota": {"user_tier": "g1-pro-tier"}}'}
+    run = lambda *more: cli.main([*args, *more], spark, date(2026, 3, 16), lambda: reports)
     assert run("--table") == 0 and "proj" in capsys.readouterr().out
     assert run("--table", "--tool", "gemini", "--by", "model") == 0
     out = capsys.readouterr().out
@@ -115,6 +144,10 @@ def test_cli(spark, tmp_path, capsys):
     shown = capsys.readouterr()
     assert "9.7k" in shown.out and "load cache" in shown.err
     assert run("--share", "--subscription", "20") == 0 and "of AI compute this week for $20.0/mo" in capsys.readouterr().out
+    assert run("--share", "--debug-timing") == 0  # without a price, what the tools report counts
+    shown = capsys.readouterr()
+    assert "of AI compute this week for $120.0/mo" in shown.out and "Claude Code: max_5x, $100 a month" in shown.err
+    assert run("--table", "--profile") == 0 and "cumulative" in capsys.readouterr().err
     assert cli.main(["--home", str(tmp_path / "none"), "--cache", str(tmp_path / "empty")], spark) == 1
 
 
@@ -122,3 +155,33 @@ def test_version(capsys):
     with pytest.raises(SystemExit):
         cli.main(["--version"])
     assert "tallymill" in capsys.readouterr().out
+
+
+def test_numbers_in_quotes(spark, tmp_path):
+    """Counts may stand in quotes; what is no number counts as missing."""
+    log = tmp_path / "projects/p/session.jsonl"
+    log.parent.mkdir(parents=True)
+    turn = {"type": "assistant", "sessionId": "s", "timestamp": "2026-03-15T01:02", "cwd": "/x/Proj"}
+    usage = [{"input_tokens": "12", "output_tokens": 7}, {"input_tokens": "many", "output_tokens": 1.0, "cache_read_input_tokens": "3"}]
+    log.write_text("\n".join(json.dumps({**turn, "message": {"model": "m", "usage": u}}) for u in usage))
+    got = sorted((r.input_tokens, r.output_tokens, r.cache_read_tokens, r.total_tokens) for r in read_claude(spark, [str(log)]).collect())
+    assert got == [(0, 1, 3, 4), (12, 7, 0, 19)]
+    log = tmp_path / "rollout.jsonl"
+    info = {"total_token_usage": {"total_tokens": "90"}, "last_token_usage": {"total_tokens": "40", "input_tokens": "30"}}
+    log.write_text(json.dumps({"type": "event_msg", "timestamp": "2026-03-15T01", "payload": {"type": "token_count", "info": info}}))
+    assert [(r.total_tokens, r.input_tokens) for r in read_codex(spark, [str(log)]).collect()] == [(40, 30)]
+
+
+def test_shared_folder(spark, monkeypatch):
+    assert shared_dir(spark) == spark.conf.get("spark.checkpoint.dir")
+
+    class Remote:
+        class conf:
+            get = staticmethod(lambda name, default: default)
+
+        class sparkContext:
+            master = "spark://host:7077"
+            getCheckpointDir = staticmethod(lambda: None)
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared_dir(Remote)
