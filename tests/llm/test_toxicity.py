@@ -1,3 +1,4 @@
+import math
 import random
 
 from tallymill.llm import toxicity
@@ -40,3 +41,48 @@ def test_without_labels(spark):
     assert {r.predicted for r in toxicity.score(docs, toxicity.train(docs, none)).collect()} == {0}
     only = spark.createDataFrame([(1, 0)], "doc_id long, toxic int")
     assert toxicity.score(docs.where("false"), toxicity.train(docs, only)).count() == 0
+
+
+def accuracy(spark, rows, held):
+    """Share of held-out rows that a machine trained on the others predicts right, by their group."""
+    docs = spark.createDataFrame([(i, t) for i, t, _, _ in rows], "doc_id long, text string")
+    marks = spark.createDataFrame([(i, y) for i, _, y, _ in rows], "doc_id long, toxic int")
+    machine = toxicity.train(docs.where(f"not ({held})"), marks.where(f"not ({held})"))
+    got = {r.doc_id: r for r in toxicity.score(docs.where(held), machine).collect()}
+    right = {}
+    for i, _, y, group in rows:
+        if i in got:
+            right.setdefault(group, []).append(got[i].predicted == y)
+    return machine, {k: sum(v) / len(v) for k, v in right.items()}, got
+
+
+def test_a_word_that_takes_the_sting_out(spark):
+    """Toxic where the insult stands without `quoting`."""
+    chance, rows = random.Random(3), []
+    for i in range(2400):
+        words, group = chance.choices(BENIGN, k=40), i % 8
+        words += {0: ["scumbag"], 1: ["scumbag", "quoting"], 2: ["quoting"]}.get(group, [])
+        chance.shuffle(words)
+        rows.append((i, " ".join(words), int(group == 0), {0: "insult", 1: "quoted", 2: "quoting"}.get(group, "clean")))
+    machine, right, got = accuracy(spark, rows, "doc_id % 10 = 7 or doc_id % 10 = 2 or doc_id % 10 = 9")
+    assert right["insult"] >= 0.95 and right["quoted"] >= 0.95 and right["quoting"] >= 0.95 and right["clean"] >= 0.95
+
+
+def test_a_label_of_two_words_together(spark):
+    """Toxic where two words stand together or both are missing; neither says anything by itself."""
+    chance, rows = random.Random(5), []
+    for i in range(2400):
+        words, one, two = chance.choices(BENIGN, k=30), chance.random() < 0.5, chance.random() < 0.5
+        words += ["alpha"] * one + ["omega"] * two
+        chance.shuffle(words)
+        rows.append((i, " ".join(words), int(one == two), "all"))
+    machine, right, got = accuracy(spark, rows, "doc_id % 4 = 2")
+    assert right["all"] >= 0.9
+    # the score is the machine's formula, term by term and pair by pair
+    names = {x: i for i, x in enumerate(machine.index)}
+    for i, text, _, _ in rows:
+        if i in got:
+            held = sorted({names[b] for w in text.split() for b in toxicity.terms(w, machine.bits) if b in names})
+            z = machine.intercept + sum(machine.linear[k] for k in held)
+            z += sum(machine.factors[a] @ machine.factors[b] for n, a in enumerate(held) for b in held[n + 1 :])
+            assert abs(got[i].score - 1 / (1 + math.exp(-z))) < 1e-9
