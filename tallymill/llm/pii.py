@@ -1,10 +1,11 @@
 r"""Personal data by weak supervision, with built-in functions only.
 
 Candidates are spans of four strict patterns (email, ip, card, phone; those that pass their check are the base spans) and
-of looser ones: phone numbers without a country code, emails that are spelt out, identity numbers, names after a title.
-Five labelers vote +1, 0 or -1 on each: the strict pattern, a format check, a gazetteer (domains, country codes, issuers,
-first names), cue words to the left, and the characters at both ends. Votes are counted by pattern of votes; there are at
-most 6 x 3^5 patterns, whatever the input. Expectation-maximisation over these counts estimates how often each labeler
+of looser ones: phone numbers without a country code, emails that are spelt out, identity numbers, names after a title,
+assigned secrets (keys, tokens, passwords) and bank account numbers. Five labelers vote +1, 0 or -1 on each: the pattern
+(the strict one, or a shape that issuers give to their keys), a format check (lengths, check digits, mix of characters), a
+gazetteer (domains, country codes, issuers, first names, names of secrets, bank countries), cue words to the left, and the
+characters at both ends. Votes are counted by pattern of votes; there are at most 8 x 3^5 patterns, whatever the input. Expectation-maximisation over these counts estimates how often each labeler
 votes which way on true and false spans, without labelled data, and a logistic regression (the final span classifier)
 learns the resulting probabilities from kind and votes. Base spans always stay; others are added where the classifier
 gives at least one half and they overlap no base span.
@@ -13,7 +14,9 @@ Spans come from splitting a text at the matches of a pattern: the lengths of the
 places. The running sums are taken in runs of about the square root of their number, so texts with very many matches stay
 cheap. Patterns never backtrack over a repeated group, so very long texts neither take quadratic time nor a deep stack.
 
-Defined results: a null text counts as empty; repeated rows get equal results; an empty table gives an empty result;
+Only the value of a secret is a span, not its name or its quotes; a secret has 16 to 256 characters.
+
+Defined results: very long texts are read whole; a null text counts as empty; repeated rows get equal results; an empty table gives an empty result;
 without candidates of one class the classifier adds nothing; other columns are ignored. Places count code points.
 """
 
@@ -26,11 +29,12 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tallymill.llm import gazetteers
 from tallymill.llm.common import written
 
 KINDS = ("email", "ip", "card", "phone")
-LOOSE = ("email", "phone", "ident", "name")
-ALL = ("email", "ip", "card", "phone", "ident", "name")
+LOOSE = ("email", "phone", "ident", "name", "secret", "iban")
+ALL = ("email", "ip", "card", "phone", "ident", "name", "secret", "iban")
 VOTES = ("regex", "format", "gazetteer", "context", "border")
 
 #: Strict patterns. A single separator between digits stands as U+0001 in the text that `card` reads.
@@ -45,14 +49,13 @@ LOOSER = {
     "phone": r"(?<![0-9+().-])(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9.-])",
     "ident": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
     "name": r"(?<![A-Za-z])(?:Mr|Mrs|Ms|Dr|Prof|Herr|Frau|Mme|Sr|Sra)\.? \p{Lu}\p{Ll}{1,30}+(?: \p{Lu}\p{Ll}{1,30}+)?",
+    "secret": rf"(?:(?<=[=:] {{0,2}}[\"'`]?)(?<![A-Za-z0-9+/_=-])[A-Za-z0-9][A-Za-z0-9+/_=-]{{15,255}}+|(?<![A-Za-z0-9+/_=-])(?:{'|'.join(gazetteers.KEYS)}))(?![A-Za-z0-9+/_=-])",
+    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}+(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
 }
-#: Gazetteers: ends of host names, country codes, first digits of card issuers, frequent first names.
-DOMAINS = "com|org|net|edu|gov|io|info|biz|de|fr|es|uk|eu|it|nl|ch|at|be|us|ca|mx|br|jp|cn|in|au"
-COUNTRIES = "1|20|27|30|31|32|33|34|36|39|40|41|43|44|45|46|47|48|49|51|52|54|55|56|57|60|61|62|63|64|65|66|7|81|82|84|86|90|91|92"
-ISSUERS = "[23456]"
-NAMES = "James|Mary|John|Anna|Peter|Paul|Maria|Thomas|Michael|Sarah|David|Laura|Hans|Jean|Marie|Pierre|Juan|Carlos|Carmen|Klaus"
+DOMAINS, COUNTRIES, ISSUERS, NAMES, BANKS, KEYS = map("|".join, (gazetteers.DOMAINS, gazetteers.COUNTRIES, gazetteers.ISSUERS, gazetteers.NAMES, gazetteers.BANKS, gazetteers.KEYS))
+SECRETS = "|".join(x.replace(" ", "[_ -]?") for x in gazetteers.SECRETS)
 #: Words to the left that speak for and against a span.
-FOR = "mail|contact|write to|reach|phone|tel|call|mobile|fax|card|visa|credit|payment|host|server|address|ssn|social|name|kontakt|anruf|karte|adresse|correo|llama|tarjeta|carte|appel"
+FOR = "mail|contact|write to|reach|phone|tel|call|mobile|fax|card|visa|credit|payment|host|server|address|ssn|social|name|iban|bank|account|token|secret|password|key|kontakt|konto|compte|cuenta|anruf|karte|adresse|correo|llama|tarjeta|carte|appel"
 AGAINST = "version|isbn|issn|chapter|section|page|figure|invoice|order no|serial|build|doi"
 _PART = "0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]{1,2})"
 
@@ -113,6 +116,14 @@ def luhn(digits: Column) -> Column:
     return F.aggregate(each, F.lit(0), lambda n, x: n + F.when(x > 9, x - 9).otherwise(x)) % 10 == 0
 
 
+def mod97(account: Column) -> Column:
+    """Whether the check digits of a bank account number are right."""
+    plain = F.regexp_replace(account, " ", "")
+    turned = F.concat(F.substring(plain, F.lit(5), F.length(plain)), F.substring(plain, F.lit(1), F.lit(4)))
+    value = lambda c: F.ascii(c) - F.when(F.ascii(c) >= 65, 55).otherwise(48)
+    return F.aggregate(F.split(turned, ""), F.lit(0), lambda n, c: (n * F.when(value(c) > 9, 100).otherwise(10) + value(c)) % 97) == 1
+
+
 def _passes(kind: str, m: Column) -> Column:
     n = F.length(_digits(m))
     if kind == "ip":
@@ -146,6 +157,8 @@ def _votes(kind: str, strict: bool, x: Column) -> list[Column]:
         "phone": _vote((n >= 10) & (n <= 13), n < 8),
         "ident": _vote(~F.rlike(m, F.lit("^(?:000|666|9)|-00-|0000$")), F.rlike(m, F.lit("^(?:000|666|9)|-00-|0000$"))),
         "name": _vote(F.rlike(m, F.lit(r"^\S+ \S+ \S+$"))),
+        "secret": _vote(F.rlike(m, F.lit("[0-9]")) & F.rlike(m, F.lit("[A-Za-z]")) & (F.size(F.array_distinct(F.split(m, ""))) >= 8), ~F.rlike(m, F.lit("[0-9]")) | ~F.rlike(m, F.lit("[A-Za-z]"))),
+        "iban": _vote(mod97(m), ~mod97(m)),
     }
     gazetteers = {
         "email": _vote(F.rlike(F.lower(m), F.lit(rf"[.\])] ?(?:{DOMAINS})$"))),
@@ -154,10 +167,13 @@ def _votes(kind: str, strict: bool, x: Column) -> list[Column]:
         "phone": _vote(F.rlike(m, F.lit(rf"^\+(?:{COUNTRIES})"))),
         "ident": F.lit(0),
         "name": _vote(F.rlike(m, F.lit(rf" (?:{NAMES})\b"))),
+        "secret": _vote(F.rlike(x["left"], F.lit(rf"(?:^|[^a-z])(?:[a-z0-9]{{1,20}}[_-])?(?:{SECRETS})[\"'`]? {{0,2}}(?:=|:|=>|:=) {{0,2}}[\"'`]?$"))),
+        "iban": _vote(F.rlike(m, F.lit(f"^(?:{BANKS})")), ~F.rlike(m, F.lit(f"^(?:{BANKS})"))),
     }
+    shape = F.when(F.rlike(m, F.lit(rf"^(?:{KEYS}|(?:[0-9a-f]{{32}}|[0-9a-f]{{40}}|[0-9a-f]{{64}}))$")), 1).otherwise(0) if kind == "secret" else F.lit(1 if strict else 0)
     context = _vote(F.rlike(x["left"], F.lit(FOR)) & ~F.rlike(x["left"], F.lit(AGAINST)), F.rlike(x["left"], F.lit(AGAINST)))
     border = _vote(~F.rlike(x["ends"], F.lit(r"[\p{L}\p{N}_@]")), F.rlike(x["ends"], F.lit(r"[\p{L}\p{N}_@]")))
-    return [F.lit(1 if strict else 0), forms[kind], gazetteers[kind], context, border]
+    return [shape, forms[kind], gazetteers[kind], context, border]
 
 
 def _voted(kind: str, strict: bool, spans: Column, text: Column) -> Column:
@@ -202,7 +218,9 @@ def expectation_maximisation(patterns: list[tuple[str, tuple[int, ...], int]], r
     """The probability that a span is true, by kind and votes, from how many spans have which.
 
     Each labeler has a table of how often it votes which way on true and on false spans; tables and the share of true
-    spans of each kind are estimated in turn with the probabilities. The start is the majority of the votes.
+    spans of each kind are estimated in turn with the probabilities. The start is the majority of the votes. Labelers are
+    taken to be no worse than chance: a vote for a span never speaks against it, a vote against it never for it, and no vote
+    lies between the two. Without that, two kinds of true spans that differ in their votes could be told apart as true and false.
     """
     weight = {(k, v): n for k, v, n in patterns}
     belief = {key: min(0.95, max(0.05, 0.5 + 0.2 * sum(key[1]))) for key in weight}
@@ -216,9 +234,12 @@ def expectation_maximisation(patterns: list[tuple[str, tuple[int, ...], int]], r
             for (k, votes), n in weight.items():
                 cells[1, votes[i]] += n * belief[k, votes]
                 cells[0, votes[i]] += n * (1 - belief[k, votes])
-            tables.append({(c, v): x / sum(cells[c, u] for u in (-1, 0, 1)) for (c, v), x in cells.items()})
+            share = {(c, v): x / sum(cells[c, u] for u in (-1, 0, 1)) for (c, v), x in cells.items()}
+            down, none, up = (math.log(share[1, v] / share[0, v]) for v in (-1, 0, 1))
+            down, up = min(down, 0.0), max(up, 0.0)
+            tables.append({-1: down, 0: min(max(none, down), up), 1: up})
         for k, votes in weight:
-            odds = math.log(prior[k] / (1 - prior[k])) + sum(math.log(t[1, v] / t[0, v]) for t, v in zip(tables, votes, strict=True))
+            odds = math.log(prior[k] / (1 - prior[k])) + sum(t[v] for t, v in zip(tables, votes, strict=True))
             belief[k, votes] = 1 / (1 + math.exp(-max(-50.0, min(50.0, odds))))
     return belief
 
@@ -261,8 +282,11 @@ def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 
 def digests(found: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """Counts of base spans by kind, a digest of them, and all spans as text."""
+    """Counts of base spans by kind, a digest of them, all spans as text, their number, and the number of those that were added."""
     listed = lambda a: F.array_join(F.transform(a, lambda x: F.concat_ws(":", x["kind"], x["s"].cast("string"), x["e"].cast("string"))), ",")
     base = F.filter("found", lambda x: x["base"])
     counts = [F.size(F.filter("found", _based(k))).cast("long").alias(f"n_{k}") for k in KINDS]
-    return found.select(id_col, *counts, F.sha2(listed(base).cast("binary"), 256).alias("base_sha256"), listed("found").alias("spans"))
+    return found.select(
+        id_col, *counts, F.sha2(listed(base).cast("binary"), 256).alias("base_sha256"), listed("found").alias("spans"),
+        F.size("found").cast("long").alias("n_spans"), F.size(F.filter("found", lambda x: ~x["base"])).cast("long").alias("n_added"),
+    )
