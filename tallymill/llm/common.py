@@ -5,13 +5,15 @@ from __future__ import annotations
 import atexit
 import os
 import shutil
-import tempfile
 import uuid
+from contextlib import contextmanager
 from urllib.parse import unquote, urlparse
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallymill.sources.storage import Files, shared_dir
+
 #: A word: a maximal run of characters that are neither a space nor one of U+0009 to U+000D.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -20,42 +22,55 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def text_or_empty(name: str = "text") -> Column:
-    return F.coalesce(F.col(name), F.lit(""))
-
-
 def word_count(text: Column) -> Column:
     """Number of words of a text; 0 for null."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
 def fold(column: Column, modulus: int) -> Column:
-    """crc32 of a key written as text, modulo `modulus`: the hold-out rule of the queries."""
-    return F.crc32(column.cast("string").cast("binary")) % modulus
+    """crc32 of a key written as text (null: empty), modulo `modulus`: the hold-out rule of the queries."""
+    return F.crc32(F.coalesce(column.cast("string"), F.lit("")).cast("binary")) % modulus
+
+
+def with_groups(
+    rows: DataFrame, groups: DataFrame, key: list[str], size: str, spread: Column, total: int | None = None, hot_rows: int = 100_000, most_hot: int = 100_000
+) -> DataFrame:
+    """Left join of rows with groups, one row a key, whose column `size` tells how many rows the key has: adds `_group`, a struct of
+    the group's columns, and `_spread`, 0 or a hash of `spread`.
+
+    No key brings more rows to a task than `hot_rows` or, if more, the `most_hot`th part of all rows: larger groups come to
+    their rows by broadcast, and the rows are dealt on by `_spread` too. So fewer than `most_hot` groups are broadcast,
+    whatever the input. `total`: the sum of the sizes, counted here where it is not known.
+    """
+    values = F.struct(*[F.col(c) for c in groups.columns if c not in key])
+    if total is None:
+        total = groups.agg(F.sum(size)).first()[0] or 0
+    limit = max(hot_rows, total // most_hot + 1)
+    hot = groups.where(F.col(size) > limit).select(*key, values.alias("_hot"))
+    rest = groups.where(F.col(size) <= limit).select(*key, F.lit(0).cast("long").alias("_spread"), values.alias("_rest"))
+    dealt = rows.join(F.broadcast(hot), key, "left").withColumn("_spread", F.when(F.col("_hot").isNull(), F.lit(0).cast("long")).otherwise(F.xxhash64(spread)))
+    return dealt.join(rest, [*key, "_spread"], "left").withColumn("_group", F.coalesce("_hot", "_rest")).drop("_hot", "_rest")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where that is unset (local runs)."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named:
-        sc = spark.sparkContext
-        named = sc.getCheckpointDir()
-        if not named:
-            sc.setCheckpointDir(tempfile.mkdtemp(prefix="tallymill-shared-"))
-            named = sc.getCheckpointDir()
-    return named.rstrip("/")
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a folder that `scratch` named."""
+    if path in _made:
+        _made.remove(path)
+    Files(spark).delete(path)
 
 
-def _hadoop_path(spark: SparkSession, path: str):
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    return target, target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+#: Folders that are there until the program ends or `scratch_scope` does.
+_made: list[str] = []
 
 
-def remove(spark: SparkSession, path: str) -> None:
-    """Deletes a folder that `scratch` named."""
-    target, system = _hadoop_path(spark, path)
-    system.delete(target, True)
+@contextmanager
+def scratch_scope(spark: SparkSession):
+    """Deletes what operators wrote to the shared folder inside it, once their result has been written: `with scratch_scope(spark) as
+    keep: ...`; a path given to `keep` stays."""
+    before, kept = len(_made), []
+    yield kept.append
+    for path in [p for p in _made[before:] if p not in kept]:
+        remove(spark, path)
 
 
 def _remove_at_exit(spark: SparkSession, path: str) -> None:
@@ -69,8 +84,9 @@ def _remove_at_exit(spark: SparkSession, path: str) -> None:
 
 
 def scratch(spark: SparkSession, label: str) -> str:
-    """A new path in the shared folder, deleted when the program ends."""
+    """A new path in the shared folder, deleted when the program ends or a `scratch_scope` around it does."""
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    _made.append(path)
     atexit.register(_remove_at_exit, spark, path)
     return path
 

@@ -1,13 +1,15 @@
 """Exact deduplication by skew-safe combining.
 
 Equal texts are combined three times, each time by comparing the full content (the text itself is a grouping key,
-its SHA-256 only spreads the rows): within each input partition (partial aggregation), within each of `salts`
-slices of a digest, and across the slices. A group of copies that holds a third of all rows therefore arrives at
-the last step as at most `salts` rows. Only built-in functions are used.
+its SHA-256 only spreads the rows): within each input partition (partial aggregation), then within each of `salts` slices
+of the input partitions, and across the slices. A group of copies that holds a third of all rows leaves one row in each
+partition, so neither of the two later steps gets more rows of it than partitions by `salts`, or `salts`. On the way back
+to the rows, groups of very many rows are broadcast, a proven number at most, and the others are joined by digest. Only
+built-in functions are used.
 
 Defined results: a null text counts as empty; of equal texts the largest id stays; null ids come last; a row that
 repeats id and text of another is a copy of it, and exactly one of the two is kept; an empty table gives an empty
-result; other columns are ignored by `exact_dedup` and carried along by `drop_exact_copies`.
+result; very long texts are compared whole; other columns are ignored by `exact_dedup` and carried along by `drop_exact_copies`.
 """
 
 from __future__ import annotations
@@ -15,24 +17,23 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallymill.llm.common import written
+from tallymill.llm.common import with_groups, written
 
 
 def sha256(text: Column) -> Column:
     return F.unhex(F.sha2(text.cast("binary"), 256))
 
 
-def _rows(docs: DataFrame, id_col: str, text_col: str, salts: int, digest) -> DataFrame:
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    return docs.select(F.col(id_col).alias("_id"), text.alias("_text")).select(
-        "_id", "_text", digest(F.col("_text")).alias("_digest"), F.pmod(F.xxhash64("_id"), F.lit(salts)).alias("_salt")
-    )
+def _slice(salts: int) -> Column:
+    """A slice of the input partitions: copies that one partition holds share it."""
+    return F.pmod(F.spark_partition_id(), F.lit(salts))
 
 
-def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", salts: int = 32, digest=sha256) -> DataFrame:
+def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", salts: int = 1024, digest=sha256) -> DataFrame:
     """One row per input row: id, keep_id, group_size, kept, text_sha256 (of the text; `digest` only spreads rows)."""
-    rows = _rows(docs, id_col, text_col, salts, digest)
-    sliced = rows.groupBy("_digest", "_salt", "_text").agg(F.max("_id").alias("_keep"), F.count(F.lit(1)).alias("_n"))
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    rows = docs.select(F.col(id_col).alias("_id"), text.alias("_text")).withColumn("_digest", digest(F.col("_text")))
+    sliced = rows.withColumn("_salt", _slice(salts)).groupBy("_digest", "_salt", "_text").agg(F.max("_id").alias("_keep"), F.count(F.lit(1)).alias("_n"))
     classes = (
         sliced.repartition("_digest")
         .groupBy("_digest", "_text")
@@ -42,32 +43,32 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         .withColumn("_text", F.when(F.col("_texts") > 1, F.col("_text")))
     )
     classes, _ = written(classes, "dedup-classes")
-    spread = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))).alias("_salt")
-    plain = classes.where("_texts = 1").select("_digest", spread, "_keep", "_n")
+    plain = classes.where("_texts = 1").select("_digest", "_keep", "_n")
     # the written class table cannot grow once read, so this is one count over a narrow table
-    clashing = classes.where("_texts > 1").select("_digest", "_text", "_keep", "_n")
+    clashing = classes.where("_texts > 1").select("_digest", "_text", F.struct("_keep", "_n").alias("_group"))
     if clashing.isEmpty():
-        narrow = rows.select("_id", "_digest", "_salt", F.sha2(F.col("_text").cast("binary"), 256).alias("_sha"))
-        joined = narrow.join(plain, ["_digest", "_salt"], "left")
+        narrow = rows.select("_id", "_digest", F.sha2(F.col("_text").cast("binary"), 256).alias("_sha"))
+        joined = with_groups(narrow, plain, ["_digest"], "_n", F.col("_id"))
     else:  # different texts with one digest: their rows are matched by the text itself
         narrow = rows.withColumn("_sha", F.sha2(F.col("_text").cast("binary"), 256))
         hit = clashing.select("_digest").distinct().withColumn("_hit", F.lit(True))
         narrow = narrow.join(hit, "_digest", "left")
-        one = narrow.where("_hit is null").drop("_hit", "_text").join(plain, ["_digest", "_salt"], "left")
-        two = narrow.where("_hit").drop("_hit").join(clashing, ["_digest", "_text"]).drop("_text")
+        one = with_groups(narrow.where("_hit is null").drop("_hit", "_text"), plain, ["_digest"], "_n", F.col("_id"))
+        two = narrow.where("_hit").drop("_hit").join(clashing, ["_digest", "_text"]).drop("_text").withColumn("_spread", F.lit(0).cast("long"))
         joined = one.unionByName(two)
-    copy = F.row_number().over(Window.partitionBy("_digest", "_salt", "_sha", "_id").orderBy(F.lit(0)))
-    keep = F.when(F.col("_n").isNull(), F.col("_id")).otherwise(F.col("_keep"))
+    # which of the rows that repeat an id and a text stays is arbitrary: they differ in nothing that counts
+    copy = F.row_number().over(Window.partitionBy("_digest", "_spread", "_sha", "_id").orderBy(F.lit(0)))
+    keep = F.when(F.col("_group").isNull(), F.col("_id")).otherwise(F.col("_group._keep"))
     return joined.withColumn("_copy", copy).select(
         F.col("_id").alias(id_col),
         keep.alias("keep_id"),
-        F.coalesce("_n", F.lit(1)).cast("long").alias("group_size"),
+        F.coalesce("_group._n", F.lit(1)).cast("long").alias("group_size"),
         (F.col("_id").eqNullSafe(keep) & (F.col("_copy") == 1)).alias("kept"),
         F.col("_sha").alias("text_sha256"),
     )
 
 
-def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", salts: int = 32) -> DataFrame:
+def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", salts: int = 1024) -> DataFrame:
     """The rows that stay, with all their columns: the same combining, the whole row travelling with its text."""
     columns = docs.columns
     rest = [F.col(f"`{c}`") for c in columns if c != text_col]
@@ -75,7 +76,7 @@ def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     rows = docs.select(
         text.alias("_text"),
         F.struct(F.col(id_col).alias("_key"), F.struct(*rest).alias("_rest"), F.col(text_col).isNull().alias("_null")).alias("_row"),
-    ).withColumns({"_digest": sha256(F.col("_text")), "_salt": F.pmod(F.xxhash64("_row._key"), F.lit(salts))})
+    ).withColumns({"_digest": sha256(F.col("_text")), "_salt": _slice(salts)})
     best = F.max_by("_row", F.struct("_row._key")).alias("_row")
     sliced = rows.groupBy("_digest", "_salt", "_text").agg(best)
     won = sliced.repartition("_digest").groupBy("_digest", "_text").agg(best)

@@ -44,3 +44,29 @@ def test_rows_that_stay(spark):
 
 def test_empty(docs):
     assert exact_dedup.exact_dedup(docs.where("false")).count() == 0 and exact_dedup.drop_exact_copies(docs.where("false")).count() == 0
+
+
+def test_clashing_columns_and_large_groups(spark, monkeypatch):
+    """Columns named like the result's or the operator's own are ignored; groups too large for one key's task come by broadcast."""
+    import functools
+
+    rows = [(i, t, i, "k", True, "s") for i, t in ROWS]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, keep_id long, _id string, kept boolean, _text string").repartition(3)
+    plain_rows = sorted(map(str, exact_dedup.exact_dedup(spark.createDataFrame(ROWS, "doc_id long, text string")).drop("kept").collect()))
+    assert sorted(map(str, exact_dedup.exact_dedup(docs).drop("kept").collect())) == plain_rows
+    monkeypatch.setattr(exact_dedup, "with_groups", functools.partial(exact_dedup.with_groups, hot_rows=3))
+    for digest in (exact_dedup.sha256, lambda c: F.substring(c, 1, 3)):
+        got = exact_dedup.exact_dedup(docs, digest=digest, salts=2)
+        assert sorted(map(str, got.drop("kept").collect())) == plain_rows
+        assert {r.n for r in got.groupBy("text_sha256").agg(F.sum(F.col("kept").cast("int")).alias("n")).collect()} == {1}
+
+
+def test_few_keys_are_broadcast(spark):
+    """The number of broadcast groups is bounded whatever the sizes."""
+    rows = spark.range(1000).selectExpr("id", "id % 10 AS k")
+    groups = rows.groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("least"))
+    for hot_rows, most_hot in ((1, 5), (1, 1000), (10**6, 10)):
+        got = exact_dedup.with_groups(rows, groups, ["k"], "n", F.col("id"), hot_rows=hot_rows, most_hot=most_hot)
+        assert [(r.id, r.k, r._group.n, r._group.least) for r in got.orderBy("id").collect()] == [(i, i % 10, 100, i % 10) for i in range(1000)]
+        hot = got.where("_spread <> 0").select("k").distinct().count()
+        assert hot <= most_hot and (hot == 10) == (hot_rows == 1 and most_hot == 1000)
