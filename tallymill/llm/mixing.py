@@ -7,11 +7,15 @@ in proportion and the words taken stay near the target.
 
 The running sum is distributed: documents fall into strata (leading two digits of the size, then a hash slice of the
 id), histograms of classes and of slices within a class give each stratum its first position, and only positions inside
-one stratum are counted by a window. A source with a third of all rows is spread over its strata. Positions and copies use 64-bit integers with
-`2**24` steps a copy, so no document gets more than ceil(rate) <= 3 copies through rounding.
+one stratum are counted by a window. A source with a third of all rows is spread over its strata. The words of a text are
+counted once, and once more where whole rows are carried along. Targets are found over the table of sources, by windows
+that run in one task. Positions are 64-bit integers; a copy is `2**24` steps, and whole and part are multiplied apart, so
+positions up to 2**38 within a source neither overflow nor give a document more than ceil(rate) <= 3 copies.
 
 Defined results: a null text has size 0; null sources are one source, last in order; a source of size 0 takes
-nothing; an empty table gives an empty result; repeated rows are drawn independently.
+nothing; very long texts are counted whole; an empty table gives an empty result; repeated rows are drawn independently.
+Rows of the same source, size and id stand in the order of a hash of the whole row where rows are carried along, so reruns
+agree; without, they differ in nothing that is returned, and their copies are the same as a set.
 """
 
 from __future__ import annotations
@@ -19,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallymill.llm.common import word_count
+from tallymill.llm.common import word_count, written
 
 STEPS = 1 << 24
 
@@ -73,7 +77,11 @@ def mix(
     rows = rows.withColumns({"_class": stratum, "_slice": hashed(F.coalesce(F.col("_id").cast("string"), F.lit("")), slices)})
     rows = rows.withColumn("_has", F.col("_source").isNotNull()).withColumn("_source", F.coalesce("_source", F.lit("")))
     key = ["_has", "_source", "_class", "_slice"]
+    if not carry:
+        rows, _ = written(rows, "mix-sizes")
     strata = rows.groupBy(*key).agg(F.count(F.lit(1)).alias("_n"), F.sum("size").alias("size"))
+    if carry:
+        strata, _ = written(strata, "mix-strata")
     before = lambda by, *keys: F.coalesce(
         F.sum("_n").over(Window.partitionBy(*keys).orderBy(by).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)
     )
@@ -96,9 +104,12 @@ def mix(
             }
         )
     )
-    whole = lambda k: F.shiftright(k * F.col("_rate") + F.col("_offset"), 24)
+    low = (1 << 24) - 1
+    # k * rate, with k's upper and lower half multiplied apart: (k >> 24) * rate is whole copies already
+    whole = lambda k: F.shiftright(k, 24) * F.col("_rate") + F.shiftright(k.bitwiseAND(low) * F.col("_rate") + F.col("_offset"), 24)
+    order = ["size", "_id", *([F.xxhash64("row")] if carry else [])]
     return (
-        rows.withColumn("_in", F.row_number().over(Window.partitionBy(*key).orderBy("size", "_id")))
+        rows.withColumn("_in", F.row_number().over(Window.partitionBy(*key).orderBy(*order)))
         .join(placed, key)
         .withColumn("_rank", F.col("_in") + F.col("_first"))
         .withColumn("copies", (whole(F.col("_rank")) - whole(F.col("_rank") - 1)).cast("long"))

@@ -60,3 +60,13 @@ def test_mixed_rows(spark):
 def test_size_of_nothing(spark):
     got = mixing.mix(_docs(spark, [(1, None, "a", None), (2, " ", None, None)])).collect()
     assert [(r.size, r.copies, r.target) for r in got] == [(0, 0, 0.0)] * 2
+
+
+def test_ties_agree_between_runs(spark):
+    """Rows of one id and size but different texts: the same ones are drawn however the rows are dealt."""
+    rows = [(k // 4, f"word{k % 4} b c", "s" if k % 5 else "t", k) for k in range(400)] + [(None, None, None, 1), (7, "x " * 200_000, "t", 2)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, size long")
+    first = sorted(map(str, mixing.mixed(docs.repartition(1)).collect()))
+    assert first == sorted(map(str, mixing.mixed(docs.repartition(7, "text")).collect()))
+    plain = lambda df: sorted(map(str, mixing.mix(df).collect()))
+    assert plain(docs.repartition(1)) == plain(docs.repartition(7, "text"))
