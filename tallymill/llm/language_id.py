@@ -12,7 +12,10 @@ language the range of cross-entropy its own documents have. A document above the
 
 Defined results: null texts and texts without a letter get `und`, score 0 and are not accepted; ties go to the language
 first by code point; rows with null language or text teach nothing; without any labelled row every document gets `und`;
-repeated rows get equal results; other columns are ignored.
+very long texts are read whole, some words at a time; repeated rows get equal results; other columns are ignored.
+
+The models are broadcast, as a table of n-grams by languages. Its size is bounded by the sample for few languages, but grows with
+the square of their number, so it is checked: beyond `MOST_BYTES` training raises an error that says so.
 """
 
 from __future__ import annotations
@@ -32,6 +35,7 @@ from tallymill.llm.common import written
 START, END = "\x02", "\x03"
 LETTERS = re.compile(r"[^\W\d_]+")
 _MIX = np.uint64(0x9E3779B97F4A7C15)
+MOST_BYTES = 1 << 30
 
 
 @dataclass
@@ -233,6 +237,8 @@ def train(
     k, kind, v = (table.column(c).to_numpy() for c in ("k", "kind", "v"))
     grams = table.column("gram").to_pylist()
     levels = []
+    if (need := 8 * table.num_rows * len(langs)) > MOST_BYTES:
+        raise ValueError(f"models of {len(langs)} languages may take {need >> 20} MB, more than {MOST_BYTES >> 20}: lower most_docs or order")
     for size in range(1, order + 1):
         at = np.flatnonzero(k == size)
         h = _hash_strings([grams[i] for i in at], size)

@@ -102,3 +102,19 @@ def test_against_definitions(spark):
     got = language_id.score_words(tried, models)
     assert got[:, 0] == pytest.approx([log_p(w) for w in tried], rel=2e-3)
     assert list(got[:, 1]) == [len(w) + 1 for w in tried]
+
+
+def test_ties_and_size(spark, monkeypatch):
+    """Two languages of the same texts: the first by code point is taken; models that would be too large to send raise."""
+    texts = ["alle meine kleinen enten", "schwimmen auf dem grossen see", "und die sonne scheint dazu"] * 8
+    rows = [(k, t, lang) for k, t in enumerate(texts) for lang in ("zz", "aa", "mm")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    models = language_id.train(docs)
+    long = "kleine enten " * 60_000
+    asked = spark.createDataFrame([(1, texts[0]), (2, long), (3, long + long)], "doc_id long, text string")
+    got = {r.doc_id: r for r in language_id.identify(asked, models).collect()}
+    assert {r.lang_pred for r in got.values()} == {"aa"} and abs(got[1].score - 1 / 3) < 0.05
+    assert abs(got[2].cross_entropy - got[3].cross_entropy) < 1e-9
+    monkeypatch.setattr(language_id, "MOST_BYTES", 1000)
+    with pytest.raises(ValueError, match="lower most_docs"):
+        language_id.train(docs)
