@@ -95,3 +95,20 @@ def test_near_copies_go_by_row(spark):
     got = [(r.doc_id, r.text) for r in corpus_pipeline.drop_near_copies(spark, docs, "").collect()]
     assert len(got) == 5 and {(5, b), (3, a.replace(" ", "  ")), (None, None)} < set(got)
     assert sum(t in (c, c.replace(" ", "  ")) for _, t in got) == 1 and sum(t in (d, d.replace(" ", "  ")) for _, t in got) == 1
+
+
+def test_clashing_columns_and_repeated_ids(spark, tmp_path):
+    """Columns named like the operators' own, repeated and null ids, and a very long text go through all stages; clean rows stay."""
+    chance = random.Random(21)
+    items = [(i, prose("aa", 30, chance)) for i in range(4)]
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    texts = [prose("ab"[i % 2] * 2, chance.choice([30, 60, 120]), chance) for i in range(160)] + [prose("aa", 40_000, chance)]
+    rows = [(None if i % 20 == 7 else i // 4, t, "ab"[i % 2] * 2 if i < 160 else "aa", "s", 5, "k", "x", True) for i, t in enumerate(texts)]
+    rows += [rows[3], (900, f"{texts[0]} {items[1][1]}", "aa", "s", 5, "k", "x", False), (None, None, None, None, None, None, None, None)]
+    schema = "doc_id long, text string, lang string, source string, size long, _id string, component_id string, kept boolean"
+    spark.createDataFrame(rows, schema).write.parquet(str(tmp_path / "documents.parquet"))
+    got = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    kept = {r.text for r in got}
+    assert kept == set(texts), (len(kept), len(texts))
+    assert {(r.doc_id, r.text, r.kept) for r in got} == {(i, t, k) for i, t, *_, k in rows if t in kept}
+    assert got[0].__fields__ == ["doc_id", "text", "lang", "source", "_id", "component_id", "kept", "size", "source_size", "target", "copy"]
