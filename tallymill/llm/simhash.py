@@ -8,14 +8,15 @@ distance is the bit count of an exclusive or.
 Grid range-join: the segments are dealt into `groups` groups. Two vectors within Manhattan distance `distance` agree
 exactly in at least `groups - distance` groups, so each fingerprint is filed under its cell in every projection onto that
 many groups, and only fingerprints that share a cell are compared: first their Manhattan distance as the lower bound,
-then the exact Hamming distance. No link is lost, whatever the data. More groups make smaller cells and more filings.
+then the exact Hamming distance. No link is lost, whatever the data. More groups make smaller cells and more filings; how
+many is chosen by the number of distinct fingerprints (`groups_for`), so comparisons grow little faster than the input.
 
 Only distinct fingerprints take part, so a group of copies is one row. A cell with more than `block` fingerprints is cut
-into blocks that meet pairwise in tasks of their own. A cell yields the edges of a spanning forest, not its pairs. A
-fingerprint has at most 679,120 others within 4 bits, which bounds the degree of a node of the link graph.
+into blocks that meet pairwise in tasks of their own. A cell yields the edges of a spanning forest, not its pairs.
+Fingerprints of very many documents, and nodes of very many links, are joined by broadcast (`with_groups`).
 
 Defined results: null and blank texts have fingerprint zero and are linked like any other; texts below four words have
-one shingle, the whole sequence; repeated rows share a fingerprint; an empty table gives an empty result; other columns
+one shingle, the whole sequence; very long texts are taken whole, in chunks; repeated rows share a fingerprint; an empty table gives an empty result; other columns
 are ignored.
 """
 
@@ -23,6 +24,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from itertools import combinations
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +32,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallymill.llm.common import written
+from tallymill.llm.common import with_groups, written
 from tallymill.llm.graph import components
 
 SHINGLE = 4
@@ -92,6 +94,18 @@ def projections(groups: int, distance: int) -> list[int]:
     return [x - (1 << 64) if x >> 63 else x for x in found]
 
 
+def groups_for(fingerprints: int, distance: int = DISTANCE, filing: float = 50) -> int:
+    """The number of groups with the least work: filings, each as dear as `filing` comparisons, and comparisons within cells.
+
+    Two random fingerprints agree in the bit count of a segment with probability 3/8.
+    """
+
+    def work(groups: int) -> float:
+        return comb(groups, distance) * (filing + fingerprints * (3 / 8) ** (32 * (groups - distance) / groups))
+
+    return min(range(distance + 2, 17), key=work)
+
+
 def _forest(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     """Labels after tying each i to j: the smallest index reached."""
     while i.size:
@@ -163,8 +177,9 @@ def _linker(distance: int, rows: int = 1 << 18):
     return run
 
 
-def links(fps: DataFrame, distance: int = DISTANCE, groups: int = 6, block: int = 20_000) -> DataFrame:
-    """Edges (a, b) that connect the distinct fingerprints `_fp` just as all links within `distance` bits do."""
+def links(fps: DataFrame, distance: int = DISTANCE, groups: int | None = None, block: int = 20_000) -> DataFrame:
+    """Edges (a, b) that connect the distinct fingerprints `_fp` just as all links within `distance` bits do. `groups`: chosen by their number where none is given."""
+    groups = groups or groups_for(fps.count(), distance)
     masks = F.array(*[F.struct(F.lit(t).cast("long").alias("t"), F.lit(m).cast("long").alias("m")) for t, m in enumerate(projections(groups, distance))])
     filed = (
         fps.select("_fp", _embedding_column("_fp").alias("_u"), F.explode(masks).alias("_p"))
@@ -183,7 +198,7 @@ def links(fps: DataFrame, distance: int = DISTANCE, groups: int = 6, block: int
 
 
 def near_duplicates(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", distance: int = DISTANCE, groups: int = 6, block: int = 20_000, salts: int = 16
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", distance: int = DISTANCE, groups: int | None = None, block: int = 20_000
 ) -> DataFrame:
     """One row per document: id, fingerprint (16 hex digits), component_id (the smallest id reachable, its own included)."""
     marked, _ = written(fingerprints(docs, id_col, text_col), "fingerprints")
@@ -191,14 +206,13 @@ def near_duplicates(
     labels = components(links(distinct.select("_fp"), distance, groups, block))
     labelled = distinct.join(labels.withColumnRenamed("node", "_fp"), "_fp", "left")
     linked = labelled.where("label is not null")
-    least = linked.groupBy("label").agg(F.min("_least").alias("component_id"))
-    shared = linked.join(least, "label").select("_fp", "component_id").unionByName(
-        labelled.where("label is null and _n > 1").select("_fp", F.col("_least").alias("component_id"))
-    )
-    spread = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))).alias("_salt")
-    rows = marked.withColumn("_salt", F.pmod(F.xxhash64("_id"), F.lit(salts)))
-    return rows.join(shared.select("_fp", "component_id", spread), ["_fp", "_salt"], "left").select(
+    # a component of a third of all fingerprints is combined by partial aggregation, and its least id comes back as any group's value
+    least = linked.groupBy("label").agg(F.min("_least").alias("component_id"), F.count(F.lit(1)).alias("_nodes"))
+    placed = with_groups(linked, least, ["label"], "_nodes", F.col("_fp")).select("_fp", "_n", F.col("_group.component_id").alias("component_id"))
+    shared = placed.unionByName(labelled.where("label is null and _n > 1").select("_fp", "_n", F.col("_least").alias("component_id")))
+    shared, _ = written(shared, "shared-fingerprints")
+    return with_groups(marked, shared, ["_fp"], "_n", F.col("_id")).select(
         F.col("_id").alias(id_col),
         F.lpad(F.lower(F.hex("_fp")), 16, "0").alias("fingerprint"),
-        F.coalesce("component_id", "_id").alias("component_id"),
+        F.coalesce("_group.component_id", "_id").alias("component_id"),
     )

@@ -86,3 +86,39 @@ def test_empty_and_repeated(spark):
     docs = spark.createDataFrame([(3, "a b"), (3, "a b"), (1, "A  B")], "doc_id long, text string")
     assert sorted((r.doc_id, r.component_id) for r in simhash.near_duplicates(docs).collect()) == [(1, 1), (3, 1), (3, 1)]
     assert simhash.near_duplicates(docs.where("false")).count() == 0
+
+
+def test_large_groups_and_more_segments(spark, monkeypatch):
+    """The same result where groups of copies and hubs of links come by broadcast, texts are taken in chunks, and segments are dealt otherwise."""
+    import functools
+
+    from tallymill.llm import graph
+
+    rows = corpus()[:90] + [(1000 + k, "one two three four five") for k in range(40)] + [(2000, "w1 w2 w3 " * 3000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    fps = [plain(t) for _, t in rows]
+    want = groups([i for i, _ in rows], fps)
+    monkeypatch.setattr(simhash, "CHUNK", 100)
+    for module in (simhash, graph):
+        monkeypatch.setattr(module, "with_groups", functools.partial(module.with_groups, hot_rows=2))
+    for number in (None, 7):
+        got = {r.doc_id: (int(r.fingerprint, 16), r.component_id) for r in simhash.near_duplicates(docs, groups=number).collect()}
+        assert got == {i: (f, want[i]) for (i, _), f in zip(rows, fps, strict=True)}
+
+
+def test_number_of_groups():
+    chosen = [simhash.groups_for(n) for n in (0, 10**5, 10**7, 10**9, 10**11)]
+    assert chosen[0] == chosen[1] == 6 and chosen == sorted(chosen) and chosen[-1] > 8
+
+
+def test_star(spark, monkeypatch):
+    """A hub with most of the nodes, by joins and by broadcast."""
+    import functools
+
+    from tallymill.llm import graph
+
+    edges = spark.createDataFrame([(500, k) for k in range(300)] + [(k, k + 1000) for k in range(0, 300, 3)] + [(5000, 5001)], "a long, b long")
+    want = {**{k: 0 for k in (*range(300), 500, *range(1000, 1300, 3))}, 5000: 5000, 5001: 5000}
+    assert {r.node: r.label for r in components(edges).collect()} == want
+    monkeypatch.setattr(graph, "with_groups", functools.partial(graph.with_groups, hot_rows=10))
+    assert {r.node: r.label for r in components(edges).collect()} == want
