@@ -2,15 +2,17 @@
 
 A flat token file holds the ids of many documents, each ended by one end-of-document id, with no index. Files are cut
 into blocks wherever the byte count falls; a task maps a block, finds the separators in it with one vectorised comparison,
-and reports their places. A prefix scan over the blocks of a file (a window) carries two numbers across boundaries: the
-documents ended so far and the place of the last separator. A document's length is the distance between its separator
-and the one before, whichever block that was in.
+and reports their places. A prefix scan over the blocks of a file carries two numbers across boundaries: the documents
+ended so far and the place of the last separator. It runs over these two numbers of each block alone, within runs of blocks
+and then over the runs of a file, so even a file of millions of blocks brings no task more than a few thousand rows; the
+places are joined to its result afterwards. A document's length is the distance between its separator and the one
+before, whichever block that was in.
 
 `write_flat` makes such files from documents: it needs a shared folder mounted on every machine, and a tokenizer file of
 byte-pair ranks that Spark hands to the executors. A repeated task attempt writes files of its own; those that no
 manifest row names are never read.
 
-Defined results: null and empty texts have 0 tokens; repeated rows are counted each; tokens after the last separator
+Defined results: null and empty texts have 0 tokens; very long texts are encoded and counted whole; repeated rows are counted each; tokens after the last separator
 count as one more document; an empty table gives an empty result; other columns are ignored.
 """
 
@@ -104,22 +106,30 @@ def _scanner(end: int, kind: str, block: int):
     return run
 
 
-def scan(files: DataFrame, end: int = END, kind: str = "<u2", block: int = 1 << 20) -> DataFrame:
-    """For files (file, tokens): one row per document: file, ordinal, n_tokens. `block`: tokens a block."""
+RUN = 4096
+
+
+def scan(files: DataFrame, end: int = END, kind: str = "<u2", block: int = 1 << 20, run: int = RUN) -> DataFrame:
+    """For files (file, tokens): one row per document: file, ordinal, n_tokens. `block`: tokens a block; `run`: blocks a run."""
     blocks = files.where("tokens > 0").select(
         "file", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("tokens") - 1) / block).cast("long"))).alias("block"), "tokens"
     )
     found = blocks.repartition("file", "block").mapInArrow(_scanner(end, kind, block), "file string, block long, places array<long>")
-    before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    stitched = found.withColumns(
-        {
-            "_ended": F.coalesce(F.sum(F.size("places")).over(before), F.lit(0)),
-            "_last": F.coalesce(F.max(F.array_max("places")).over(before), F.lit(-1)),
-        }
+    found, _ = written(found.where(F.size("places") > 0), "flat-places")
+    each = found.select("file", F.floor(F.col("block") / run).alias("_run"), "block", F.size("places").alias("_n"), F.array_max("places").alias("_end"))
+
+    def carried(rows: DataFrame, keys: list[str], order: str, ended: str, last: str) -> DataFrame:
+        before = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+        return rows.withColumns({ended: F.coalesce(F.sum("_n").over(before), F.lit(0)), last: F.max("_end").over(before)}).drop("_n", "_end")
+
+    runs = carried(each.groupBy("file", "_run").agg(F.sum("_n").alias("_n"), F.max("_end").alias("_end")), ["file"], "_run", "_ended_run", "_last_run")
+    inside = carried(each, ["file", "_run"], "block", "_ended", "_last")
+    ahead = inside.join(runs, ["file", "_run"]).select(
+        "file", "block", (F.col("_ended") + F.col("_ended_run")).alias("_ended"), F.coalesce("_last", "_last_run", F.lit(-1)).alias("_last")
     )
     earlier = F.concat(F.array("_last"), F.col("places"))
     lengths = F.zip_with("places", F.slice(earlier, F.lit(1), F.size("places")), lambda p, q: p - q - 1)
-    return stitched.select("file", "_ended", F.posexplode(lengths).alias("_k", "n_tokens")).select(
+    return found.join(ahead, ["file", "block"]).select("file", "_ended", F.posexplode(lengths).alias("_k", "n_tokens")).select(
         "file", (F.col("_ended") + F.col("_k")).cast("long").alias("ordinal"), "n_tokens"
     )
 

@@ -6,8 +6,8 @@ import pytest
 from tallymill.llm import token_counts
 
 
-@pytest.mark.parametrize("block", [1, 3, 7, 1 << 20])
-def test_scan(spark, tmp_path, block):
+@pytest.mark.parametrize(("block", "run"), [(1, 5), (3, 2), (7, 4096), (1 << 20, 1)])
+def test_scan(spark, tmp_path, block, run):
     chance = np.random.default_rng(block)
     want, files = {}, []
     for k in range(4):
@@ -21,13 +21,13 @@ def test_scan(spark, tmp_path, block):
         tokens.tofile(path)
         files.append((path, len(tokens)))
         want |= {(path, i): int(n) for i, n in enumerate(lengths)}
-    got = token_counts.scan(spark.createDataFrame(files, "file string, tokens long"), end=999, block=block).collect()
+    got = token_counts.scan(spark.createDataFrame(files, "file string, tokens long"), end=999, block=block, run=run).collect()
     assert {(r.file, r.ordinal): r.n_tokens for r in got} == want and len(got) == len(want)
 
 
 @pytest.mark.skipif(not os.path.exists(token_counts.VOCABULARY), reason="no vocabulary file here")
 def test_documents(spark):
-    rows = [(1, "Hello wörld, <|endoftext|> 123"), (2, None), (3, ""), (4, "a b c " * 50_000), (5, "x"), (5, "x"), (None, "null id")]
+    rows = [(1, "Hello wörld, <|endoftext|> 123"), (2, None), (3, ""), (4, "a b c " * 50_000), (5, "x"), (5, "x"), (6, "a" * 160_000), (None, "null id")]
     docs = spark.createDataFrame([(*r, "clash") for r in rows], "doc_id long, text string, n_tokens string")
     encode = token_counts.encoder(token_counts.VOCABULARY).encode_ordinary
     want = sorted(((i, len(encode(t or ""))) for i, t in rows), key=str)
