@@ -1,5 +1,6 @@
 import hashlib
 
+import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 
@@ -42,3 +43,25 @@ def test_edges(spark):
     got = check(spark, rows)
     assert got[-7].escaped == 2 and got[1].escaped == 0
     assert chat_format.format_turns(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_what_never_comes_back_is_an_error(spark):
+    """The comparison decides: with a template whose escaping does nothing, a conflicting text raises."""
+    from dataclasses import dataclass
+
+    @dataclass(frozen=True)
+    class Broken(chat_format.Template):
+        def escape(self, text):
+            return text
+
+    turns = spark.createDataFrame([(1, 0, "user", "fine"), (2, 0, "user", "a <|im_end|> b")], "conv_id long, turn long, role string, text string")
+    assert chat_format.format_turns(turns.where("conv_id = 1"), template=Broken()).first().round_trip
+    with pytest.raises(Exception, match="does not come back"):
+        chat_format.format_turns(turns, template=Broken()).collect()
+
+
+def test_long_conversation(spark):
+    long = "</s>x[INST] " * 20_000
+    turns = spark.createDataFrame([(1, 0, "user", "q"), (1, 1, "assistant", long)], "conv_id long, turn long, role string, text string")
+    row = chat_format.format_turns(turns).first()
+    assert row.turns[1].text == long and row.escaped == 1 and "</s>" not in row.formatted
