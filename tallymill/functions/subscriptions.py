@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 import json
+import shlex
 import subprocess
-import sys
 from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
 
@@ -13,8 +13,6 @@ PRICES = {"pro": 20, "max_5x": 100, "max_20x": 200, "plus": 20, "ultra": 250, "f
 OWN = {("Codex", "pro"): 200, ("Codex", "plus"): 20}
 #: How a report may write a plan: what is left out, and tiers by their own names.
 PREFIX, TIERS = "default_claude_", {"g1-pro-tier": "pro", "g1-ultra-tier": "ultra"}
-#: Commands that print a tool's report, as modules of the running Python.
-COMMANDS = {"Claude Code": "ccusage", "Codex": "codex_cli_usage", "Gemini": "gemini_cli_usage"}
 SECONDS = 10
 
 
@@ -40,16 +38,16 @@ def detect(reports: dict[str, str | None]) -> dict[str, tuple[str, int]]:
     return {tool: plan for tool, plan in found.items() if plan is not None}
 
 
-def run_module(module: str) -> str | None:
+def printed(command: str) -> str | None:
     """What a usage command prints; None where it is missing, fails or takes too long."""
     try:
-        done = subprocess.run([sys.executable, "-m", module, "json"], capture_output=True, text=True, timeout=SECONDS)
-    except (OSError, subprocess.TimeoutExpired):
+        done = subprocess.run(shlex.split(command), capture_output=True, text=True, timeout=SECONDS)
+    except (OSError, ValueError, subprocess.TimeoutExpired):
         return None
     return None if done.returncode else done.stdout
 
 
-def reports(run: Callable[[str], str | None] = run_module) -> dict[str, str | None]:
-    """The tools' reports, asked for at the same time. `run` gives a command's output and may be replaced."""
-    with ThreadPoolExecutor(len(COMMANDS)) as pool:
-        return dict(zip(COMMANDS, pool.map(run, COMMANDS.values()), strict=True))
+def reports(commands: dict[str, str], run: Callable[[str], str | None] = printed) -> dict[str, str | None]:
+    """The tools' reports by the given commands, asked for at the same time. `run` gives a command's output and may be replaced."""
+    with ThreadPoolExecutor(max(1, len(commands))) as pool:
+        return dict(zip(commands, pool.map(run, commands.values()), strict=True))

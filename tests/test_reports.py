@@ -192,6 +192,6 @@ def test_texts():
 )
 def test_plans(tool, report, plan):
     assert subscriptions.plan_of(tool, report) == plan
-    assert subscriptions.detect(subscriptions.reports(lambda module: report if module == subscriptions.COMMANDS[tool] else None)) == ({tool: plan} if plan else {})
-    assert subscriptions.run_module("no_such_module_here") is None
+    assert subscriptions.detect(subscriptions.reports({tool: "asked", "Other": "not"}, lambda command: report if command == "asked" else None)) == ({tool: plan} if plan else {})
+    assert subscriptions.printed("no-such-command-here json") is None and subscriptions.reports({}) == {}
     assert subscriptions.detect({tool: report, "other": None}) == ({tool: plan} if plan else {})
