@@ -9,7 +9,7 @@ import uuid
 from contextlib import contextmanager
 from urllib.parse import unquote, urlparse
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallymill.sources.storage import Files, shared_dir
@@ -52,6 +52,27 @@ def with_groups(
     return dealt.join(rest, [*key, "_spread"], "left").withColumn("_group", F.coalesce("_hot", "_rest")).drop("_hot", "_rest")
 
 
+def ranked(rows: DataFrame, key: list[str], order: list[Column]) -> DataFrame:
+    """Adds `_pos`, a row's place (from 0) among the rows of its key in the given order, and `_of`, how many rows the key has.
+
+    No key comes to one task, however many of the rows it has: the rows are dealt by ranges of key and order and written, the
+    ranges are counted by key, and only places within one range are counted by a window. Key columns must not be null; rows
+    that are equal in `order` must be free to stand in any order. What else is broken up runs over one row a range and key.
+    """
+    spread = F.monotonically_increasing_id()  # equal rows fall into different ranges too
+    ordered, _ = written(
+        rows.withColumn("_spread", spread).repartitionByRange(*key, *order, "_spread").withColumn("_range", F.spark_partition_id()), "ranges"
+    )
+    in_range = Window.partitionBy("_range", *key)
+    ranges = ordered.groupBy("_range", *key).agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy(*key).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    ranges = ranges.select(
+        "_range", *key, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_skip"), F.sum("_n").over(Window.partitionBy(*key)).alias("_of")
+    )
+    placed = ordered.withColumn("_in", F.row_number().over(in_range.orderBy(*order, "_spread")) - 1).join(ranges, ["_range", *key])
+    return placed.withColumn("_pos", F.col("_in") + F.col("_skip")).drop("_range", "_spread", "_in", "_skip")
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Deletes a folder that `scratch` named."""
     if path in _made:
