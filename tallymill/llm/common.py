@@ -33,14 +33,14 @@ def fold(column: Column, modulus: int) -> Column:
 
 
 def with_groups(
-    rows: DataFrame, groups: DataFrame, key: list[str], size: str, spread: Column, total: int | None = None, hot_rows: int = 100_000, most_hot: int = 100_000
+    rows: DataFrame, groups: DataFrame, key: list[str], size: str, spread: Column, total: int | None = None, hot_rows: int = 100_000, most_hot: int = 100_000, hint: str | None = None
 ) -> DataFrame:
     """Left join of rows with groups, one row a key, whose column `size` tells how many rows the key has: adds `_group`, a struct of
     the group's columns, and `_spread`, 0 or a hash of `spread`.
 
     No key brings more rows to a task than `hot_rows` or, if more, the `most_hot`th part of all rows: larger groups come to
     their rows by broadcast, and the rows are dealt on by `_spread` too. So fewer than `most_hot` groups are broadcast,
-    whatever the input. `total`: the sum of the sizes, counted here where it is not known.
+    whatever the input. `total`: the sum of the sizes, counted here where it is not known. `hint`: how the other groups are joined.
     """
     values = F.struct(*[F.col(c) for c in groups.columns if c not in key])
     if total is None:
@@ -48,6 +48,7 @@ def with_groups(
     limit = max(hot_rows, total // most_hot + 1)
     hot = groups.where(F.col(size) > limit).select(*key, values.alias("_hot"))
     rest = groups.where(F.col(size) <= limit).select(*key, F.lit(0).cast("long").alias("_spread"), values.alias("_rest"))
+    rest = rest.hint(hint) if hint else rest
     dealt = rows.join(F.broadcast(hot), key, "left").withColumn("_spread", F.when(F.col("_hot").isNull(), F.lit(0).cast("long")).otherwise(F.xxhash64(spread)))
     return dealt.join(rest, [*key, "_spread"], "left").withColumn("_group", F.coalesce("_hot", "_rest")).drop("_hot", "_rest")
 

@@ -75,7 +75,8 @@ def mark_copies(docs: DataFrame, more: dict[str, Column], id_col: str = "doc_id"
     signed, _ = written(rows.drop("_text"), "signatures")
     classes, _ = written(refine(signed.select(*key)).groupBy(*key).agg(F.count(F.lit(1)).alias("_n")), "refined-classes")
     spread = F.monotonically_increasing_id()
-    left = with_groups(rows.select("_id", "_text", *key), classes, key, "_n", spread).where(F.col("_group").isNotNull())
+    # the classes are narrow and one row each, so texts are dealt once and not sorted
+    left = with_groups(rows.select("_id", "_text", *key), classes, key, "_n", spread, hint="shuffle_hash").where(F.col("_group").isNotNull())
     sliced = left.withColumn("_slice", F.pmod(F.spark_partition_id(), F.lit(salts))).groupBy(*key, "_slice", "_text").agg(F.min("_id").alias("_least"), F.count(F.lit(1)).alias("_n"))
     texts = sliced.repartition(*key).groupBy(*key, "_text").agg(F.min("_least").alias("_least"), F.sum("_n").alias("_n"))
     texts = texts.withColumn("_texts", F.count(F.lit(1)).over(Window.partitionBy(*key))).where("_n > 1 or _texts > 1")
