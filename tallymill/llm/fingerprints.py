@@ -64,7 +64,7 @@ def as_text(lanes: Column) -> Column:
 
 def likeness(a: Column, b: Column) -> Column:
     """Estimated cosine of two multisets of pieces, from 0 to 1; 1 for equal fingerprints."""
-    signs = lambda x: F.transform(F.slice(x, WORDS + 2, BITS), lambda c: (2 * c - F.element_at(x, 1)).cast("double"))
+    signs = lambda x: F.transform(F.slice(x, -BITS, BITS), lambda c: (2 * c - F.element_at(x, 1)).cast("double"))
     dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p * q), F.lit(0.0), lambda s, p: s + p)
     norm = F.sqrt(dot(signs(a), signs(a)) * dot(signs(b), signs(b)))
     cosine = F.when(norm > 0, dot(signs(a), signs(b)) / norm).otherwise(0.0)
@@ -81,33 +81,34 @@ def neighbours(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """One row per document: fingerprints of its text and of its edited text (last half replaced from the next document by id, after the
     last the first), and how like it is to the edited text and to the next document.
 
-    Order is found over narrow rows (`common.ranked`). Texts are dealt by row once; the part that a document gives to
-    the one before it comes to that by a join on the row, so a text travels at most one and a half times. The table is read twice
-    and must give its rows in the same order both times, as files do.
+    Order is found over narrow rows (`common.ranked`). Texts are dealt by row once, and all work on a text is done where it was dealt
+    to; the part that a document gives to the one before it comes to that by a join, so a text travels at most one and a half
+    times. The table is read twice and must give its rows in the same order both times, as files do.
     """
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
     rows = docs.select(F.monotonically_increasing_id().alias("_row"), F.col(f"`{id_col}`").alias("_id"), text.alias("_text"))
     narrow = rows.select("_row", "_id", F.xxhash64("_text").alias("_hash"), F.length("_text").alias("_chars"), F.lit(0).alias("_all"))
     placed, _ = written(ranked(narrow, ["_all"], [F.col("_id").isNull(), F.col("_id"), F.col("_hash")]), "document-order")
-    before = placed.select(F.pmod(F.col("_pos") + 1, F.col("_of")).alias("_pos"), F.col("_row").alias("_to"), F.floor(F.col("_chars") / 2).cast("int").alias("_need"))
-    links, _ = written(placed.select("_row", "_pos").join(before, "_pos").select("_row", "_to", "_need"), "document-links")
-    dealt = rows.repartition("_row")
-    gifts = dealt.join(links, "_row").select(F.col("_to").alias("_row"), F.col("_row").alias("_next"), F.substring("_text", F.lit(1), F.col("_need")).alias("_gift"))
-    both = dealt.join(gifts, "_row").withColumn("_edited", edited_text(F.col("_text"), F.col("_gift")))
+    before = placed.select(F.pmod(F.col("_pos") + 1, F.col("_of")).alias("_pos"), F.col("_row").alias("_to"), F.col("_id").alias("_to_id"), F.floor(F.col("_chars") / 2).cast("int").alias("_need"))
+    links, _ = written(placed.select("_row", "_pos").join(before, "_pos").drop("_pos"), "document-links")
+    # both uses have the same columns, so the second reads the exchange of the first
+    dealt = rows.select("_row", "_text").repartition("_row")
+    gifts = dealt.join(links.hint("shuffle_hash"), "_row").select(F.col("_to").alias("_row"), F.col("_to_id").alias("_id"), F.col("_row").alias("_next"), F.substring("_text", F.lit(1), F.col("_need")).alias("_gift"))
+    both = dealt.join(gifts.hint("merge"), "_row").withColumn("_edited", edited_text(F.col("_text"), F.col("_gift")))
     facts = ["_row", "_next", "_id", "_n", "_sha"]
     each = both.select(
-        "_row", "_next", "_id", F.length("_text").cast("long").alias("_n"), F.sha2(F.col("_edited").cast("binary"), 256).alias("_sha"),
+        "_row", "_next", "_id", F.length("_text").cast("long").alias("_n"), F.unhex(F.sha2(F.col("_edited").cast("binary"), 256)).alias("_sha"),
         F.explode(F.array(F.struct(F.lit(False).alias("new"), F.col("_text").alias("text")), F.struct(F.lit(True).alias("new"), F.col("_edited").alias("text")))).alias("_of"),
     ).select(*facts, F.col("_of.new").alias("_new"), F.col("_of.text").alias("_text"))
-    prints, _ = written(fingerprinted(each, [*facts, "_new"], "_text"), "fingerprints")
-    own, edited = prints.where("not _new").drop("_new"), prints.where("_new").select("_row", F.col("lanes").alias("_edited"))
-    following = own.select(F.col("_row").alias("_next"), F.col("lanes").alias("_following"))
-    return own.join(edited, "_row").join(following, "_next").select(
+    prints = fingerprinted(each, [*facts, "_new"], "_text").groupBy(*facts).agg(F.array_sort(F.collect_list(F.struct("_new", "lanes"))).alias("_two"))
+    prints, _ = written(prints.select(*facts, F.col("_two")[0]["lanes"].alias("_own"), F.col("_two")[1]["lanes"].alias("_edited")), "fingerprints")
+    following = prints.select(F.col("_row").alias("_next"), F.col("_own").alias("_following"))
+    return prints.join(following, "_next").select(
         F.col("_id").alias(id_col),
         F.col("_n").alias("n_chars"),
-        F.col("_sha").alias("edited_sha256"),
-        as_text(F.col("lanes")).alias("fingerprint"),
+        F.lower(F.hex("_sha")).alias("edited_sha256"),
+        as_text(F.col("_own")).alias("fingerprint"),
         as_text(F.col("_edited")).alias("edited_fingerprint"),
-        likeness(F.col("lanes"), F.col("_edited")).alias("near_edited"),
-        likeness(F.col("lanes"), F.col("_following")).alias("near_next"),
+        likeness(F.col("_own"), F.col("_edited")).alias("near_edited"),
+        likeness(F.col("_own"), F.col("_following")).alias("near_next"),
     )
