@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallymill.functions.formatting import card_cost
-from tallymill.functions.pricing import total_cost
+from tallymill.functions.pricing import cost_numerator, total_cost
 from tallymill.operators.filters import span_days
 
 
@@ -45,6 +45,16 @@ def daily_costs(tokens: DataFrame) -> DataFrame:
     return tokens.groupBy("date", "tool").agg(total_cost().alias("cost")).orderBy(F.col("date").asc_nulls_last(), "tool")
 
 
+def moving_costs(tokens: DataFrame, days: int = 7) -> DataFrame:
+    """Daily cost by tool, and that of the `days` days up to it. The frame goes by days, so a day without rows counts as nothing; rows
+    whose date is no day are left out. Rows are added up by day first, so the window sees one row a tool and day."""
+    day = F.when(F.rlike("date", F.lit("^[0-9]{4}-[0-9]{2}-[0-9]{2}$")), F.col("date").try_cast("date"))
+    daily = tokens.groupBy("tool", day.alias("day")).agg(F.sum(cost_numerator()).alias("c")).where("day is not null")
+    moving = daily.withColumn("m", F.expr(f"sum(c) over (partition by tool order by day range between interval {days - 1} days preceding and current row)"))
+    cost = lambda c: F.col(c).cast("double") / 1e6
+    return moving.select("tool", F.col("day").cast("string").alias("date"), cost("c").alias("cost"), cost("m").alias(f"cost_{days}d"))
+
+
 def daily_costs_wide(tokens: DataFrame, tools: list[str]) -> DataFrame:
     """One column a tool; dates without a tool cost 0 there."""
     return tokens.groupBy("date").pivot("tool", tools).agg(total_cost()).na.fill(0.0, tools).orderBy(F.col("date").asc_nulls_last())

@@ -16,7 +16,7 @@ from tallymill.sources.session_logs import read_claude, read_codex, read_gemini
 from tallymill.sources.storage import Files, shared_dir
 
 
-def _folder(spark: SparkSession) -> str:
+def log_folder(spark: SparkSession) -> str:
     return f"{shared_dir(spark)}/logs-{uuid.uuid4().hex}"
 
 
@@ -28,12 +28,13 @@ def _n(factor: int):
     return F.floor(F.col("value") * factor).cast("int")
 
 
-def _claude_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+def claude_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Turns with and without usage, side chains, synthetic and unnamed models, and three kinds of working folders."""
     e = F.col("event_id")
     usage = F.struct(_n(10).alias("input_tokens"), _n(1).alias("output_tokens"), F.when(e % 2 == 0, _n(5)).alias("cache_creation_input_tokens"), _n(80).cast("string").alias("cache_read_input_tokens"))
     return _events(spark, sf_dir).select(
         "user_id",
+        "event_id",
         F.when(e % 10 == 9, "user").otherwise("assistant").alias("type"),
         F.when(e % 3 == 0, F.concat(F.lit("/home/u/Proj"), (e % 20).cast("string"))).when(e % 3 == 1, F.concat(F.lit("C:\\w\\Win"), (e % 7).cast("string"))).otherwise("").alias("cwd"),
         F.concat(F.lit("s"), F.col("user_id").cast("string")).alias("sessionId"),
@@ -44,8 +45,8 @@ def _claude_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def ingest_claude_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    folder = f"{_folder(spark)}/projects/Main"
-    _claude_lines(spark, sf_dir).drop("user_id").write.json(folder)
+    folder = f"{log_folder(spark)}/projects/Main"
+    claude_lines(spark, sf_dir).drop("user_id", "event_id").write.json(folder)
     return read_claude(spark, [folder]).drop("source_file")
 
 
@@ -70,7 +71,7 @@ def ingest_codex_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit("0").alias("timestamp"),
         F.struct(F.concat(F.lit("/home/u/Cdx"), (F.col("user_id") % 20).cast("string")).alias("cwd"), F.lit(None).cast("string").alias("type"), F.lit(None).cast("string").alias("info")).alias("payload"),
     ).withColumn("payload", F.struct("payload.cwd", "payload.type", F.lit(None).cast(counted.schema["payload"].dataType["info"].dataType).alias("info")))
-    folder = f"{_folder(spark)}/sessions"
+    folder = f"{log_folder(spark)}/sessions"
     lines = counted.unionByName(heads)
     lines.repartition("user_id").sortWithinPartitions("user_id", "timestamp").write.partitionBy("user_id").option("ignoreNullFields", True).json(folder)
     rows = read_codex(spark, [folder])
@@ -86,15 +87,15 @@ def ingest_gemini_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
     chats = _events(spark, sf_dir).groupBy("user_id").agg(F.sort_array(F.collect_list(said)).alias("messages")).select(
         "user_id", F.concat(F.lit("g"), F.col("user_id").cast("string")).alias("sessionId"), "messages"
     )
-    folder = f"{_folder(spark)}/.gemini/tmp/MyGem/chats"
+    folder = f"{log_folder(spark)}/.gemini/tmp/MyGem/chats"
     chats.repartition("user_id").write.partitionBy("user_id").json(folder)
     return read_gemini(spark, [folder]).drop("source_file")
 
 
 def incremental_refresh(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The cache over one folder of logs a user: filed once, then refreshed after some folders are gone and some have a second log."""
-    place = _folder(spark)
-    root, lines = f"{place}/logs", _claude_lines(spark, sf_dir)
+    place = log_folder(spark)
+    root, lines = f"{place}/logs", claude_lines(spark, sf_dir).drop("event_id")
     lines.repartition("user_id").write.partitionBy("user_id").json(root)
     cache, files = TokenCache(spark, f"{place}/cache", [Tree("Claude Code", root, "*.json")]), Files(spark)
     cache.load()

@@ -24,7 +24,7 @@ def by_project(tokens: DataFrame, limit: int | None = 50) -> DataFrame:
 
 
 def by_date(tokens: DataFrame, limit: int | None = 50) -> DataFrame:
-    rows = levels(tokens, ["date"]).select("date", "tool", *summary(), "_total")
+    rows = levels(tokens, ["date"], seen=False).select("date", "tool", *summary(), "_total")
     ordered = rows.orderBy(*_summaries_first("date"), F.col("date").desc(), F.col("_total").desc(), "tool")
     return _cut(ordered, limit).drop("_total")
 
@@ -33,7 +33,7 @@ def by_model(tokens: DataFrame, limit: int | None = None) -> DataFrame:
     """Details leave out rows without a model name; the totals do not. `limit` is accepted and not used."""
     # the condition reads a sum too, so it stays above the sums and all levels read one exchange
     named = F.when(F.col("_turns") > 0, F.col("model") != "")
-    rows = levels(tokens, ["model"]).where((F.col("_level") > 0) | named).select("model", "tool", *summary(), "_total")
+    rows = levels(tokens, ["model"], seen=False).where((F.col("_level") > 0) | named).select("model", "tool", *summary(), "_total")
     return rows.orderBy(*_summaries_first("model"), F.col("_total").desc(), "model", "tool").drop("_total")
 
 

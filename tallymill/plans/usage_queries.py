@@ -45,13 +45,13 @@ SUMMARY = f"""CAST(count(*) AS INTEGER) AS turns, {fmt_sql("sum(total_tokens)")}
  {fmtcost_sql(SUM_COST)} AS api_cost"""
 
 
-def _report_sql(keys: str, tail: str = "", detail: str = "", order: str = "") -> str:
-    """Three levels as a union; `keys` are the detail's columns beside the tool."""
+def _report_sql(keys: str, tail: str = "", detail: str = "", order: str = "", source: str = "tokens") -> str:
+    """Three levels as a union; `keys` are the detail's columns beside the tool; `source` is what stands for the tokens."""
     names = [k.strip() for k in keys.split(",")]
     stars = ", ".join(f"'*' AS {k}" for k in names)
-    body = f"""SELECT {stars}, '*' AS tool, {SUMMARY}{tail}, sum(total_tokens) AS _sort FROM tokens
- UNION ALL SELECT {stars}, tool, {SUMMARY}{tail}, sum(total_tokens) FROM tokens GROUP BY tool
- UNION ALL SELECT {keys}, tool, {SUMMARY}{tail}, sum(total_tokens) FROM tokens {detail} GROUP BY {keys}, tool"""
+    body = f"""SELECT {stars}, '*' AS tool, {SUMMARY}{tail}, sum(total_tokens) AS _sort FROM {source}
+ UNION ALL SELECT {stars}, tool, {SUMMARY}{tail}, sum(total_tokens) FROM {source} GROUP BY tool
+ UNION ALL SELECT {keys}, tool, {SUMMARY}{tail}, sum(total_tokens) FROM {source} {detail} GROUP BY {keys}, tool"""
     return f"{TOKENS_SQL}\nSELECT * EXCLUDE (_sort) FROM ({body}) {order}"
 
 
@@ -87,18 +87,30 @@ def billable_tokens(t: DataFrame) -> DataFrame:
     return t.groupBy("project").agg(F.round(billable).cast("long").alias("billable"))
 
 
-def fmt_boundaries(t: DataFrame) -> DataFrame:
-    n = F.explode(F.array(*[F.lit(x).cast("long") for x in BOUNDS])).alias("n")
-    return t.sparkSession.range(1).select(n).select("n", fmt(F.col("n")).alias("text"))
+#: What the events' numbers are multiplied by, so that they cross every boundary of the formats.
+FACTORS = (1, 10, 1000, 10000, 1000000, 100000000, 10000000000, -1)
 
 
-def fmtcost_boundaries(t: DataFrame) -> DataFrame:
-    n = F.explode(F.array(*[F.lit(float(x)) for x in COSTS])).alias("n")
-    return t.sparkSession.range(1).select(n).select("n", fmtcost(F.col("n")).alias("text"))
+def _spread(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole numbers of all sizes made from the events: value in hundredths times a factor by event."""
+    factor = F.element_at(F.array(*[F.lit(x).cast("long") for x in FACTORS]), (F.col("event_id") % len(FACTORS) + 1).cast("int"))
+    return spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", (F.floor(F.col("value") * 100) * factor).alias("n"))
 
 
-BOUNDS = (0, 42, 999, 1000, 9700, 30650, 999950, 1000000, 883400000, 999999999, 1500000000, 10000000000000, -5)
-COSTS = ("0.0", "0.49", "8.5", "9.996", "10.0", "91.15", "99.96", "100.0", "3841.5", "-3.0")
+def fmt_boundaries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _spread(spark, sf_dir).select("event_id", "n", fmt(F.col("n")).alias("text"))
+
+
+def fmtcost_boundaries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = (F.col("n").cast("double") / 1000).alias("n")
+    return _spread(spark, sf_dir).select("event_id", n).select("event_id", "n", fmtcost(F.col("n")).alias("text"))
+
+
+def _some_odd(t: DataFrame) -> DataFrame:
+    """Tokens some of whose dates are missing, written otherwise or no dates at all."""
+    n = F.col("input_tokens") % 11
+    odd = F.when(n == 3, F.replace("date", F.lit("-"), F.lit("/"))).when(n == 5, F.lit(None)).when((n == 7) & (F.col("tool") == "Codex"), F.lit("2024-02-31"))
+    return t.withColumn("date", F.when((n == 9) & (F.col("project") == "proj3"), F.lit("unknown")).otherwise(F.when((n == 3) | (n == 5) | ((n == 7) & (F.col("tool") == "Codex")), odd).otherwise(F.col("date"))))
 
 
 def codex_delta_lag(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -184,8 +196,11 @@ QUERIES = {
     "cost_total": _over(lambda t: t.agg(total_cost().alias("cost"))),
     "cache_hit_ratio": _over(cache_hit_ratio),
     "billable_tokens": _over(billable_tokens),
-    "fmt_boundaries": _over(fmt_boundaries),
-    "fmtcost_boundaries": _over(fmtcost_boundaries),
+    "usage_odd_dates_by_project": _over(lambda t: reports.by_project(_some_odd(t), None)),
+    "usage_odd_dates_by_session": _over(lambda t: reports.by_session(_some_odd(t), None)),
+    "fmt_boundaries": fmt_boundaries,
+    "fmtcost_boundaries": fmtcost_boundaries,
+    "chart_moving_cost": _over(charts.moving_costs),
     "chart_totals": _over(charts.totals),
     "chart_tool_costs": _over(charts.tool_costs),
     "chart_date_count": _over(charts.date_count),
@@ -206,6 +221,9 @@ QUERIES = {
     "model_not_synthetic_3vl": _over(model_not_synthetic),
 }
 
+_ODD = """(SELECT * REPLACE (CASE WHEN input_tokens % 11 = 9 AND project = 'proj3' THEN 'unknown' WHEN input_tokens % 11 = 3 THEN replace(date, '-', '/') WHEN input_tokens % 11 = 5 THEN NULL
+ WHEN input_tokens % 11 = 7 AND tool = 'Codex' THEN '2024-02-31' ELSE date END AS date) FROM tokens) AS t"""
+_SPREAD = f"SELECT event_id, CAST(floor(value * 100) AS BIGINT) * [{', '.join(map(str, FACTORS))}][event_id % {len(FACTORS)} + 1] AS n FROM events"
 _DAILY = "SELECT tool, date, CAST(count(*) AS BIGINT) AS turns, CAST(sum(total_tokens) AS BIGINT) AS total_tokens FROM tokens"
 _BILLABLE = "CAST(round(sum(total_tokens) - 0.9 * sum(cache_read_tokens)) AS BIGINT)"
 _STAR = "SELECT '*' AS project, '*' AS tool"
@@ -230,8 +248,13 @@ ORACLE_SQL = {
     "cache_hit_ratio": f"""{TOKENS_SQL} SELECT tool, project,
  round(100.0 * sum(cache_read_tokens) / greatest(sum(total_tokens) - sum(output_tokens), 1), 6) AS percent FROM tokens GROUP BY tool, project""",
     "billable_tokens": f"{TOKENS_SQL} SELECT project, {_BILLABLE} AS billable FROM tokens GROUP BY project",
-    "fmt_boundaries": f"SELECT n, {fmt_sql('n')} AS text FROM (SELECT unnest([{', '.join(f'{x}::BIGINT' for x in BOUNDS)}]) AS n)",
-    "fmtcost_boundaries": f"SELECT n, {fmtcost_sql('n')} AS text FROM (SELECT unnest([{', '.join(f'{x}::DOUBLE' for x in COSTS)}]) AS n)",
+    "usage_odd_dates_by_project": _report_sql("project", SEEN, source=_ODD),
+    "usage_odd_dates_by_session": _report_sql("project, session", FIRST, source=_ODD),
+    "fmt_boundaries": f"SELECT event_id, n, {fmt_sql('n')} AS text FROM ({_SPREAD})",
+    "fmtcost_boundaries": f"SELECT event_id, n, {fmtcost_sql('n')} AS text FROM (SELECT event_id, CAST(n AS DOUBLE) / 1000 AS n FROM ({_SPREAD}))",
+    "chart_moving_cost": f"""{TOKENS_SQL}, d AS (SELECT tool, CAST(date AS DATE) AS day, sum(CAST({COST} AS DECIMAL(24,4))) AS c FROM tokens GROUP BY tool, date)
+ SELECT tool, CAST(day AS VARCHAR) AS date, CAST(c AS DOUBLE) / 1e6 AS cost,
+ CAST(sum(c) OVER (PARTITION BY tool ORDER BY day RANGE BETWEEN INTERVAL 6 DAYS PRECEDING AND CURRENT ROW) AS DOUBLE) / 1e6 AS cost_7d FROM d""",
     "chart_totals": f"""{TOKENS_SQL} SELECT CAST(sum(total_tokens) AS BIGINT) AS total, {_BILLABLE} AS billable,
  CAST(count(DISTINCT tool) AS INTEGER) AS n_tools, CAST(count(DISTINCT project) AS INTEGER) AS n_projects, {SUM_COST} AS cost FROM tokens""",
     "chart_tool_costs": f"{TOKENS_SQL} SELECT tool, {SUM_COST} AS cost FROM tokens GROUP BY tool",

@@ -18,6 +18,9 @@ TOKENS = T.StructType(
     ]
 )
 
+#: Rows as the cache files them: with the number of the refresh that wrote them.
+FILED = T.StructType([*TOKENS.fields, T.StructField("filed", T.LongType())])
+
 #: Counts are read as text, so that a number in quotes counts as well.
 CLAUDE = (
     "type string, cwd string, sessionId string, timestamp string, isSidechain boolean, message struct<model: string, "

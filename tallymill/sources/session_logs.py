@@ -1,20 +1,68 @@
 """Readers that turn the session logs of three coding assistants into `tokens` rows.
 
 Each takes a list of files and returns a lazily composed frame with the columns of schemas.TOKENS. Malformed lines become
-all-null rows, which the predicates drop.
+all-null rows, which the predicates drop; lines of over `LONGEST` bytes are passed over. A `Tally` counts both, and what is read and
+kept, in the same pass.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallymill.sources import schemas
 from tallymill.sources.storage import plain_path
 
 
+#: Bytes of the longest line, or document, that is read.
+LONGEST = 64 << 20
+#: Where the parser puts what it could not read.
+BAD = "_bad string"
+
+
+class Tally:
+    """Counts of a read, by tool: records `read`, `malformed` (no JSON, or a field of another kind), `too_long`, and rows `kept`.
+
+    They are gathered while the rows are written or collected, so `counts` waits for the first such action.
+    """
+
+    def __init__(self):
+        self._watched: list[tuple[str, Observation]] = []
+
+    def watch(self, tool: str, rows: DataFrame, **counts: Column) -> DataFrame:
+        seen = Observation(f"{tool} {len(self._watched)}")
+        self._watched.append((tool, seen))
+        return rows.observe(seen, *[c.alias(name) for name, c in counts.items()])
+
+    def counts(self) -> dict[str, dict[str, int]]:
+        found: dict[str, dict[str, int]] = {}
+        for tool, seen in self._watched:
+            found.setdefault(tool, {}).update(seen.get)
+        return found
+
+
+def _watched(tally: Tally | None, tool: str, records: DataFrame) -> DataFrame:
+    """Counts records with the columns `fits` (short enough) and `bad` (what the parser could not read)."""
+    if tally is None:
+        return records
+    return tally.watch(tool, records, read=F.count(F.lit(1)), malformed=F.count_if(F.col("bad").isNotNull()), too_long=F.count_if(~F.col("fits")))
+
+
+def _kept(tally: Tally | None, tool: str, rows: DataFrame) -> DataFrame:
+    return rows if tally is None else tally.watch(tool, rows, kept=F.count(F.lit(1)))
+
+
+def _lines(spark: SparkSession, files: Sequence[str], schema: str, tool: str, tally: Tally | None, longest: int) -> DataFrame:
+    """JSON lines with the fields of a schema, and `source_file`. Blank lines are no records."""
+    lines = spark.read.text(list(files)).select(_path().alias("source_file"), "value").where(F.rlike("value", F.lit(r"\S")))
+    fits = F.octet_length("value") <= longest
+    parsed = F.from_json(F.when(F.col("fits"), F.col("value")), f"{schema}, {BAD}", {"columnNameOfCorruptRecord": BAD.split()[0]})
+    records = lines.withColumn("fits", fits).select("source_file", "fits", parsed.alias("_of")).withColumn("bad", F.col("_of._bad"))
+    return _watched(tally, tool, records).select("source_file", "_of.*")
+
+
 def _path() -> Column:
     """The file's path as the manifest has it."""
     return plain_path("_metadata.file_path")
@@ -57,12 +105,12 @@ def with_headers(steps: DataFrame, headers: DataFrame) -> DataFrame:
     return steps.join(headers, "source_file", "left")
 
 
-def read_claude(spark: SparkSession, files: Sequence[str]) -> DataFrame:
+def read_claude(spark: SparkSession, files: Sequence[str], tally: Tally | None = None, longest: int = LONGEST) -> DataFrame:
     """One row per assistant turn with usage, outside side chains and synthetic models; unknown models do not count."""
     wanted = [f for f in files if "/subagents/" not in f.replace("\\", "/")]
     if not wanted:
         return _empty(spark)
-    log = spark.read.schema(schemas.CLAUDE).json(wanted).withColumn("source_file", _path())
+    log = _lines(spark, wanted, schemas.CLAUDE, "Claude Code", tally, longest)
     folder = F.regexp_extract("source_file", "projects/([^/]+)/", 1)
     kept = log.where(
         (F.col("type") == "assistant")
@@ -86,7 +134,7 @@ def read_claude(spark: SparkSession, files: Sequence[str]) -> DataFrame:
     )
     parts = ("input_tokens", "output_tokens", "cache_write_tokens", "cache_read_tokens")
     total = sum((F.col(c).cast("long") for c in parts), F.lit(0).cast("long"))
-    return rows.withColumn("total_tokens", total).select(schemas.TOKENS.fieldNames())
+    return _kept(tally, "Claude Code", rows.withColumn("total_tokens", total).select(schemas.TOKENS.fieldNames()))
 
 
 def counter_deltas(entries: DataFrame, key: str, order: Sequence[str], cumulative: str, last: str) -> DataFrame:
@@ -105,18 +153,21 @@ def counter_deltas(entries: DataFrame, key: str, order: Sequence[str], cumulativ
     return stepped.where(fresh & (F.col("delta") > 0)).drop("_before")
 
 
-def read_codex(spark: SparkSession, files: Sequence[str], dedupe_session_meta: bool = False) -> DataFrame:
+def read_codex(
+    spark: SparkSession, files: Sequence[str], tally: Tally | None = None, longest: int = LONGEST, dedupe_session_meta: bool = False
+) -> DataFrame:
     """One row per step of a session's token counter. A file with several session headers yields its steps once for each,
     unless `dedupe_session_meta`."""
     if not files:
         return _empty(spark)
-    log = (
-        spark.read.schema(schemas.CODEX)
-        .json(list(files))
-        .select("type", "timestamp", "payload", _path().alias("source_file"), F.monotonically_increasing_id().alias("_line"))
+    lines = lambda counted: (
+        _lines(spark, files, schemas.CODEX, "Codex", counted, longest)
+        .select("type", "timestamp", "payload", "source_file", F.monotonically_increasing_id().alias("_line"))
         .where(F.col("type").isin("session_meta", "event_msg"))
     )
-    headers = log.where(F.col("type") == "session_meta").select("source_file", _last_segment(F.col("payload.cwd")).alias("_project"))
+    # headers and steps are read by a scan each; one of them counts
+    log, headers = lines(tally), lines(None)
+    headers = headers.where(F.col("type") == "session_meta").select("source_file", _last_segment(F.col("payload.cwd")).alias("_project"))
     if dedupe_session_meta:
         headers = headers.groupBy("source_file").agg(F.min("_project").alias("_project"))
     info = F.col("payload.info")
@@ -134,7 +185,7 @@ def read_codex(spark: SparkSession, files: Sequence[str], dedupe_session_meta: b
     )
     steps = counter_deltas(entries, "source_file", ("timestamp", "_line"), "_running", "_last")
     stem = F.regexp_extract("source_file", r"([^/]+)[.]jsonl", 1)
-    return with_headers(steps, headers).select(
+    rows = with_headers(steps, headers).select(
         F.lit("Codex").alias("tool"),
         F.lower(F.coalesce("_project", stem)).alias("project"),
         stem.alias("session"),
@@ -147,19 +198,24 @@ def read_codex(spark: SparkSession, files: Sequence[str], dedupe_session_meta: b
         F.col("delta").alias("total_tokens"),
         "source_file",
     )
+    return _kept(tally, "Codex", rows)
 
 
-def read_gemini(spark: SparkSession, files: Sequence[str]) -> DataFrame:
+def read_gemini(spark: SparkSession, files: Sequence[str], tally: Tally | None = None, longest: int = LONGEST) -> DataFrame:
     """One row per message with tokens; each file is one JSON document. Hashed project folders are shortened to eight digits."""
     if not files:
         return _empty(spark)
-    chats = spark.read.schema(schemas.GEMINI).json(list(files), multiLine=True)
-    said = chats.select("sessionId", _path().alias("source_file"), F.explode("messages").alias("m")).where(
+    fields = spark.read.schema(f"{schemas.GEMINI}, {BAD}").option("columnNameOfCorruptRecord", BAD.split()[0])
+    chats = fields.json(list(files), multiLine=True).select(
+        "sessionId", "messages", F.col("_bad").alias("bad"), (F.col("_metadata.file_size") <= longest).alias("fits"), _path().alias("source_file")
+    )
+    chats = _watched(tally, "Gemini", chats).where("fits")
+    said = chats.select("sessionId", "source_file", F.explode("messages").alias("m")).where(
         F.col("m.tokens").isNotNull() & (_whole("m.tokens.total") > 0)
     )
     own = F.nullif(F.regexp_extract("source_file", r"\.gemini/tmp/([^/]+)/", 1), F.lit(""))  # before any other folder of that name
     folder = F.coalesce(own, F.regexp_extract("source_file", "tmp/([^/]+)/", 1))
-    return said.select(
+    rows = said.select(
         F.lit("Gemini").alias("tool"),
         hashed_project(folder).alias("project"),
         F.col("sessionId").alias("session"),
@@ -172,16 +228,17 @@ def read_gemini(spark: SparkSession, files: Sequence[str]) -> DataFrame:
         _whole("m.tokens.total", "long").alias("total_tokens"),
         "source_file",
     )
+    return _kept(tally, "Gemini", rows)
 
 
 #: Key on the command line: tool name, reader.
 SOURCES = {"claude": ("Claude Code", read_claude), "codex": ("Codex", read_codex), "gemini": ("Gemini", read_gemini)}
 
 
-def read_all(spark: SparkSession, by_tool: dict[str, Sequence[str]]) -> DataFrame:
-    """Rows of all files, given by tool name."""
+def read_all(spark: SparkSession, by_tool: dict[str, Sequence[str]], tally: Tally | None = None) -> DataFrame:
+    """Rows of all files, given by tool name; `tally` counts what is read."""
     out = _empty(spark)
     for tool, reader in SOURCES.values():
         if files := sorted(by_tool.get(tool, ())):
-            out = out.unionByName(reader(spark, files))
+            out = out.unionByName(reader(spark, files, tally))
     return out

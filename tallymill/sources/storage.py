@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import atexit
+import hashlib
 import tempfile
 import uuid
+from contextlib import suppress
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -35,6 +38,16 @@ class Files:
     def read(self, path: str) -> str:
         return self.spark.read.text(path, wholetext=True).first()[0]
 
+    def tail(self, path: str, length: int = 4096) -> str:
+        """Digest of the last bytes of a file."""
+        target, system = self._at(path)
+        stream = system.open(target)
+        try:
+            stream.seek(max(0, system.getFileStatus(target).getLen() - length))
+            return hashlib.md5(bytes(stream.readNBytes(length))).hexdigest()
+        finally:
+            stream.close()
+
     def publish(self, path: str, text: str) -> None:
         """Writes a new file that nobody sees before it is whole."""
         part, system = self._at(f"{path.rsplit('/', 1)[0]}/_{uuid.uuid4().hex}")
@@ -61,13 +74,32 @@ def plain_path(column: str):
     return F.replace(F.url_decode(F.replace(plain, F.lit("+"), F.lit("%2B"))), F.lit("\\"), F.lit("/"))
 
 
+def is_local(spark: SparkSession) -> bool:
+    master = spark.sparkContext.master
+    return master == "local" or master.startswith("local[")
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir. Where that is unset a temporary one, in local runs only."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
-        master = spark.sparkContext.master
-        if master != "local" and not master.startswith("local["):
-            raise ValueError(f"spark.checkpoint.dir is not set, and {master} needs a folder that driver and executors share")
+        if not is_local(spark):
+            raise ValueError(f"spark.checkpoint.dir is not set, and {spark.sparkContext.master} needs a folder that driver and executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tallymill-shared-"))
         named = spark.sparkContext.getCheckpointDir()
     return named.rstrip("/")
+
+
+def stored(df: DataFrame, label: str) -> DataFrame:
+    """Writes a frame to the shared folder and reads it back: cuts lineage, survives lost executors, and keeps what tasks were dealt.
+    The files are deleted when the program ends."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    atexit.register(_drop, spark, path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def _drop(spark: SparkSession, path: str) -> None:
+    with suppress(Exception):  # the session may be gone by now; then the folder stays
+        Files(spark).delete(path)

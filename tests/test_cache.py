@@ -1,15 +1,16 @@
 import json
 import os
 import random
+import time
 from datetime import date
 
 import pytest
 
 from tallymill import cli
 from tallymill.sources import schemas
-from tallymill.sources.cache import TokenCache, Tree, default_trees, newest, part_of, scan
+from tallymill.sources.cache import Listing, TokenCache, Tree, default_trees, newest, part_of, scan
 from tallymill.sources.session_logs import read_claude, read_codex
-from tallymill.sources.storage import shared_dir
+from tallymill.sources.storage import Files, shared_dir
 
 FIELDS = "project string, session string, date string, model string, input_tokens int, output_tokens int, cache_write_tokens int, cache_read_tokens int, total_tokens long"
 
@@ -60,30 +61,76 @@ def place(spark, tmp_path):
 FIRST = {"north": 1, "south": 11, "east": 21, "west": 31}
 
 
-def test_only_touched_parts_are_written(place):
+def rows_folders(place):
+    return {n for n in place.cache.store.names(place.cache.folder) if n.startswith("rows-")}
+
+
+def test_only_changed_logs_are_written(place):
     assert place.totals() == FIRST and place.cache.steps == ["rebuild"]
-    before = place.parts()
+    before, folders = place.parts(), rows_folders(place)
     assert place.totals() == FIRST and place.cache.steps == ["load cache"] and place.parts() == before
     place.put("south", 500)
     place.put("up", 7)
     place.drop("west")
     assert place.totals() == {"north": 1, "south": 500, "east": 21, "up": 7}
     assert place.cache.steps == ["load cache", "drop changed rows", "append changed files"]
-    touched = {part_of(str(place.root / f"{n}.jsonl")) for n in ("south", "up", "west")}
-    after = place.parts()
-    assert {k for k in before.keys() | after.keys() if before.get(k) != after.get(k)} == touched & (before.keys() | after.keys())
-    # nothing is left that the last state does not name
-    there = {f"{place.cache.folder}/{n}" for n in place.cache.store.names(place.cache.folder) if n.startswith("rows-")}
-    assert there == {p.rsplit("/", 1)[0] for p in after.values()} and len(place.cache._manifests()) == 1
+    # the new folder holds the two logs that were read; what was there is as it was
+    (new,) = rows_folders(place) - folders
+    written = place.cache.spark.read.parquet(f"{place.cache.folder}/{new}").collect()
+    assert sorted(r.project for r in written) == ["of south", "of up"] and folders <= rows_folders(place)
+
+
+def test_deleted_log_writes_no_rows(place):
+    """One that shares its part with others is marked in the state; a part of its own is let go. No folder is added either way."""
+    mate = next(f"n{i}" for i in range(10_000) if part_of(str(place.root / f"n{i}.jsonl")) == part_of(str(place.root / "north.jsonl")))
+    place.put(mate, 77)
+    assert place.totals() == FIRST | {mate: 77}
+    folders = rows_folders(place)
     place.drop("north")
-    assert place.totals() == {"south": 500, "east": 21, "up": 7} and place.cache.steps == ["load cache", "drop changed rows"]
+    assert place.totals() == {"south": 11, "east": 21, "west": 31, mate: 77} and place.cache.steps == ["load cache", "drop changed rows"]
+    assert rows_folders(place) == folders and list(place.cache.state().dead) == [str(place.root / "north.jsonl")]
+    place.put("north", 5)
+    assert place.totals()["north"] == 5 and place.totals()["north"] == 5
+
+
+def test_crowded_parts_are_written_anew(place, monkeypatch):
+    monkeypatch.setattr("tallymill.sources.cache.DEAD", 2)
+    monkeypatch.setattr("tallymill.sources.cache.PARTS", 1)
+    place.totals()
+    place.put("north", 2)
+    place.totals()
+    assert len(place.cache.state().dead) == 1 and len(place.parts()[0]) == 2
+    place.put("south", 3)
+    assert place.totals() == {"north": 2, "south": 3, "east": 21, "west": 31} and "write crowded parts anew" in place.cache.steps
+    assert place.cache.state().dead == {} and len(place.parts()[0]) == 1
+    monkeypatch.setattr("tallymill.sources.cache.FOLDERS", 1)
+    place.put("up", 1)
+    assert place.totals() == {"north": 2, "south": 3, "east": 21, "west": 31, "up": 1} and len(place.parts()[0]) == 1
 
 
-@pytest.mark.parametrize("broken", ["{", '{"version":1,"files":{}}', '{"version":3}', "[]", '{"version":3,"files":{},"parts":{"1":"rows-gone/part=1"}}'])
+def test_the_state_before_is_kept(place):
+    """A frame made before a refresh can still be read after it, not after two; only the folders of two states are there."""
+    old = place.cache.load()
+    for total in (100, 200):
+        for name in FIRST:
+            place.put(name, total)
+        new = place.cache.load()
+        if total == 100:
+            assert sorted(r.total_tokens for r in old.collect()) == [1, 11, 21, 31]
+    assert {r.total_tokens for r in new.collect()} == {200} and len(place.cache._manifests()) == 2 and len(rows_folders(place)) == 2
+
+
+BROKEN = ["{", '{"version":1,"files":{}}', '{"version":4}', "[]", '{"version":4,"files":{},"dead":{},"parts":{"1":["rows-gone/part=1"]}}']
+
+
+@pytest.mark.parametrize("broken", BROKEN)
 def test_broken_manifest(place, broken):
+    """The last state that can be used counts; without one all logs are read again."""
     place.totals()
-    number = place.cache._manifests()[0] + 1
-    place.cache.store.publish(place.cache.manifest(number), broken)
+    last = place.cache._manifests()[0]
+    place.cache.store.publish(place.cache.manifest(last + 1), broken)
+    assert place.totals() == FIRST and place.cache.steps == ["load cache"]
+    place.cache.store.delete(place.cache.manifest(last))
     assert place.totals() == FIRST and place.cache.steps == ["rebuild"]
 
 
@@ -97,21 +144,66 @@ def test_explicit_refresh_and_no_files(place):
 
 def test_old_cache_without_source_file(place, spark):
     place.totals()
-    for folder in place.parts().values():
-        spark.range(1).write.mode("overwrite").parquet(folder)
+    for folders in place.parts().values():
+        for folder in folders:
+            spark.range(1).write.mode("overwrite").parquet(f"{place.cache.folder}/{folder}")
     assert place.totals() == FIRST and place.cache.steps == ["rebuild"]
 
 
-def test_incremental_equals_rebuild(place):
+def test_incremental_equals_rebuild(place, monkeypatch):
+    """Rows and summaries after random changes are those of a rebuild, with and without parts written anew."""
     chance = random.Random(4)
-    for _ in range(4):
-        for name in "abcd":
-            step = chance.random()
-            if step < 0.4:
-                place.put(name, chance.randint(1, 99))
-            elif step < 0.6:
-                place.drop(name)
-        assert place.totals() == place.totals(refresh=True)
+    for dead in (8, 1):
+        monkeypatch.setattr("tallymill.sources.cache.DEAD", dead)
+        for _ in range(4):
+            for name in "abcdefgh":
+                step = chance.random()
+                if step < 0.4:
+                    place.put(name, chance.randint(1, 99))
+                elif step < 0.6:
+                    place.drop(name)
+            got, summed = place.totals(), place.cache.estimates().first()
+            assert got == place.totals(refresh=True) and (summed.turns, summed.total_tokens) == (len(got), sum(got.values()))
+            place.cache.store.delete(place.cache.manifest(place.cache._manifests()[0]))  # go on from the refreshed state
+
+
+def test_same_size_within_one_tick(place):
+    """A log that is rewritten with the same size and time right after it was read is found by its end."""
+    path = place.root / "north.jsonl"
+    stamp = time.time_ns()
+    place.put("north", 3)
+    os.utime(path, ns=(stamp, stamp))
+    assert place.totals()["north"] == 3
+    size = path.stat().st_size
+    place.put("north", 4)
+    os.utime(path, ns=(stamp, stamp))
+    assert path.stat().st_size == size and place.totals()["north"] == 4
+    assert place.totals()["north"] == 4 and place.cache.steps == ["load cache"]
+
+
+def test_failed_listing_keeps_rows(place, monkeypatch):
+    """A tree whose store is away keeps its rows; one that is gone loses them."""
+    place.totals()
+    under = Files.under
+    monkeypatch.setattr(Files, "under", lambda self, root, pattern: (_ for _ in ()).throw(OSError("away")))
+    assert scan(place.cache.spark, place.cache.trees).failed == [str(place.root)]
+    assert place.totals() == FIRST and place.cache.steps == ["load cache", "keep rows of trees that cannot be listed"]
+    monkeypatch.setattr(Files, "under", under)
+    place.root.rename(place.root.with_name("elsewhere"))
+    assert place.totals() == {}
+
+
+def test_summaries_without_rows(place, monkeypatch):
+    """Estimates read the stored summaries alone, of any range of days."""
+    place.totals()
+    for name in rows_folders(place):
+        place.cache.store.delete(f"{place.cache.folder}/{name}/_SUCCESS")
+    kinds = []
+    alive = TokenCache._alive
+    monkeypatch.setattr(TokenCache, "_alive", lambda self, state, parts, kind="rows": kinds.append(kind) or alive(self, state, parts, kind))
+    (row,) = place.cache.estimates("2026-03-15", "2026-03-15").collect()
+    assert kinds == ["sums"] and (row.turns, row.total_tokens, row.sessions, row.p50, row.p99) == (4, 64, 0, 11, 31)
+    assert place.cache.estimates("2026-03-16").count() == 0
 
 
 def _home(tmp_path):
@@ -126,10 +218,18 @@ def _home(tmp_path):
 
 
 def test_scan(spark, tmp_path):
-    files = scan(spark, default_trees(_home(tmp_path)))
+    files = scan(spark, default_trees(_home(tmp_path))).files
     assert len(files) == 2 and newest(files) > 0 and newest({}) == 0.0
     assert all(os.stat(p).st_size == s.size and os.stat(p).st_mtime_ns // 10**6 == s.mtime_ns // 10**6 for p, s in files.items())
-    assert scan(spark, [Tree("Toy", str(tmp_path / "nowhere"), "*.json")]) == {}
+    assert scan(spark, [Tree("Toy", str(tmp_path / "nowhere"), "*.json")]) == Listing({}, [])
+
+
+def test_several_homes(spark, tmp_path):
+    one, two = _home(tmp_path / "one"), _home(tmp_path / "two")
+    assert len(scan(spark, default_trees(one, two)).files) == 4
+    args = ["--home", one, "--home", two, "--cache", str(tmp_path / "cache"), "--table"]
+    assert cli.main(args, spark, date(2026, 3, 16), lambda command: None) == 0
+    assert TokenCache(spark, str(tmp_path / "cache"), default_trees(one, two)).load().count() == 4
 
 
 def test_cli(spark, tmp_path, capsys):
@@ -148,10 +248,28 @@ def test_cli(spark, tmp_path, capsys):
     assert run("--share", "--debug-timing") == 0  # without a price, what the tools report counts
     shown = capsys.readouterr()
     assert "of AI compute this week for $120.0/mo" in shown.out and "Claude Code: max_5x, $100 a month" in shown.err
+    assert run("--estimate", "--since", "3d") == 0
+    out = capsys.readouterr().out
+    assert "Claude Code" in out and "9700" in out and "Gemini" not in out
+    assert run("--table", "--refresh", "--debug-timing") == 0 and "Claude Code: 1 read, 0 malformed, 0 too long, 1 kept" in capsys.readouterr().err
     assert run("--table", "--profile") == 0 and "cumulative" in capsys.readouterr().err
     assert cli.main(["--home", str(tmp_path / "none"), "--cache", str(tmp_path / "empty")], spark) == 1
 
 
+def test_plans_are_asked_for_by_default(spark, tmp_path, capsys):
+    """Without an option the tools' usual commands are run; here what they print is made up."""
+    asked = []
+
+    def printed(command):
+        asked.append(command)
+        return '{"plan": "pro"}' if "ccusage" not in command else None
+
+    args = ["--home", _home(tmp_path / "home"), "--cache", str(tmp_path / "cache"), "--share"]
+    assert cli.main(args, spark, date(2026, 3, 16), printed) == 0
+    assert "of AI compute this week for $220.0/mo" in capsys.readouterr().out
+    assert len(asked) == 3 and all(c.endswith(" json") and " -m " in c for c in asked)
+
+
 def test_version(capsys):
     with pytest.raises(SystemExit):
         cli.main(["--version"])

@@ -104,3 +104,34 @@ def test_gemini(spark, tmp_path):
 
 def test_no_files(spark):
     assert session_logs.read_all(spark, {}).count() == 0
+
+
+def test_tally(spark, tmp_path):
+    """Records read, malformed and too long, and rows kept, from the pass that gives the rows."""
+    turn = {"type": "assistant", "sessionId": "s", "timestamp": "2026-03-15T01:02", "cwd": "/x/Proj", "message": {"model": "m", "usage": {"input_tokens": 1}}}
+    long = json.dumps({**turn, "cwd": "/" + "y" * 400})
+    log = tmp_path / "projects/p/a.jsonl"
+    log.parent.mkdir(parents=True)
+    log.write_text("\n".join([json.dumps(turn), "{cut", "", "  ", long, json.dumps({**turn, "type": "user"}), json.dumps({**turn, "isSidechain": "odd"})]))
+    step = {"type": "event_msg", "timestamp": "2026-03-15T01", "payload": {"type": "token_count", "info": {"last_token_usage": {"total_tokens": 4}}}}
+    (tmp_path / "roll.jsonl").write_text("\n".join([json.dumps(step), "nonsense"]))
+    chats = tmp_path / ".gemini/tmp/g/chats"
+    chats.mkdir(parents=True)
+    (chats / "good.json").write_text(json.dumps({"sessionId": "g", "messages": [{"tokens": {"total": 3}}, {"tokens": {"total": 4}}]}, indent=1))
+    (chats / "bad.json").write_text('{"sessionId": ')
+    (chats / "long.json").write_text(json.dumps({"sessionId": "l", "messages": [{"tokens": {"total": 9}, "model": "z" * 400}]}))
+    tally = session_logs.Tally()
+    parts = [
+        session_logs.read_claude(spark, [str(log)], tally, longest=300),
+        session_logs.read_codex(spark, [str(tmp_path / "roll.jsonl")], tally),
+        session_logs.read_gemini(spark, [str(p) for p in sorted(chats.iterdir())], tally, longest=300),
+    ]
+    rows = parts[0].unionByName(parts[1]).unionByName(parts[2]).collect()
+    assert tally.counts() == {
+        "Claude Code": {"read": 5, "malformed": 2, "too_long": 1, "kept": 2},
+        "Codex": {"read": 2, "malformed": 1, "too_long": 0, "kept": 1},
+        "Gemini": {"read": 3, "malformed": 1, "too_long": 1, "kept": 2},
+    }
+    assert sorted(r.total_tokens for r in rows) == [1, 1, 3, 4, 4]
+    plan = parts[0]._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 1
