@@ -20,6 +20,7 @@ repeat an id count once (any mark counts), ids without a label have no mark; an
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from itertools import permutations
 
 from pyspark.sql import Column, DataFrame, Window
@@ -65,13 +66,15 @@ def refine(rows: DataFrame) -> DataFrame:
     return rows
 
 
-def mark_copies(docs: DataFrame, more: dict[str, Column], id_col: str = "doc_id", text_col: str = "text", salts: int = 1024) -> DataFrame:
-    """One row per input row: the columns of `more` (computed from `docs` and from `_text`, the text with null as empty), `_id`, and
-    `copy`, whether a smaller id has the same text."""
-    key = ["_len", *HASHES]
+def mark_copies(
+    docs: DataFrame, more: dict[str, Column], of_text: dict[str, Callable[[Column], Column]], id_col: str = "doc_id", text_col: str = "text", salts: int = 1024
+) -> DataFrame:
+    """One row per input row: `_id`, columns of the input by the names in `more`, what the functions of `of_text` make of the text (null as
+    empty), and `copy`, whether a smaller id has the same text."""
+    key, told = ["_len", *HASHES], ["_id", *more, *of_text]
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
-    rows = docs.select("*", F.col(f"`{id_col}`").alias("_id"), text.alias("_text"))
-    rows = rows.select("_id", "_text", *[c.alias(name) for name, c in more.items()], F.length("_text").alias("_len"), *[block_hash(F.col("_text"), i).alias(h) for i, h in enumerate(HASHES)])
+    rows = docs.select(F.col(f"`{id_col}`").alias("_id"), text.alias("_text"), *[c.alias(name) for name, c in more.items()])
+    rows = rows.select("_id", "_text", *more, *[f(F.col("_text")).alias(name) for name, f in of_text.items()], F.length("_text").alias("_len"), *[block_hash(F.col("_text"), i).alias(h) for i, h in enumerate(HASHES)])
     signed, _ = written(rows.drop("_text"), "signatures")
     classes, _ = written(refine(signed.select(*key)).groupBy(*key).agg(F.count(F.lit(1)).alias("_n")), "refined-classes")
     spread = F.monotonically_increasing_id()
@@ -84,11 +87,11 @@ def mark_copies(docs: DataFrame, more: dict[str, Column], id_col: str = "doc_id"
     copy = lambda least: F.coalesce(F.col("_id") > F.col(least), F.lit(False)).alias("copy")
     plain, clashing = texts.where("_texts = 1").select(*key, "_n", "_least"), texts.where("_texts > 1").select(*key, "_text", "_least")
     if clashing.isEmpty():
-        return with_groups(signed, plain, key, "_n", spread).select("_id", *more, copy("_group._least"))
+        return with_groups(signed, plain, key, "_n", spread).select(*told, copy("_group._least"))
     # different texts with equal lengths and hashes: their rows are told apart by the text itself
     hit = clashing.select(*key).distinct()
-    one = with_groups(signed.join(hit, key, "left_anti"), plain, key, "_n", spread).select("_id", *more, copy("_group._least"))
-    return one.unionByName(rows.join(hit, key).join(clashing, [*key, "_text"]).select("_id", *more, copy("_least")))
+    one = with_groups(signed.join(hit, key, "left_anti"), plain, key, "_n", spread).select(*told, copy("_group._least"))
+    return one.unionByName(rows.join(hit, key).join(clashing, [*key, "_text"]).select(*told, copy("_least")))
 
 
 def audit(
@@ -98,7 +101,7 @@ def audit(
     but went before), unique_fails (they fail its filter alone), removed documents of good quality and toxic ones, and the
     filter's removals over all orders."""
     part = F.coalesce(F.col(f"`{part_col}`").cast("string"), F.lit(""))
-    marked = mark_copies(docs, {"part": part, "_mask": mask(F.col("_text"))}, id_col, text_col, salts)
+    marked = mark_copies(docs, {"part": part}, {"_mask": mask}, id_col, text_col, salts)
     told = labels.where(F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").alias("_id")).agg(
         F.max(F.when(F.col("quality") == 1, 1).otherwise(0)).alias("_good"), F.max(F.when(F.col("toxic") == 1, 1).otherwise(0)).alias("_toxic")
     )
