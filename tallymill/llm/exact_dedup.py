@@ -4,7 +4,8 @@ Equal texts are combined three times, each time by comparing the full content (t
 its SHA-256 only spreads the rows): within each input partition (partial aggregation), then within each of `salts` slices
 of the input partitions, and across the slices. A group of copies that holds a third of all rows leaves one row in each
 partition, so neither of the two later steps gets more rows of it than partitions by `salts`, or `salts`. On the way back
-to the rows, groups of very many rows are broadcast, a proven number at most, and the others are joined by digest. Only
+to the rows, groups of very many rows are broadcast, a proven number at most, and their rows are dealt by place, so it does not
+matter how many share an id or have none; the others are joined by digest. Only
 built-in functions are used.
 
 Defined results: a null text counts as empty; of equal texts the largest id stays; null ids come last; a row that
@@ -48,22 +49,31 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     clashing = classes.where("_texts > 1").select("_digest", "_text", F.struct("_keep", "_n").alias("_group"))
     if clashing.isEmpty():
         narrow = rows.select("_id", "_digest", F.sha2(F.col("_text").cast("binary"), 256).alias("_sha"))
-        joined = with_groups(narrow, plain, ["_digest"], "_n", F.col("_id"))
+        joined = with_groups(narrow, plain, ["_digest"], "_n", F.monotonically_increasing_id())
     else:  # different texts with one digest: their rows are matched by the text itself
         narrow = rows.withColumn("_sha", F.sha2(F.col("_text").cast("binary"), 256))
         hit = clashing.select("_digest").distinct().withColumn("_hit", F.lit(True))
         narrow = narrow.join(hit, "_digest", "left")
-        one = with_groups(narrow.where("_hit is null").drop("_hit", "_text"), plain, ["_digest"], "_n", F.col("_id"))
+        one = with_groups(narrow.where("_hit is null").drop("_hit", "_text"), plain, ["_digest"], "_n", F.monotonically_increasing_id())
         two = narrow.where("_hit").drop("_hit").join(clashing, ["_digest", "_text"]).drop("_text").withColumn("_spread", F.lit(0).cast("long"))
         joined = one.unionByName(two)
-    # which of the rows that repeat an id and a text stays is arbitrary: they differ in nothing that counts
-    copy = F.row_number().over(Window.partitionBy("_digest", "_spread", "_sha", "_id").orderBy(F.lit(0)))
     keep = F.when(F.col("_group").isNull(), F.col("_id")).otherwise(F.col("_group._keep"))
-    return joined.withColumn("_copy", copy).select(
+    told = joined.select("_id", "_sha", keep.alias("_keep"), F.coalesce("_group._n", F.lit(1)).cast("long").alias("_n"), F.monotonically_increasing_id().alias("_row"))
+    told, _ = written(told, "dedup-rows")
+    # which of the rows that repeat an id and a text stays is arbitrary: they differ in nothing that counts. One of them is named, by
+    # partial sums, where there is more than one
+    won = F.col("_id").eqNullSafe(F.col("_keep"))
+    again = told.where(won & (F.col("_n") > 1)).groupBy("_sha").agg(F.min("_row").alias("_first"), F.count(F.lit(1)).alias("_rows")).where("_rows > 1")
+    again, _ = written(again, "dedup-repeated")
+    kept = won
+    if not again.isEmpty():
+        told = with_groups(told, again, ["_sha"], "_rows", F.col("_row"))
+        kept = won & (F.coalesce(F.col("_group._first"), F.col("_row")) == F.col("_row"))
+    return told.select(
         F.col("_id").alias(id_col),
-        keep.alias("keep_id"),
-        F.coalesce("_group._n", F.lit(1)).cast("long").alias("group_size"),
-        (F.col("_id").eqNullSafe(keep) & (F.col("_copy") == 1)).alias("kept"),
+        F.col("_keep").alias("keep_id"),
+        F.col("_n").alias("group_size"),
+        kept.alias("kept"),
         F.col("_sha").alias("text_sha256"),
     )
 

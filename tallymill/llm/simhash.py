@@ -13,7 +13,8 @@ many is chosen by the number of distinct fingerprints (`groups_for`), so compari
 
 Only distinct fingerprints take part, so a group of copies is one row. A cell with more than `block` fingerprints is cut
 into blocks that meet pairwise in tasks of their own. A cell yields the edges of a spanning forest, not its pairs.
-Fingerprints of very many documents, and nodes of very many links, are joined by broadcast (`with_groups`).
+Fingerprints of very many documents, and nodes of very many links, are joined by broadcast (`with_groups`), and their rows dealt by
+place, so rows without an id, or with one repeated id, come to many tasks.
 
 Defined results: null and blank texts have fingerprint zero and are linked like any other; texts below four words have
 one shingle, the whole sequence; very long texts are taken whole, in chunks; repeated rows share a fingerprint; an empty table gives an empty result; other columns
@@ -211,7 +212,7 @@ def near_duplicates(
     placed = with_groups(linked, least, ["label"], "_nodes", F.col("_fp")).select("_fp", "_n", F.col("_group.component_id").alias("component_id"))
     shared = placed.unionByName(labelled.where("label is null and _n > 1").select("_fp", "_n", F.col("_least").alias("component_id")))
     shared, _ = written(shared, "shared-fingerprints")
-    return with_groups(marked, shared, ["_fp"], "_n", F.col("_id")).select(
+    return with_groups(marked, shared, ["_fp"], "_n", F.monotonically_increasing_id()).select(
         F.col("_id").alias(id_col),
         F.lpad(F.lower(F.hex("_fp")), 16, "0").alias("fingerprint"),
         F.coalesce("_group.component_id", "_id").alias("component_id"),

@@ -70,3 +70,16 @@ def test_few_keys_are_broadcast(spark):
         assert [(r.id, r.k, r._group.n, r._group.least) for r in got.orderBy("id").collect()] == [(i, i % 10, 100, i % 10) for i in range(1000)]
         hot = got.where("_spread <> 0").select("k").distinct().count()
         assert hot <= most_hot and (hot == 10) == (hot_rows == 1 and most_hot == 1000)
+
+
+def test_rows_without_an_id(spark, monkeypatch):
+    """A group whose rows all lack an id, or share one, is dealt over many tasks on the way back, and one of its rows stays."""
+    rows = spark.range(200_000).select(F.when(F.col("id") % 2 == 0, F.lit(None)).otherwise(F.lit(7)).cast("long").alias("doc_id"), F.when(F.col("id") % 2 == 0, "one text").otherwise("other").alias("text"))
+    docs = rows.unionByName(spark.createDataFrame([(1, "alone"), (None, "alone too")], "doc_id long, text string"))
+    dealt, joined = exact_dedup.with_groups, []
+    monkeypatch.setattr(exact_dedup, "with_groups", lambda *a, **k: joined.append(dealt(*a, **k, hot_rows=1000)) or joined[-1])
+    got = exact_dedup.exact_dedup(docs)
+    assert {(r.doc_id, r.group_size, r.rows, r.kept) for r in got.groupBy("doc_id", "group_size").agg(F.count(F.lit(1)).alias("rows"), F.sum(F.col("kept").cast("int")).alias("kept")).collect()} == {
+        (None, 100_000, 100_000, 1), (7, 100_000, 100_000, 1), (1, 1, 1, 1), (None, 1, 1, 1)
+    }
+    assert joined[0].where("_digest is not null").select("_spread").distinct().count() > 100_000
