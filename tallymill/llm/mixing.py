@@ -22,6 +22,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tallymill.llm.common import word_count, written
 
@@ -33,6 +34,19 @@ def hashed(value: Column, digits: int) -> Column:
     return F.conv(F.substring(F.md5(value.cast("binary")), 1, digits), 16, 10).cast("long")
 
 
+def row_hash(docs: DataFrame, row: str) -> Column:
+    """Hash of a row of `docs` held in a struct column; maps and variants, which have none, count by their JSON."""
+
+    def plain(kind: T.DataType) -> bool:
+        if isinstance(kind, (T.MapType, T.VariantType)):
+            return False
+        inner = [f.dataType for f in kind.fields] if isinstance(kind, T.StructType) else [kind.elementType] if isinstance(kind, T.ArrayType) else []
+        return all(map(plain, inner))
+
+    fields = [(F.col(row).getField(f.name), plain(f.dataType)) for f in docs.schema.fields]
+    return F.xxhash64(*[c if hashable else F.to_json(F.struct(c.alias("c"))) for c, hashable in fields])
+
+
 def source_targets(sizes: DataFrame, source_col: str = "source", weights: int = 3, at_most: int = 3) -> DataFrame:
     """One row a source: size, weight 1..weights by rank, target. `sizes`: source and size of each document.
 
@@ -107,7 +121,7 @@ def mix(
     low = (1 << 24) - 1
     # k * rate, with k's upper and lower half multiplied apart: (k >> 24) * rate is whole copies already
     whole = lambda k: F.shiftright(k, 24) * F.col("_rate") + F.shiftright(k.bitwiseAND(low) * F.col("_rate") + F.col("_offset"), 24)
-    order = ["size", "_id", *([F.xxhash64("row")] if carry else [])]
+    order = ["size", "_id", *([row_hash(docs, "row")] if carry else [])]
     return (
         rows.withColumn("_in", F.row_number().over(Window.partitionBy(*key).orderBy(*order)))
         .join(placed, key)

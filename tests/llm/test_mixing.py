@@ -70,3 +70,12 @@ def test_ties_agree_between_runs(spark):
     assert first == sorted(map(str, mixing.mixed(docs.repartition(7, "text")).collect()))
     plain = lambda df: sorted(map(str, mixing.mix(df).collect()))
     assert plain(docs.repartition(1)) == plain(docs.repartition(7, "text"))
+
+
+def test_rows_with_maps(spark):
+    """Rows of any type are carried along, maps and what holds them included; rows that differ in them alone are told apart."""
+    docs = spark.range(60).selectExpr("id % 20 AS doc_id", "concat('w ', 'w ', id) AS text", "'s' AS source")
+    docs = docs.selectExpr("*", "map('k', text) AS size_map", "array(struct(map(1, text) AS m)) AS deep", "cast(text AS binary) AS raw", "parse_json('[1]') AS free")
+    first = sorted((r.doc_id, r.text, r.copy, r.size_map["k"], r.deep[0].m[1]) for r in mixing.mixed(docs).collect())
+    again = sorted((r.doc_id, r.text, r.copy, r.size_map["k"], r.deep[0].m[1]) for r in mixing.mixed(docs.repartition(3)).collect())
+    assert first == again and all(t == m == d for _, t, _, m, d in first) and first
