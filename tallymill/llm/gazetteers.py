@@ -1,4 +1,4 @@
-"""Gazetteers that the labelers of `pii` look spans up in; every list is a parameter of `pii.Lists`."""
+"""Gazetteers that the labelers of `pii` look spans up in."""
 
 #: Fixed values. Ends of host names: generic ones and those of countries.
 DOMAINS = """com org net edu gov mil int info biz name pro io ai app dev co me tv cc xyz online site shop blog tech cloud email

@@ -11,8 +11,8 @@ learns the resulting probabilities from kind and votes. Base spans always stay;
 gives at least one half and they overlap no base span.
 
 Spans come from splitting a text at the matches of a pattern: the lengths of the pieces and of the matches add up to
-places. The running sums are taken in runs of about the square root of their number, so texts with very many matches stay
-cheap. Patterns never backtrack over a repeated group, so very long texts neither take quadratic time nor a deep stack.
+places. The running sums are taken in runs of about the square root of their number, what stands around a span is cut from
+segments of the text, and overlaps are found by halving, so texts with very many matches stay cheap. Patterns never backtrack over a repeated group, so very long texts neither take quadratic time nor a deep stack.
 
 Only the value of a secret is a span, not its name or its quotes; a secret has 16 to 256 characters.
 
@@ -56,7 +56,9 @@ DOMAINS, COUNTRIES, ISSUERS, NAMES, BANKS, KEYS = map("|".join, (gazetteers.DOMA
 SECRETS = "|".join(x.replace(" ", "[_ -]?") for x in gazetteers.SECRETS)
 #: Words to the left that speak for and against a span.
 FOR = "mail|contact|write to|reach|phone|tel|call|mobile|fax|card|visa|credit|payment|host|server|address|ssn|social|name|iban|bank|account|token|secret|password|key|kontakt|konto|compte|cuenta|anruf|karte|adresse|correo|llama|tarjeta|carte|appel"
-AGAINST = "version|isbn|issn|chapter|section|page|figure|invoice|order no|serial|build|doi"
+AGAINST = "version|isbn|issn|chapter|section|page|figure|invoice|order no|serial|build|doi|commit|revision|checksum|digest|sha1|sha256|sha512|md5|etag|uuid|guid|fingerprint|request id|trace"
+#: Characters to the left that the context labeler sees; length of the segments that texts are cut to for that.
+LEFT, SEGMENT = 40, 4096
 _PART = "0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]{1,2})"
 
 
@@ -170,28 +172,55 @@ def _votes(kind: str, strict: bool, x: Column) -> list[Column]:
         "secret": _vote(F.rlike(x["left"], F.lit(rf"(?:^|[^a-z])(?:[a-z0-9]{{1,20}}[_-])?(?:{SECRETS})[\"'`]? {{0,2}}(?:=|:|=>|:=) {{0,2}}[\"'`]?$"))),
         "iban": _vote(F.rlike(m, F.lit(f"^(?:{BANKS})")), ~F.rlike(m, F.lit(f"^(?:{BANKS})"))),
     }
-    shape = F.when(F.rlike(m, F.lit(rf"^(?:{KEYS}|(?:[0-9a-f]{{32}}|[0-9a-f]{{40}}|[0-9a-f]{{64}}))$")), 1).otherwise(0) if kind == "secret" else F.lit(1 if strict else 0)
+    shape = F.when(F.rlike(m, F.lit(rf"^(?:{KEYS})$")), 1).otherwise(0) if kind == "secret" else F.lit(1 if strict else 0)
     context = _vote(F.rlike(x["left"], F.lit(FOR)) & ~F.rlike(x["left"], F.lit(AGAINST)), F.rlike(x["left"], F.lit(AGAINST)))
     border = _vote(~F.rlike(x["ends"], F.lit(r"[\p{L}\p{N}_@]")), F.rlike(x["ends"], F.lit(r"[\p{L}\p{N}_@]")))
     return [shape, forms[kind], gazetteers[kind], context, border]
 
 
-def _voted(kind: str, strict: bool, spans: Column, text: Column) -> Column:
-    """Spans with their votes."""
+def segments(text: Column) -> Column:
+    """The text in overlapping segments, so that what stands around a span is cut from a short string, wherever in the text it is: with LEFT
+    blanks before the text, the i-th one has the SEGMENT + LEFT + 1 characters from place i * SEGMENT on."""
+    padded = F.concat(F.lit(" " * LEFT), text)
+    starts = F.sequence(F.lit(0), F.floor(F.length(text) / SEGMENT).cast("int"))
+    return _let(padded, lambda whole: F.transform(starts, lambda i: F.substring(whole, i * SEGMENT + 1, F.lit(SEGMENT + LEFT + 1))))
+
+
+def _around(segments: Column, at: Column, start: int, length: int) -> Column:
+    """Characters of the text from `at` + `start` - LEFT on; blanks before its beginning, nothing after its end."""
+    place = at.cast("int")
+    return F.substring(F.get(segments, F.floor(place / SEGMENT).cast("int")), place % SEGMENT + start + 1, F.lit(length))
+
+
+def _voted(kind: str, strict: bool, spans: Column, cut: Column) -> Column:
+    """Spans with their votes. `cut`: the text's segments."""
     seen = F.transform(
         spans,
         lambda x: F.struct(
             x["s"].alias("s"),
             x["e"].alias("e"),
             x["m"].alias("m"),
-            F.lower(text.substr(F.greatest(x["s"] - 39, F.lit(1)), F.least(x["s"], F.lit(40)))).alias("left"),
-            F.concat(F.when(x["s"] > 0, text.substr(x["s"], F.lit(1))).otherwise(""), text.substr(x["e"] + 1, F.lit(1))).alias("ends"),
+            F.lower(_around(cut, x["s"], 0, LEFT)).alias("left"),
+            F.concat(_around(cut, x["s"], LEFT - 1, 1), _around(cut, x["e"], LEFT, 1)).alias("ends"),
         ),
     )
     fields = lambda x: [F.lit(kind).alias("kind"), x["s"].alias("s"), x["e"].alias("e"), F.lit(strict).alias("base")]
     return F.transform(seen, lambda x: F.struct(*fields(x), *[v.cast("int").alias(n) for n, v in zip(VOTES, _votes(kind, strict, x), strict=True)]))
 
 
+def overlapped(x: Column, spans: Column, steps: Column) -> Column:
+    """Whether a span overlaps one of `spans`, which lie apart in the order of their places: looks for the last one that starts before
+    its end by halving. `steps`: powers of two from high to low, their sum at least the number of spans."""
+    n = F.size(spans)
+    before = F.aggregate(steps, F.lit(0), lambda at, p: F.when(at + p <= n, F.when(F.get(spans, at + p - 1)["s"] < x["e"], at + p).otherwise(at)).otherwise(at))
+    return _let(before, lambda k: (k > 0) & F.coalesce(F.get(spans, k - 1)["e"] > x["s"], F.lit(False)))
+
+
+def halvings(n: Column) -> Column:
+    """Powers of two up to a number, the largest first."""
+    return F.filter(F.array(*[F.lit(1 << k) for k in range(30, -1, -1)]), lambda p: p <= n)
+
+
 def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: id and its candidate spans with votes; base spans first, looser ones only where they overlap none."""
     text = F.coalesce(F.col(text_col), F.lit(""))
@@ -207,11 +236,22 @@ def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     names = [*(f"b_{k}" for k in KINDS), *(f"l_{k}" for k in LOOSE)]
     df = df.select("_id", "_text", *[F.coalesce(_placed(n), F.array().cast(none)).alias(n) for n in names])
     df = df.withColumns({f"b_{k}": F.filter(f"b_{k}", _checked(k)) for k in KINDS})
-    base = F.concat(*[_voted(k, True, F.col(f"b_{k}"), F.col("_text")) for k in KINDS])
-    loose = F.concat(*[_voted(k, False, F.col(f"l_{k}"), F.col("_text")) for k in LOOSE])
-    df = df.select("_id", base.alias("_base"), loose.alias("_loose"))
-    apart = F.filter("_loose", lambda x: ~F.exists("_base", lambda b: (b["s"] < x["e"]) & (x["s"] < b["e"])))
-    return df.select(F.col("_id").alias(id_col), F.concat("_base", apart).alias("found"))
+    # loose spans that overlap a base span of some kind go before votes are taken
+    steps = {k: F.when(F.size(f"b_{k}") > 0, halvings(F.size(f"b_{k}"))).otherwise(F.array().cast("array<int>")).alias(f"t_{k}") for k in KINDS}
+    df = df.select("_id", "_text", *names, *steps.values())
+    df = df.select("_id", "_text", *[f"b_{k}" for k in KINDS], *[F.filter(f"l_{k}", _apart).alias(f"l_{k}") for k in LOOSE])
+    # only texts with a candidate are cut
+    some = sum((F.size(n) for n in names), F.lit(0)) > 0
+    df = df.select("_id", *names, F.when(some, segments(F.col("_text"))).alias("_cut"))
+    base = F.concat(*[_voted(k, True, F.col(f"b_{k}"), F.col("_cut")) for k in KINDS])
+    loose = F.concat(*[_voted(k, False, F.col(f"l_{k}"), F.col("_cut")) for k in LOOSE])
+    return df.select(F.col("_id").alias(id_col), F.concat(base, loose).alias("found"))
+
+
+def _apart(x: Column) -> Column:
+    """Whether a loose span overlaps no base span of any kind; each kind's own lie apart."""
+    hits = [overlapped(x, F.col(f"b_{k}"), F.col(f"t_{k}")) for k in KINDS]
+    return ~(hits[0] | hits[1] | hits[2] | hits[3])
 
 
 def expectation_maximisation(patterns: list[tuple[str, tuple[int, ...], int]], rounds: int = 60) -> dict[tuple[str, tuple[int, ...]], float]:

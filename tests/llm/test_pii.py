@@ -1,6 +1,9 @@
 import hashlib
 import random
 import re
+import time
+
+from pyspark.sql import functions as F
 
 from tallymill.llm import pii
 
@@ -100,3 +103,54 @@ def test_reliable_labelers_outvote_the_majority():
     belief = pii.expectation_maximisation([(k, v, n) for (k, v), (_, n) in counts.items()])
     against = ("phone", (1, 1, -1, -1, -1))
     assert sum(against[1]) < 0 and belief[against] > 0.9 and belief["phone", (-1, -1, 1, 1, 1)] < 0.1
+
+
+def test_look_alikes_are_refused(spark):
+    """Commit ids, checksums and tags stand after `=` like secrets do, and most labelers that vote on them vote for them; the classifier,
+    which learns here what a secret's name and the words before it are worth, keeps the secrets and refuses the rest."""
+    chance = random.Random(1)
+    digits = lambda k: "".join(chance.choices("0123456789abcdef", k=k))
+    forms = ['words api_key = "{}" more', "words token: {} more", "fixed in commit = {} today", "file sha256 = {} checked", 'version etag="{}" cached']
+    rows = [(i, forms[i % 5].format(digits(32 if i % 2 else 40))) for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found, _ = pii.written(pii.candidates(docs), "candidates")
+    majority = {r.doc_id % 5 for r in found.collect() for x in r.found if sum(x[v] for v in pii.VOTES) > 0}
+    kept = {r.doc_id % 5: len(r.found) for r in pii.personal_data(docs).collect()}
+    assert majority == {0, 1, 2, 3, 4} and kept == {0: 1, 1: 1, 2: 0, 3: 0, 4: 0}
+
+
+def test_many_spans_in_one_text(spark):
+    """Neither overlaps nor what stands around a span cost more the more spans there are: 40,000 of them take seconds."""
+    line = "a%d@b.c +1 212 555 0142; 555-123-4567 x "
+    text = "".join(line % i for i in range(20_000))
+    begun = time.monotonic()
+    (row,) = pii.digests(pii.personal_data(spark.createDataFrame([(1, text)], "doc_id long, text string"))).collect()
+    took = time.monotonic() - begun
+    assert (row.n_email, row.n_phone) == (20_000, 20_000) and took < 60, took
+    want = [f"{k}:{s}:{e}" for k, s, e in base(text)]
+    assert row.base_sha256 == hashlib.sha256(",".join(want).encode()).hexdigest()
+
+
+def test_overlaps_by_halving(spark):
+    """Against comparing with every span, for spans that lie apart."""
+    chance = random.Random(6)
+    spans, at = [], 0
+    for _ in range(300):
+        at += chance.randint(0, 5)
+        spans.append((at, at + chance.randint(1, 6)))
+        at = spans[-1][1]
+    asked = [(s, s + chance.randint(1, 9)) for s in chance.choices(range(at + 20), k=400)]
+    for some in (spans, spans[:1], []):
+        frame = spark.createDataFrame([(asked, some)], "asked array<struct<s:long,e:long>>, spans array<struct<s:long,e:long>>")
+        steps = F.when(F.size("spans") > 0, pii.halvings(F.size("spans"))).otherwise(F.array().cast("array<int>"))
+        got = frame.select("*", steps.alias("steps")).select(F.transform("asked", lambda x: pii.overlapped(x, F.col("spans"), F.col("steps")))).first()[0]
+        assert got == [any(b < e and s < c for b, c in some) for s, e in asked]
+
+
+def test_around_a_span(spark):
+    """What stands before and after a place is the same wherever the segments are cut."""
+    text = "é" * 4090 + "abcdefghijklmnop" + "ü" * 5000
+    frame = spark.createDataFrame([(text,)], "t string").select(pii.segments(F.col("t")).alias("cut"))
+    for at in (0, 1, 39, 40, 41, 4094, 4095, 4096, 4097, 4100, len(text) - 1, len(text)):
+        row = frame.select(pii._around(F.col("cut"), F.lit(at), 0, pii.LEFT), pii._around(F.col("cut"), F.lit(at), pii.LEFT, 1)).first()
+        assert row[0].strip(" ") == text[max(0, at - pii.LEFT) : at] and row[1] == text[at : at + 1]
