@@ -37,6 +37,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 #: Thai, Lao, Burmese and Khmer letters, kana and Chinese characters each stand for a word.
 ALONE = r"฀-໿က-႟ក-៿぀-ヿ㐀-鿿豈-﫿\U00020000-\U0003ffff"
@@ -366,7 +367,7 @@ class Finder:
                 best[i] = row
 
 
-def _finder(index, cosine: float, verbatim: float, paraphrase: float):
+def _finder(index, id_type: pa.DataType, cosine: float, verbatim: float, paraphrase: float):
     names = ["_id", "item_id", "cosine", "common", "answer", "first_word", "last_word", "item_text"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -378,7 +379,7 @@ def _finder(index, cosine: float, verbatim: float, paraphrase: float):
                 at += [k] * len(rows)
                 found += rows
             columns = list(zip(*found, strict=True)) or [()] * 6
-            kinds = (pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.int64(), pa.int64())
+            kinds = (id_type, pa.float64(), pa.float64(), pa.float64(), pa.int64(), pa.int64())
             texts = pa.array([x.texts[i] for i in columns[0]], pa.string())
             columns[0] = [x.ids[i] for i in columns[0]]
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True)), texts], names)
@@ -430,10 +431,11 @@ def leaks(
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("binary").alias("_text"))
     kind = rows.schema["_id"].dataType.simpleString()
-    schema = f"_id {kind}, item_id long, cosine double, common double, answer double, first_word long, last_word long, item_text string"
+    id_kind = benchmark.schema[item_col].dataType
+    schema = f"_id {kind}, item_id {id_kind.simpleString()}, cosine double, common double, answer double, first_word long, last_word long, item_text string"
     found = None
     for index in _indexes(docs, benchmark, text_col, item_col, item_text_col, rank, block, block_words, energy, verbatim):
         shared = spark.sparkContext.broadcast(index)
-        part = rows.mapInArrow(_finder(shared, cosine, verbatim, paraphrase), schema)
+        part = rows.mapInArrow(_finder(shared, to_arrow_type(id_kind), cosine, verbatim, paraphrase), schema)
         found = part if found is None else found.unionByName(part)
     return (spark.createDataFrame([], schema) if found is None else found).withColumnRenamed("_id", id_col)

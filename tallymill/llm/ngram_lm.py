@@ -288,7 +288,7 @@ def _columns(rows: np.ndarray) -> bytes:
     return b"".join(np.ascontiguousarray(rows[c]).tobytes() for c in rows.dtype.names)
 
 
-def train(training: DataFrame, text_col: str = "text", entries: int = 2_000_000, singles: bool = False) -> Model:
+def train(training: DataFrame, text_col: str = "text", entries: int = 2_000_000, singles: bool = True) -> Model:
     """Counts all rows and files the model. `entries`: about how many tokens a writing task gets, which bounds its memory."""
     spark = training.sparkSession
     size = training.agg(F.count(F.lit(1)).alias("texts"), F.sum(F.octet_length(F.col(text_col).cast("binary"))).alias("bytes")).first()

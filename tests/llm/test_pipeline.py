@@ -112,3 +112,21 @@ def test_clashing_columns_and_repeated_ids(spark, tmp_path):
     assert kept == set(texts), (len(kept), len(texts))
     assert {(r.doc_id, r.text, r.kept) for r in got} == {(i, t, k) for i, t, *_, k in rows if t in kept}
     assert got[0].__fields__ == ["doc_id", "text", "lang", "source", "_id", "component_id", "kept", "size", "source_size", "target", "copy"]
+
+
+def test_any_other_columns(spark, tmp_path):
+    """Columns of any name and type go through all stages unchanged."""
+    chance = random.Random(33)
+    items = [(f"q-{i}", prose("aa", 30, chance)) for i in range(4)]
+    spark.createDataFrame(items, "item_id string, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    names = chance.sample("_of _id _digest row row_id row_digest id digest key last _key _rest _null _row _text _salt label node a b u v m n _fp _n _n_words _block _item item_id rank leaked".split(), 14)
+    kinds = ["cast(doc_id as int)", "map('k', doc_id)", "array(doc_id)", "struct(doc_id as x, text as y)", "cast(text as binary)", "doc_id % 2 = 0", "cast(doc_id as decimal(9,2))"]
+    texts = [prose("ab"[i % 2] * 2, chance.choice([30, 60, 120]), chance) for i in range(120)] + [f"{prose('aa', 20, chance)} {items[0][1]}"]
+    docs = spark.createDataFrame([(i, t, "ab"[i % 2] * 2 if i < 120 else "aa", "s", 5) for i, t in enumerate(texts)], SCHEMA)
+    docs = docs.selectExpr("*", *[f"{kinds[i % len(kinds)]} AS `{n}`" for i, n in enumerate(names)])
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    before = {r.doc_id: r for r in docs.collect()}
+    got = corpus_pipeline.run(spark, str(tmp_path))
+    assert [f.dataType for f in got.schema.fields if f.name in names] == [f.dataType for f in docs.schema.fields if f.name in names]
+    rows = got.collect()
+    assert {r.doc_id for r in rows} == set(range(120)) and all(r[c] == before[r.doc_id][c] for r in rows for c in ["text", "lang", *names])
