@@ -6,9 +6,12 @@ language, drawn by a hash of the id; whole texts). The models are stored side by
 with one column of probabilities a language; tasks look words up by binary search and remember words seen before.
 
 A document gets the language of the lowest cross-entropy per symbol. A tenth of the sample is kept out of the counts and
-calibrates two things: the temperature that turns differences of cross-entropy into the probability `score`, and for each
-language the range of cross-entropy its own documents have. A document above the range of the chosen language is not
-`accepted`; the range ends between 65 and 90 % of the way to letters drawn at random.
+calibrates two things, on the whole documents and on their beginnings of several lengths: the temperature that turns differences
+of cross-entropy into the probability `score`, and how far above its language's median a document's cross-entropy may lie, by
+language and length. That limit is a quantile of the held-out values: their 90 and 99 % quantiles carried on to a rate of
+`REJECTED` by an exponential tail, and no less than the largest of them. A document above the limit of the chosen language is not
+`accepted`, nor is one that is hardly more likely than letters drawn at random. A language or length with few held-out values takes
+the limits of all languages together; where these are few too, nothing is rejected.
 
 Defined results: null texts and texts without a letter get `und`, score 0 and are not accepted; ties go to the language
 first by code point; rows with null language or text teach nothing; without any labelled row every document gets `und`;
@@ -36,6 +39,9 @@ START, END = "\x02", "\x03"
 LETTERS = re.compile(r"[^\W\d_]+")
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 MOST_BYTES = 1 << 30
+#: The rate of a language's own documents that is to be rejected, characters of the beginnings that are measured, classes of
+#: length (by powers of four symbols), and held-out values that a class must have.
+REJECTED, BEGINNINGS, CLASSES, FEWEST = 1e-6, (8, 32, 128, 512, 2048), 8, 20
 
 
 @dataclass
@@ -53,10 +59,12 @@ class Models:
     levels: list[Level]
     floor: np.ndarray
     temperature: float = 1.0
-    #: Per language: mean and deviation of the cross-entropy of its own documents, and the accepted number of deviations.
+    #: Per language: median cross-entropy of its own documents, and how far above it is accepted, by class of length.
     centre: np.ndarray | None = None
-    spread: np.ndarray | None = None
-    reach: float = 8.0
+    limits: np.ndarray | None = None
+    #: The part of the held-out documents that their own limits reject.
+    rejected: float = 0.0
+
 
 
 def words_of(text: str) -> list[str]:
@@ -159,10 +167,15 @@ def decide(xent: np.ndarray, n: np.ndarray, models: Models) -> tuple[np.ndarray,
     best = xent.argmin(axis=1)
     least = xent[np.arange(len(xent)), best]
     odds = np.exp(-np.minimum((xent - least[:, None]) * n[:, None] * models.temperature, 700))
-    wide = models.reach * models.spread[best] * np.sqrt(1 + 100 / np.maximum(n, 1))
+    at = np.clip((np.log2(np.maximum(n, 1)) - 1) / 2, 0, CLASSES - 1)  # between the middles of two classes
+    lower, part = at.astype(int), at - at.astype(int)
+    above = np.minimum(lower + 1, CLASSES - 1)
+    wide = np.where(part > 0, models.limits[best, lower] * (1 - part) + models.limits[best, above] * part, models.limits[best, lower])
     room = np.log(len(models.levels[0].keys) + 1) - models.centre[best]  # up to letters drawn at random
-    limit = models.centre[best] + np.clip(wide, room * 0.65, room * 0.9)
-    return best, np.where(n > 0, 1 / odds.sum(axis=1), 0), (n > 0) & (least <= limit)
+    known = np.isfinite(models.centre[best])
+    with np.errstate(invalid="ignore"):
+        fits = least <= models.centre[best] + np.minimum(wide, 0.9 * room)
+    return best, np.where(n > 0, 1 / odds.sum(axis=1), 0), (n > 0) & (fits | ~known)
 
 
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -228,17 +241,17 @@ def train(
     words = named(rows.where(~aside)).mapInArrow(_count_words, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
     words, _ = written(words, "lang-words")
     alpha, gamma = model_tables(words, order)
-    table = (
-        alpha.withColumn("kind", F.lit(0)).unionByName(gamma.withColumn("kind", F.lit(1))).orderBy("k", "gram").toArrow()
-    )  # bounded by the sample
+    rows_of, _ = written(alpha.withColumn("kind", F.lit(0)).unionByName(gamma.withColumn("kind", F.lit(1))), "lang-tables")
+    size = rows_of.agg(F.count(F.lit(1)).alias("rows"), F.countDistinct("lang").alias("langs"), F.coalesce(F.sum(F.octet_length("gram") + 40), F.lit(0)).alias("bytes")).first()
+    if (need := max(8 * size["rows"] * size["langs"], size["bytes"])) > MOST_BYTES:
+        raise ValueError(f"models of {size['langs']} languages may take {need >> 20} MB, more than {MOST_BYTES >> 20}: lower most_docs or order")
+    table = rows_of.orderBy("k", "gram").toArrow()  # bounded by the sample, and checked
     langs = sorted(set(table.column("lang").to_pylist()))
     index = {x: i for i, x in enumerate(langs)}
     lang = np.array([index[x] for x in table.column("lang").to_pylist()], np.int64)
     k, kind, v = (table.column(c).to_numpy() for c in ("k", "kind", "v"))
     grams = table.column("gram").to_pylist()
     levels = []
-    if (need := 8 * table.num_rows * len(langs)) > MOST_BYTES:
-        raise ValueError(f"models of {len(langs)} languages may take {need >> 20} MB, more than {MOST_BYTES >> 20}: lower most_docs or order")
     for size in range(1, order + 1):
         at = np.flatnonzero(k == size)
         h = _hash_strings([grams[i] for i in at], size)
@@ -261,40 +274,74 @@ def _measure(models):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scores = WordScores(models.value)
         for batch in batches:
-            xent, n = entropies(batch.column(1).to_pylist(), scores)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(list(xent), pa.list_(pa.float64())), pa.array(n)], ["lang", "xent", "n"])
+            texts = batch.column(1).to_pylist()
+            for size in (None, *BEGINNINGS):
+                at = [i for i, t in enumerate(texts) if size is None or len(t) > size]
+                xent, n = entropies([texts[i][:size] for i in at], scores)
+                whole = pa.array([size is None] * len(at), pa.bool_())
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), pa.array(list(xent), pa.list_(pa.float64())), pa.array(n), whole], ["lang", "xent", "n", "whole"])
 
     return run
 
 
+def tail_limit(values: np.ndarray) -> float:
+    """The value that a share of `REJECTED` lies above: an exponential tail through two quantiles, and no less than the largest value."""
+    q90, q99 = np.quantile(values, (0.9, 0.99))
+    return float(max(values.max(), q99 + (q99 - q90) / np.log(10) * np.log(0.01 / REJECTED)))
+
+
+def length_class(n: np.ndarray) -> np.ndarray:
+    return np.clip(np.log2(np.maximum(n, 1)) // 2, 0, CLASSES - 1).astype(int)
+
+
+def limits_by_length(excess: np.ndarray, n: np.ndarray, otherwise: np.ndarray | None) -> np.ndarray:
+    """Limits by class of length, never wider for longer texts; `otherwise`, or that of the next class that has one, where values are few."""
+    of, found = length_class(n), np.full(CLASSES, np.nan)
+    for c in range(CLASSES):
+        if (of == c).sum() >= FEWEST:
+            found[c] = tail_limit(excess[of == c])
+        elif otherwise is not None:
+            found[c] = otherwise[c]
+    known = np.flatnonzero(np.isfinite(found))
+    if not len(known):
+        return np.full(CLASSES, np.inf)
+    nearest = known[np.abs(known[None, :] - np.arange(CLASSES)[:, None]).argmin(axis=1)]
+    return np.maximum.accumulate(found[nearest][::-1])[::-1]
+
+
 def calibrated(models: Models, aside: DataFrame) -> Models:
-    """Temperature, and each language's range of cross-entropy, from labelled documents that were not counted."""
+    """Temperature, and each language's limits of cross-entropy, from labelled documents that were not counted."""
     shared = aside.sparkSession.sparkContext.broadcast(models)
-    seen = aside.mapInArrow(_measure(shared), "lang string, xent array<double>, n double").where("n > 0").toArrow()
+    # a tenth of the sample: six rows of a few numbers a document
+    seen = aside.mapInArrow(_measure(shared), "lang string, xent array<double>, n double, whole boolean").where("n > 0").toArrow()
     width = len(models.langs)
     xent = np.array(seen.column("xent").to_pylist(), float).reshape(-1, width)
-    n = seen.column("n").to_numpy()
+    n, whole = seen.column("n").to_numpy(), np.array(seen.column("whole").to_pylist(), bool)
     own = np.array([models.langs.index(x) if x in models.langs else -1 for x in seen.column("lang").to_pylist()], int)
-    xent, n, own = xent[own >= 0], n[own >= 0], own[own >= 0]
-    models.centre, models.spread = np.full(width, 3.0), np.full(width, 0.5)
+    xent, n, whole, own = xent[own >= 0], n[own >= 0], whole[own >= 0], own[own >= 0]
+    models.centre, models.limits = np.full(width, np.nan), np.full((width, CLASSES), np.inf)
     if not len(own):
         return models
     gap = (xent - xent.min(axis=1, keepdims=True)) * n[:, None]
     losses = []
-    for t in (grid := np.geomspace(0.001, 1, 31)):
+    for t in (grid := np.geomspace(0.01, 30, 61)):
         odds = np.exp(-np.minimum(gap * t, 700))
         share = (odds / odds.sum(axis=1, keepdims=True))[np.arange(len(own)), own]
         losses.append(-np.log(np.maximum(share, 1e-12)).mean())
-    models.temperature = float(grid[int(np.argmin(losses))])
-    mine, reach = xent[np.arange(len(own)), own], 0.0
+    losses = np.array(losses)
+    models.temperature = float(grid[np.flatnonzero(losses <= losses.min() * 1.001 + 1e-6)[0]])
+    mine = xent[np.arange(len(own)), own]
+    for i in range(width):
+        if (at := (own == i) & whole).any():
+            models.centre[i] = np.median(mine[at])
+    known = np.isfinite(models.centre[own])
+    excess = mine[known] - models.centre[own[known]]
+    pooled = limits_by_length(excess, n[known], None)
     for i in range(width):
-        if (at := own == i).sum() < 5:
-            continue
-        models.centre[i] = np.median(mine[at])
-        models.spread[i] = max(1.4826 * np.median(np.abs(mine[at] - models.centre[i])), 0.02)
-        z = (mine[at] - models.centre[i]) / (models.spread[i] * np.sqrt(1 + 100 / n[at]))
-        reach = max(reach, float(np.quantile(z, 0.999)))
-    models.reach = max(8.0, 1.5 * reach)
+        at = own[known] == i
+        models.limits[i] = limits_by_length(excess[at], n[known][at], pooled)
+    decided = decide(xent[whole], n[whole], models)
+    models.rejected = float((~decided[2]).mean()) if whole.any() else 0.0
     return models
 
 

@@ -118,3 +118,41 @@ def test_ties_and_size(spark, monkeypatch):
     monkeypatch.setattr(language_id, "MOST_BYTES", 1000)
     with pytest.raises(ValueError, match="lower most_docs"):
         language_id.train(docs)
+
+
+def test_rejection_is_calibrated(docs, models):
+    """Limits come from held-out documents: shorter texts are given more room, own documents are kept, other text is rejected."""
+    assert np.isfinite(models.limits).all() and (np.diff(models.limits, axis=1) <= 0).all() and models.rejected == 0
+    room = np.log(len(models.levels[0].keys) + 1) - models.centre
+    assert (models.limits[:, 5] < 0.6 * room).all()  # the limit that counts is not the one at letters drawn at random
+    assert 0.01 < models.temperature < 30
+    chance = random.Random(77)
+    letters = "".join(SYLLABLES["aa"] + SYLLABLES["bb"]).replace(" ", "")
+    other = ["".join(chance.choices(letters, k=chance.randint(2, 9))) for _ in range(300)]
+    spark = docs.sparkSession
+    fresh = [(i, prose("aa", n, chance)) for i, n in enumerate([2, 5, 20, 100, 1000] * 60)]
+    foreign = [(1000 + k, " ".join(other[:n])) for k, n in enumerate([40, 100, 300])]
+    got = {r.doc_id: r.accepted for r in language_id.identify(spark.createDataFrame(fresh + foreign, "doc_id long, text string"), models).collect()}
+    assert np.mean([got[i] for i, _ in fresh]) > 0.995 and not any(got[i] for i, _ in foreign)
+
+
+def test_near_the_limit(models):
+    """A cross-entropy at the limit is accepted, one above it is not; between two classes of length the limit goes over evenly."""
+    for n in (2.0, 8.0, 20.0, 128.0, 5000.0, 1e7):
+        at = min(max((math.log2(n) - 1) / 2, 0), language_id.CLASSES - 1)
+        wide = float(np.interp(at, np.arange(language_id.CLASSES), models.limits[0]))
+        edge = models.centre[0] + min(wide, 0.9 * (np.log(len(models.levels[0].keys) + 1) - models.centre[0]))
+        xent = np.array([[edge - 1e-6, 99.0], [edge + 1e-6, 99.0]])
+        assert list(language_id.decide(xent, np.array([n, n]), models)[2]) == [True, False]
+
+
+def test_few_held_out_rows():
+    """Few values take the limits of all languages together; without these nothing is rejected."""
+    chance = np.random.default_rng(3)
+    values, n = np.abs(chance.normal(0, 0.1, 200)), np.full(200, 100.0)
+    pooled = language_id.limits_by_length(values, n, None)
+    assert np.isfinite(pooled).all() and pooled[3] >= values.max()
+    assert (language_id.limits_by_length(values[:3], n[:3], pooled) == pooled).all()
+    assert np.isinf(language_id.limits_by_length(values[:3], n[:3], None)).all()
+    steep = np.concatenate((np.zeros(90), np.linspace(0, 1, 10)))
+    assert language_id.tail_limit(steep) > 1.0
