@@ -1,23 +1,21 @@
 """Benchmark decontamination by latent semantic retrieval.
 
 Items and passages are TF-IDF vectors over the words of the benchmark; document frequencies come from all documents. A
-randomised SVD of the items' matrix (random range finder, power steps, tasks holding blocks of rows and sending small
-products) gives each word a place in a latent space. The items of a space are `rank` at most, and it has the fewest
-dimensions that keep the share `energy` of every item's square norm, so copies of an item reach the cosine limit however
-many items there are; more items take more spaces. Every document is cut into passages at each of a few lengths (powers of
-two), half overlapping, and each passage is compared by cosine to the items of about that length. Candidates are then
-checked word by word: the longest common subsequence of the item and the passage with its surroundings, as a share of the
-item. A pair counts as a leak when that share reaches `verbatim`, or reaches `paraphrase` while most of the item's answer
-words, its rarest ones, are there too.
-
-Most of a text is passed over without a projection, where a stretch cannot be part of a leak, whatever its cosine: it holds half
-of an item's answer words at most, and too few of its words for `verbatim`. Common words say little there, so for each
-item the commonest ones are left out of the count, as many as serve best and never as many as the share needs; the rest
-must still be met as often as that leaves. This drops no leak.
-
-The benchmark is a query set: it is taken in blocks of about `block` items or `block_words` words, which bounds what is sent
-to the tasks, and all documents are read for each block. Items of one to three words are compared to as short passages;
-a one-word item is found wherever its word stands. Letters of scripts that set no spaces count as words of their own.
+randomised SVD (random range finder, power steps, tasks holding blocks of rows and sending small products) gives each word a
+place in a latent space. Its rows are passages: the benchmark's own, which weigh `EMPHASIS` times, and those of a bounded sample
+of documents (`SAMPLE`, drawn by a hash of the text). A space is fitted for `rank` items at most, has `rank` dimensions at most, fewer than
+there are passages, and the fewest that keep the share `energy` of every item's square norm, so copies of an item reach
+the cosine limit however many items there are; more items take more spaces.
+
+Every document is cut into passages at each of a few lengths (powers of two), half overlapping, and every passage is compared
+by cosine to all items of about that length: the cosine alone says which pairs are candidates. These are then checked word
+by word: the longest common subsequence of the item and the passage with its surroundings, as a share of the item. A
+pair counts as a leak when that share reaches `verbatim`, or reaches `paraphrase` while most of the item's answer words, its
+rarest ones, are there too. Pairs that have too few words in common for either are not run through.
+
+The benchmark is a query set: it is taken in blocks of about `block` items or `block_words` words, and `PER_PASS` blocks at once, which
+bounds what is sent to the tasks; for each pass all documents are read twice, for the frequencies and for the search. Items of one to three words are
+compared to as short passages. Letters of scripts that set no spaces count as words of their own.
 
 Defined results: null and blank texts and items match nothing; repeated rows give repeated pairs for documents and one for
 items; texts that share an id, or have none, are items of their own; of passages that match an item equally well the
@@ -35,10 +33,12 @@ from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
+from tallymill.llm.common import written
+
 #: Thai, Lao, Burmese and Khmer letters, kana and Chinese characters each stand for a word.
 ALONE = r"฀-໿က-႟ក-៿぀-ヿ㐀-鿿豈-﫿\U00020000-\U0003ffff"
 WORDS = re.compile(r"\w+")
@@ -48,7 +48,11 @@ NARROW = bytes(range(0xE0))
 #: Lower-cases ASCII and turns what cannot be in a word to spaces; other bytes stay.
 PLAIN = bytes(ord(chr(c).lower()) if c < 128 and (chr(c).isalnum() or c == 95) else c if c >= 128 else 32 for c in range(256))
 #: Words looked at together.
-PIECE = 1 << 17
+PIECE = 1 << 15
+#: Documents whose passages the spaces are fitted on besides the items, words of such a passage, and what an item weighs there.
+SAMPLE, PASSAGE, EMPHASIS = 500, 32, 4.0
+#: Blocks of items that one reading of the documents serves.
+PER_PASS = 8
 
 
 def words_of(text: bytes | None) -> list[str]:
@@ -97,20 +101,6 @@ class Space:
     placed: np.ndarray
 
 
-@dataclass
-class Counting:
-    """Items of one scale by word: entries `start[w]` to `start[w + 1]` of `item`, `times` (how often the word counts) and `answer`.
-
-    An item is possible where `enough[i]` are counted or more than half of its `answers[i]` answer words."""
-
-    start: np.ndarray
-    item: np.ndarray
-    times: np.ndarray
-    answer: np.ndarray
-    enough: np.ndarray
-    answers: np.ndarray
-
-
 @dataclass
 class Index:
     """What tasks need of a block of items: by word, by item, by scale, and the spaces that the items are dealt into."""
@@ -122,10 +112,13 @@ class Index:
     texts: list[str]
     lengths: np.ndarray
     masks: list[dict[int, int]]
+    #: By item its words, in order, how often it has them, and its answer words.
+    bags: list[tuple[np.ndarray, np.ndarray]]
     answers: list[np.ndarray]
     spaces: list[Space]
     space_of: np.ndarray
-    scales: dict[int, Counting]
+    #: By passage length the items that are compared at it.
+    scales: dict[int, np.ndarray]
 
 
 def _document_counts(vocab):
@@ -180,16 +173,37 @@ def randomised_svd(rows: DataFrame, width: int, rank: int, extra: int = 16, powe
     return q[:, : min(rank, int((values > values[0] * 1e-9).sum()))] if len(values) and values[0] > 0 else np.zeros((width, 1))
 
 
-def place(spark: SparkSession, rows: list[Counter], chosen: range, idf: np.ndarray, rank: int, energy: float) -> Space:
-    """The space of the chosen items, `rank` at most. `rows`: how often each item has each word."""
+def _sampled_passages(words: dict[str, int], weigh: np.ndarray):
+    """Passages of the sampled documents as rows of (terms, weights), one of a document's passages in four."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        numbers = Numbers(words)
+        for batch in batches:
+            rows = []
+            for text in batch.column(0):
+                ids = numbers.of(text.as_py())
+                for at in range(0, len(ids), 4 * PASSAGE):
+                    terms, n = np.unique(ids[at : at + PASSAGE][ids[at : at + PASSAGE] >= 0], return_counts=True)
+                    if len(terms):
+                        w = n * weigh[terms]
+                        rows.append((terms.tolist(), (w / np.sqrt((w**2).sum())).tolist()))
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.list_(pa.int32())), pa.array([r[1] for r in rows], pa.list_(pa.float64()))], ["terms", "weights"])
+
+    return run
+
+
+def place(sample: DataFrame, vocab: list[str], rows: list[Counter], chosen: range, idf: np.ndarray, rank: int, energy: float) -> Space:
+    """The space of the chosen items, `rank` at most. `rows`: how often each item has each word; `sample`: texts of some documents."""
     words = np.unique(np.concatenate([[*rows[i]] for i in chosen]))
     local = np.full(len(idf) + 2, len(words), np.int32)
     local[words] = np.arange(len(words))
     weights = [np.array([n * idf[t] for t, n in rows[i].items()]) for i in chosen]
     at = [local[[*rows[i]]] for i in chosen]
     norms = [np.sqrt((w**2).sum()) for w in weights]
-    matrix = spark.createDataFrame([(t.tolist(), (w / x).tolist()) for t, w, x in zip(at, weights, norms, strict=True)], "terms array<int>, weights array<double>")
-    space = randomised_svd(matrix.coalesce(8), len(words), rank)  # at most `rank` rows; few tasks bound what the driver adds up
+    own = sample.sparkSession.createDataFrame([(t.tolist(), (EMPHASIS * w / x).tolist()) for t, w, x in zip(at, weights, norms, strict=True)], "terms array<int>, weights array<double>")
+    others = sample.mapInArrow(_sampled_passages({vocab[t]: k for k, t in enumerate(words.tolist())}, idf[words]), own.schema)
+    # at most `rank` rows and the sample's; few tasks bound what the driver adds up
+    space = randomised_svd(own.unionByName(others).coalesce(8), len(words), rank)
     placed = np.stack([(w / x) @ space[t] for t, w, x in zip(at, weights, norms, strict=True)])
     kept = np.cumsum(placed**2, axis=1)
     width = min(placed.shape[1], int((kept < energy).sum(axis=1).max()) + 1)
@@ -197,49 +211,26 @@ def place(spark: SparkSession, rows: list[Counter], chosen: range, idf: np.ndarr
     return Space(chosen[0], local, np.vstack((terms, np.zeros((1, width), np.float32))), placed[:, :width].astype(np.float32))
 
 
-def counted(row: Counter, need: int, df: np.ndarray, n: int) -> tuple[dict[int, int], int]:
-    """The words of an item that are counted, and how many of them a stretch must have if it has `need` of all.
-
-    Leaving out a word lowers what must be met by as often as the item has it. The cut is where that stands out most from
-    what any stretch would have by chance.
-    """
-    order = sorted(row.items(), key=lambda x: (-df[x[0]], x[0]))
-    times = np.array([c for _, c in order], float)
-    chance = np.minimum(1, 2 * df[[t for t, _ in order]] / max(1, n))
-    tail = lambda x: np.cumsum(x[::-1])[::-1]
-    left = need - np.concatenate(([0], np.cumsum(times)[:-1]))
-    stands_out = np.where(left > 0, (left - tail(chance * times)) / np.sqrt(tail(chance * (1 - chance) * times**2) + 0.5), -np.inf)
-    cut = int(np.argmax(stands_out))
-    return dict(order[cut:]), int(left[cut])
-
-
-def counting(rows: list[Counter], lengths: np.ndarray, answers: list[np.ndarray], chosen: list[int], df: np.ndarray, n: int, verbatim: float) -> Counting:
-    entries, enough = [], np.zeros(len(rows), np.int64)
-    for i in chosen:
-        words, enough[i] = counted(rows[i], int(np.ceil(verbatim * lengths[i] - 1e-9)), df, n)
-        rare = set(answers[i].tolist())
-        entries += [(t, i, words.get(t, 0), t in rare) for t in words.keys() | rare]
-    t, i, times, rare = np.array(sorted(entries), np.int64).reshape(-1, 4).T
-    return Counting(np.searchsorted(t, np.arange(len(df) + 1)), i, times, rare, enough, np.array([len(a) for a in answers]))
-
-
-def build_index(
-    docs: DataFrame, items: list[tuple[int | None, str]], text_col: str, rank: int, energy: float, verbatim: float
-) -> Index | None:
-    kept = [(i, t, w) for i, t in items if (w := words_of(t.encode("utf-8", "replace")))]
+Item = tuple[object, str, list[str]]
+
+
+def vocabulary(items: list[Item]) -> dict[str, int]:
     vocab: dict[str, int] = {}
-    for *_, words in kept:
+    for *_, words in items:
         for w in words:
             vocab.setdefault(w, len(vocab))
-    if not vocab:
-        return None
-    df, n = document_frequencies(docs, vocab, text_col)
-    idf = np.log((n + 1) / (df + 1)) + 1e-3
+    return vocab
+
+
+def build_index(sample: DataFrame, kept: list[Item], counts: dict[str, float], n: int, rank: int, energy: float) -> Index:
+    """`counts`: in how many of the `n` documents each word is."""
+    vocab = vocabulary(kept)
+    idf = np.log((n + 1) / (np.array([counts[w] for w in vocab]) + 1)) + 1e-3
     rows = [Counter(vocab[w] for w in words) for *_, words in kept]
     lengths = np.array([len(w) for *_, w in kept])
     parts = -(-len(rows) // rank)
     edges = [len(rows) * k // parts for k in range(parts + 1)]
-    spaces = [place(docs.sparkSession, rows, range(lo, hi), idf, rank, energy) for lo, hi in zip(edges, edges[1:], strict=False)]
+    spaces = [place(sample, [*vocab], rows, range(lo, hi), idf, rank, energy) for lo, hi in zip(edges, edges[1:], strict=False)]
     masks, answers = [], []
     for *_, words in kept:
         mask: dict[int, int] = {}
@@ -251,49 +242,10 @@ def build_index(
     by_scale: dict[int, list[int]] = {}
     for i, m in enumerate(lengths.tolist()):
         by_scale.setdefault(scale_of(m), []).append(i)
-    scales = {s: counting(rows, lengths, answers, at, df, n, verbatim) for s, at in by_scale.items()}
+    bags = [tuple(np.array(x) for x in zip(*sorted(row.items()), strict=True)) for row in rows]
+    scales = {s: np.array(at) for s, at in by_scale.items()}
     space_of = np.repeat(np.arange(parts), np.diff(edges))
-    return Index(vocab, np.append(idf, (0, idf.mean())), [i for i, *_ in kept], [t for _, t, _ in kept], lengths, masks, answers, spaces, space_of, scales)
-
-
-def possible(ids: np.ndarray, base: np.ndarray, place_in: np.ndarray, scale: int, c: Counting) -> tuple[np.ndarray, np.ndarray]:
-    """Stretches (by number) and items that may belong together. `ids`: word numbers of known words; `place_in`: their places in their
-    piece; `base`: the number of their piece's first stretch. A stretch begins every three scales and is six long, and a
-    passage with its surroundings is three at most, so each stands whole in the stretch that its first word is in."""
-    used = c.start[ids + 1] > c.start[ids]
-    ids, base, at = ids[used], base[used], place_in[used] // (3 * scale)
-    again = at > 0
-    stretch = np.concatenate((base + at, (base + at - 1)[again]))
-    width = len(c.start)
-    both = np.unique(stretch * width + np.concatenate((ids, ids[again])))
-    stretch, word = both // width, both % width
-    sizes = c.start[word + 1] - c.start[word]
-    entry = np.repeat(c.start[word] - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
-    key = np.repeat(stretch, sizes) * len(c.enough) + c.item[entry]
-    keys, of = np.unique(key, return_inverse=True)
-    met, rare = (np.bincount(of, weights=x[entry], minlength=len(keys)) for x in (c.times, c.answer))
-    item = keys % len(c.enough)
-    hit = keys[(met >= c.enough[item]) | (2 * rare > c.answers[item])]
-    return hit // len(c.enough), hit % len(c.enough)
-
-
-def near(ids: np.ndarray, lo: int, hi: int, scale: int, items: np.ndarray, x: Index, cosine: float) -> Iterator[tuple[int, int, int, float]]:
-    """Passages of the words `lo` to `hi` near one of the items: first word, end, item, cosine. Norms add up word by word, so repeated
-    words make a cosine a little too large, never too small."""
-    step = max(1, scale // 2)
-    begin, hi = lo // step * step, min(hi, len(ids))
-    blocks = -(-(hi - begin) // step)
-    words = np.full(blocks * step, len(x.vocab), np.int32)  # the last block may end with none
-    words[: hi - begin] = ids[begin:hi]
-    whole = lambda b: b if scale == 1 or blocks == 1 else b[:-1] + b[1:]  # noqa: E731 - a passage is two blocks
-    norm = np.sqrt(whole((x.weigh[words] ** 2).reshape(blocks, step).sum(axis=1)))
-    for k in np.unique(x.space_of[items]).tolist():
-        space, own = x.spaces[k], items[x.space_of[items] == k]
-        placed = space.terms[space.local[words]].reshape(blocks, step, -1).sum(axis=1)
-        alike = whole(placed) @ space.placed[own - space.first].T / norm[:, None]
-        for p, i in zip(*np.nonzero(alike >= cosine), strict=True):
-            first = begin + int(p) * step
-            yield first, min(first + scale, hi), int(own[i]), float(alike[p, i])
+    return Index(vocab, np.append(idf, (0, idf.mean())), [i for i, *_ in kept], [t for _, t, _ in kept], lengths, masks, bags, answers, spaces, space_of, scales)
 
 
 Match = tuple[int, float, float, float, int, int]
@@ -305,7 +257,10 @@ class Finder:
     def __init__(self, x: Index, cosine: float, verbatim: float, paraphrase: float):
         self.x, self.cosine, self.verbatim, self.paraphrase = x, cosine, verbatim, paraphrase
         self.numbers = Numbers(x.vocab)
-        self.reach = max(PIECE, max(x.scales))
+        self.scales = sorted(x.scales)
+        #: Words of the smallest and of the largest blocks; a passage is two blocks, one at scale 1.
+        self.least, self.most = (max(1, s // 2) for s in (self.scales[0], self.scales[-1]))
+        self.reach = max(PIECE // self.most, 4) * self.most
 
     def matches(self, texts: Iterator[bytes | None]) -> Iterator[list[Match]]:
         """Per text its items: number, cosine, share of the item in common order, share of answer words, first and last word."""
@@ -321,8 +276,8 @@ class Finder:
 
     def _found(self, docs: list[np.ndarray]) -> list[list[Match]]:
         best: list[dict[int, Match]] = [{} for _ in docs]
-        longest = 6 * max(self.x.scales)
-        pieces = [(d, at, min(len(ids), at + self.reach + longest)) for d, ids in enumerate(docs) for at in range(0, len(ids), self.reach)]
+        # a piece goes one largest block beyond its reach, so every passage stands whole in one
+        pieces = [(d, at, min(len(ids), at + self.reach + self.most)) for d, ids in enumerate(docs) for at in range(0, max(1, len(ids) - self.most), self.reach) if len(ids)]
         held, size = [], 0
         for piece in pieces:  # together about `reach` words, however long a text is
             held.append(piece)
@@ -335,28 +290,58 @@ class Finder:
         return [[found[i] for i in sorted(found)] for found in best]
 
     def _look(self, docs: list[np.ndarray], pieces: list[tuple[int, int, int]], best: list[dict[int, Match]]) -> None:
+        """All passages of some pieces against all items of their length. Each piece takes whole blocks of the largest size."""
         sizes = np.array([hi - lo for _, lo, hi in pieces])
-        ids = np.concatenate([docs[d][lo:hi] for d, lo, hi in pieces])
-        known = np.flatnonzero(ids >= 0)
-        ends = np.cumsum(sizes)
-        piece = np.searchsorted(ends, known, side="right")
-        place_in = known - (ends - sizes)[piece]
-        for scale, c in self.x.scales.items():
-            stretches = sizes // (3 * scale) + 1
-            bases = np.cumsum(stretches) - stretches
-            stretch, item = possible(ids[known], bases[piece], place_in, scale, c)
-            cuts = np.flatnonzero(np.diff(stretch)) + 1
-            for s, items in zip(stretch[np.concatenate(([0], cuts))].tolist() if len(stretch) else (), np.split(item, cuts), strict=False):
-                k = int(np.searchsorted(bases, s, side="right")) - 1
-                d, lo, _ = pieces[k]
-                lo += (s - int(bases[k])) * 3 * scale
-                for begin, end, i, alike in near(docs[d], lo, lo + 6 * scale, scale, items, self.x, self.cosine):
-                    self._check(docs[d], begin, end, i, alike, best[d])
+        rooms = -(-sizes // self.most) * self.most
+        bases = np.cumsum(rooms) - rooms
+        ids = np.full(int(rooms.sum()), len(self.x.vocab), np.int32)  # none, where a piece has ended
+        for (d, lo, hi), base in zip(pieces, bases.tolist(), strict=True):
+            ids[base : base + hi - lo] = docs[d][lo:hi]
+        squares = (self.x.weigh[ids] ** 2).reshape(-1, self.least).sum(axis=1)
+        for k, space in enumerate(self.x.spaces):
+            small = self._placed(space.terms, space.local[ids])
+            for scale in self.scales:
+                items = self.x.scales[scale]
+                items = items[self.x.space_of[items] == k]
+                if not len(items):
+                    continue
+                step = max(1, scale // 2)
+                block = small.reshape(-1, step // self.least, small.shape[1]).sum(axis=1) if step > self.least else small
+                square = squares.reshape(-1, step // self.least).sum(axis=1)
+                first = np.arange(len(block))
+                piece = np.searchsorted(bases, first * step, side="right") - 1
+                if scale > 1:  # two blocks of a piece, or the only one it has
+                    two = np.append(piece[1:] == piece[:-1], False)
+                    only = rooms[piece] == step
+                    first, piece, two = first[two | only], piece[two | only], two[two | only]
+                    square = square[first] + np.where(two, square[np.minimum(first + 1, len(square) - 1)], 0)
+                    block = block[first] + block[np.minimum(first + 1, len(block) - 1)] * two[:, None]
+                norm = np.sqrt(square)
+                norm[norm == 0] = np.inf
+                alike = block @ space.placed[items - space.first].T
+                for p, i in zip(*np.nonzero(alike >= (self.cosine * norm)[:, None].astype(np.float32)), strict=True):
+                    at, q = int(first[p]) * step, int(piece[p])
+                    d, lo, _ = pieces[q]
+                    begin = lo + at - int(bases[q])
+                    self._check(docs[d], begin, min(begin + scale, lo + int(sizes[q])), int(items[i]), float(alike[p, i] / norm[p]), best[d])
+
+    def _placed(self, terms: np.ndarray, local: np.ndarray) -> np.ndarray:
+        """Sums of the words' places by smallest block. Words without a place are passed over."""
+        out = np.zeros((len(local) // self.least, terms.shape[1]), np.float32)
+        at = np.flatnonzero(local < len(terms) - 1)
+        for start in range(0, len(at), 1 << 13):
+            part = at[start : start + (1 << 13)]
+            block = part // self.least
+            cut = np.flatnonzero(np.diff(block, prepend=-1))
+            out[block[cut]] += np.add.reduceat(terms[local[part]], cut, axis=0)
+        return out
 
     def _check(self, words: np.ndarray, lo: int, hi: int, i: int, alike: float, best: dict[int, Match]) -> None:
         m, answers = int(self.x.lengths[i]), self.x.answers[i]
         first, last = max(0, lo - m), min(len(words), hi + m)
         around = words[first:last]
+        if self._common(i, around) < min(self.verbatim, self.paraphrase) * m - 1e-9:
+            return
         share = lcs(self.x.masks[i], m, around.tolist()) / m
         if share < min(self.verbatim, self.paraphrase):
             return
@@ -367,48 +352,68 @@ class Finder:
                 best[i] = row
 
 
+    def _common(self, i: int, around: np.ndarray) -> int:
+        """Words that an item and a passage share, repeats included: no common subsequence is longer."""
+        words, times = self.x.bags[i]
+        at = np.searchsorted(words, around)
+        at[at == len(words)] = 0
+        return int(np.minimum(np.bincount(at[words[at] == around], minlength=len(words)), times).sum())
+
+
 def _finder(index, id_type: pa.DataType, cosine: float, verbatim: float, paraphrase: float):
     names = ["_id", "item_id", "cosine", "common", "answer", "first_word", "last_word", "item_text"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        x = index.value
-        finder = Finder(x, cosine, verbatim, paraphrase)
+        finders = [Finder(x, cosine, verbatim, paraphrase) for x in index.value]
         for batch in batches:
-            at, found = [], []
-            for k, rows in enumerate(finder.matches(t.as_py() for t in batch.column(1))):
-                at += [k] * len(rows)
-                found += rows
-            columns = list(zip(*found, strict=True)) or [()] * 6
-            kinds = (id_type, pa.float64(), pa.float64(), pa.float64(), pa.int64(), pa.int64())
-            texts = pa.array([x.texts[i] for i in columns[0]], pa.string())
-            columns[0] = [x.ids[i] for i in columns[0]]
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True)), texts], names)
+            for finder in finders:
+                x, at, found = finder.x, [], []
+                for k, rows in enumerate(finder.matches(t.as_py() for t in batch.column(1))):
+                    at += [k] * len(rows)
+                    found += rows
+                columns = list(zip(*found, strict=True)) or [()] * 6
+                kinds = (id_type, pa.float64(), pa.float64(), pa.float64(), pa.int64(), pa.int64())
+                texts = pa.array([x.texts[i] for i in columns[0]], pa.string())
+                columns[0] = [x.ids[i] for i in columns[0]]
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True)), texts], names)
 
     return run
 
 
 def _cleaner(index, text_at: int, cosine: float, verbatim: float, paraphrase: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        finder = Finder(index.value, cosine, verbatim, paraphrase)
+        finders = [Finder(x, cosine, verbatim, paraphrase) for x in index.value]
         for batch in batches:
-            texts = batch.column(text_at).cast(pa.binary())
-            yield batch.filter(pa.array([not rows for rows in finder.matches(t.as_py() for t in texts)], pa.bool_()))
+            for finder in finders:
+                texts = batch.column(text_at).cast(pa.binary())
+                batch = batch.filter(pa.array([not rows for rows in finder.matches(t.as_py() for t in texts)], pa.bool_()))  # noqa: PLW2901
+            yield batch
 
     return run
 
 
-def _indexes(
-    docs: DataFrame, benchmark: DataFrame, text_col: str, item_col: str, item_text_col: str, rank: int, block: int, block_words: int, energy: float, verbatim: float
-) -> Iterator[Index]:
-    """One index for each block of items. An item is an id and a text: an id may have several texts, or be null."""
+def _passes(
+    docs: DataFrame, benchmark: DataFrame, text_col: str, item_col: str, item_text_col: str, rank: int, block: int, block_words: int, energy: float
+) -> Iterator[list[Index]]:
+    """The indexes of the blocks of items, some blocks at a time. An item is an id and a text: an id may have several texts, or be null."""
     items = benchmark.select(F.col(item_col).alias("i"), F.col(item_text_col).alias("t")).where("t is not null").distinct()
     n, chars = items.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.length("t")), F.lit(0))).first()
+    if not n:
+        return
     blocks = max(1, -(-n // block), -(-chars // (4 * block_words)))
-    for b in range(blocks):
-        taken = items.where(F.pmod(F.xxhash64("i", "t"), F.lit(blocks)) == b).orderBy("i", "t").collect()
-        index = build_index(docs, [(r["i"], r["t"]) for r in taken], text_col, rank, energy, verbatim)
-        if index is not None:
-            yield index
+    texts = docs.select(F.col(text_col).cast("binary").alias("t"), F.xxhash64(text_col, F.lit("sample")).alias("h"))
+    share = min(1.0, SAMPLE / max(1, docs.count()))
+    sample, _ = written(texts.where((F.pmod("h", F.lit(1 << 30)) < int(share * (1 << 30))) & F.col("t").isNotNull()).select("t"), "latent-sample")
+    for start in range(0, blocks, PER_PASS):
+        held = []
+        for b in range(start, min(blocks, start + PER_PASS)):
+            taken = items.where(F.pmod(F.xxhash64("i", "t"), F.lit(blocks)) == b).orderBy("i", "t").collect()
+            held.append([(r["i"], r["t"], w) for r in taken if (w := words_of(r["t"].encode("utf-8", "replace")))])
+        vocab = vocabulary([x for some in held for x in some])
+        if vocab:
+            df, documents = document_frequencies(docs, vocab, text_col)
+            counts = dict(zip(vocab, df.tolist(), strict=True))
+            yield [build_index(sample, some, counts, documents, rank, energy) for some in held if some]
 
 
 def drop_leaking(
@@ -417,8 +422,8 @@ def drop_leaking(
 ) -> DataFrame:
     """The documents that no item leaked into, with all their columns."""
     kept = docs
-    for index in _indexes(docs, benchmark, text_col, item_col, item_text_col, rank, block, block_words, energy, verbatim):
-        shared = docs.sparkSession.sparkContext.broadcast(index)
+    for indexes in _passes(docs, benchmark, text_col, item_col, item_text_col, rank, block, block_words, energy):
+        shared = docs.sparkSession.sparkContext.broadcast(indexes)
         kept = kept.mapInArrow(_cleaner(shared, docs.columns.index(text_col), cosine, verbatim, paraphrase), docs.schema)
     return kept
 
@@ -434,8 +439,8 @@ def leaks(
     id_kind = benchmark.schema[item_col].dataType
     schema = f"_id {kind}, item_id {id_kind.simpleString()}, cosine double, common double, answer double, first_word long, last_word long, item_text string"
     found = None
-    for index in _indexes(docs, benchmark, text_col, item_col, item_text_col, rank, block, block_words, energy, verbatim):
-        shared = spark.sparkContext.broadcast(index)
+    for indexes in _passes(docs, benchmark, text_col, item_col, item_text_col, rank, block, block_words, energy):
+        shared = spark.sparkContext.broadcast(indexes)
         part = rows.mapInArrow(_finder(shared, to_arrow_type(id_kind), cosine, verbatim, paraphrase), schema)
         found = part if found is None else found.unionByName(part)
     return (spark.createDataFrame([], schema) if found is None else found).withColumnRenamed("_id", id_col)

@@ -128,7 +128,13 @@ def found_by(finder, docs):
     return {(d, row[0]) for (d, _), rows in zip(docs, finder.matches(t.encode() for _, t in docs), strict=True) for row in rows}
 
 
-def test_against_all_pairs(spark, monkeypatch):
+def index_of(docs, items, rank=256):
+    bench = docs.sparkSession.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    ((x,),) = decontamination._passes(docs, bench, "text", "item_id", "text", rank, 2000, 100_000, 0.9)
+    return x
+
+
+def test_against_all_pairs(spark):
     """Items of all lengths, many alike, with repeated words, in a space of fewer dimensions than items, against brute force."""
     chance = random.Random(17)
     roots = [[f"w{chance.randrange(4000)}" for _ in range(n)] for n in (1, 2, 3, 5)] + [sentence(chance, n) for n in (9, 16, 17, 30, 33, 50)] + [["zebra"] * 8, ["of", "rare"] * 6]
@@ -150,25 +156,33 @@ def test_against_all_pairs(spark, monkeypatch):
         docs.append((d, " ".join(words)))
     rows = spark.createDataFrame(docs, "doc_id long, text string")
     distinct = list(dict.fromkeys(" ".join(w) for w in items))
-    x = decontamination.build_index(rows, list(enumerate(distinct)), "text", 256, 0.9, 0.6)
+    x = index_of(rows, distinct)
     assert len(x.spaces) == 1 and x.spaces[0].terms.shape[1] < len(distinct)
     want, telling = brute(x, docs)
     got = found_by(decontamination.Finder(x, 0.3, 0.6, 0.45), docs)
     print(f"recall {len(got & telling) / len(telling):.3f} of {len(telling)} pairs, {len(got & want) / len(want):.3f} of {len(want)} with those of common words alone")
     assert got <= want and telling <= want and len(telling) > 300
     assert len(got & telling) >= 0.97 * len(telling) and len(got & want) >= 0.9 * len(want)
-    # what is passed over without a projection changes nothing, nor does cutting texts into pieces
+    # cutting texts into pieces changes nothing
     in_pieces = decontamination.Finder(x, 0.3, 0.6, 0.45)
-    in_pieces.reach = 64
+    in_pieces.reach = 2 * in_pieces.most
     assert found_by(in_pieces, docs) == got
+    # the cosine alone proposes: a higher limit loses pairs that the check would pass, a lower one adds few
+    strict, loose = (found_by(decontamination.Finder(x, c, 0.6, 0.45), docs) for c in (0.7, 0.15))
+    assert strict < got <= loose <= want
 
-    def all_of_them(ids, base, place_in, scale, c):
-        at = np.unique(np.concatenate((base + place_in // (3 * scale), np.maximum(base, base + place_in // (3 * scale) - 1))))
-        own = np.unique(c.item)
-        return np.repeat(at, len(own)), np.tile(own, len(at))
 
-    monkeypatch.setattr(decontamination, "possible", all_of_them)
-    assert found_by(decontamination.Finder(x, 0.3, 0.6, 0.45), docs) == got
+def test_several_spaces(spark):
+    """Items beyond the rank take further spaces, each with no more dimensions than the rank; what is found stays the same."""
+    chance = random.Random(23)
+    items = [" ".join(sentence(chance, chance.choice([12, 20, 40]))) for _ in range(60)]
+    docs = [(d, " ".join([*sentence(chance, 30), *(items[d].split() if d % 3 else []), *sentence(chance, 10)])) for d in range(60)]
+    rows = spark.createDataFrame(docs, "doc_id long, text string")
+    want = {(d, d) for d in range(60) if d % 3}
+    for rank, spaces in ((64, 1), (20, 3)):
+        x = index_of(rows, items, rank)
+        assert len(x.spaces) == spaces and all(s.terms.shape[1] <= rank for s in x.spaces)
+        assert found_by(decontamination.Finder(x, 0.3, 0.6, 0.45), docs) == want
 
 
 def test_short_and_unspaced_items(spark):
@@ -185,3 +199,14 @@ def test_short_and_unspaced_items(spark):
 def test_words():
     assert decontamination.words_of("L'été, ÉCOLE_2 “quoted”—x y 北京a".encode()) == ["l", "été", "école_2", "quoted", "x", "y", "北", "京", "a"]
     assert decontamination.words_of(None) == decontamination.words_of(" \n…".encode()) == []
+
+
+def test_ids_of_any_type(spark):
+    """Ids of items and documents keep their types."""
+    chance = random.Random(3)
+    item = " ".join(sentence(chance, 25))
+    docs = spark.createDataFrame([("d-1", f"before {item} after"), ("d-2", "w1 w2")], "doc_id string, text string")
+    bench = spark.createDataFrame([("q-1", item), (None, "w8 of w9 and w7")], "item_id string, text string")
+    got = decontamination.leaks(docs, bench)
+    assert dict(got.dtypes)["item_id"] == "string" and [(r.doc_id, r.item_id) for r in got.collect()] == [("d-1", "q-1")]
+    assert [r.doc_id for r in decontamination.drop_leaking(docs, bench).collect()] == ["d-2"]
