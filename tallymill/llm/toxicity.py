@@ -8,12 +8,14 @@ of the id; whole texts). Which buckets the machine (Spark's FMClassifier) learns
 * buckets whose document counts in the two classes differ, either way, by more than chance over so many buckets would give
   (likelihood ratio above 2 ln(buckets) + 2);
 * after a first fit, what is left unexplained (label less probability) is added up over the rows that hold a bucket, and over
-  the rows that hold two of the `pair_words` most frequent whole words. Buckets and pairs whose sum is further from 0 than
-  chance over so many would give join, and the machine is fitted again. So a word that says nothing by itself counts where
-  it makes a difference to another, be it that both together are toxic or that one takes the sting out of the other.
+  the rows that hold two whole words. Buckets and pairs whose sum is further from 0 than chance over so many would give
+  join, and the machine is fitted again. So a word that says nothing by itself counts where it makes a difference to
+  another, be it that both together are toxic or that one takes the sting out of the other.
 
-There are `most_terms` buckets at most, most telling first. Scoring reads whole texts; a term counts once a text, so long
-texts are not diluted.
+No pair is left out for being rare. What a pair leaves over is at most what either of its words leaves over on one side (the
+toxic rows' part or the clean rows'), so a word both of whose sides are too small for the limit belongs to no pair that
+reaches it; the pairs of all other words are added up, whatever their number. Scoring reads whole texts; a term counts once a
+text, so long texts are not diluted.
 
 Defined results: null and empty texts get the score of a text without any screened term; rows with a null label teach
 nothing, of repeated labels of an id the largest counts; without both classes or any screened term every text gets the
@@ -107,7 +109,7 @@ def _document_counts(bits: int):
     return run
 
 
-def screened(rows: DataFrame, bits: int, most_terms: int) -> list[int]:
+def screened(rows: DataFrame, bits: int) -> list[int]:
     """Buckets that tell the classes apart by themselves, either way, most telling first."""
     n = {bool(r[0]): r[1] for r in rows.groupBy("toxic").count().collect()}
     if len(n) < 2:
@@ -121,18 +123,19 @@ def screened(rows: DataFrame, bits: int, most_terms: int) -> list[int]:
     ratio = 2 * (part("toxic", share) + part("clean", 1 - share))
     counts, path = written(counts.select("bucket", ratio.alias("ratio")), "toxic-counts")  # `2**bits` rows at most
     least = 2 * np.log(max(1, counts.count())) + 2
-    kept = counts.where(F.col("ratio") > least).orderBy(F.desc("ratio"), "bucket").limit(most_terms).collect()
+    kept = counts.where(F.col("ratio") > least).orderBy(F.desc("ratio"), "bucket").collect()
     remove(rows.sparkSession, path)
     return [r["bucket"] for r in kept]
 
 
-_LEFT = "bucket long, left double, spread double, n long, words long"
+_LEFT = "bucket long, left double, spread double, n long, words long, toxic double, clean double"
 
 
 def _left_over(machine: Machine):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache, size = Terms(machine.bits), 1 << machine.bits
         left, spread, n, words = np.zeros(size), np.zeros(size), np.zeros(size, np.int64), np.zeros(size, np.int64)
+        sides = np.zeros((2, size))  # what toxic rows and clean rows that hold a whole word leave over
         for batch in batches:
             for toxic, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 found, whole = cache.of(text), cache.whole(text)
@@ -141,11 +144,13 @@ def _left_over(machine: Machine):
                 left[at] += toxic - p
                 spread[at] += p * (1 - p)
                 n[at] += 1
-                words[np.fromiter(whole, np.int64, len(whole))] += 1
+                whole_at = np.fromiter(whole, np.int64, len(whole))
+                words[whole_at] += 1
+                sides[0 if toxic else 1, whole_at] += abs(toxic - p)
         at = np.flatnonzero(n)
         for lo in range(0, len(at), 1 << 16):
             part = at[lo : lo + (1 << 16)]
-            yield pa.RecordBatch.from_arrays([pa.array(part), *(pa.array(x[part]) for x in (left, spread, n, words))], ["bucket", "left", "spread", "n", "words"])
+            yield pa.RecordBatch.from_arrays([pa.array(part), *(pa.array(x[part]) for x in (left, spread, n, words, *sides))], ["bucket", "left", "spread", "n", "words", "toxic", "clean"])
 
     return run
 
@@ -179,10 +184,11 @@ def _pairs(held, words: int, width: int, least: float):
             for begin in batch.column(0).to_pylist():
                 own = slice(begin, min(words, begin + width))
                 sums, spreads = (np.zeros((own.stop - own.start, words), np.float32) for _ in range(2))
-                for lo in range(0, len(bits), 2048):
-                    x = np.unpackbits(bits[lo : lo + 2048], axis=1, count=words).astype(np.float32)
-                    sums += (x[:, own] * left[lo : lo + 2048, None]).T @ x
-                    spreads += (x[:, own] * spread[lo : lo + 2048, None]).T @ x
+                rows = max(16, (1 << 22) // words)
+                for lo in range(0, len(bits), rows):
+                    x = np.unpackbits(bits[lo : lo + rows], axis=1, count=words).astype(np.float32)
+                    sums += (x[:, own] * left[lo : lo + rows, None]).T @ x
+                    spreads += (x[:, own] * spread[lo : lo + rows, None]).T @ x
                 told = sums**2 / (spreads + 1)
                 told[np.arange(words)[None, :] <= np.arange(own.start, own.stop)[:, None]] = 0
                 i, j = np.nonzero(told > least)
@@ -191,24 +197,26 @@ def _pairs(held, words: int, width: int, least: float):
     return run
 
 
-def unexplained(rows: DataFrame, machine: Machine, pair_words: int, most: int) -> list[int]:
+def unexplained(rows: DataFrame, machine: Machine) -> list[int]:
     """Buckets that a fitted machine leaves something to, by themselves or in pairs, most telling first."""
     spark = rows.sparkSession
-    sums = rows.mapInArrow(_left_over(machine), _LEFT).groupBy("bucket").agg(*[F.sum(c).alias(c) for c in ("left", "spread", "n", "words")])
+    sums = rows.mapInArrow(_left_over(machine), _LEFT).groupBy("bucket").agg(*[F.sum(c).alias(c) for c in ("left", "spread", "n", "words", "toxic", "clean")])
     sums, path = written(sums, "toxic-left")  # `2**bits` rows at most
     told = (F.pow("left", F.lit(2)) / (F.col("spread") + 1)).alias("told")
     least = 2 * np.log(max(1, sums.count())) + 2
-    alone = sums.where(~F.col("bucket").isin([*machine.index])).select("bucket", told).where(F.col("told") > least).orderBy(F.desc("told"), "bucket").limit(most).collect()
+    alone = sums.where(~F.col("bucket").isin([*machine.index])).select("bucket", told).where(F.col("told") > least).orderBy(F.desc("told"), "bucket").collect()
     ranked = [r["bucket"] for r in alone]
-    frequent = sums.where(F.col("words") >= 8).select("bucket", "words", told).where(F.col("told") <= least).orderBy(F.desc("words"), "bucket").limit(pair_words)
-    words = [r["bucket"] for r in frequent.collect()]
+    seen = sums.where("words > 0").count()
+    floor = 2 * np.log(max(1, seen * (seen - 1) / 2)) + 2
+    # a pair's sum squared is at most that of the larger side of either word, so below the limit no pair is missed
+    able = F.greatest("toxic", "clean") > float(np.sqrt(floor))
+    words = [r["bucket"] for r in sums.where(able & (told <= least)).select("bucket").orderBy("bucket").collect()]
     if len(words) > 1:
-        table = rows.mapInArrow(_holding(machine, words), "bits binary, left double, spread double").toArrow()  # `pair_words` bits a row of the sample
+        table = rows.mapInArrow(_holding(machine, words), "bits binary, left double, spread double").toArrow()  # a bit a word and row of the sample
         bits = np.frombuffer(b"".join(table.column("bits").to_pylist()), np.uint8).reshape(table.num_rows, -1)
         held = spark.sparkContext.broadcast((bits, *(table.column(c).to_numpy().astype(np.float32) for c in ("left", "spread"))))
-        floor = 2 * np.log(len(words) * (len(words) - 1) / 2) + 2
         runs = spark.range(0, len(words), 128, 16)
-        pairs = runs.mapInArrow(_pairs(held, len(words), 128, floor), "i long, j long, told double").orderBy(F.desc("told"), "i", "j").limit(most).collect()
+        pairs = runs.mapInArrow(_pairs(held, len(words), 128, floor), "i long, j long, told double").orderBy(F.desc("told"), "i", "j").collect()
         held.destroy()
         ranked += [words[k] for r in pairs for k in (r["i"], r["j"])]
     remove(spark, path)
@@ -227,7 +235,7 @@ def _term_lists(bits: int, index: dict[int, int]):
 
 def train(
     docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", bits: int = 20,
-    most_rows: int = 30_000, most_terms: int = 4096, factors: int = 4, rounds: int = 120, pair_words: int = 2048,
+    most_rows: int = 30_000, factors: int = 4, rounds: int = 120,
 ) -> Machine:
     """Learns from the documents that `labels` marks; both should hold training rows only."""
     known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(id_col).agg(F.max(label_col).alias("toxic"))
@@ -236,13 +244,13 @@ def train(
     chosen = known.where(draw < rate)  # about `most_rows` rows of an id and a label, so it may be broadcast
     rows = docs.select(id_col, F.col(text_col).alias("text")).join(F.broadcast(chosen), id_col).select(F.col("toxic").cast("int").alias("toxic"), "text")
     rows, path = written(rows, "toxic-sample")  # about `most_rows` rows
-    index = {x: i for i, x in enumerate(screened(rows, bits, most_terms))}
+    index = {x: i for i, x in enumerate(screened(rows, bits))}
     n = {bool(r[0]): r[1] for r in rows.groupBy("toxic").count().collect()}
     share = n.get(True, 0) / max(1, sum(n.values()))
     machine = Machine(bits, {}, float(np.log((share + 1e-9) / (1 - share + 1e-9))), np.zeros(0), np.zeros((0, factors)))
     if len(n) == 2:
         machine = _fit(rows, machine, index, factors, rounds)
-        added = [x for x in unexplained(rows, machine, pair_words, most_terms) if x not in index][: most_terms - len(index)]
+        added = [x for x in unexplained(rows, machine) if x not in index]
         if added:
             machine = _fit(rows, machine, index | {x: len(index) + i for i, x in enumerate(added)}, factors, rounds)
     remove(rows.sparkSession, path)

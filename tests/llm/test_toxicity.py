@@ -86,3 +86,25 @@ def test_a_label_of_two_words_together(spark):
             z = machine.intercept + sum(machine.linear[k] for k in held)
             z += sum(machine.factors[a] @ machine.factors[b] for n, a in enumerate(held) for b in held[n + 1 :])
             assert abs(got[i].score - 1 / (1 + math.exp(-z))) < 1e-9
+
+
+def test_a_pair_of_rare_words(spark):
+    """Thousands of words are more frequent than the two that decide together, and neither of these says anything by itself."""
+    chance, rows = random.Random(12), []
+    common = [f"plain{k}" for k in range(2600)]
+    for i in range(4000):
+        words, group = chance.sample(common, 190), "rest"
+        if i % 10 == 0:
+            one, two = chance.random() < 0.5, chance.random() < 0.5
+            words += ["zork"] * one + ["blib"] * two
+            toxic, group = one == two, "pair"
+        else:
+            toxic = chance.random() < 0.5
+            words += ["scumbag"] * toxic + ["hello"] * (not toxic)
+        chance.shuffle(words)
+        rows.append((i, " ".join(words), int(toxic), group))
+    counts = {w: sum(w in t.split() for _, t, _, _ in rows) for w in ("zork", "blib", *common[:20])}
+    assert max(counts["zork"], counts["blib"]) < min(counts[w] for w in common[:20])
+    machine, right, _ = accuracy(spark, rows, "doc_id % 50 in (20, 23, 31, 40, 42, 47)")
+    assert all(toxicity.terms(w, machine.bits)[0] in machine.index for w in ("zork", "blib")) and len(machine.index) < 200
+    assert right["rest"] >= 0.95 and right["pair"] >= 0.85
