@@ -75,6 +75,14 @@ class Numbers:
         tokens = text.translate(PLAIN).split() if text else ()
         return np.fromiter(map(self.plain.get, tokens, repeat(-1)), np.int32, len(tokens))
 
+    def distinct(self, text: bytes | None) -> list[int]:
+        """The numbers of a text's words, each once."""
+        if text and not text.isascii():
+            words, numbers = set(words_of(text)), self.vocab
+        else:
+            words, numbers = set(text.translate(PLAIN).split() if text else ()), self.plain
+        return [numbers[w] for w in words if w in numbers]
+
 
 def lcs(masks: dict[int, int], m: int, words: list[int]) -> int:
     """Length of the longest common subsequence of an item of m words (positions of each word as bits) and some words."""
@@ -126,9 +134,8 @@ def _document_counts(vocab):
         numbers, df, n = Numbers(vocab.value), np.zeros(len(vocab.value), np.int64), 0
         for batch in batches:
             for text in batch.column(0):
-                ids = numbers.of(text.as_py())
                 n += 1
-                df[np.unique(ids[ids >= 0])] += 1
+                df[numbers.distinct(text.as_py())] += 1
         at = np.flatnonzero(df)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1)), pa.array(np.append(df[at], n))], ["term", "df"])
 
@@ -326,14 +333,15 @@ class Finder:
                     self._check(docs[d], begin, min(begin + scale, lo + int(sizes[q])), int(items[i]), float(alike[p, i] / norm[p]), best[d])
 
     def _placed(self, terms: np.ndarray, local: np.ndarray) -> np.ndarray:
-        """Sums of the words' places by smallest block. Words without a place are passed over."""
-        out = np.zeros((len(local) // self.least, terms.shape[1]), np.float32)
-        at = np.flatnonzero(local < len(terms) - 1)
-        for start in range(0, len(at), 1 << 13):
-            part = at[start : start + (1 << 13)]
-            block = part // self.least
-            cut = np.flatnonzero(np.diff(block, prepend=-1))
-            out[block[cut]] += np.add.reduceat(terms[local[part]], cut, axis=0)
+        """Sums of the words' places by smallest block; the last place, of words without one, is zero."""
+        blocks = local.reshape(-1, self.least)
+        out = np.empty((len(blocks), terms.shape[1]), np.float32)
+        for start in range(0, len(blocks), 256):  # so few at a time that they stay in the processor's cache
+            part = blocks[start : start + 256]
+            total = terms[part[:, 0]]
+            for k in range(1, self.least):
+                total += terms[part[:, k]]
+            out[start : start + 256] = total
         return out
 
     def _check(self, words: np.ndarray, lo: int, hi: int, i: int, alike: float, best: dict[int, Match]) -> None:
