@@ -53,7 +53,7 @@ def sketch_turn_quantiles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def join_range_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each event with the orders that are open at its second; orders stay open for up to two hours, a few for a month."""
-    events = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", (F.col("event_id") * 7919 % (2400 * 86400)).alias("at"))
+    events = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", (F.col("event_id") * 1037389 % (2400 * 86400)).alias("at"))
     orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
     opened = (F.unix_micros(F.col("o_orderdate").cast("timestamp")) / 1000000).cast("long") - 694224000 + F.col("o_orderkey") * 104729 % 86400
     length = F.when(F.col("o_orderkey") % 5000 == 0, 30 * 86400).otherwise(F.col("o_orderkey") % 7200)
@@ -116,7 +116,7 @@ def cache_deletions(spark: SparkSession, sf_dir: str) -> DataFrame:
     cache.load()
     before = set(files.names(cache.folder))
     for name in files.names(root):
-        if name.startswith("user_id=") and int(name.split("=")[1]) % 10 == 1:
+        if name.startswith("user_id=") and int(name.split("=")[1]) % 50 == 1:
             files.delete(f"{root}/{name}")
     rows = cache.load()
     added = [n for n in files.names(cache.folder) if n not in before and not n.startswith("manifest-")]
@@ -144,8 +144,8 @@ ORACLE_SQL = {
     "asof_sliced_order": """SELECT event_id, arg_max(o_orderkey, {'d': placed, 'k': o_orderkey}) AS o_orderkey FROM (SELECT event_id, user_id % 3 AS k, event_id % 2400 AS day FROM events) e
 LEFT JOIN (SELECT o_custkey % 3 AS k, max(o_orderkey) AS o_orderkey, datediff('day', DATE '1992-01-01', CAST(o_orderdate AS DATE)) AS placed FROM orders GROUP BY 1, 3) o ON o.k = e.k AND placed <= day GROUP BY event_id""",
     "cache_deletions": f"""SELECT substr(CAST(ts AS VARCHAR), 1, 10) AS date, CAST(count(*) AS BIGINT) AS turns, CAST(sum({_TOTAL}) AS BIGINT) AS total_tokens,
- CAST(count(*) AS BIGINT) AS summary_turns, CAST(sum({_TOTAL}) AS BIGINT) AS summary_tokens, 0 AS folders_written FROM events WHERE user_id % 10 != 1 AND {_NAMED} GROUP BY 1""",
-    "join_range_orders": """WITH e AS (SELECT event_id, event_id * 7919 % (2400 * 86400) AS moment FROM events),
+ CAST(count(*) AS BIGINT) AS summary_turns, CAST(sum({_TOTAL}) AS BIGINT) AS summary_tokens, 0 AS folders_written FROM events WHERE user_id % 50 != 1 AND {_NAMED} GROUP BY 1""",
+    "join_range_orders": """WITH e AS (SELECT event_id, event_id * 1037389 % (2400 * 86400) AS moment FROM events),
 o AS (SELECT o_orderkey, CAST(epoch(o_orderdate) AS BIGINT) - 694224000 + o_orderkey * 104729 % 86400 AS opened, CASE WHEN o_orderkey % 5000 = 0 THEN 30 * 86400 ELSE o_orderkey % 7200 END AS length FROM orders)
 SELECT event_id, o_orderkey FROM e JOIN o ON moment >= opened AND moment <= opened + length""",
     "log_accounting": f"""WITH e AS (SELECT *, event_id % 31 != 0 AND event_id % 37 != 0 AND {_NAMED} AS good FROM events)
