@@ -51,9 +51,10 @@ def range_join(
     first, last = _position(intervals, low, unit), _position(intervals, high, unit)
     level = (F.ceil(F.log2((F.col("_hi") - F.col("_lo") + 1).cast("double")) / STEP) * STEP).cast("int")
     placed = holding.withColumns({"_lo": first, "_hi": last}).withColumn("_level", level)
-    # at most 32 numbers come back, whatever the input
-    levels = sorted(r["_level"] for r in placed.select("_level").distinct().collect())
     shift = lambda c: F.floor(F.col(c) / F.pow(F.lit(2.0), F.col("_level"))).cast("long")
+    # one row a level, so at most 32, whatever the input
+    found = placed.groupBy("_level").agg(F.sum(shift("_hi") - shift("_lo") + 1).alias("n")).collect()
+    levels, n_intervals = sorted(r["_level"] for r in found), sum(r["n"] for r in found)
     filed = placed.withColumn("_cell", F.explode(F.sequence(shift("_lo"), shift("_hi")))).drop("_lo", "_hi")
     looking = (
         points.where(F.col(at).isNotNull())
@@ -63,13 +64,17 @@ def range_join(
     )
     cell = [*keys, "_level", "_cell"]
     count = lambda rows, name: rows.groupBy(*cell).agg(F.count(F.lit(1)).alias(name))
-    n_points, n_intervals = points.count() * max(1, len(levels)), filed.count()
-    crowd = count(looking, "_p").join(count(filed, "_q"), cell)
-    crowd = crowd.select(*cell, _slices(F.col("_p"), n_points, most, most_cells).alias("_ps"), _slices(F.col("_q"), n_intervals, most, most_cells).alias("_qs"))
-    crowd = F.broadcast(crowd.where("_ps > 1 or _qs > 1"))
+    n_points = points.count() * len(levels)
+    narrow = max(n_points, n_intervals) <= most  # then no cell holds more
+    if not narrow:
+        crowd = count(looking, "_p").join(count(filed, "_q"), cell)
+        crowd = crowd.select(*cell, _slices(F.col("_p"), n_points, most, most_cells).alias("_ps"), _slices(F.col("_q"), n_intervals, most, most_cells).alias("_qs"))
+        crowd = F.broadcast(crowd.where("_ps > 1 or _qs > 1"))
 
     def dealt(rows: DataFrame, own: str, other: str) -> DataFrame:
-        """Each row in one slice of its own side, chosen by its content and place, and in every slice of the other side."""
+        """Each row in one slice of its own side, chosen by its place, and in every slice of the other side."""
+        if narrow:
+            return rows.withColumns({f"{own}_": F.lit(0), f"{other}_": F.lit(0)})
         rows = rows.join(crowd, cell, "left").withColumns({c: F.coalesce(c, F.lit(1)) for c in ("_ps", "_qs")})
         rows = rows.withColumn(f"{own}_", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.col(own)).cast("int"))
         return rows.withColumn(f"{other}_", F.explode(F.sequence(F.lit(0), F.col(other) - 1))).drop("_ps", "_qs")

@@ -213,3 +213,18 @@ def test_plans(tool, report, plan):
     assert subscriptions.detect(subscriptions.reports({tool: "asked", "Other": "not"}, lambda command: report if command == "asked" else None)) == ({tool: plan} if plan else {})
     assert subscriptions.printed("no-such-command-here json") is None and subscriptions.reports({}) == {}
     assert subscriptions.detect({tool: report, "other": None}) == ({tool: plan} if plan else {})
+
+
+def test_moving_costs_over_missing_days(spark):
+    """The frame goes by days: a gap of days is not bridged, and rows whose date is no day are left out."""
+    days = ["2026-03-01", "2026-03-02", "2026-03-07", "2026-03-08", "2026-03-09", "2026-03-31", "2026-03-31", "soon", None]
+    rows = spark.createDataFrame([("Codex", "p", "s", d, "", 0, 10 ** (i % 7), 0, 0, 1, "f") for i, d in enumerate(days)], schemas.TOKENS)
+    cost = {}
+    for i, d in enumerate(days):
+        if d and d != "soon":
+            cost[date.fromisoformat(d)] = cost.get(date.fromisoformat(d), 0) + 10 ** (i % 7) * 10 / 1e6
+    got = {r.date: (r.cost, r.cost_7d) for r in charts.moving_costs(rows).collect()}
+    assert set(got) == {d.isoformat() for d in cost}
+    for d in cost:
+        moving = sum(c for other, c in cost.items() if 0 <= (d - other).days <= 6)
+        assert got[d.isoformat()] == pytest.approx((cost[d], moving))
