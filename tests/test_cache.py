@@ -245,6 +245,7 @@ def test_cli(spark, tmp_path, capsys):
     shown = capsys.readouterr()
     assert "9.7k" in shown.out and "load cache" in shown.err
     assert run("--share", "--subscription", "20") == 0 and "of AI compute this week for $20.0/mo" in capsys.readouterr().out
+    assert run("--chart-file", str(tmp_path / "chart.svg"), "--subscription", "20") == 0 and "of AI compute this week" in (tmp_path / "chart.svg").read_text()
     assert run("--share", "--debug-timing") == 0  # without a price, what the tools report counts
     shown = capsys.readouterr()
     assert "of AI compute this week for $120.0/mo" in shown.out and "Claude Code: max_5x, $100 a month" in shown.err

@@ -1,4 +1,5 @@
 from datetime import date
+from xml.etree import ElementTree
 
 import pytest
 from hypothesis import HealthCheck, given, settings
@@ -7,7 +8,7 @@ from hypothesis import strategies as st
 from tallymill.functions import formatting, subscriptions
 from tallymill.functions.pricing import cost_numerator, total_cost
 from tallymill.operators import filters
-from tallymill.plans import charts, reports
+from tallymill.plans import charts, drawing, reports
 from tallymill.sources import schemas
 
 #: tool, project, session, date, model, input, output, cache write, cache read, total; then the prices of the last four kinds in USD a million.
@@ -228,3 +229,30 @@ def test_moving_costs_over_missing_days(spark):
     for d in cost:
         moving = sum(c for other, c in cost.items() if 0 <= (d - other).days <= 6)
         assert got[d.isoformat()] == pytest.approx((cost[d], moving))
+
+
+@pytest.mark.parametrize("days", [2, 5, 40])
+def test_drawing(days):
+    """Columns by project for few dates, areas by day for many; the stacks reach as high as the costs."""
+    daily = [(f"2026-{3 + k // 28:02d}-{k % 28 + 1:02d}", tool, float(k + 1)) for k in range(days) for tool in ("Codex", "Claude Code")] + [(None, "Gemini", 3.0)]
+    projects = [("one <&>", "Claude Code", 9.5), ("one <&>", "Codex", 1.0), ("two", "Gemini", 2.0), (None, "Codex", 1.0)]
+    text = drawing.chart("$10 & more", ["5k tokens"], daily, projects)
+    root = ElementTree.fromstring(text)
+    tag = lambda name: [e for e in root.iter() if e.tag.endswith("}" + name)]
+    words = [e.text for e in tag("text")]
+    assert "$10 & more" in words and any("5k tokens" in w for w in words)
+    if days == 2:
+        assert not tag("polygon") and {"one <&>", "two"} <= set(words) and len([e for e in tag("rect") if e.get("width") == "90.0"]) == 3
+    else:
+        assert len(tag("polygon")) == 3 and "Mar 1" in words and len([e for e in tag("rect") if e.get("class") == "hit"]) == days
+        top = min(float(p.split(",")[1]) for e in tag("polygon") for p in e.get("points").split())
+        scale = drawing.ticks(2.0 * days)[-1]
+        plot = drawing.HEIGHT - drawing.TOP - drawing.BOTTOM
+        assert top == pytest.approx(drawing.TOP + plot * (1 - 2 * days / scale), abs=0.1)
+    assert drawing.chart("none", [], [], []) is None and drawing.chart("free", [], [("2026-03-01", "Codex", 0.0)], [("p", "Codex", None)]) is None
+
+
+def test_ticks():
+    for most in (0.003, 0.9, 1, 7, 99, 100, 12345.6):
+        got = drawing.ticks(most)
+        assert got[0] == 0 and got[-1] >= most and len(got) <= 6 and drawing.ticks(0) == [0.0, 1.0]
