@@ -101,7 +101,8 @@ def log_accounting(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = f"{log_folder(spark)}/projects/Main"
     lines.select(cut.alias("value")).write.text(folder)
     tally = Tally()
-    kept = read_claude(spark, [folder], tally, longest=5000).agg(F.count(F.lit(1)).alias("rows"), F.sum("total_tokens").alias("total_tokens")).first()
+    with tally.gathering(spark):
+        kept = read_claude(spark, [folder], tally, longest=5000).agg(F.count(F.lit(1)).alias("rows"), F.sum("total_tokens").alias("total_tokens")).first()
     counts = tally.counts()["Claude Code"]
     row = (*(int(counts[c]) for c in ("read", "malformed", "too_long", "kept")), kept["rows"], kept["total_tokens"])
     return spark.createDataFrame([row], "read long, malformed long, too_long long, kept long, rows long, total_tokens long")

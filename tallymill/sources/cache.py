@@ -190,7 +190,8 @@ class TokenCache:
         name = uuid.uuid4().hex
         part = F.pmod(F.crc32(F.col("source_file").cast("binary")), F.lit(PARTS)).cast("int")
         out = lambda df, kind: df.withColumn("part", part).repartition("part").write.option("compression", "zstd").partitionBy("part").parquet(f"{self.folder}/{kind}-{name}")
-        out(tokens.withColumn("filed", F.lit(number).cast("long")), "rows")
+        with Tally.gathering(self.spark):
+            out(tokens.withColumn("filed", F.lit(number).cast("long")), "rows")
         there = sorted(int(n.split("=")[1]) for n in self.store.names(f"{self.folder}/rows-{name}") if n.startswith("part="))
         if there:
             rows = self.spark.read.schema(schemas.FILED).parquet(*[f"{self.folder}/rows-{name}/part={k}" for k in there])

@@ -7,8 +7,10 @@ kept, in the same pass.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -25,21 +27,38 @@ BAD = "_bad string"
 class Tally:
     """Counts of a read, by tool: records `read`, `malformed` (no JSON, or a field of another kind), `too_long`, and rows `kept`.
 
-    They are gathered while the rows are written or collected, so `counts` waits for the first such action.
+    They are gathered while the rows are written or collected, so `counts` waits for the first such action. This should stand in
+    `gathering`: otherwise a plan that turns out to give no rows is cut short at run time, and its counts are lost.
     """
 
     def __init__(self):
-        self._watched: list[tuple[str, Observation]] = []
+        self._watched: list[tuple[str, Observation, list[str]]] = []
 
     def watch(self, tool: str, rows: DataFrame, **counts: Column) -> DataFrame:
         seen = Observation(f"{tool} {len(self._watched)}")
-        self._watched.append((tool, seen))
+        self._watched.append((tool, seen, list(counts)))
         return rows.observe(seen, *[c.alias(name) for name, c in counts.items()])
 
+    @staticmethod
+    @contextmanager
+    def gathering(spark: SparkSession) -> Iterator[None]:
+        """Keeps observations of empty parts of a plan: leaves out the rule that cuts such parts off."""
+        name, rule = "spark.sql.adaptive.optimizer.excludedRules", "org.apache.spark.sql.execution.adaptive.AQEPropagateEmptyRelation"
+        before = spark.conf.get(name, None)
+        spark.conf.set(name, f"{before},{rule}" if before else rule)
+        try:
+            yield
+        finally:
+            spark.conf.set(name, before) if before else spark.conf.unset(name)
+
     def counts(self) -> dict[str, dict[str, int]]:
         found: dict[str, dict[str, int]] = {}
-        for tool, seen in self._watched:
-            found.setdefault(tool, {}).update(seen.get)
+        for tool, seen, names in self._watched:
+            try:
+                counts = seen.get
+            except Py4JJavaError:  # no row came there, and the plan was cut short at run time
+                counts = dict.fromkeys(names, 0)
+            found.setdefault(tool, {}).update(counts)
         return found
 
 

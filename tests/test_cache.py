@@ -271,6 +271,19 @@ def test_plans_are_asked_for_by_default(spark, tmp_path, capsys):
     assert len(asked) == 3 and all(c.endswith(" json") and " -m " in c for c in asked)
 
 
+def test_counts_of_logs_without_rows(spark, tmp_path):
+    """Logs that give no row are counted too: malformed lines, a header alone, a chat without messages, an empty file."""
+    for name, text in {"c/a.jsonl": "bad\n{\n", "x/a.jsonl": '{"type": "session_meta", "payload": {"cwd": "/a"}}\n', "x/b.jsonl": "", "g/chats/a.json": '{"sessionId": "q", "messages": []}'}.items():
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text(text)
+    trees = [Tree("Claude Code", str(tmp_path / "c"), "*.jsonl"), Tree("Codex", str(tmp_path / "x"), "*.jsonl"), Tree("Gemini", str(tmp_path / "g"), "chats/*.json")]
+    cache = TokenCache(spark, str(tmp_path / "cache"), trees)
+    assert cache.load().count() == 0
+    none = {"malformed": 0, "too_long": 0, "kept": 0}
+    assert cache.read == {"Claude Code": none | {"read": 2, "malformed": 2}, "Codex": none | {"read": 1}, "Gemini": none | {"read": 1}}
+    assert cache.load().count() == 0 and cache.read == {} and cache.estimates().count() == 0
+
+
 def test_version(capsys):
     with pytest.raises(SystemExit):
         cli.main(["--version"])
