@@ -52,7 +52,7 @@ def test_against_definitions(spark):
     texts = [" ".join(chance.choices(words, weights=[30, 20, *[1] * (len(words) - 2)], k=chance.choice([0, 1, 10, 80]))) for _ in range(150)]
     texts += [None, "", " \t\n", "unseen words only", "THE the", "THE the", "the " * 30_000]
     docs = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)], "doc_id long, text string, score string").repartition(3)
-    model = ngram_lm.train(docs.where("doc_id % 5 <> 1 and doc_id < 150"), entries=50)
+    model = ngram_lm.train(docs.where("doc_id % 5 <> 1 and doc_id < 150"), entries=50, singles=False)
     want, n, total = plain([t for i, t in enumerate(texts) if i % 5 != 1 and i < 150], texts)
     assert model.bits > 4 and model.n == n and total == pytest.approx(1, abs=1e-9)
     got = {r.doc_id: r for r in ngram_lm.score(docs, model).collect()}
@@ -104,5 +104,5 @@ def test_bigrams_seen_once(spark):
     want, sums, pairs = whole([t for i, t in enumerate(texts) if not got[i].held_out], texts)
     assert sum(c == 1 for c in pairs.values()) > len(pairs) / 3 and sums == pytest.approx([1] * len(sums), abs=1e-9)
     assert [got[i].score for i in range(len(texts))] == pytest.approx(want, rel=1e-5)
-    model = ngram_lm.train(docs, entries=50, singles=True)
+    model = ngram_lm.train(docs, entries=50)
     assert [r.score for r in ngram_lm.score(docs, model).orderBy("doc_id").collect()] == pytest.approx(whole(texts, texts)[0], rel=1e-5)
