@@ -210,7 +210,7 @@ def place(sample: DataFrame, vocab: list[str], rows: list[Counter], chosen: rang
     own = sample.sparkSession.createDataFrame([(t.tolist(), (EMPHASIS * w / x).tolist()) for t, w, x in zip(at, weights, norms, strict=True)], "terms array<int>, weights array<double>")
     others = sample.mapInArrow(_sampled_passages({vocab[t]: k for k, t in enumerate(words.tolist())}, idf[words]), own.schema)
     # at most `rank` rows and the sample's; few tasks bound what the driver adds up
-    space = randomised_svd(own.unionByName(others).coalesce(8), len(words), rank)
+    space = randomised_svd(own.unionByName(others).coalesce(3), len(words), rank)
     placed = np.stack([(w / x) @ space[t] for t, w, x in zip(at, weights, norms, strict=True)])
     kept = np.cumsum(placed**2, axis=1)
     width = min(placed.shape[1], int((kept < energy).sum(axis=1).max()) + 1)

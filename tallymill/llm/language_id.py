@@ -245,7 +245,7 @@ def train(
     size = rows_of.agg(F.count(F.lit(1)).alias("rows"), F.countDistinct("lang").alias("langs"), F.coalesce(F.sum(F.octet_length("gram") + 40), F.lit(0)).alias("bytes")).first()
     if (need := max(8 * size["rows"] * size["langs"], size["bytes"])) > MOST_BYTES:
         raise ValueError(f"models of {size['langs']} languages may take {need >> 20} MB, more than {MOST_BYTES >> 20}: lower most_docs or order")
-    table = rows_of.orderBy("k", "gram").toArrow()  # bounded by the sample, and checked
+    table = rows_of.toArrow()  # bounded by the sample, and checked; its order does not matter
     langs = sorted(set(table.column("lang").to_pylist()))
     index = {x: i for i, x in enumerate(langs)}
     lang = np.array([index[x] for x in table.column("lang").to_pylist()], np.int64)
