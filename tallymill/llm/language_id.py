@@ -117,7 +117,7 @@ def score_words(words: list[str], models: Models) -> np.ndarray:
 class WordScores(dict):
     """Rows of word scores, kept for words seen before; emptied at `most` words."""
 
-    def __init__(self, models: Models, most: int = 300_000):
+    def __init__(self, models: Models, most: int = 200_000):
         super().__init__()
         self.models, self.most, self.fresh = models, most, []
         self.rows = np.zeros((0, len(models.langs) + 1))
@@ -128,10 +128,11 @@ class WordScores(dict):
         self.fresh.append(word)
         return at
 
-    def totals(self, texts: list[str | None]) -> np.ndarray:
-        """Per text: the sums of its words' rows. Only one text's words are held at a time."""
+    def totals(self, texts: list[str | None] | pa.Array) -> np.ndarray:
+        """Per text: the sums of its words' rows. Only one text and its words are held at a time beside what is given."""
         out = np.zeros((len(texts), len(self.models.langs) + 1))
         for i, text in enumerate(texts):
+            text = text.as_py() if isinstance(text, pa.Scalar) else text  # noqa: PLW2901
             words = words_of(text) if text else []
             for start in range(0, len(words), 1 << 17):
                 part = words[start : start + (1 << 17)]
@@ -155,7 +156,7 @@ class WordScores(dict):
         self.fresh = []
 
 
-def entropies(texts: list[str | None], scores: WordScores) -> tuple[np.ndarray, np.ndarray]:
+def entropies(texts: list[str | None] | pa.Array, scores: WordScores) -> tuple[np.ndarray, np.ndarray]:
     """Per text: cross-entropy a symbol under each language, and the number of symbols."""
     totals = scores.totals(texts)
     n = totals[:, -1]
@@ -355,7 +356,7 @@ def _identifier(models):
             if scores is None:
                 lang, score, ok, least = np.full(size, "und", object), np.zeros(size), np.zeros(size, bool), np.zeros(size)
             else:
-                xent, n = entropies(batch.column(1).to_pylist(), scores)
+                xent, n = entropies(batch.column(1), scores)
                 best, score, ok = decide(xent, n, own)
                 lang, least = names[np.where(n > 0, best, len(own.langs))], xent.min(axis=1)
             yield pa.RecordBatch.from_arrays(
@@ -382,7 +383,7 @@ def _accepting(models, text_at: int):
             if scores is None:
                 yield batch.slice(0, 0)
                 continue
-            xent, n = entropies(batch.column(text_at).to_pylist(), scores)
+            xent, n = entropies(batch.column(text_at), scores)
             yield batch.filter(pa.array(decide(xent, n, own)[2]))
 
     return run
