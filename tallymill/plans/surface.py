@@ -59,17 +59,25 @@ SHARED = {
     "string_functions": "SELECT p_partkey, upper(p_name) AS u, length(p_name) AS n, substring(p_name, 2, 4) AS part, replace(p_type, ' ', '_') AS joined, trim(concat('  ', p_brand, ' ')) AS t, lpad(p_brand, 12, '.') AS padded, reverse(p_brand) AS r FROM {part}",
     "date_functions": "SELECT o_orderkey, CAST(year(o_orderdate) AS INTEGER) AS y, CAST(month(o_orderdate) AS INTEGER) AS m, concat(CAST(date_trunc('month', o_orderdate) AS DATE), '') AS start, concat(CAST(o_orderdate AS DATE), '') AS d FROM {orders}",
     "math_functions": "SELECT c_custkey, round(sqrt(abs(c_acctbal)), 6) AS root, floor(c_acctbal / 100) AS low, CAST(sign(c_acctbal) AS INTEGER) AS s, round(ln(abs(c_acctbal) + 1), 6) AS l, c_custkey % 7 AS rest, greatest(c_acctbal, 0.0) AS g FROM {customer}",
-    # each customer's orders from the first on, as long as the next one follows within 200 days
-    "recursive_cte": "WITH RECURSIVE o AS (SELECT o_custkey AS k, o_orderkey, o_orderdate AS placed, o_totalprice AS price, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS INTEGER) AS n FROM {orders}), "
-    "chain(k, o_orderkey, placed, n, spent) AS (SELECT k, o_orderkey, placed, n, CAST(round(price * 100) AS BIGINT) FROM o WHERE n = 1 "
-    "UNION ALL SELECT o.k, o.o_orderkey, o.placed, o.n, chain.spent + CAST(round(o.price * 100) AS BIGINT) FROM chain JOIN o ON o.k = chain.k AND o.n = chain.n + 1 AND o.placed <= chain.placed + INTERVAL 200 DAY) "
-    "SELECT k AS o_custkey, o_orderkey, n AS place, spent FROM chain",
     "cte_chain": "WITH spend AS (SELECT o_custkey, sum(o_totalprice) AS s FROM {orders} GROUP BY o_custkey), top AS (SELECT o_custkey, s FROM spend WHERE s > 500000) "
     "SELECT c_mktsegment, CAST(count(*) AS BIGINT) AS n, round(sum(s), 2) AS spent FROM top JOIN {customer} ON c_custkey = o_custkey GROUP BY c_mktsegment",
 }
 
 #: Name: text for Spark, text for DuckDB.
 EACH = {
+    # each customer's orders from the first on, as long as the next one follows within 200 days. Spark's own recursion stops at a million rows
+    # or a hundred steps and reads all orders at each step; the chain ends at the first gap, so two windows over the orders tell it
+    "recursive_cte": (
+        "WITH o AS (SELECT o_custkey AS k, o_orderkey, o_orderdate AS placed, lag(o_orderdate) OVER w AS before, CAST(round(o_totalprice * 100) AS BIGINT) AS price, CAST(row_number() OVER w AS INTEGER) AS n "
+        "FROM {orders} WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate NULLS LAST, o_orderkey NULLS LAST)), "
+        "chain AS (SELECT *, bool_and(n = 1 OR coalesce(k IS NOT NULL AND placed <= before + INTERVAL 200 DAY, false)) OVER w AS linked, count(price) OVER w AS priced, sum(price) OVER w AS total "
+        "FROM o WINDOW w AS (PARTITION BY k ORDER BY n ROWS UNBOUNDED PRECEDING)) "
+        "SELECT k AS o_custkey, o_orderkey, n AS place, CASE WHEN priced = n THEN total END AS spent FROM chain WHERE linked",
+        "WITH RECURSIVE o AS (SELECT o_custkey AS k, o_orderkey, o_orderdate AS placed, o_totalprice AS price, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS INTEGER) AS n FROM {orders}), "
+        "chain(k, o_orderkey, placed, n, spent) AS (SELECT k, o_orderkey, placed, n, CAST(round(price * 100) AS BIGINT) FROM o WHERE n = 1 "
+        "UNION ALL SELECT o.k, o.o_orderkey, o.placed, o.n, chain.spent + CAST(round(o.price * 100) AS BIGINT) FROM chain JOIN o ON o.k = chain.k AND o.n = chain.n + 1 AND o.placed <= chain.placed + INTERVAL 200 DAY) "
+        "SELECT k AS o_custkey, o_orderkey, n AS place, spent FROM chain",
+    ),
     "array_functions": (
         "SELECT user_id, size(a) AS n, array_sort(a)[0] AS first, cast(aggregate(transform(a, x -> x % 10), 0L, (s, x) -> s + x) AS bigint) AS digits FROM (SELECT user_id, collect_list(event_id) AS a FROM {events} GROUP BY user_id)",
         "SELECT user_id, CAST(len(a) AS INTEGER) AS n, list_sort(a)[1] AS first, CAST(list_sum(list_transform(a, lambda x: x % 10)) AS BIGINT) AS digits FROM (SELECT user_id, list(event_id) AS a FROM {events} GROUP BY user_id)",
