@@ -24,6 +24,11 @@ def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/events.parquet").withColumn("at", F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss"))
 
 
+def _tasks(spark: SparkSession) -> int:
+    """Tasks that write logs: named, so that Spark does not merge small ones, which have many files to write."""
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
 def _n(factor: int):
     return F.floor(F.col("value") * factor).cast("int")
 
@@ -73,7 +78,8 @@ def ingest_codex_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
     ).withColumn("payload", F.struct("payload.cwd", "payload.type", F.lit(None).cast(counted.schema["payload"].dataType["info"].dataType).alias("info")))
     folder = f"{log_folder(spark)}/sessions"
     lines = counted.unionByName(heads)
-    lines.repartition("user_id").sortWithinPartitions("user_id", "timestamp").write.partitionBy("user_id").option("ignoreNullFields", True).json(folder)
+    # dealt anew by what neither side of the union is dealt by: Spark takes the union as dealt by user, but may merge the tasks of each side differently
+    lines.repartition(_tasks(spark), F.xxhash64("user_id")).sortWithinPartitions("user_id", "timestamp").write.partitionBy("user_id").option("ignoreNullFields", True).json(folder)
     rows = read_codex(spark, [folder])
     user = F.regexp_extract("source_file", "user_id=([0-9]+)", 1).cast("long").alias("user_id")
     return rows.select(user, "tool", "project", "date", "model", "input_tokens", "output_tokens", "cache_write_tokens", "cache_read_tokens", "total_tokens")
