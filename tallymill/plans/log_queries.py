@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallymill.sources.cache import TokenCache, Tree
@@ -16,6 +16,10 @@ from tallymill.sources.session_logs import read_claude, read_codex, read_gemini
 from tallymill.sources.storage import Files, shared_dir
 
 
+#: Users whose chats one document may hold, and messages after which the next chat begins another.
+CHATS, MESSAGES = 64, 20_000
+
+
 def log_folder(spark: SparkSession) -> str:
     return f"{shared_dir(spark)}/logs-{uuid.uuid4().hex}"
 
@@ -86,7 +90,7 @@ def ingest_codex_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def ingest_gemini_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One document a user, its messages gathered into an array; each is a file of its own."""
+    """One chat a user, its messages gathered into an array. A file is one document: an array of the chats of some users."""
     e = F.col("event_id")
     tokens = F.struct(_n(10).alias("input"), F.when(e % 2 == 0, _n(1)).alias("output"), _n(8).alias("cached"), (e % 6 * 100).cast("int").alias("total"))
     said = F.struct(F.when(e % 23 != 0, F.col("at")).alias("timestamp"), F.concat(F.lit("gemini-"), (e % 4).cast("string")).alias("model"), F.when(e % 5 != 0, tokens).alias("tokens"))
@@ -94,7 +98,11 @@ def ingest_gemini_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
         "user_id", F.concat(F.lit("g"), F.col("user_id").cast("string")).alias("sessionId"), "messages"
     )
     folder = f"{log_folder(spark)}/.gemini/tmp/MyGem/chats"
-    chats.repartition("user_id").write.partitionBy("user_id").json(folder)
+    some = F.floor(F.col("user_id") / CHATS)
+    before = F.sum(F.size("messages")).over(Window.partitionBy("some").orderBy("user_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.size("messages")
+    dealt = chats.withColumn("some", some).withColumn("part", F.floor(before / MESSAGES))
+    documents = dealt.groupBy("some", "part").agg(F.to_json(F.collect_list(F.struct("sessionId", "messages"))).alias("value"))
+    documents.repartition(_tasks(spark), "some", "part").select("value").write.option("maxRecordsPerFile", 1).text(folder)
     return read_gemini(spark, [folder]).drop("source_file")
 
 

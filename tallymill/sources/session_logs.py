@@ -73,9 +73,9 @@ def _kept(tally: Tally | None, tool: str, rows: DataFrame) -> DataFrame:
     return rows if tally is None else tally.watch(tool, rows, kept=F.count(F.lit(1)))
 
 
-def _lines(spark: SparkSession, files: Sequence[str], schema: str, tool: str, tally: Tally | None, longest: int) -> DataFrame:
-    """JSON lines with the fields of a schema, and `source_file`. Blank lines are no records."""
-    lines = spark.read.text(list(files)).select(_path().alias("source_file"), "value").where(F.rlike("value", F.lit(r"\S")))
+def _lines(texts: DataFrame, schema: str, tool: str, tally: Tally | None, longest: int) -> DataFrame:
+    """JSON lines, read as text, with the fields of a schema, and `source_file`. Blank lines are no records."""
+    lines = texts.select(_path().alias("source_file"), "value").where(F.rlike("value", F.lit(r"\S")))
     fits = F.octet_length("value") <= longest
     parsed = F.from_json(F.when(F.col("fits"), F.col("value")), f"{schema}, {BAD}", {"columnNameOfCorruptRecord": BAD.split()[0]})
     records = lines.withColumn("fits", fits).select("source_file", "fits", parsed.alias("_of")).withColumn("bad", F.col("_of._bad"))
@@ -129,7 +129,7 @@ def read_claude(spark: SparkSession, files: Sequence[str], tally: Tally | None =
     wanted = [f for f in files if "/subagents/" not in f.replace("\\", "/")]
     if not wanted:
         return _empty(spark)
-    log = _lines(spark, wanted, schemas.CLAUDE, "Claude Code", tally, longest)
+    log = _lines(spark.read.text(wanted), schemas.CLAUDE, "Claude Code", tally, longest)
     folder = F.regexp_extract("source_file", "projects/([^/]+)/", 1)
     kept = log.where(
         (F.col("type") == "assistant")
@@ -179,8 +179,9 @@ def read_codex(
     unless `dedupe_session_meta`."""
     if not files:
         return _empty(spark)
+    texts = spark.read.text(list(files))  # listed once
     lines = lambda counted: (
-        _lines(spark, files, schemas.CODEX, "Codex", counted, longest)
+        _lines(texts, schemas.CODEX, "Codex", counted, longest)
         .select("type", "timestamp", "payload", "source_file", F.monotonically_increasing_id().alias("_line"))
         .where(F.col("type").isin("session_meta", "event_msg"))
     )
@@ -221,13 +222,20 @@ def read_codex(
 
 
 def read_gemini(spark: SparkSession, files: Sequence[str], tally: Tally | None = None, longest: int = LONGEST) -> DataFrame:
-    """One row per message with tokens; each file is one JSON document. Hashed project folders are shortened to eight digits."""
+    """One row per message with tokens; each file is one JSON document, a chat or an array of chats. Hashed project folders are shortened to
+    eight digits.
+
+    Documents are read as text: the reader of JSON files opens the file anew for every number that is taken as text.
+    """
     if not files:
         return _empty(spark)
-    fields = spark.read.schema(f"{schemas.GEMINI}, {BAD}").option("columnNameOfCorruptRecord", BAD.split()[0])
-    chats = fields.json(list(files), multiLine=True).select(
-        "sessionId", "messages", F.col("_bad").alias("bad"), (F.col("_metadata.file_size") <= longest).alias("fits"), _path().alias("source_file")
+    texts = spark.read.text(list(files), wholetext=True).select(
+        _path().alias("source_file"), (F.col("_metadata.file_size") <= longest).alias("fits"), F.regexp_replace("value", "^\ufeff", "").alias("value")
     )
+    array = F.when(F.col("fits") & F.rlike("value", F.lit(r"^\s*\[")), F.from_json("value", "array<string>"))
+    parsed = F.from_json(F.when(F.col("fits"), F.col("value")), f"{schemas.GEMINI}, {BAD}", {"columnNameOfCorruptRecord": BAD.split()[0]})
+    chats = texts.where(F.rlike("value", F.lit(r"\S"))).select("source_file", "fits", F.explode(F.coalesce(array, F.array("value"))).alias("value"))
+    chats = chats.select("source_file", "fits", parsed.alias("_of")).select("_of.sessionId", "_of.messages", F.col("_of._bad").alias("bad"), "fits", "source_file")
     chats = _watched(tally, "Gemini", chats).where("fits")
     said = chats.select("sessionId", "source_file", F.explode("messages").alias("m")).where(
         F.col("m.tokens").isNotNull() & (_whole("m.tokens.total") > 0)
