@@ -16,6 +16,8 @@ from tallymill.sources.session_logs import read_claude, read_codex, read_gemini
 from tallymill.sources.storage import Files, shared_dir
 
 
+#: Folders of the logs that a cache is kept of, and lines of the longest log there.
+FOLDERS, LOG_LINES = 50, 20_000
 #: Users whose chats one document may hold, and messages after which the next chat begins another.
 CHATS, MESSAGES = 64, 20_000
 
@@ -33,6 +35,21 @@ def _tasks(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def write_claude_logs(lines: DataFrame, root: str, mode: str = "errorifexists") -> None:
+    """Logs with the sessions of some users each, of up to `LOG_LINES` lines, in a folder for each remainder of the user by `FOLDERS`."""
+    folder, share = (F.col("user_id") % FOLDERS).alias("folder"), F.pmod(F.xxhash64("user_id"), F.lit(4)).alias("share")
+    dealt = lines.select("*", folder, share).repartition(_tasks(lines.sparkSession), "folder", "share").drop("user_id", "event_id", "share")
+    dealt.write.mode(mode).option("maxRecordsPerFile", LOG_LINES).partitionBy("folder").json(root)
+
+
+def delete_users(spark: SparkSession, root: str, modulus: int, rest: int) -> None:
+    """Deletes the folders of the users with a remainder; the modulus divides `FOLDERS`."""
+    files = Files(spark)
+    for name in files.names(root):
+        if name.startswith("folder=") and int(name.split("=")[1]) % modulus == rest:
+            files.delete(f"{root}/{name}")
+
+
 def _n(factor: int):
     return F.floor(F.col("value") * factor).cast("int")
 
@@ -107,16 +124,14 @@ def ingest_gemini_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def incremental_refresh(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The cache over one folder of logs a user: filed once, then refreshed after some folders are gone and some have a second log."""
+    """The cache over folders of logs of some users each: filed once, then refreshed after some folders are gone and some have a second set of logs."""
     place = log_folder(spark)
-    root, lines = f"{place}/logs", claude_lines(spark, sf_dir).drop("event_id")
-    lines.repartition("user_id").write.partitionBy("user_id").json(root)
-    cache, files = TokenCache(spark, f"{place}/cache", [Tree("Claude Code", root, "*.json")]), Files(spark)
+    root, lines = f"{place}/logs", claude_lines(spark, sf_dir)
+    write_claude_logs(lines, root)
+    cache = TokenCache(spark, f"{place}/cache", [Tree("Claude Code", root, "*.json")])
     cache.load()
-    for name in files.names(root):
-        if name.startswith("user_id=") and int(name.split("=")[1]) % 10 == 1:
-            files.delete(f"{root}/{name}")
-    lines.where("user_id % 10 = 3").repartition("user_id").write.mode("append").partitionBy("user_id").json(root)
+    delete_users(spark, root, 10, 1)
+    write_claude_logs(lines.where("user_id % 10 = 3"), root, "append")
     return cache.load().groupBy("session").agg(F.count(F.lit(1)).alias("turns"), F.sum("total_tokens").alias("total_tokens"))
 
 

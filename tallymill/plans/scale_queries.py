@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from tallymill.operators import sketches
 from tallymill.operators.asof import asof_join_sliced
 from tallymill.operators.range_join import range_join
-from tallymill.plans.log_queries import claude_lines, log_folder
+from tallymill.plans.log_queries import claude_lines, delete_users, log_folder, write_claude_logs
 from tallymill.plans.standin import TOKENS_SQL, tokens
 from tallymill.sources.cache import TokenCache, Tree
 from tallymill.sources.dynamic import key_counts, unknown_keys
@@ -112,13 +112,11 @@ def cache_deletions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The cache after logs of some users were deleted: what it gives by session, its stored summaries, and that no row was written."""
     place = log_folder(spark)
     root, lines = f"{place}/logs", claude_lines(spark, sf_dir)
-    lines.drop("event_id").repartition("user_id").write.partitionBy("user_id").json(root)
+    write_claude_logs(lines, root)
     cache, files = TokenCache(spark, f"{place}/cache", [Tree("Claude Code", root, "*.json")]), Files(spark)
     cache.load()
     before = set(files.names(cache.folder))
-    for name in files.names(root):
-        if name.startswith("user_id=") and int(name.split("=")[1]) % 50 == 1:
-            files.delete(f"{root}/{name}")
+    delete_users(spark, root, 50, 1)
     rows = cache.load()
     added = [n for n in files.names(cache.folder) if n not in before and not n.startswith("manifest-")]
     by_session = rows.groupBy("date").agg(F.count(F.lit(1)).alias("turns"), F.sum("total_tokens").alias("total_tokens"))
