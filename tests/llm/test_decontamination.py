@@ -210,3 +210,71 @@ def test_ids_of_any_type(spark):
     got = decontamination.leaks(docs, bench)
     assert dict(got.dtypes)["item_id"] == "string" and [(r.doc_id, r.item_id) for r in got.collect()] == [("d-1", "q-1")]
     assert [r.doc_id for r in decontamination.drop_leaking(docs, bench).collect()] == ["d-2"]
+
+
+def passages_by_hand(texts, words, idf):
+    """Passages of all texts as rows of weights of length 1 over some words."""
+    rows = []
+    for text in texts:
+        for at in range(0, len(ids := text.split()), 32):
+            row = np.array([ids[at : at + 32].count(w) for w in words]) * idf
+            if row.any():
+                rows.append(row / np.sqrt((row**2).sum()))
+    return np.array(rows)
+
+
+def test_pair_sums(spark, monkeypatch):
+    """Sums over all passages of more documents than a sample would hold, in one and in several readings, of two spaces that share words."""
+    chance = random.Random(41)
+    vocab = {f"w{i}": i for i in range(14)}
+    texts = [" ".join(f"w{chance.randrange(30)}" for _ in range(chance.choice([1, 31, 32, 33, 200]))) for _ in range(700)]
+    weigh = np.array([chance.random() + 0.1 for _ in vocab])
+    tile, plots, want = decontamination.TILE, [], []
+    for k, chosen in enumerate((list(range(9)), list(range(5, 14)))):
+        local = np.full(15, len(chosen), np.int32)
+        local[chosen] = np.arange(len(chosen))
+        plots.append((k * tile, local, weigh[chosen]))
+        a = passages_by_hand(texts, [f"w{i}" for i in chosen], weigh[chosen])
+        want.append((a.T @ a)[np.tril_indices(9)])
+    docs = spark.createDataFrame([(1, t.encode()) for t in [*texts, ""]] + [(2, None)], "_id int, t binary").repartition(3)
+    words, _ = decontamination.numbered(docs, vocab)
+    df, n = decontamination.document_frequencies(words, len(vocab))
+    assert n == 702 and df.tolist() == [sum(w in t.split() for t in texts) for w in vocab]
+    for room in (decontamination.ROOM, tile):
+        monkeypatch.setattr(decontamination, "ROOM", room)
+        rows = decontamination.pair_sums(words, plots, 2 * tile).collect()
+        got = {r["tile"]: np.frombuffer(r["sums"], np.float32) for r in rows}
+        assert len(rows) == 2 and all(np.allclose(got[k][:45], want[k], rtol=1e-5) and not got[k][45:].any() for k in (0, 1))
+    # readings that cut a space anywhere, and pieces of a text, change nothing
+    monkeypatch.setattr(decontamination, "PIECE", 64)
+    passages = list(decontamination._passages(words.where("words is not null").select("words").toArrow().to_batches()))
+    assert len(passages) > 100
+    for lo, hi in ((0, 20), (20, 45), (tile - 5, tile + 31), (10, tile + 45)):
+        part = decontamination.PairSums(plots, lo, hi)
+        for some in passages:
+            part.add(some)
+        whole = np.zeros(2 * tile)
+        whole[:45], whole[tile : tile + 45] = want
+        assert np.allclose(part.sums, whole[lo:hi])
+
+
+def test_spaces_hold_all_passages(spark):
+    """A space is that of the items and of every passage of every document: here the words that tell stand in the 33rd to the 128th place."""
+    chance = random.Random(43)
+    items = [" ".join(f"w{chance.randrange(40)}" for _ in range(12)) for _ in range(6)]
+    words = sorted({w for t in items for w in t.split()})
+    texts = []
+    for _ in range(600):
+        few = chance.sample(words[:12], 4)
+        texts.append(" ".join([*["other"] * 32, *chance.choices(few, k=96), *["other"] * 32]))
+    ((x,),) = decontamination._passes(
+        spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), spark.createDataFrame(list(enumerate(items)), "item_id long, text string"), "text", "item_id", "text", 6, 2000, 100_000, 0.5
+    )
+    (space,) = x.spaces
+    idf = np.array([x.weigh[x.vocab[w]] for w in words])
+    theirs = passages_by_hand(texts, words, idf)
+    a = np.vstack([4 * passages_by_hand(items, words, idf), np.sqrt(min(1, 2000 / len(theirs))) * theirs])
+    v = np.array([space.terms[space.local[x.vocab[w]]] for w in words]) / idf[:, None]
+    assert np.allclose(v.T @ v, np.eye(v.shape[1]), atol=1e-3) and v.shape[1] < len(words)
+    best = (np.linalg.svd(a, compute_uv=False)[: v.shape[1]] ** 2).sum()
+    assert ((a @ v) ** 2).sum() > 0.99 * best
