@@ -33,7 +33,8 @@ def fold(column: Column, modulus: int) -> Column:
 
 
 def with_groups(
-    rows: DataFrame, groups: DataFrame, key: list[str], size: str, spread: Column, total: int | None = None, hot_rows: int = 100_000, most_hot: int = 100_000, hint: str | None = None
+    rows: DataFrame, groups: DataFrame, key: list[str], size: str, spread: Column, total: int | None = None, hot_rows: int = 100_000, most_hot: int = 100_000, hint: str | None = None,
+    own: dict[str, Column] | None = None,
 ) -> DataFrame:
     """Left join of rows with groups, one row a key, whose column `size` tells how many rows the key has: adds `_group`, a struct of
     the group's columns, and `_spread`, 0 or a hash of `spread`.
@@ -41,10 +42,15 @@ def with_groups(
     No key brings more rows to a task than `hot_rows` or, if more, the `most_hot`th part of all rows: larger groups come to
     their rows by broadcast, and the rows are dealt on by `_spread` too. So fewer than `most_hot` groups are broadcast,
     whatever the input. `total`: the sum of the sizes, counted here where it is not known. `hint`: how the other groups are joined.
+    `own`: aggregates of the rows that the groups stand for, where these are of all the rows of a key and no others; then rows that are
+    together no more than `hot_rows` get them by a window, one exchange instead of three and a broadcast.
     """
     values = F.struct(*[F.col(c) for c in groups.columns if c not in key])
     if total is None:
         total = groups.agg(F.sum(size)).first()[0] or 0
+    if own and total <= hot_rows:
+        found = F.struct(*[c.over(Window.partitionBy(*key)).alias(name) for name, c in own.items()])
+        return rows.withColumn("_spread", F.lit(0).cast("long")).withColumn("_group", found)
     limit = max(hot_rows, total // most_hot + 1)
     hot = groups.where(F.col(size) > limit).select(*key, values.alias("_hot"))
     rest = groups.where(F.col(size) <= limit).select(*key, F.lit(0).cast("long").alias("_spread"), values.alias("_rest"))

@@ -222,6 +222,16 @@ def _hash_strings(grams: list[str], k: int) -> np.ndarray:
     return gram_hashes(codes, k)[k - 1 :: k] if k else np.zeros(len(grams), np.uint64)
 
 
+def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        lang, k, kind, v, grams = batch.columns
+        sizes, h = k.to_numpy(), np.zeros(batch.num_rows, np.uint64)
+        for size in np.unique(sizes).tolist():
+            at = np.flatnonzero(sizes == size)
+            h[at] = _hash_strings(grams.take(pa.array(at)).to_pylist(), size)
+        yield pa.RecordBatch.from_arrays([lang, k, kind, v, pa.array(h.view(np.int64))], ["lang", "k", "kind", "v", "hash"])
+
+
 def sampled(labelled: DataFrame, lang_col: str, id_col: str, most_docs: int) -> DataFrame:
     """About `most_docs` documents a language, by a hash of the id."""
     rates = {r[0]: min(1.0, most_docs / r[1]) for r in labelled.groupBy(lang_col).count().collect()}
@@ -246,17 +256,19 @@ def train(
     size = rows_of.agg(F.count(F.lit(1)).alias("rows"), F.countDistinct("lang").alias("langs"), F.coalesce(F.sum(F.octet_length("gram") + 40), F.lit(0)).alias("bytes")).first()
     if (need := max(8 * size["rows"] * size["langs"], size["bytes"])) > MOST_BYTES:
         raise ValueError(f"models of {size['langs']} languages may take {need >> 20} MB, more than {MOST_BYTES >> 20}: lower most_docs or order")
-    table = rows_of.toArrow()  # bounded by the sample, and checked; its order does not matter
-    langs = sorted(set(table.column("lang").to_pylist()))
-    index = {x: i for i, x in enumerate(langs)}
-    lang = np.array([index[x] for x in table.column("lang").to_pylist()], np.int64)
-    k, kind, v = (table.column(c).to_numpy() for c in ("k", "kind", "v"))
-    grams = table.column("gram").to_pylist()
+    # bounded by the sample, and checked; its order does not matter. Tasks hash the n-grams, so the driver holds numbers alone
+    table = rows_of.select("lang", "k", "kind", "v", "gram").mapInArrow(_hashed, "lang string, k int, kind int, v double, hash long").toArrow()
+    coded = table.column("lang").dictionary_encode().combine_chunks()
+    coded = coded if isinstance(coded, pa.DictionaryArray) else pa.array([], pa.string()).dictionary_encode()
+    names = coded.dictionary.to_pylist()
+    langs = sorted(names)
+    lang = np.array([langs.index(x) for x in names], np.int32)[coded.indices.to_numpy()] if names else np.zeros(0, np.int32)
+    k, kind, v, hashes = (table.column(c).to_numpy() for c in ("k", "kind", "v", "hash"))
+    del table, coded
     levels = []
     for size in range(1, order + 1):
         at = np.flatnonzero(k == size)
-        h = _hash_strings([grams[i] for i in at], size)
-        keys, row = np.unique(h, return_inverse=True)
+        keys, row = np.unique(hashes[at].view(np.uint64), return_inverse=True)
         a, g = np.zeros((len(keys), len(langs)), np.float32), np.ones((len(keys), len(langs)), np.float32)
         own = kind[at] == 0
         a[row[own], lang[at][own]] = v[at][own]
@@ -315,8 +327,9 @@ def calibrated(models: Models, aside: DataFrame) -> Models:
     shared = aside.sparkSession.sparkContext.broadcast(models)
     # a tenth of the sample: six rows of a few numbers a document
     seen = aside.mapInArrow(_measure(shared), "lang string, xent array<double>, n double, whole boolean").where("n > 0").toArrow()
+    shared.destroy()
     width = len(models.langs)
-    xent = np.array(seen.column("xent").to_pylist(), float).reshape(-1, width)
+    xent = np.concatenate([np.zeros(0), *(part.flatten().to_numpy() for part in seen.column("xent").chunks)]).reshape(-1, width)
     n, whole = seen.column("n").to_numpy(), np.array(seen.column("whole").to_pylist(), bool)
     own = np.array([models.langs.index(x) if x in models.langs else -1 for x in seen.column("lang").to_pylist()], int)
     xent, n, whole, own = xent[own >= 0], n[own >= 0], whole[own >= 0], own[own >= 0]

@@ -205,11 +205,11 @@ def near_duplicates(
     marked, _ = written(fingerprints(docs, id_col, text_col), "fingerprints")
     distinct, _ = written(marked.groupBy("_fp").agg(F.min("_id").alias("_least"), F.count(F.lit(1)).alias("_n")), "distinct-fingerprints")
     labels = components(links(distinct.select("_fp"), distance, groups, block))
-    labelled = distinct.join(labels.withColumnRenamed("node", "_fp"), "_fp", "left")
+    labelled, _ = written(distinct.join(labels.withColumnRenamed("node", "_fp"), "_fp", "left"), "labelled-fingerprints")  # read several times
     linked = labelled.where("label is not null")
     # a component of a third of all fingerprints is combined by partial aggregation, and its least id comes back as any group's value
     least = linked.groupBy("label").agg(F.min("_least").alias("component_id"), F.count(F.lit(1)).alias("_nodes"))
-    placed = with_groups(linked, least, ["label"], "_nodes", F.col("_fp")).select("_fp", "_n", F.col("_group.component_id").alias("component_id"))
+    placed = with_groups(linked, least, ["label"], "_nodes", F.col("_fp"), linked.count(), own={"component_id": F.min("_least")}).select("_fp", "_n", F.col("_group.component_id").alias("component_id"))
     shared = placed.unionByName(labelled.where("label is null and _n > 1").select("_fp", "_n", F.col("_least").alias("component_id")))
     shared, _ = written(shared, "shared-fingerprints")
     return with_groups(marked, shared, ["_fp"], "_n", F.monotonically_increasing_id()).select(

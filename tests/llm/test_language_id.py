@@ -156,3 +156,16 @@ def test_few_held_out_rows():
     assert np.isinf(language_id.limits_by_length(values[:3], n[:3], None)).all()
     steep = np.concatenate((np.zeros(90), np.linspace(0, 1, 10)))
     assert language_id.tail_limit(steep) > 1.0
+
+
+def test_driver_holds_no_grams(spark, docs, monkeypatch):
+    """Tasks hash the n-grams: what comes to the driver is a hash, a number and a language each."""
+    from pyspark.sql import DataFrame
+
+    came, real = [], DataFrame.toArrow
+    for kind in {DataFrame, type(docs)}:
+        monkeypatch.setattr(kind, "toArrow", lambda self, f=getattr(kind, "toArrow", real): came.append(self.columns) or f(self))
+    got = language_id.train(docs.where("doc_id < 40"), order=2)
+    assert came and not any("gram" in columns for columns in came)
+    words = sorted({c for r in docs.where("doc_id < 40").collect() for w in language_id.words_of(r.text or "") for c in w} | {language_id.START, language_id.END})
+    assert set(got.levels[0].keys.tolist()) <= set(language_id._hash_strings(words, 1).tolist())

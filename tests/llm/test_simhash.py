@@ -122,3 +122,18 @@ def test_star(spark, monkeypatch):
     assert {r.node: r.label for r in components(edges).collect()} == want
     monkeypatch.setattr(graph, "with_groups", functools.partial(graph.with_groups, hot_rows=10))
     assert {r.node: r.label for r in components(edges).collect()} == want
+
+
+def test_rounds_deal_few_edges_seldom(spark, monkeypatch):
+    """Where no node can have more edges than a task takes, a round deals its rows four times, so that the driver follows few tasks."""
+    import functools
+
+    from tallymill.llm import graph
+
+    edges = spark.createDataFrame([(k + 1 + k % 7, k) for k in range(300)] + [(900 + k, 5) for k in range(50)], "a long, b long")
+    few = graph._small_star(graph._large_star(edges, 350), 350)
+    plan = few._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1]
+    assert plan.count("Exchange") == 4 and "Join" not in plan
+    monkeypatch.setattr(graph, "with_groups", functools.partial(graph.with_groups, hot_rows=10))
+    many = graph._small_star(graph._large_star(edges, 350), 350)
+    assert sorted(map(tuple, few.collect())) == sorted(map(tuple, many.collect()))
